@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, simhash_dedup
+from . import decontaminate, langid, line_dedup, packing, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +56,34 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Letters outside ASCII in the test texts; DuckDB's levenshtein counts bytes, so each becomes one byte first.
+_LETTERS = "ÇÈÉÊÑÓÖÜßäçèéêíñóöüÄÍáúàâôûîùÁ"
+_AS_BYTES = " || ".join(f"chr({k + 1})" for k in range(len(_LETTERS)) if k + 1 != 10)
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+d AS (SELECT line, min({{'i': doc_id, 'n': no}}) AS place, length(line) AS len, translate(line, '{_LETTERS.replace(_LETTERS[9], "")}', {_AS_BYTES}) AS bytes FROM l WHERE length(line) >= 20 GROUP BY line),
+o AS (SELECT line, place, bytes, unnest([len - 1, len, len + 1]) AS len FROM d),
+gone AS (SELECT DISTINCT o.line FROM o JOIN d ON d.len = o.len AND d.place < o.place WHERE levenshtein(d.bytes, o.bytes) <= 1),
+marked AS (SELECT l.doc_id, l.no, l.line, coalesce(length(l.line) >= 20 AND (gone.line IS NOT NULL OR d.place < {{'i': l.doc_id, 'n': l.no}}), FALSE) AS out
+  FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN gone ON gone.line = l.line)
+SELECT documents.doc_id, CAST(count(no) AS INTEGER) AS n_lines, CAST(count(no) FILTER (out) AS INTEGER) AS n_removed,
+  coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (out), '') AS removed,
+  CASE WHEN count(no) FILTER (out) = 0 THEN any_value(text) ELSE coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT out), '') END AS clean_text
+FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id GROUP BY documents.doc_id
+""",
+}
