@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, simhash_dedup
+from . import common, decontaminate, fingerprints, langid, line_dedup, packing, simhash_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited(_read(spark, sf_dir, "documents"))
+    rows, _ = common.materialize(made.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp"), "fingerprints")
+    asked = F.coalesce(F.pmod("doc_id", F.lit(100)) == 0, F.lit(False))
+    near = fingerprints.near_counts(rows, asked)
+    found = rows.join(near, "fp", "left")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.hexed(F.col("fp")).alias("fingerprint"),
+        fingerprints.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.when(asked, F.col("n_near") - 1).alias("n_near"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
@@ -66,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op10_line_dedup": op10_line_dedup,
 }
 
