@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprints, langid, line_dedup, packing, simhash_dedup
+from . import common, decontaminate, fingerprints, langid, line_dedup, packing, simhash_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = common.scratch(spark, "warc")
+    found = warc.read_back(warc.archive(pages, folder), folder)
+    # what a response's payload says of itself counts; a revisit has only what its header says
+    page = F.when(F.col("page") != warc.NO_ID, F.col("page")).cast("long")
+    return found.select(page.alias("page_id"), F.coalesce("own_size", "size").alias("payload_bytes"), F.coalesce("own_digest", "digest").alias("payload_digest"), "record_type", F.when(F.col("refers") != warc.NO_ID, F.col("refers")).cast("long").alias("refers_to"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
     "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -93,6 +103,13 @@ _LETTERS = "ÇÈÉÊÑÓÖÜßäçèéêíñóöüÄÍáúàâôûîùÁ"
 _AS_BYTES = " || ".join(f"chr({k + 1})" for k in range(len(_LETTERS)) if k + 1 != 10)
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM r
+""",
     "op10_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
 d AS (SELECT line, min({{'i': doc_id, 'n': no}}) AS place, length(line) AS len, translate(line, '{_LETTERS.replace(_LETTERS[9], "")}', {_AS_BYTES}) AS bytes FROM l WHERE length(line) >= 20 GROUP BY line),
