@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprints, langid, line_dedup, packing, simhash_dedup, warc
+from . import chat, common, decontaminate, fingerprints, langid, licenses, line_dedup, packing, simhash_dedup, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,26 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    rows = own.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string"))
+    found = chat.digest(chat.examples(rows))
+    return found.select(
+        "conv_id",
+        F.col("n").alias("n_turns"),
+        F.sha2("all", 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"),
+        F.col("expanded").alias("expanded_chars"),
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "clean_text")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.edited(_read(spark, sf_dir, "documents"))
     rows, _ = common.materialize(made.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp"), "fingerprints")
@@ -83,6 +103,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page.alias("page_id"), F.coalesce("own_size", "size").alias("payload_bytes"), F.coalesce("own_digest", "digest").alias("payload_digest"), "record_type", F.when(F.col("refers") != warc.NO_ID, F.col("refers")).cast("long").alias("refers_to"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max(F.transform("matches", lambda m: m["score"])), 6).alias("score"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
@@ -93,8 +119,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_language_id": op4_language_id,
+    "op5_chat": op5_chat,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -102,7 +131,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LETTERS = "ÇÈÉÊÑÓÖÜßäçèéêíñóöüÄÍáúàâôûîùÁ"
 _AS_BYTES = " || ".join(f"chr({k + 1})" for k in range(len(_LETTERS)) if k + 1 != 10)
 
+
+def _values(rows: dict[str, list[str]]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in rows.items())
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<(\||/?s>)|\[/?INST\]|<<?/?SYS>>')) + len(regexp_extract_all(text, '<</?SYS>>')) AS escaped FROM c),
+f AS (SELECT *, 12 + length(role) + 1 + escaped + 11 AS chars FROM e),
+g AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS expanded_chars
+FROM g GROUP BY conv_id
+""",
+    "op9_licenses": f"""
+WITH t(license, grams) AS (VALUES {_values({k: licenses.plain_bigrams(v) for k, v in licenses.TEMPLATES.items()})}),
+l AS (SELECT doc_id, no, list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
+b AS (SELECT doc_id, no, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS own FROM l WHERE len(w) BETWEEN 2 AND 400),
+s AS (SELECT doc_id, no, license, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS score FROM b, t WHERE len(own) BETWEEN len(grams) / 1.5000001 AND len(grams) * 1.5000001),
+m AS (SELECT doc_id, no, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s WHERE score >= 0.8 GROUP BY doc_id, no)
+SELECT documents.doc_id, CAST(count(m.no) AS INTEGER) AS n_matches, coalesce(string_agg(DISTINCT m.license, ',' ORDER BY m.license), '') AS licenses, round(max(m.score), 6) AS score
+FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id GROUP BY documents.doc_id
+""",
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
