@@ -1,8 +1,8 @@
 """Lexical retrieval packing: documents fill fixed windows with their BM25 neighbours.
 
 Every task cuts its documents into shards of SHARD_DOCS and keeps a BM25 inverted index of the shard
-over token ids, with document frequencies and the mean length of the whole corpus (counted first; the
-vocabulary bounds what is broadcast). A seed document opens a window; the index returns its unused
+over token ids, with document frequencies and the mean length of the whole corpus (counted first, over a
+table of all documents' ids; the vocabulary bounds what is broadcast). A seed document opens a window; the index returns its unused
 neighbours by score, which fill the window greedily, the last one being cut at the end of the window.
 What is left of it seeds the next window. A window still open at the end of a shard is filled from the
 next one; what is open at the end of a task becomes sequences whose lengths are powers of two, which
@@ -15,6 +15,8 @@ by one. An empty table gives no pieces. Columns other than the id and the text a
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -31,26 +33,45 @@ from . import common
 WINDOW, END = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 512, 1 << 21
 K1, B = 1.2, 0.75
-#: Distinct white-space-delimited strings whose ids a worker remembers.
-CACHE = 300_000
+#: Distinct words whose ids a worker remembers.
+CACHE = 600_000
+
+
+#: The stages before the model that the fast way below stands for; a tokenizer with others is asked for whole texts.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Texts of these characters alone are normal already but for case, and classes of letters and digits are plain.
+_PLAIN = re.compile(r"[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so the strings between blanks
-    and line feeds are encoded one by one, and remembered.
+    Texts of plain Latin letters are split here as the tokenizer splits them, and its model encodes only
+    words that the worker has not met yet. Any other text, or one that may hold a special token, goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+        self.fast = spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and spec["pre_tokenizer"].get("pretokenizers", [None])[0] == split and len(spec["pre_tokenizer"]["pretokenizers"]) == 2
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        if self.fast:
+            spec |= {"normalizer": None, "added_tokens": []}
+            spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+            self.words = Tokenizer.from_str(json.dumps(spec))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = text.replace("\n", " ").split(" ")
+        if not self.fast or not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = _WORDS.findall(text.lower())
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
@@ -58,8 +79,10 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         new = list({x for x in parts if x not in self.known})
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
+        found = self.words.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(new))).tolist()
+        self.known.update(zip(new, (ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         return b"".join(map(self.known.__getitem__, parts))
 
 
@@ -77,29 +100,47 @@ class Corpus:
     idf: np.ndarray
 
 
-def corpus(docs: DataFrame, tokenizer: str, text: str = "text") -> Corpus:
-    """Document frequencies over all documents; what comes to the driver is bounded by the vocabulary."""
+def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids, the whole text's ids without an end token (little-endian; 16 bits where the vocabulary allows, else 32)."""
     common.bound_batches(docs.sparkSession)
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        counts, n, tokens = np.zeros(encode.size, np.int64), 0, 0
+        width = _width(encode.size)
+        for batch in batches:
+            ids = [np.frombuffer(encode(t), "<u4").astype(width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
+
+
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def corpus(tokens: DataFrame, size: int) -> Corpus:
+    """Document frequencies over all documents; what comes to the driver is bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n, total = np.zeros(size, np.int64), 0, 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                ids = np.frombuffer(encode(t), "<u4")
-                seen = np.zeros(encode.size, bool)
-                seen[ids] = True
-                counts += seen
-                n, tokens = n + 1, tokens + len(ids) + 1
+            own = [np.frombuffer(x, _width(size)) for x in batch.column(0).to_pylist()]
+            for at in range(0, len(own), 64):
+                part = own[at : at + 64]
+                seen = np.zeros((len(part), size), bool)
+                seen[np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part)] = True
+                counts += seen.sum(axis=0)
+            n, total = n + len(own), total + sum(map(len, own)) + len(own)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(counts[at], [n, tokens]))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(counts[at], [n, total]))], names=["id", "n"])
 
-    got = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    n, tokens = (int(got.n[got.id == k].sum()) for k in (-1, -2))
-    df = np.zeros(encoder(tokenizer).size)
+    got = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    n, total = (int(got.n[got.id == k].sum()) for k in (-1, -2))
+    df = np.zeros(size)
     own = got[got.id >= 0]
     df[own.id] = own.n
-    return Corpus(n, tokens / max(n, 1), np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    return Corpus(n, total / max(n, 1), np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
 
 
 class Index:
@@ -193,12 +234,13 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     common.bound_batches(spark)
-    shared = spark.sparkContext.broadcast(corpus(docs, tokenizer, text))
-    kind = docs.schema[doc_id].dataType
-    schema = f"doc_id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    tokens, _ = common.materialize(tokenize(docs, tokenizer, doc_id, text), "tokens")
+    size = encoder(tokenizer).size
+    shared = spark.sparkContext.broadcast(corpus(tokens, size))
+    schema = f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        width = _width(size)
         packer = _Packer(shared.value, TaskContext.get().partitionId() << 33, window)
         held: tuple[list, list] = ([], [])
         tokens, id_type = 0, None
@@ -211,8 +253,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(t) + tail, "<u4")
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.append(np.frombuffer(raw, width), end).astype("<u4")
                 held[0].append(doc)
                 held[1].append(ids)
                 tokens += len(ids)
@@ -225,4 +267,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             packer.finish()
             yield rows()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return tokens.mapInArrow(run, schema)
