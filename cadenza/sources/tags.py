@@ -68,7 +68,7 @@ def put(out: dict, field: str | None, text: str) -> None:
         if (m := re.match(r"[0-9]{1,9}", text)) and int(m[0]):
             out[field] = int(m[0])
     elif field == "compilation":
-        out.setdefault("compilation", text.lower() not in ("0", "false", "no"))
+        out["compilation"] |= text.lower() not in ("0", "false", "no")
     else:
         out.setdefault(field, text)
 
@@ -305,7 +305,7 @@ def _mp4_item(key: str, item: bytes, out: dict) -> None:
     elif key in ("trkn", "disk"):
         put(out, "track" if key == "trkn" else "disc", f"{int.from_bytes(value[2:4])}/{int.from_bytes(value[4:6])}")
     elif key == "cpil":
-        out.setdefault("compilation", any(value))
+        out["compilation"] |= any(value)
     elif key == "gnre" and 0 < int.from_bytes(value) <= len(GENRES):
         out.setdefault("genre", GENRES[int.from_bytes(value) - 1])
     elif key == "----":
