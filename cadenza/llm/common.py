@@ -37,9 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> list[str]:
+    """Paths that were given out and not removed, oldest first."""
+    return list(_made)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -56,6 +65,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if p in _made:
+            _made.remove(p)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -84,3 +95,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names this operator is about to add (an input may bring clashing names)."""
     lowered = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in lowered])
+
+
+def shield(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns of these names renamed, and their new names by the old, for operators that would replace them."""
+    lowered = {n.lower() for n in names}
+    renamed = {c: f"__own_{k}" for k, c in enumerate(df.columns) if c.lower() in lowered}
+    return df.withColumnsRenamed(renamed), renamed

@@ -211,5 +211,6 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the contaminated spans cut out of their texts."""
-    found = find(docs, benchmark, text, item_id, item_text, window)
-    return found.select(*[F.coalesce("clean_text", text).alias(text) if c == text else f"`{c}`" for c in docs.columns])
+    kept, names = common.shield(docs, "n_words", "spans", "items", "clean_text")
+    found = find(kept, benchmark, text, item_id, item_text, window)
+    return found.select(*[F.coalesce("clean_text", text).alias(text) if c == text else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])

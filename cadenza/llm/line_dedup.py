@@ -174,5 +174,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated lines cut from their texts."""
-    found = deduplicate(docs, doc_id, text, threshold, min_chars)
-    return found.select(*[F.col("clean_text").alias(text) if c == text else f"`{c}`" for c in docs.columns])
+    kept, names = common.shield(docs, "n_lines", "removed", "clean_text")
+    found = deduplicate(kept, doc_id, text, threshold, min_chars)
+    return found.select(*[F.col("clean_text").alias(text) if c == text else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
