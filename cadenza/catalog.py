@@ -207,8 +207,8 @@ _add("latest_job", lambda s, d: ev.latest_of_kind(_events(s, d).select(F.col("ty
 _add("ttl_cache", lambda s, d: (lambda e: ev.alive(e.join(e.agg(F.max("at").alias("now")), F.lit(True)).withColumn("at", F.col("at") / 1e6).withColumn("now", F.col("now") / 1e6), F.col("now"), 86400).select("event_id"))(_events(s, d)), "SELECT event_id FROM events WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - 86400000000")
 
 _add("fold_text", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded")), f"SELECT doc_id, sha256({_f('text')}) AS folded FROM documents")
-_add("parse_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.parse_year(F.concat_ws(" ", "url", F.substring("html", 1, 2000), F.lit("x1994y"))).alias("year")),
-     "WITH r AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(url || ' ' || substr(html, 1, 2000) || ' x1994y', '[0-9]+'), lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1000 AND 3000) AS ys FROM pages) SELECT page_id, coalesce(ys[1], 0) AS year FROM r")
+_add("parse_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.parse_year(F.concat_ws(" ", "url", "html", F.lit("x1994y"))).alias("year")),
+     "WITH r AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(concat_ws(' ', url, html, 'x1994y'), '[0-9]+'), lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1000 AND 3000) AS ys FROM pages) SELECT page_id, coalesce(ys[1], 0) AS year FROM r")
 _GENRES = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in text.GENRES) + "]"
 _add("normalise_genre", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.normalise_genre(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"), F.col("p_type")))).alias("genre")),
      f"SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN p_type ELSE {_GENRES}[p_size + 1] END AS genre FROM part")
