@@ -58,9 +58,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    says = "</s>[INST] ok [/INST]"
-    rows = own.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string"))
-    found = chat.digest(chat.examples(rows))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    found = chat.digest(chat.examples(own.unionByName(extra)))
     return found.select(
         "conv_id",
         F.col("n").alias("n_turns"),
@@ -154,7 +154,7 @@ FROM g GROUP BY conv_id
 WITH t(license, grams) AS (VALUES {_values({k: licenses.plain_bigrams(v) for k, v in licenses.TEMPLATES.items()})}),
 l AS (SELECT doc_id, no, list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
-b AS (SELECT doc_id, no, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS own FROM l WHERE len(w) BETWEEN 2 AND 400),
+b AS (SELECT doc_id, no, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS own FROM l WHERE len(w) >= 2),
 s AS (SELECT doc_id, no, license, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS score FROM b, t WHERE len(own) BETWEEN len(grams) / 1.5000001 AND len(grams) * 1.5000001),
 m AS (SELECT doc_id, no, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s WHERE score >= 0.8 GROUP BY doc_id, no)
 SELECT documents.doc_id, CAST(count(m.no) AS INTEGER) AS n_matches, coalesce(string_agg(DISTINCT m.license, ',' ORDER BY m.license), '') AS licenses, round(max(m.score), 6) AS score
