@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.hashing import track_id
-from ..functions.text import dirname, extension, int_prefix, is_true, sanitise_segment, tidy_path, trim
+from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim
 from ..plans.search import search
 
 MAX_ERRORS = 25
@@ -306,5 +306,16 @@ def restore(df: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.join(back, F.col("path") == F.col("__p"), "left").withColumn("path", F.coalesce("source", "path")).select(*df.columns)
 
 
-def extension_of(path: Column) -> Column:
-    return extension(path)
+def plan_artwork(rows: DataFrame, pictures: DataFrame, image: bytes | None) -> DataFrame:
+    """A plan to give every row one picture (None removes it); pictures: path, art of the tracks that have one.
+
+    Tracks whose picture has the same bytes stay as they are.
+    """
+    met = with_id(rows).join(pictures.select(F.col("path").alias("__p"), "art"), F.col("path") == F.col("__p"), "left")
+    new = F.lit(image) if image is not None else F.lit(None).cast("binary")
+    return met.select("id", "path", F.when(F.col("art").eqNullSafe(new), "same").otherwise("changed").alias("status"), F.col("art").alias("before"), new.alias("art"))
+
+
+def refresh(df: DataFrame, decoded: DataFrame) -> DataFrame:
+    """The table with the rows of files that were read anew in place of their old ones."""
+    return df.join(decoded.select("path"), "path", "left_anti").select(*df.columns).unionByName(decoded.select(*df.columns))

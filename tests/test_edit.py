@@ -88,3 +88,13 @@ def test_raw_tags(spark):
     assert rawtags.parse_keep(["TIT2", "lyrics", "default"]) >= {"title", "lyrics", "disc"}
     assert [(r.key, r.value) for r in rawtags.edit_raw(raw, "Odd", "z").where("path = '/b'").orderBy("n").collect()] == [("title", "Two"), ("Odd", "z")]
     assert rawtags.edit_raw(raw, "Odd", None).count() == 3
+
+
+def test_artwork_and_refresh(spark, tracks):
+    art = spark.createDataFrame([("/m/a.mp3", bytearray(b"one")), ("/m/b.mp3", bytearray(b"two"))], "path string, art binary")
+    got = {r.path: r.status for r in edit.plan_artwork(tracks, art, b"one").collect()}
+    assert got == {"/m/a.mp3": "same", "/m/b.mp3": "changed", "/m/c.flac": "changed", "/m/d.mp3": "changed"}
+    assert {r.path for r in edit.plan_artwork(tracks, art, None).where("status = 'changed'").collect()} == {"/m/a.mp3", "/m/b.mp3"}
+    new = tracks.where("path = '/m/a.mp3'").withColumn("title", F.lit("Read anew"))
+    done = edit.refresh(tracks, new)
+    assert done.count() == 4 and done.where("title = 'Read anew'").count() == 1
