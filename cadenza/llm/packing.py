@@ -19,14 +19,14 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from . import common
 
@@ -34,7 +34,7 @@ WINDOW, END = 4096, 2
 SHARD_DOCS, SHARD_TOKENS = 512, 1 << 21
 K1, B = 1.2, 0.75
 #: Distinct words whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 350_000
 
 
 #: The stages before the model that the fast way below stands for; a tokenizer with others is asked for whole texts.
@@ -54,17 +54,22 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str())
+        self.path, self.known = path, {}
+        self.words = Tokenizer.from_file(path)
+        self.size = self.words.get_vocab_size()
+        self.special = [x.content for x in self.words.get_added_tokens_decoder().values()]
+        stages = [json.loads(x.__getstate__()) if x else None for x in (self.words.normalizer, self.words.pre_tokenizer)]
         split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
-        self.fast = spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS} and spec["pre_tokenizer"].get("pretokenizers", [None])[0] == split and len(spec["pre_tokenizer"]["pretokenizers"]) == 2
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        pieces = (stages[1] or {}).get("pretokenizers", [])
+        self.fast = stages[0] == {"type": "Sequence", "normalizers": _NORMALIZERS} and len(pieces) == 2 and pieces[0] == split and pieces[1]["type"] == "ByteLevel"
         if self.fast:
-            spec |= {"normalizer": None, "added_tokens": []}
-            spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
-            self.words = Tokenizer.from_str(json.dumps(spec))
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The whole tokenizer, once a text needs it."""
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -111,6 +116,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             ids = [np.frombuffer(encode(t), "<u4").astype(width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        encode.known.clear()  # the worker lives on, and other stages need its memory
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
 
