@@ -3,7 +3,7 @@
 A text is cut into sentences at marks of punctuation and line ends; a sentence of over LONG words is cut
 further after words whose checksum divides by four, which depends on nothing but the words near by. A
 span starts at each sentence and holds the fewest sentences that are RUN or more and hold WORDS or more
-words. Each span's lower-cased words are hashed (XXH64). In a document only the first occurrence of a
+words. Each span's lower-cased words are hashed (XXH64 of its sentences, joined by a polynomial). In a document only the first occurrence of a
 span counts; over all documents the one in the smallest doc_id does. A sentence covered by any other
 occurrence goes.
 
@@ -33,7 +33,11 @@ from . import common
 
 RUN, WORDS, LONG = 3, 20, 12
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
+_MARKS = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
+#: An odd multiplier and its inverse modulo 2**64.
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 _NO_ID = -(1 << 63)
 
 
@@ -65,46 +69,77 @@ def sentences(text: str) -> tuple[list[int], list[bytes], list[int]]:
     return starts, joined, counts
 
 
-def spans(joined: list[bytes], counts: list[int], run: int = RUN, words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, one after the last) of every span."""
-    before = np.append(0, np.cumsum(counts))
-    ends = np.maximum(np.searchsorted(before, before[:-1] + words), np.arange(len(joined)) + run)
-    for at, end in enumerate(ends.tolist()):
-        if end > len(joined):
-            return
-        yield xxhash.xxh64_intdigest(b" ".join(joined[at:end])), at, end
+def words_of(text: str) -> tuple[list[bytes], list[int]]:
+    """What sentences() says of the words, without the places."""
+    joined, counts = [], []
+    for part in _MARKS.split(text):
+        words = _WORD.findall(part.lower())
+        if not words:
+            continue
+        if len(words) <= LONG:
+            joined.append(" ".join(words).encode())
+            counts.append(len(words))
+            continue
+        raw, at = [w.encode() for w in words], 0
+        for k, w in enumerate(raw):
+            if k + 1 == len(raw) or zlib.crc32(w) % 4 == 0:
+                joined.append(b" ".join(raw[at : k + 1]))
+                counts.append(k + 1 - at)
+                at = k + 1
+    return joined, counts
+
 
+def spans(joined: list[bytes], counts: list[int], run: int = RUN, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first sentence, one after the last) of every span.
 
-def first_spans(joined: list[bytes], counts: list[int], run: int, words: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
-    """The first occurrence of each hash in a document, and all others."""
-    first, again = {}, []
-    for h, at, end in spans(joined, counts, run, words):
-        if h in first:
-            again.append((at, end))
-        else:
-            first[h] = at, end
-    return first, again
+    The hash of a span is the polynomial of its sentences' hashes, by differences of running sums modulo 2**64.
+    """
+    n = len(joined)
+    before = np.append(0, np.cumsum(counts))
+    ends = np.maximum(np.searchsorted(before, before[:-1] + words), np.arange(n) + run)
+    at = np.flatnonzero(ends <= n)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    ends = ends[at]
+    own = np.frombuffer(b"".join(map(xxhash.xxh64_digest, joined)), ">u8").astype(np.uint64)
+    up, down = (np.append(np.uint64(1), np.multiply.accumulate(np.full(n, p, np.uint64))) for p in (_STEP, _BACK))
+    sums = np.append(np.uint64(0), np.add.accumulate(own * up[:-1]))
+    h = (sums[ends] - sums[at]) * down[at]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32)), at, ends
+
+
+def first_spans(joined: list[bytes], counts: list[int], run: int, words: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The first occurrence of each hash in a document (hash, start, end), and all others (start, end)."""
+    h, at, ends = spans(joined, counts, run, words)
+    _, first = np.unique(h, return_index=True)
+    again = np.ones(len(h), bool)
+    again[first] = False
+    return (h[first], at[first], ends[first]), (at[again], ends[again])
 
 
 def _found(docs: DataFrame, run: int, words: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, owners, places = [], [], []
+            hashes, owners, places, total = [], [], [], 0
 
             def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(owners, pa.int64()), pa.array(places, pa.int64())], names=["h", "id", "place"])
+                columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owners, places)]
+                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["h", "id", "place"])
 
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                _, joined, counts = sentences(text)
-                first, _ = first_spans(joined, counts, run, words)
-                hashes.extend(first)
-                owners.extend([doc] * len(first))
-                places.extend(a << 32 | b for a, b in first.values())
-                if len(hashes) > 200_000:
+                (h, at, ends), _ = first_spans(*words_of(text), run, words)
+                hashes.append(h)
+                owners.append(np.full(len(h), doc, np.int64))
+                places.append(at << 32 | ends)
+                total += len(h)
+                if total > 200_000:
                     yield made()
-                    hashes, owners, places = [], [], []
+                    hashes, owners, places, total = [], [], [], 0
             yield made()
 
     return docs.mapInArrow(each, "h long, id long, place long")
@@ -141,9 +176,11 @@ def without_spans(text: str | None, places: list[tuple[int, int]], run: int = RU
     starts, joined, counts = sentences(text)
     _, again = first_spans(joined, counts, run, words)
     cover = np.zeros(len(starts) + 1, np.int64)
-    for a, b in [*places, *again]:
+    for a, b in places:
         cover[min(a, len(starts))] += 1
         cover[min(b, len(starts))] -= 1
+    np.add.at(cover, again[0], 1)
+    np.add.at(cover, again[1], -1)
     gone = np.cumsum(cover)[:-1] > 0
     if not gone.any():
         return len(starts), 0, text

@@ -12,10 +12,11 @@ def sentence(rnd):
 def test_sentences_cover_the_text():
     rnd = random.Random(1)
     for _ in range(50):
-        t = "".join(sentence(rnd) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "İ tail", "..."])
+        t = "".join(sentence(rnd) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "İ tail", "...", "ΑΣ.Β ΣΑΣ"])
         starts, joined, counts = sd.sentences(t)
         assert len(starts) == len(joined) == len(counts) and starts == sorted(set(starts))
         assert not starts or starts[0] == 0
+        assert sd.words_of(t) == (joined, counts)
 
 
 def brute(rows):
