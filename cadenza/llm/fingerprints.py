@@ -3,7 +3,7 @@
 Terms are pairs of neighbouring words (lower-cased, split at white space; a text of one word is one
 term). A term weighs 1 to 3 by its length, as longer terms are rarer, and each of its occurrences
 votes: for a bit that is 1 in the term's 64-bit hash, and against it otherwise. A fingerprint bit is 1
-if more than half of the weight is for it. Eight counters share a long while CHUNK terms (a weight of 126 at most) are added up.
+if more than half of the weight is for it.
 
 Block tables: a fingerprint's 64 bits are cut into blocks; two fingerprints within the radius agree on
 all but `radius` blocks, so there is one table for each choice of blocks that lead, keyed by their bits;
@@ -16,7 +16,6 @@ after all others in document order; of equal doc_ids the order goes by hashes of
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,47 +23,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RADIUS, BLOCKS, CHUNK = 3, 6, 42
+RADIUS, BLOCKS = 3, 6
 #: Ranges of doc_ids that make up document order: ROWS documents each, MAX_RANGES at most.
 ROWS, KNOTS, MAX_RANGES = 1000, 64, 1 << 17
-_LANES = 0x0101010101010101
+#: Two counters of 32 bits share a long.
+_LANES = (1 << 32) + 1
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
+def fingerprinted(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """For each row of df its keys and fp, the signed 64-bit SimHash of the text.
 
-
-def _terms(words: Column) -> Column:
-    def term(a: Column, b: Column | None) -> Column:
-        size = F.char_length(a) + (F.char_length(b) if b is not None else 0)
-        return F.struct(F.xxhash64(a, *([b] if b is not None else [])).alias("h"), (F.lit(1) + (size > 6).cast("int") + (size > 12).cast("int")).cast("long").alias("w"))
-
-    one = F.transform(words, lambda a: term(a, None))
-    pairs = _let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: term(F.get(w, k - 1), F.get(w, k))))
-    return F.when(F.size(words) > 1, pairs).otherwise(one)
-
-
-def fingerprint(text: Column) -> Column:
-    """Signed 64-bit SimHash of a string column."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    names = [f"l{k}" for k in range(8)]
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in (*names, "all")])
-
-    def vote(s: Column, t: Column) -> Column:
-        return F.struct(*[(s[n] + F.shiftrightunsigned(t["h"], k).bitwiseAND(F.lit(_LANES)) * t["w"]).alias(n) for k, n in enumerate(names)], (s["all"] + t["w"]).alias("all"))
-
-    def unpack(s: Column) -> Column:
-        return F.array(*[F.shiftrightunsigned(s[names[b % 8]], b - b % 8).bitwiseAND(F.lit(255)) for b in range(64)], s["all"])
-
-    def counted(t: Column, at: Column) -> Column:
-        return F.aggregate(F.slice(t, at, F.lit(CHUNK)), zero, vote, unpack)
-
-    chunks = _let(_terms(words), lambda t: F.transform(F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t), F.lit(CHUNK))).otherwise(F.array().cast("array<int>")), lambda at: counted(t, at)))
-
-    totals = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("long"), 65), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    ones = _let(totals, lambda v: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.get(v, b) * 2 > F.get(v, 64), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
-    return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    Terms are exploded and voted on row by row in generated code; they are added up where they arise,
+    so one row of counters for each text and task is shuffled, however long the text is.
+    """
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "")
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("__row"), words.alias("__w"))
+    size = F.greatest(F.size("__w") - 1, F.lit(1))
+    pairs = F.arrays_zip(F.slice("__w", F.lit(1), size).alias("a"), F.slice("__w", F.lit(2), size).alias("b"))
+    terms = rows.select(*keys, "__row", F.explode_outer(pairs).alias("__t"))
+    length = F.char_length("__t.a") + F.coalesce(F.char_length("__t.b"), F.lit(0))
+    weight = F.when(F.col("__t.a").isNull(), 0).otherwise(1 + (length > 6).cast("int") + (length > 12).cast("int")).cast("long")
+    votes = terms.select(*keys, "__row", F.xxhash64("__t.a", "__t.b").alias("__h"), weight.alias("__v"))
+    counted = votes.groupBy(*keys, "__row").agg(F.sum("__v").alias("__all"), *[F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(F.lit(_LANES)) * F.col("__v")).alias(f"__l{k}") for k in range(32)])
+    fp = F.lit(0).cast("long")
+    for b in range(64):
+        ones = F.shiftrightunsigned(f"__l{b % 32}", b - b % 32).bitwiseAND(F.lit((1 << 32) - 1))
+        fp = fp.bitwiseOR(F.when(ones * 2 > F.col("__all"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
+    return counted.select(*keys, fp.alias("fp"))
 
 
 def hexed(bits: Column) -> Column:
@@ -130,14 +115,30 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce("__n", "head").alias("next"))
 
 
+def _text_key(text: str) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, fp, edited_text, edited_fp, next_fp: each text, and with its last half taken from the next one's start."""
+    """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp: each text, and with its last half taken from the next one's start.
+
+    Texts are shuffled once, to meet the next document's; their fingerprints are a small table by hashes
+    of the text, so copies of a text are one row of it.
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", fingerprint(F.col("text")).alias("fp"))
+    k1, k2 = _text_key("text")
+    prints = fingerprinted(own.withColumns({"k1": k1, "k2": k2}), "text", ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("fp").alias("fp"))
+    prints, _ = common.materialize(prints, "text-prints")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    led = with_next(own, ["text", "fp"])
-    joined = led.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited_text"), F.col("next.fp").alias("next_fp"))
-    return joined.withColumn("edited_fp", fingerprint(F.col("edited_text")))
+    led = with_next(own, ["text"])
+    n1, n2 = _text_key("next.text")
+    made = led.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), k1.alias("k1"), k2.alias("k2"), n1.alias("n1"), n2.alias("n2"),
+        F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited_text"),
+    ).withColumn("edited_sha256", F.sha2("edited_text", 256))
+    made = fingerprinted(made, "edited_text", ["doc_id", "n_chars", "k1", "k2", "n1", "n2", "edited_sha256"]).withColumnRenamed("fp", "edited_fp")
+    after = prints.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("fp").alias("next_fp"))
+    return made.join(prints, ["k1", "k2"]).join(after, ["n1", "n2"]).select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 
 
 def near_counts(rows: DataFrame, chosen: Column, radius: int = RADIUS) -> DataFrame:

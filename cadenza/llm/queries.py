@@ -77,8 +77,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprints.edited(_read(spark, sf_dir, "documents"))
-    rows, _ = common.materialize(made.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp"), "fingerprints")
+    rows, _ = common.materialize(fingerprints.edited(_read(spark, sf_dir, "documents")), "fingerprints")
     asked = F.coalesce(F.pmod("doc_id", F.lit(100)) == 0, F.lit(False))
     near = fingerprints.near_counts(rows, asked)
     found = rows.join(near, "fp", "left")

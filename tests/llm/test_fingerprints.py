@@ -3,7 +3,6 @@ import random
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from cadenza.llm import fingerprints as fp
 
@@ -32,8 +31,8 @@ def texts(rnd, n):
 def test_fingerprint_matches_plain_python(spark):
     rnd = random.Random(2)
     rows = [(t,) for t in [*texts(rnd, 40), None, "", "  ", "word", "x " * 20000]]
-    got = spark.createDataFrame(rows, "t string").select("t", fp.fingerprint(F.col("t")).alias("f")).collect()
-    assert all(r.f % (1 << 64) == plain(r.t) for r in got)
+    got = fp.fingerprinted(spark.createDataFrame(rows, "t string"), "t", ["t"]).collect()
+    assert len(got) == len(rows) and all(r.fp % (1 << 64) == plain(r.t) for r in got)
 
 
 def test_edited_and_next(spark, monkeypatch):
@@ -46,9 +45,9 @@ def test_edited_and_next(spark, monkeypatch):
     want = {}
     for k, (i, t) in enumerate(ordered):
         after, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
-        want[i] = (len(t), t[: len(t) - half] + after[:half], plain(t), plain(after))
-    assert {r.doc_id: (r.n_chars, r.edited_text, r.fp % (1 << 64), r.next_fp % (1 << 64)) for r in got} == want
-    assert all(r.edited_fp % (1 << 64) == plain(r.edited_text) for r in got)
+        own = t[: len(t) - half] + after[:half]
+        want[i] = (len(t), hashlib.sha256(own.encode()).hexdigest(), plain(t), plain(own), plain(after))
+    assert {r.doc_id: (r.n_chars, r.edited_sha256, *(x % (1 << 64) for x in (r.fp, r.edited_fp, r.next_fp))) for r in got} == want
 
 
 @pytest.mark.parametrize(("radius", "blocks"), [(3, 6), (2, 4), (0, 2)])
@@ -67,8 +66,22 @@ def test_block_tables_find_all(spark, radius, blocks):
 
 
 def test_empty_and_single(spark):
-    df = spark.createDataFrame([(1, "only one text")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "only one text1")], "doc_id long, text string")
     r = fp.edited(df).first()
-    assert r.edited_text == "only on" + "only o" and r.next_fp == r.fp
+    assert r.edited_sha256 == hashlib.sha256(b"only on" + b"only on").hexdigest() and r.next_fp == r.fp
     assert fp.edited(df.where("false")).count() == 0
-    assert hashlib.sha256(r.edited_text.encode()).hexdigest()
+    assert fp.edited(df.union(df)).count() == 2
+
+
+def test_near_counts(spark):
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(63) for _ in range(5)]
+    rows = []
+    for k in range(120):
+        x = rnd.choice(base)
+        for b in rnd.sample(range(63), rnd.randint(0, 3)):
+            x ^= 1 << b
+        rows.append((k, x))
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {r.fp: r.n_near for r in fp.near_counts(df, df.doc_id % 10 == 0).collect()}
+    assert got == {x: sum((x ^ y).bit_count() <= 3 for _, y in rows) for k, x in rows if k % 10 == 0}
