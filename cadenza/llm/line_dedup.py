@@ -2,13 +2,16 @@
 
 A line is compared if it has at least MIN_CHARS code points; shorter ones always stay. A line goes if
 an earlier one (in the order of doc_id, then of lines in the text) is equal to it or within `threshold`
-edits of it. Steps:
+edits of it, and one edit for each CHARS_PER_EDIT characters. Steps:
 
 1. Distinct lines, by two 64-bit hashes, with their first place and count. Equal lines are combined
    before the shuffle, so a line that fills a third of the corpus is one row per task.
-2. A line of length n is cut into threshold + 1 segments; hashes of (length, number, segment) are its
-   index keys. A line probes the indexes of lengths n - threshold to n at the places where the
-   segment may lie (multi-match-aware positions), so each pair within the threshold shares a key.
+2. Lengths fall into cells; all lines of a cell have threshold + 1 segments of one size, half of them
+   counted from the line's start and half from its end. Hashes of (cell, number, segment) are its index
+   keys, and it probes the segments' places moved by up to k characters, k being the number of segments
+   outside of it: if each segment that is met from either side had more edits than that, there would be
+   more than threshold. So each pair within the threshold shares a key. A line whose length is within
+   threshold of the cell before is filed there as well. Three edits take nine keys a line or so.
    Keys carry a parity of hashed words, on which an edit changes three bits at most: the join passes on
    only pairs that agree but for 3 * threshold bits, whatever the size of the groups that share a key.
 3. The texts of the surviving candidates are fetched by document and verified by a banded bit-parallel
@@ -32,38 +35,44 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD, MIN_CHARS = 1, 20
+THRESHOLD, MIN_CHARS = 3, 20
+#: A pair may have one edit for each so many characters of the shorter line, and threshold of them at most.
+CHARS_PER_EDIT = 10
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of each segment of a line of this length; later ones may be longer by one."""
-    parts = threshold + 1
-    short, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    out, start = [], F.lit(0)
-    for k in range(parts):
-        size = short + F.when(F.lit(parts - k) <= longer, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+def _cell(length: Column, threshold: int) -> tuple[Column, Column]:
+    """The cell of lengths that a line of this length falls in, by its least length, and the cell before it."""
+    narrow = max(5, threshold)
+    wide, long = 8 * narrow, 16 * narrow
+    start = F.when(length < long, length - F.pmod(length, F.lit(narrow))).otherwise(length - F.pmod(length, F.lit(wide)))
+    return start.cast("int"), F.greatest(start - F.when(start <= long, narrow).otherwise(wide), F.lit(0)).cast("int")
 
 
 def _keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
     """Index keys of a line, and the further keys that it probes (its own index keys are probed too)."""
-
-    def key(n: Column, k: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(n, F.lit(k), F.substring(line, start + 1, size))
-
-    index = [key(length, k, start, size) for k, (start, size) in enumerate(_segments(length, threshold))]
-    probes = []
-    for less in range(threshold + 1):
-        n = length - less
-        for k, (start, size) in enumerate(_segments(n, threshold)):
-            for move in range(max(-k, less - threshold + k), min(k, less + threshold - k) + 1):
-                if less == 0 and move == 0:
-                    continue  # the index key itself
+    parts = threshold + 1
+    own, before = _cell(length, threshold)
+
+    def keys(cell: Column) -> tuple[list[Column], list[Column]]:
+        size, index, probes = F.floor(cell / parts).cast("int"), [], []
+        for k in range(parts):
+            left = k < parts / 2
+            start, most = (size * k, k) if left else (length - size * (parts - k), threshold - k)
+            for move in range(-most, most + 1):
                 at = start + move
-                probes.append(F.when((at >= 0) & (at + size <= length), key(n, k, at, size)))
-    return F.array(*index), F.array_compact(F.array(*probes)) if probes else F.array().cast("array<long>")
+                key = F.xxhash64(cell, F.lit(k), F.substring(line, at + 1, size))
+                if move:
+                    probes.append(F.when((at >= 0) & (at + size <= length), key))
+                else:
+                    index.append(key)
+        return index, probes
+
+    near = (length - own < threshold) & (own > 0)  # a line of up to threshold characters less may lie in the cell before
+    index, probes = keys(own)
+    index2, probes2 = keys(before)
+    none = F.array().cast("array<long>")
+    both = lambda x, y: F.array_compact(F.concat(F.array(*x), F.when(near, F.array(*y)).otherwise(none))) if x else none
+    return both(index, index2), both(probes, probes2)
 
 
 def _parity(line: Column) -> Column:
@@ -141,7 +150,7 @@ def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & agree & once & other).select("h1a", "h2a", "h1b", "h2b").distinct()
 
 
-def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int) -> DataFrame:
+def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Verified pairs of different lines: hashes, places, and edits."""
     pairs, _ = common.materialize(candidates(distinct, threshold), "line-candidates")
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("h")).select("h.*").distinct()
@@ -149,16 +158,16 @@ def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str,
     texts = keyed.select(doc_id, text, "__k1", "__k2").join(places, (F.col("__k1") == F.col("p1")) & (F.col("__k2") == F.col("p2"))).select("h1", "h2", "place", F.get(F.split(text, "\n"), F.col("place.no")).alias("line")).dropDuplicates(["h1", "h2"])
     texts, _ = common.materialize(texts, "line-texts")
     a, b = (texts.select(*[F.col(c).alias(c + x) for c in texts.columns]) for x in ("a", "b"))
-    return pairs.join(a, ["h1a", "h2a"]).join(b, ["h1b", "h2b"]).withColumn("edits", edit_distance(F.col("linea"), F.col("lineb"), threshold)).where(F.col("edits") <= threshold)
+    return pairs.join(a, ["h1a", "h2a"]).join(b, ["h1b", "h2b"]).withColumn("edits", edit_distance(F.col("linea"), F.col("lineb"), threshold)).where((F.col("edits") <= threshold) & (F.col("edits") * per_edit <= F.least(F.char_length("linea"), F.char_length("lineb"))))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with n_lines, removed (numbers of lines, from 0) and clean_text."""
     added = ("n_lines", "removed", "clean_text")
     docs = common.without(docs, *added)
     keyed = _keyed(docs, doc_id, text)
     distinct, _ = common.materialize(classes(keyed, doc_id, text, threshold, min_chars), "line-classes")
-    pairs = similar_lines(keyed, distinct, doc_id, text, threshold)
+    pairs = similar_lines(keyed, distinct, doc_id, text, threshold, per_edit)
     first = F.col("placea") < F.col("placeb")
     later = pairs.select(F.when(first, F.col("h1b")).otherwise(F.col("h1a")).alias("h1"), F.when(first, F.col("h2b")).otherwise(F.col("h2a")).alias("h2")).distinct().withColumn("absorbed", F.lit(True))
     marked, _ = common.materialize(distinct.select("h1", "h2", "n", "place").join(later, ["h1", "h2"], "left").where("n > 1 or absorbed").select("h1", "h2", F.when(F.col("absorbed").isNull(), F.col("place")).alias("keep")), "line-marks")
@@ -172,8 +181,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     return found.select(*[f"`{c}`" for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), clean.alias("clean_text"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with repeated lines cut from their texts."""
     kept, names = common.shield(docs, "n_lines", "removed", "clean_text")
-    found = deduplicate(kept, doc_id, text, threshold, min_chars)
+    found = deduplicate(kept, doc_id, text, threshold, min_chars, per_edit)
     return found.select(*[F.col("clean_text").alias(text) if c == text else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])

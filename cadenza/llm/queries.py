@@ -109,7 +109,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1)  # as its SQL says
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
 
 

@@ -76,3 +76,31 @@ def test_edge_cases(spark):
     assert ld.deduplicate(df).count() == 6
     assert ld.clean(df).columns == df.columns
     assert ld.deduplicate(df.where("false")).count() == 0
+
+
+def brute_by_length(rows):
+    seen, out = [], []
+    for doc_id, text in sorted(rows):
+        parts, gone = text.split("\n"), []
+        for no, line in enumerate(parts):
+            if len(line) < 20:
+                continue
+            if any(x == line or (abs(len(x) - len(line)) <= 3 and distance(x, line) <= min(3, len(x) // 10, len(line) // 10)) for x in seen):
+                gone.append(no)
+            seen.append(line)
+        out.append((doc_id, len(parts), gone, "\n".join(x for k, x in enumerate(parts) if k not in gone)))
+    return out
+
+
+def test_default_finds_changed_words(spark):
+    """Lines of all lengths against brute force at the default, and a word changed in the pipeline's stage."""
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("ab cé") for _ in range(n)) for n in (20, 22, 25, 39, 40, 41, 78, 80, 81, 82, 119, 120, 122, 161)]
+    rows = [(k, "\n".join(mutate(rnd, rnd.choice(base), rnd.randint(0, 5)) for _ in range(4))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.clean_text) for r in ld.deduplicate(df).collect())
+    assert got == brute_by_length(rows)
+    pair = spark.createDataFrame([(1, "the committee will meet again on Monday"), (2, "the committee will meet again on Sunday")], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.lines(spark, pair, "").orderBy("doc_id").collect()] == ["the committee will meet again on Monday", ""]
