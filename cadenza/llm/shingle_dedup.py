@@ -1,0 +1,84 @@
+"""Near-dedup by Jaccard similarity of word shingles: MinHash bands for candidates, exact sets to verify.
+
+1. Copies of a text are one node from here on, whatever their number.
+2. BANDS keys of ROWS minima each are filed for a text; two that share one are a candidate. At similarity
+   s a pair is one with odds 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, 0.9999 at 0.9.
+3. Of a key's texts each meets the one that stands for the key, and all of a block of BLOCK; blocks are
+   dealt anew for each band. So up to BLOCK texts all pairs are compared, and beyond, pairs grow with the
+   texts and not with their square.
+4. Candidates' texts are fetched, and a pair links if the similarity of its sets is LEAST or more.
+5. Connected components as in simhash_dedup; the document of the smallest doc_id stays.
+
+Cases: texts without words are alike; texts of under WORDS words are one shingle. Null doc_ids take part
+but never name a component, unless it has no other. An empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash_dedup
+
+WORDS, LEAST = 5, 0.8
+BANDS, ROWS, BLOCK = 12, 4, 16
+_FACTORS, _SHIFTS = (np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def bands(text: bytes, words: int = WORDS) -> list[int]:
+    """Signed 64-bit keys of a text's bands."""
+    found = b"".join(xxhash.xxh64_digest(x) for x in set(simhash_dedup.shingles(text, words)))
+    hashes = np.frombuffer(found, "<u8")
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS ^ _SHIFTS).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: bytes, b: bytes, words: int = WORDS) -> float:
+    x, y = (set(simhash_dedup.shingles(t, words)) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of nodes that share a band."""
+    filed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    met = filed.join(sizes, ["band", "key"]).select("band", "key", "head", "node", block.alias("block"))
+    a, b = met.select("band", "key", "block", F.col("node").alias("a")), met.select("band", "key", "block", F.col("node").alias("b"))
+    own = a.join(b, ["band", "key", "block"]).where("a < b").select("a", "b")
+    return own.unionByName(met.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct()
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """One document of each group, that of the smallest doc_id (of rows that repeat it, one)."""
+    common.bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("array<long>")
+    def banded(texts: pa.Array) -> pa.Array:
+        return pa.array([bands(t, words) for t in common.as_bytes(texts)], pa.list_(pa.int64()))
+
+    @F.arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([similarity(a, b, words) >= least for a, b in zip(common.as_bytes(left), common.as_bytes(right), strict=True)], pa.bool_())
+
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(plain).alias("node"), F.col(doc_id).alias("id"), plain.alias("t"))
+    nodes = rows.select("node", "id", banded("t").alias("bands")).groupBy("node").agg(F.min("id").alias("least"), F.min("bands").alias("bands"))
+    nodes, _ = common.materialize(nodes, "shingle-nodes")
+    pairs, _ = common.materialize(candidates(nodes), "shingle-pairs")
+    wanted = nodes.select("node", "least").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "w")
+    texts = rows.join(wanted, (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t").dropDuplicates(["node"])
+    texts, _ = common.materialize(texts, "shingle-texts")
+    a, b = texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
+    edges = pairs.join(a, "a").join(b, "b").where(alike("ta", "tb")).select("a", "b")
+    roots, _ = simhash_dedup.components(edges)
+    placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    kept = placed.join(named, "root").where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("node").alias("__kept"), F.min("least").alias("__keep")).drop("root")
+    found = docs.withColumn("__node", F.xxhash64(plain)).join(kept, (F.col("__node") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("__keep")))
+    return found.select(*[f"`{c}`" for c in docs.columns], "__node").dropDuplicates(["__node", doc_id]).drop("__node")

@@ -1,0 +1,22 @@
+import random
+
+import corpus_pipeline
+from cadenza.llm import shingle_dedup as sd
+
+
+def test_stage_drops_near_copies_and_keeps_the_rest(spark):
+    rnd = random.Random(5)
+    rows, want, k = [(900, None, "p"), (901, "", "q")], {900}, 0
+    for _ in range(12):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+        near, far = list(words), list(words)
+        near[40] = near[90] = "changed"  # 106 of 126 shingles are shared: 0.84
+        for at in range(5, 120, 20):
+            far[at] = "other"
+        rows += [(k, " ".join(words), "x"), (k + 1, " ".join(near), "y"), (k + 2, " ".join(far), "z"), (k + 1, " ".join(words), "w")]
+        assert sd.similarity(rows[-4][1].encode(), rows[-3][1].encode()) >= 0.8 > sd.similarity(rows[-4][1].encode(), rows[-2][1].encode())
+        want |= {k, k + 2}
+        k += 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
