@@ -1,24 +1,27 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line is compared if it has at least MIN_CHARS code points; shorter ones always stay. A line goes if
-an earlier one (in the order of doc_id, then of lines in the text) is equal to it or within `threshold`
-edits of it, and one edit for each CHARS_PER_EDIT characters. Steps:
+A line goes if an earlier one (in the order of doc_id, then of lines in the text) is equal to it, or within
+`threshold` edits of it and one edit for each `per_edit` characters of the shorter line: lines of under
+per_edit characters are compared for equality alone. Empty lines stay. Steps:
 
 1. Distinct lines, by two 64-bit hashes, with their first place and count. Equal lines are combined
    before the shuffle, so a line that fills a third of the corpus is one row per task.
-2. Lengths fall into cells; all lines of a cell have threshold + 1 segments of one size, half of them
-   counted from the line's start and half from its end. Hashes of (cell, number, segment) are its index
-   keys, and it probes the segments' places moved by up to k characters, k being the number of segments
-   outside of it: if each segment that is met from either side had more edits than that, there would be
-   more than threshold. So each pair within the threshold shares a key. A line whose length is within
-   threshold of the cell before is filed there as well. Three edits take nine keys a line or so.
+2. Lengths fall into cells, and a cell's largest length gives the edits e that its lines may have. All lines
+   of a cell have e + 1 segments of one size, half of them counted from the line's start and half from its
+   end. Hashes of (cell, number, segment) are its index keys, and it probes the segments' places moved by up
+   to k characters, k being the number of segments outside of it: if each segment that is met from either
+   side had more edits than that, there would be more than e. So each pair within e edits shares a key. A
+   line whose length is within the cell before's e of that cell is filed there as well. Three edits take
+   nine keys a line or so.
    Keys carry a parity of hashed words, on which an edit changes three bits at most: the join passes on
    only pairs that agree but for 3 * threshold bits, whatever the size of the groups that share a key.
 3. The texts of the surviving candidates are fetched by document and verified by a banded bit-parallel
    edit distance (the vectors of the band are bits of a long; the band moves down the diagonal).
 4. Lines to be removed are gathered per document and cut from its text.
 
-Only keys, hashes and candidates are shuffled, and the documents once; Spark splits skewed joins.
+Only keys, hashes and candidates are shuffled, and the documents once; Spark splits skewed joins. Different
+lines that share a segment are compared pair by pair in the join, so a template whose lines all differ
+elsewhere costs the square of their number there, though none of it is stored.
 
 Cases: null text stays null and has no lines; empty text has one empty line. Rows that agree in doc_id
 and text are one document and get the same result. A null doc_id comes before all others. Of equal
@@ -35,44 +38,63 @@ from pyspark.sql import functions as F
 
 from . import common
 
-THRESHOLD, MIN_CHARS = 3, 20
+THRESHOLD = 3
 #: A pair may have one edit for each so many characters of the shorter line, and threshold of them at most.
 CHARS_PER_EDIT = 10
 
 
+def _edits(length: Column, threshold: int, per_edit: int) -> Column:
+    """How many edits a line of this length may have."""
+    return F.least(F.lit(threshold), F.floor(length / per_edit)).cast("int")
+
+
+def _widths(threshold: int) -> tuple[int, int, int]:
+    """Width of a short cell and of a long one, and the length from which cells are long."""
+    narrow = max(5, threshold)
+    return narrow, 8 * narrow, 16 * narrow
+
+
 def _cell(length: Column, threshold: int) -> tuple[Column, Column]:
     """The cell of lengths that a line of this length falls in, by its least length, and the cell before it."""
-    narrow = max(5, threshold)
-    wide, long = 8 * narrow, 16 * narrow
+    narrow, wide, long = _widths(threshold)
     start = F.when(length < long, length - F.pmod(length, F.lit(narrow))).otherwise(length - F.pmod(length, F.lit(wide)))
     return start.cast("int"), F.greatest(start - F.when(start <= long, narrow).otherwise(wide), F.lit(0)).cast("int")
 
 
-def _keys(line: Column, length: Column, threshold: int) -> tuple[Column, Column]:
-    """Index keys of a line, and the further keys that it probes (its own index keys are probed too)."""
-    parts = threshold + 1
-    own, before = _cell(length, threshold)
+def _places(edits: int) -> Column:
+    """The segments of lines with so many edits, with the moves by which each is probed; no move makes an index key."""
+    parts = edits + 1
+    out = []
+    for k in range(parts):
+        left = 2 * k < parts
+        most = k if left else edits - k
+        out += [F.struct(F.lit(k if left else k - parts).alias("k"), F.lit(m).alias("move")) for m in range(-most, most + 1)]
+    return F.array(*out)
+
 
-    def keys(cell: Column) -> tuple[list[Column], list[Column]]:
-        size, index, probes = F.floor(cell / parts).cast("int"), [], []
-        for k in range(parts):
-            left = k < parts / 2
-            start, most = (size * k, k) if left else (length - size * (parts - k), threshold - k)
-            for move in range(-most, most + 1):
-                at = start + move
-                key = F.xxhash64(cell, F.lit(k), F.substring(line, at + 1, size))
-                if move:
-                    probes.append(F.when((at >= 0) & (at + size <= length), key))
-                else:
-                    index.append(key)
-        return index, probes
-
-    near = (length - own < threshold) & (own > 0)  # a line of up to threshold characters less may lie in the cell before
-    index, probes = keys(own)
-    index2, probes2 = keys(before)
-    none = F.array().cast("array<long>")
-    both = lambda x, y: F.array_compact(F.concat(F.array(*x), F.when(near, F.array(*y)).otherwise(none))) if x else none
-    return both(index, index2), both(probes, probes2)
+def _keys(line: Column, threshold: int, per_edit: int) -> Column:
+    """Keys of a line, an array of (key, role): role 0 are its index keys, 1 the further ones that it probes."""
+    length = F.char_length(line)
+    narrow, wide, long = _widths(threshold)
+    most = lambda cell: _edits(cell + F.when(cell < long, narrow).otherwise(wide) - 1, threshold, per_edit)
+    places = F.array(*[_places(e) for e in range(1, threshold + 1)])
+    none = F.array().cast("array<struct<key:bigint,role:tinyint>>")
+
+    def of(g: Column, cell: str) -> Column:
+        """Keys in one cell; a segment counted from the end has a negative number."""
+
+        def key(h: Column, p: Column) -> Column:
+            at = F.when(p["k"] >= 0, 0).otherwise(g["length"]) + h["size"] * p["k"] + p["move"]
+            return F.when((at >= 0) & (at + h["size"] <= g["length"]), F.struct(F.xxhash64(g[cell], p["k"], F.substring(line, at + 1, h["size"])).alias("key"), F.when(p["move"] == 0, 0).otherwise(1).cast("byte").alias("role")))
+
+        edits = most(g[cell])
+        sized = F.struct(edits.alias("edits"), F.floor(g[cell] / (edits + 1)).cast("int").alias("size"))
+        return let(sized, lambda h: F.when(h["edits"] > 0, F.array_compact(F.transform(F.element_at(places, h["edits"]), lambda p: key(h, p)))).otherwise(none))
+
+    own, before = _cell(length, threshold)
+    given = F.struct(length.alias("length"), own.alias("own"), before.alias("before"))
+    near = lambda g: g["length"] - g["own"] < most(g["before"])
+    return let(given, lambda g: F.concat(of(g, "own"), F.when(near(g), of(g, "before")).otherwise(none)))
 
 
 def _parity(line: Column) -> Column:
@@ -126,52 +148,55 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(*both), "__k2": F.xxhash64(F.lit(1), *both)})
 
 
-def _lines(keyed: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+def _lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Comparable lines: id, __k1, __k2, no, line, h1, h2."""
-    return keyed.select(F.col(doc_id).alias("id"), "__k1", "__k2", F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.char_length("line") >= least).select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return keyed.select(F.col(doc_id).alias("id"), "__k1", "__k2", F.posexplode(F.split(text, "\n")).alias("no", "line")).where("line <> ''").select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, least: int) -> DataFrame:
-    """Distinct lines: h1, h2, first (id, __k1, __k2, no), n, parity, index keys and probes."""
-    lines = _lines(keyed, doc_id, text, least)
-    index, probes = _keys(F.col("line"), F.char_length("line"), threshold)
+def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int) -> DataFrame:
+    """Distinct lines: h1, h2, place (id, __k1, __k2, no) of the first, n, parity, keys."""
+    lines = _lines(keyed, doc_id, text)
     place = F.struct("id", "__k1", "__k2", "no")
-    return lines.select("h1", "h2", place.alias("place"), _parity(F.col("line")).alias("parity"), index.alias("index"), probes.alias("probes")).groupBy("h1", "h2").agg(F.min(F.struct("place", "parity", "index", "probes")).alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
+    return lines.select("h1", "h2", place.alias("place"), _parity(F.col("line")).alias("parity"), _keys(F.col("line"), threshold, per_edit).alias("keys")).groupBy("h1", "h2").agg(F.min(F.struct("place", "parity", "keys")).alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
 
 
 def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of distinct lines (ha, hb: first hashes) that share a key and nearly agree in their parities."""
-    keys = distinct.select("h1", "h2", "parity", F.explode(F.concat(F.transform("index", lambda k: F.struct(k.alias("key"), F.lit(0).alias("role"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(1).alias("role"))))).alias("k")).select("k.key", "k.role", "h1", "h2", "parity")
-    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", "h1", "h2", "parity")]) for x in ("a", "b"))
+    """Pairs of distinct lines (h1a, h1b: first hashes, h1a less) that share a key and nearly agree in their parities.
+
+    A first hash alone names a line here: should two lines share one, both are fetched and verified.
+    """
+    keys = distinct.select("h1", "parity", F.explode("keys").alias("k")).select("k.key", "k.role", "h1", "parity")
+    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", "h1", "parity")]) for x in ("a", "b"))
     agree = F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 3 * threshold
     # an index key meets an index key once, and a probe any index key
-    once = (F.col("rolea") <= F.col("roleb")) & (F.col("rolea") * F.col("roleb") == 0) & ((F.col("roleb") > F.col("rolea")) | (F.struct("h1a", "h2a") < F.struct("h1b", "h2b")))
-    other = (F.col("h1a") != F.col("h1b")) | (F.col("h2a") != F.col("h2b"))
-    return a.join(b, (a["key"] == b["key"]) & agree & once & other).select("h1a", "h2a", "h1b", "h2b").distinct()
+    once = (F.col("rolea") == 0) & ((F.col("roleb") == 1) | (F.col("h1a") < F.col("h1b")))
+    pairs = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
+    return pairs.select(F.least("h1a", "h1b").alias("h1a"), F.greatest("h1a", "h1b").alias("h1b")).distinct()
 
 
 def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Verified pairs of different lines: hashes, places, and edits."""
     pairs, _ = common.materialize(candidates(distinct, threshold), "line-candidates")
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("h1a").alias("h1"), F.col("h2a").alias("h2")), F.struct(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")))).alias("h")).select("h.*").distinct()
-    places = distinct.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
+    wanted = pairs.select(F.explode(F.array("h1a", "h1b")).alias("h1")).distinct()
+    places = distinct.join(wanted, "h1", "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
     texts = keyed.select(doc_id, text, "__k1", "__k2").join(places, (F.col("__k1") == F.col("p1")) & (F.col("__k2") == F.col("p2"))).select("h1", "h2", "place", F.get(F.split(text, "\n"), F.col("place.no")).alias("line")).dropDuplicates(["h1", "h2"])
     texts, _ = common.materialize(texts, "line-texts")
     a, b = (texts.select(*[F.col(c).alias(c + x) for c in texts.columns]) for x in ("a", "b"))
-    return pairs.join(a, ["h1a", "h2a"]).join(b, ["h1b", "h2b"]).withColumn("edits", edit_distance(F.col("linea"), F.col("lineb"), threshold)).where((F.col("edits") <= threshold) & (F.col("edits") * per_edit <= F.least(F.char_length("linea"), F.char_length("lineb"))))
+    allowed = _edits(F.least(F.char_length("linea"), F.char_length("lineb")), threshold, per_edit)
+    return pairs.join(a, "h1a").join(b, "h1b").withColumn("edits", edit_distance(F.col("linea"), F.col("lineb"), threshold)).where(F.col("edits") <= allowed)
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with n_lines, removed (numbers of lines, from 0) and clean_text."""
     added = ("n_lines", "removed", "clean_text")
     docs = common.without(docs, *added)
     keyed = _keyed(docs, doc_id, text)
-    distinct, _ = common.materialize(classes(keyed, doc_id, text, threshold, min_chars), "line-classes")
+    distinct, _ = common.materialize(classes(keyed, doc_id, text, threshold, per_edit), "line-classes")
     pairs = similar_lines(keyed, distinct, doc_id, text, threshold, per_edit)
     first = F.col("placea") < F.col("placeb")
     later = pairs.select(F.when(first, F.col("h1b")).otherwise(F.col("h1a")).alias("h1"), F.when(first, F.col("h2b")).otherwise(F.col("h2a")).alias("h2")).distinct().withColumn("absorbed", F.lit(True))
     marked, _ = common.materialize(distinct.select("h1", "h2", "n", "place").join(later, ["h1", "h2"], "left").where("n > 1 or absorbed").select("h1", "h2", F.when(F.col("absorbed").isNull(), F.col("place")).alias("keep")), "line-marks")
-    lines = _lines(keyed, doc_id, text, min_chars).select("h1", "h2", F.struct("id", "__k1", "__k2", "no").alias("place"))
+    lines = _lines(keyed, doc_id, text).select("h1", "h2", F.struct("id", "__k1", "__k2", "no").alias("place"))
     gone = lines.join(marked, ["h1", "h2"]).where(F.col("keep").isNull() | (F.col("keep") != F.col("place"))).select(F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"), F.col("place.no").alias("no"))
     per_doc = gone.groupBy("p1", "p2").agg(F.collect_set("no").alias("removed"))
     parts = F.split(text, "\n")
@@ -181,8 +206,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     return found.select(*[f"`{c}`" for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"), clean.alias("clean_text"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with repeated lines cut from their texts."""
     kept, names = common.shield(docs, "n_lines", "removed", "clean_text")
-    found = deduplicate(kept, doc_id, text, threshold, min_chars, per_edit)
+    found = deduplicate(kept, doc_id, text, threshold, per_edit)
     return found.select(*[F.col("clean_text").alias(text) if c == text else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])

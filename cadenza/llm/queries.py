@@ -109,7 +109,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"), threshold=1)  # as its SQL says
+    found = line_dedup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
 
 
@@ -168,10 +168,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
 """,
     "op10_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-d AS (SELECT line, min({{'i': doc_id, 'n': no}}) AS place, length(line) AS len, translate(line, '{_LETTERS.replace(_LETTERS[9], "")}', {_AS_BYTES}) AS bytes FROM l WHERE length(line) >= 20 GROUP BY line),
-o AS (SELECT line, place, bytes, unnest([len - 1, len, len + 1]) AS len FROM d),
-gone AS (SELECT DISTINCT o.line FROM o JOIN d ON d.len = o.len AND d.place < o.place WHERE levenshtein(d.bytes, o.bytes) <= 1),
-marked AS (SELECT l.doc_id, l.no, l.line, coalesce(length(l.line) >= 20 AND (gone.line IS NOT NULL OR d.place < {{'i': l.doc_id, 'n': l.no}}), FALSE) AS out
+d AS (SELECT line, min({{'i': doc_id, 'n': no}}) AS place, length(line) AS len, translate(line, '{_LETTERS.replace(_LETTERS[9], "")}', {_AS_BYTES}) AS bytes FROM l WHERE line <> '' GROUP BY line),
+o AS (SELECT line, place, bytes, len AS own, unnest(range(len - 3, len + 4)) AS len FROM d WHERE len >= 10),
+gone AS (SELECT DISTINCT o.line FROM o JOIN d ON d.len = o.len AND d.len >= 10 AND d.place < o.place WHERE levenshtein(d.bytes, o.bytes) <= least(3, least(d.len, o.own) // 10)),
+marked AS (SELECT l.doc_id, l.no, l.line, coalesce(l.line <> '' AND (gone.line IS NOT NULL OR d.place < {{'i': l.doc_id, 'n': l.no}}), FALSE) AS out
   FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN gone ON gone.line = l.line)
 SELECT documents.doc_id, CAST(count(no) AS INTEGER) AS n_lines, CAST(count(no) FILTER (out) AS INTEGER) AS n_removed,
   coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (out), '') AS removed,

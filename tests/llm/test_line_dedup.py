@@ -40,31 +40,34 @@ def test_edit_distance(spark, most):
         assert r.d == min(distance(r.a, r.b), most + 1), r
 
 
-def brute(rows, most, least):
+def brute(rows, most=3, per_edit=10):
+    """By comparing every line with all before it."""
     seen, out = [], []
     for doc_id, text in sorted(rows):
         parts, gone = text.split("\n"), []
         for no, line in enumerate(parts):
-            if len(line) < least:
+            if not line:
                 continue
-            if any(x == line or (abs(len(x) - len(line)) <= most and distance(x, line) <= most) for x in seen):
+            if any(x == line or (abs(len(x) - len(line)) <= most and distance(x, line) <= min(most, len(x) // per_edit, len(line) // per_edit)) for x in seen):
                 gone.append(no)
             seen.append(line)
         out.append((doc_id, len(parts), gone, "\n".join(x for k, x in enumerate(parts) if k not in gone)))
     return out
 
 
-@pytest.mark.parametrize("most", [1, 2])
-def test_deduplicate_matches_brute_force(spark, most):
+@pytest.mark.parametrize("most, per_edit", [(1, 10), (2, 7), (3, 10)])
+def test_deduplicate_matches_brute_force(spark, most, per_edit):
+    """Lines of all lengths, at the borders of the length cells and within a few edits of one another."""
     rnd = random.Random(most)
-    base = ["".join(rnd.choice("ab cé") for _ in range(rnd.randint(15, 40))) for _ in range(25)]
+    sizes = [rnd.randint(1, 40) for _ in range(25)] + [9, 10, 11, 14, 15, 19, 20, 21, 22, 25, 29, 30, 31, 39, 40, 41, 78, 80, 81, 82, 119, 120, 122, 161]
+    base = ["".join(rnd.choice("ab cé") for _ in range(n)) for n in sizes]
     rows = []
-    for k in range(60):
-        lines = [mutate(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3])) for _ in range(rnd.randint(1, 6))] + rnd.choice([[], ["short"], [""]])
+    for k in range(110):
+        lines = [mutate(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 3, 4])) for _ in range(rnd.randint(1, 6))] + rnd.choice([[], ["short"], [""]])
         rows.append((k, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("x"))
-    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.clean_text) for r in ld.deduplicate(df, threshold=most).collect())
-    assert got == brute(rows, most, ld.MIN_CHARS)
+    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.clean_text) for r in ld.deduplicate(df, threshold=most, per_edit=per_edit).collect())
+    assert got == brute(rows, most, per_edit)
 
 
 def test_edge_cases(spark):
@@ -78,29 +81,17 @@ def test_edge_cases(spark):
     assert ld.deduplicate(df.where("false")).count() == 0
 
 
-def brute_by_length(rows):
-    seen, out = [], []
-    for doc_id, text in sorted(rows):
-        parts, gone = text.split("\n"), []
-        for no, line in enumerate(parts):
-            if len(line) < 20:
-                continue
-            if any(x == line or (abs(len(x) - len(line)) <= 3 and distance(x, line) <= min(3, len(x) // 10, len(line) // 10)) for x in seen):
-                gone.append(no)
-            seen.append(line)
-        out.append((doc_id, len(parts), gone, "\n".join(x for k, x in enumerate(parts) if k not in gone)))
-    return out
-
-
-def test_default_finds_changed_words(spark):
-    """Lines of all lengths against brute force at the default, and a word changed in the pipeline's stage."""
+def test_a_changed_word_in_the_pipeline(spark):
     import corpus_pipeline
 
-    rnd = random.Random(9)
-    base = ["".join(rnd.choice("ab cé") for _ in range(n)) for n in (20, 22, 25, 39, 40, 41, 78, 80, 81, 82, 119, 120, 122, 161)]
-    rows = [(k, "\n".join(mutate(rnd, rnd.choice(base), rnd.randint(0, 5)) for _ in range(4))) for k in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_lines, list(r.removed), r.clean_text) for r in ld.deduplicate(df).collect())
-    assert got == brute_by_length(rows)
     pair = spark.createDataFrame([(1, "the committee will meet again on Monday"), (2, "the committee will meet again on Sunday")], "doc_id long, text string")
     assert [r.text for r in corpus_pipeline.lines(spark, pair, "").orderBy("doc_id").collect()] == ["the committee will meet again on Monday", ""]
+
+
+def test_query(spark, tmp_path):
+    from cadenza.llm import queries
+
+    rows = [(1, "one\ntwo\none"), (2, "two\n\nthree of them here"), (3, "three or them here"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1, "2", "one\ntwo"), 2: (3, 1, "0", "\nthree of them here"), 3: (1, 1, "0", ""), 4: (0, 0, "", None)}

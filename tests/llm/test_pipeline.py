@@ -50,7 +50,7 @@ def test_each_stage_against_plain_python(spark, folder):
     assert not {70, 71, 72} & {i for i, _ in want} and len(want) >= 60
 
     cut = pipeline.lines(spark, kept, where).cache()
-    plain = {i: t for i, _, _, t in deduped_lines(sorted(set(want)), 1, 20)}
+    plain = {i: t for i, _, _, t in deduped_lines(sorted(set(want)))}
     assert cut.columns == columns and sorted((r.doc_id, r.text, r.n_chars) for r in cut.collect()) == sorted((i, plain[i], len(plain[i])) for i, _ in want)
 
     unique = pipeline.near_duplicates(spark, cut, where).cache()
