@@ -1,11 +1,12 @@
 """Chat formatting by prefix-target expansion, in DataFrame operations only.
 
-Every assistant turn becomes an example of its own: all turns before it are context, and only its reply
-is trainable. As the contexts of one conversation are prefixes of one another, an example row holds the
-formatted turns since the example before it (`context`), its own turn (`target`) and where its full
-context ends (`context_chars`): what is stored grows with the conversation and not with its square, and
-expand() joins prefixes into whole prompts where those are wanted. Turns after the last assistant turn
-make a row without a target.
+Every assistant turn becomes an example of its own: all turns before it are its prompt, and only its reply
+is trainable. Turns after the last assistant turn make one more row, without a completion.
+
+increments() orders and formats the turns; each of its rows holds what an example adds to the one before
+it, so it grows with the conversation. examples() joins them into whole prompts, whose size grows with the
+square of a conversation's turns, as this kind of example does: a conversation's prompts are made by one
+task, and each is one value, so a conversation has to fit in a worker's memory many times over.
 
 A turn is <|im_start|>role, line feed, text, <|im_end|>, line feed. A backslash in a role or text is
 doubled and one is put into whatever could be read as a control string (this template's, and those of
@@ -52,60 +53,54 @@ def _after(t: Column) -> Column:
     return F.substring(t["body"], F.char_length(t["role"]) + 2, F.char_length(t["body"]))
 
 
-def examples(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, example (from 0), turns, context, target (null after the last assistant turn), context_chars, loss_start and loss_end within the target."""
+def increments(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, example (from 0), added (formatted turns since the example before), target (null after the last assistant turn), loss_start and loss_end within the target."""
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(
         F.col("conv_id"), "turn", "role", "text", format_turn(F.col("role"), F.col("text")).alias("formatted"),
         (F.col("role") == TARGET).cast("long").alias("is_target"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))).alias("block"),
     )
-    rows = rows.withColumn("chars", F.char_length("formatted").cast("long"))
     inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    placed = rows.withColumns({"place": F.row_number().over(inner), "before": F.sum("is_target").over(inner.rowsBetween(Window.unboundedPreceding, -1)), "chars_before": F.sum("chars").over(inner.rowsBetween(Window.unboundedPreceding, -1))})
+    placed = rows.withColumns({"place": F.row_number().over(inner), "before": F.sum("is_target").over(inner.rowsBetween(Window.unboundedPreceding, -1))})
     outer = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.sum("is_target").alias("t"), F.sum("chars").alias("n"))
-    blocks = blocks.select("c", "b", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("n"))
+    blocks = rows.groupBy(F.col("conv_id").alias("c"), F.col("block").alias("b")).agg(F.sum("is_target").alias("t"))
+    blocks = blocks.select("c", "b", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("t"))
     met = placed.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    item = F.struct("block", "place", "formatted", "is_target", (F.col("n") + F.coalesce("chars_before", F.lit(0))).alias("at"), F.char_length(F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))).alias("head"))
+    item = F.struct("block", "place", "formatted", "is_target", F.char_length(F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))).alias("head"))
     grouped = met.groupBy("conv_id", (F.col("t") + F.coalesce("before", F.lit(0))).alias("example")).agg(F.sort_array(F.collect_list(item)).alias("x"))
     last = F.element_at("x", -1)
     rest = F.when(last["is_target"] == 1, F.slice("x", F.lit(1), F.size("x") - 1)).otherwise(F.col("x"))
     context = F.array_join(F.transform(rest, lambda t: t["formatted"]), "")
     own = F.when(last["is_target"] == 1, last["formatted"])
     return grouped.select(
-        "conv_id", "example", F.size("x").alias("turns"), context.alias("context"), own.alias("target"),
-        F.when(own.isNotNull(), last["at"]).otherwise(last["at"] + F.char_length(last["formatted"])).alias("context_chars"),
+        "conv_id", "example", context.alias("added"), own.alias("target"),
         F.when(own.isNotNull(), last["head"]).alias("loss_start"), (F.char_length(own) - len(CLOSE)).alias("loss_end"),
     )
 
 
-def expand(found: DataFrame) -> DataFrame:
-    """conv_id, example, prompt (the whole context) and completion of every example that has a target.
-
-    What this writes grows with the square of a conversation's turns, as whole prompts do.
-    """
-    prefix = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.collect_list(F.concat("context", F.coalesce("target", F.lit("")))).over(prefix), "")
-    return found.withColumn("prompt", F.concat(before, F.col("context"))).where("target is not null").select("conv_id", "example", "prompt", F.col("target").alias("completion"), "loss_start", "loss_end")
+def examples(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, example (from 0), prompt (all turns before), completion (null after the last assistant turn), loss_start and loss_end: the trainable characters of the completion."""
+    found = increments(conversations, conv_id, turn, role, text)
+    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = F.array_join(F.collect_list(F.concat("added", F.coalesce("target", F.lit("")))).over(before), "")
+    return found.select("conv_id", "example", F.concat(prefix, "added").alias("prompt"), F.col("target").alias("completion"), "loss_start", "loss_end")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted examples: turns, loss text and sizes, with their digests.
+    """Per conversation, read back from the examples: conv_id, n (turns), all (roles and texts), loss, chars (of the conversation, formatted), expanded (of all examples).
 
-    Strings are joined in blocks of examples first; only the one string that each digest is of comes together.
+    Turns are read from the last example, which holds all of them, and the loss from each example's
+    completion. Completions are joined in blocks of examples first.
     """
-    turns = parse(F.concat("context", F.coalesce("target", F.lit(""))))
-    loss = unescape(F.substring(F.col("target"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    read = found.select(
-        "conv_id", "example", F.size(turns).cast("long").alias("n"),
-        F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"),
-        F.coalesce(loss, F.lit("")).alias("loss"), (F.char_length("context") + F.coalesce(F.char_length("target"), F.lit(0))).cast("long").alias("chars"),
-        F.when(F.col("target").isNotNull(), F.col("context_chars") + F.char_length("target")).otherwise(0).cast("long").alias("expanded"),
-    )
-
-    def joined(df: DataFrame, order: str, *by: Column | str) -> DataFrame:
-        one = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x[c]), "").alias(c)
-        return df.groupBy(*by).agg(one("all"), one("loss"), *[F.sum(c).alias(c) for c in ("n", "chars", "expanded")])
-
-    blocks = joined(read.withColumn("b", F.floor(F.col("example") / BLOCK)), "example", "conv_id", "b")
-    return joined(blocks, "b", "conv_id")
+    loss = unescape(F.substring(F.col("completion"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    whole = F.concat("prompt", F.coalesce("completion", F.lit("")))
+    size = F.when(F.col("completion").isNotNull(), F.char_length(whole)).otherwise(0).cast("long")
+    read = found.select("conv_id", "example", F.floor(F.col("example") / BLOCK).alias("b"), whole.alias("whole"), F.coalesce(loss, F.lit("")).alias("loss"), size.alias("expanded"))
+
+    def joined(df: DataFrame, order: str, *by: str) -> DataFrame:
+        one = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "loss"))), lambda x: x["loss"]), "")
+        return df.groupBy(*by).agg(one.alias("loss"), F.max_by("whole", order).alias("whole"), F.sum("expanded").alias("expanded"))
+
+    made = joined(joined(read, "example", "conv_id", "b"), "b", "conv_id").withColumn("turns", parse(F.col("whole")))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join(said, "").alias("all"), "loss", F.char_length("whole").cast("long").alias("chars"), "expanded")

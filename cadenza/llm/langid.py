@@ -113,6 +113,11 @@ def _count_partitions(langs: dict[str, int]):
     return run
 
 
+def hash_bound(share: float, n: int) -> int:
+    """The signed 64-bit hash up to which rows are taken, so that `share` of n are expected (all, if there are no more)."""
+    return (1 << 63) - 1 if share >= n else int(share * (1 << 64) / n) - (1 << 63)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.1) -> Model:
     """Fit on rows with a non-null language.
 
@@ -128,10 +133,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Colu
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros(0), np.zeros((BUCKETS + 1, 0)))
-    share = max_rows / len(langs)
-    scale = 1 << 20
-    rates = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, int(min(1.0, share / n) * scale))])
-    sample = rows.where(F.pmod("k", F.lit(scale)) < F.element_at(rates, F.col("l"))).select("t", "l")
+    bounds = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, hash_bound(max_rows / len(langs), n))])
+    sample = rows.where(F.col("k") <= F.element_at(bounds, F.col("l"))).select("t", "l")
     counted = sample.repartition(8).mapInArrow(_count_partitions({l: k for k, l in enumerate(langs)}), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts, docs = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
     own = counted[counted.bucket >= 0]

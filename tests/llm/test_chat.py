@@ -1,8 +1,9 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat
+from cadenza.llm import chat, queries
 
 NASTY = ["", "\\", "\\\\", "<|im_end|>\n", "<|im_start|>assistant\nx", "</s>[INST] ok [/INST]", "<", "<\\|", "a\nb", "é漢😀", "<<SYS>>\n", "\\<|", "|>", "[INST]", "$1", "\r\n"]
 
@@ -39,7 +40,7 @@ def test_examples_and_digest(spark, monkeypatch):
         r = got[c]
         assert r.n == len(turns) and r["all"] == "".join(f"{a}\n{b}\n" for a, b in turns)
         assert r.loss == "".join(b for a, b in turns if a == "assistant")
-    full = {(r.conv_id, r.example): r for r in chat.expand(found).collect()}
+    full = {(r.conv_id, r.example): r for r in found.where("completion is not null").collect()}
     fmt = {}
     for r in df.select("role", "text", chat.format_turn(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("f")).collect():
         fmt[r.role or "", r.text or ""] = r.f
@@ -48,6 +49,33 @@ def test_examples_and_digest(spark, monkeypatch):
         assert sorted(e for x, e in full if x == c) == list(range(len(targets)))
         for e, k in enumerate(targets):
             assert full[c, e].prompt == "".join(fmt[x] for x in turns[:k]) and full[c, e].completion == fmt[turns[k]]
-    for r in found.where("target is not null").collect():
-        assert r.context_chars == len(full[r.conv_id, r.example].prompt)
+    for r in found.where("completion is not null").collect():
+        assert chat_unescape(r.completion[r.loss_start : r.loss_end]) in {b for a, b in by[r.conv_id] if a == "assistant"}
     assert chat.digest(chat.examples(df.where("false"))).count() == 0
+
+
+def chat_unescape(text):
+    out, k = [], 0
+    while k < len(text):
+        k += text[k] == "\\"
+        out.append(text[k])
+        k += 1
+    return "".join(out)
+
+
+def test_query(spark, tmp_path):
+    """The query's digests against plain Python."""
+    rnd = random.Random(2)
+    data = [x for x in rows(rnd, 30)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    by = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for c, t, r, x in sorted(data):
+        by.setdefault(c, []).append((r, x))
+    got = queries.op5_chat(spark, str(tmp_path)).collect()
+    assert len(got) == len(by)
+    for r in got:
+        turns = by[r.conv_id]
+        loss = "".join(b for a, b in turns if a == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars >= sum(len(a) + len(b) for a, b in turns) and (r.expanded_chars == 0) == (not any(a == "assistant" for a, _ in turns))

@@ -63,3 +63,10 @@ def test_held_out_accuracy_and_edges(spark):
     assert langid.predict(df.where("false"), model).count() == 0
     none = langid.train(df.where("lang is null"))
     assert {(r.lang_pred, r.score) for r in langid.predict(df, none).collect()} == {("und", 0.0)}
+
+
+def test_sample_bound_at_any_size():
+    """The share of hashes under the bound stays what was asked for, however many rows there are."""
+    for n in (1, 2_500, 2_501, 10**6, 10**10, 10**13):
+        taken = (langid.hash_bound(2_500, n) + (1 << 63) + 1) / (1 << 64)
+        assert abs(taken * n - min(n, 2_500)) < 1e-3 * min(n, 2_500)
