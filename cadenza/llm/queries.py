@@ -104,8 +104,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
-    return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max(F.transform("matches", lambda m: m["score"])), 6).alias("score"))
+    listed = F.transform("matches", lambda m: F.concat_ws(":", m["license"], F.format_string("%.6f", m["score"]), m["first"].cast("string"), m["last"].cast("string")))
+    return found.select("doc_id", F.size("matches").alias("n_matches"), F.array_join(listed, ",").alias("matches"), F.round(F.array_max(F.transform("matches", lambda m: m["score"])), 6).alias("score"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ _AS_BYTES = " || ".join(f"chr({k + 1})" for k in range(len(_LETTERS)) if k + 1 !
 
 def _values(rows: dict[str, list[str]]) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in rows.items())
+    return ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {', '.join(map(str, licenses.bounds(len(grams))))})" for name, grams in rows.items())
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -150,14 +150,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM g GROUP BY conv_id
 """,
     "op9_licenses": f"""
-WITH t(license, grams) AS (VALUES {_values({k: licenses.plain_bigrams(v) for k, v in licenses.TEMPLATES.items()})}),
-l AS (SELECT doc_id, no, list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
-b AS (SELECT doc_id, no, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS own FROM l WHERE len(w) >= 2),
-s AS (SELECT doc_id, no, license, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS score FROM b, t WHERE len(own) BETWEEN len(grams) / 1.5000001 AND len(grams) * 1.5000001),
-m AS (SELECT doc_id, no, arg_min(license, (-score, license)) AS license, max(score) AS score FROM s WHERE score >= 0.8 GROUP BY doc_id, no)
-SELECT documents.doc_id, CAST(count(m.no) AS INTEGER) AS n_matches, coalesce(string_agg(DISTINCT m.license, ',' ORDER BY m.license), '') AS licenses, round(max(m.score), 6) AS score
-FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id GROUP BY documents.doc_id
+WITH t(license, grams, lo, hi) AS (VALUES {_values({k: licenses.plain_bigrams(v) for k, v in licenses.TEMPLATES.items()})}),
+l AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS no FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS ps FROM documents)),
+w AS (SELECT doc_id, no, list_filter(regexp_split_to_array(lower(piece), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM l),
+p AS (SELECT doc_id, no, CAST(len(ws) AS INTEGER) AS size, CAST(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY no) AS INTEGER) AS upto FROM w),
+f AS (SELECT doc_id, flatten(list(ws ORDER BY no)) AS flat FROM w GROUP BY doc_id),
+g AS (SELECT doc_id, list_transform(range(1, len(flat)), lambda k: flat[k] || ' ' || flat[k + 1]) AS pairs FROM f),
+c AS (SELECT doc_id, pairs, license, grams, lo, hi FROM g, t WHERE len(list_intersect(list_distinct(pairs), grams)) >= lo),
+u AS (SELECT c.doc_id, license, i.no AS first, j.no AS last, grams, list_distinct(pairs[i.upto - i.size + 1 : j.upto - 1]) AS own
+  FROM c JOIN p i ON i.doc_id = c.doc_id JOIN p j ON j.doc_id = c.doc_id WHERE i.size > 0 AND j.size > 0 AND i.no <= j.no AND j.upto - i.upto + i.size - 1 BETWEEN lo AND hi),
+s AS (SELECT doc_id, license, first, last, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS score FROM u),
+m AS (SELECT doc_id, license, max(score) AS score, min((-score, first, last)) AS best FROM s GROUP BY doc_id, license HAVING max(score) >= 0.8),
+n AS (SELECT doc_id, license, score, CAST(best[2] AS INTEGER) AS first, CAST(best[3] AS INTEGER) AS last FROM m),
+k AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM n AS o WHERE o.doc_id = n.doc_id AND (o.score > n.score OR (o.score = n.score AND o.license < n.license)) AND o.first <= n.last AND n.first <= o.last))
+SELECT documents.doc_id, CAST(count(k.license) AS INTEGER) AS n_matches, coalesce(string_agg(license || ':' || printf('%.6f', k.score) || ':' || first || ':' || last, ',' ORDER BY license), '') AS matches, round(max(k.score), 6) AS score
+FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id GROUP BY documents.doc_id
 """,
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
