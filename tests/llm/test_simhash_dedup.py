@@ -78,6 +78,7 @@ def test_classify_edge_cases(spark):
     kept = sd.deduplicate(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 2, 3, 7]
+    assert sorted(r.doc_id for r in sd.deduplicate(df.where("doc_id = 2")).collect()) == [2]
     assert sd.classify(df.where("false")).count() == 0
     assert sd.deduplicate(df.where("false")).count() == 0
 
@@ -87,3 +88,75 @@ def test_odds_match_independent_bits():
     bits = (rnd.random((4000, 64)) < 0.5).astype(float)
     odds = sd.distance_odds(4000, bits.T @ bits, tuple(range(16)))
     assert abs(odds.sum() - 1) < 1e-9 and abs(odds[8] - 0.196) < 0.02
+
+
+def linked(texts, least=0.8):
+    """The least number of each text's group, by all pairs."""
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if sd.similarity((a or "").encode(), (texts[j] or "").encode()) >= least:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return root
+
+
+def near_copies(rnd, n, words, changes):
+    base = [f"w{rnd.randrange(3000)}" for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for at in rnd.sample(range(words), rnd.randint(*changes)):
+            w[at] = f"x{rnd.randrange(9000)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_deduplicate_matches_brute_force(spark):
+    """Pairs near the threshold, on both sides of it, and one large group of near copies; of links few may be missed."""
+    rnd = random.Random(5)
+    texts = [t for _ in range(60) for t in near_copies(rnd, 2, 150, (1, 6))] + near_copies(rnd, 250, 100, (0, 2)) + ["", None, " \n"]
+    rnd.shuffle(texts)
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(k, texts[k], "again") for k in range(0, 40, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    want = linked(texts)
+    got = sorted(r.doc_id for r in sd.deduplicate(df).collect())
+    assert len(set(got)) == len(got)
+    kept = {k for k, r in enumerate(want) if k == r}
+    assert kept <= set(got)  # nothing goes that is not linked to what stays
+    assert len(set(got) - kept) <= 0.03 * (len(texts) - len(kept))
+    big = [want[k] for k, t in enumerate(texts) if t and len(t.split()) == 100]
+    assert len(set(big) & set(got)) == len(set(big)) and sum(texts[k] is not None and len(texts[k].split()) == 100 for k in got) == len(set(big))
+
+
+def test_stage_drops_near_copies_and_keeps_the_rest(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    rows, want, k = [(900, None, "p"), (901, "", "q")], {900}, 0
+    for _ in range(12):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+        near, far = list(words), list(words)
+        near[40] = near[90] = "changed"  # 106 of 126 shingles are shared: 0.84
+        for at in range(5, 120, 20):
+            far[at] = "other"
+        rows += [(k, " ".join(words), "x"), (k + 1, " ".join(near), "y"), (k + 2, " ".join(far), "z"), (k + 1, " ".join(words), "w")]
+        assert sd.similarity(rows[-4][1].encode(), rows[-3][1].encode()) >= 0.8 > sd.similarity(rows[-4][1].encode(), rows[-2][1].encode())
+        want |= {k, k + 2}
+        k += 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_query(spark, tmp_path):
+    """The query's digits and components against plain Python."""
+    from cadenza.llm import queries
+
+    rnd = random.Random(3)
+    texts = [t for _ in range(15) for t in near_copies(rnd, 2, 300, (0, 3))] + ["", None, "Two words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [(k, plain(t)) for k, t in enumerate(texts)]
+    want = brute(prints)
+    got = queries.op3_simhash_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(k, f"{x:016x}", want[k]) for k, x in prints}
