@@ -13,15 +13,16 @@ per_edit characters are compared for equality alone. Empty lines stay. Steps:
    side had more edits than that, there would be more than e. So each pair within e edits shares a key. A
    line whose length is within the cell before's e of that cell is filed there as well. Three edits take
    nine keys a line or so.
-   Keys carry a parity of hashed words, on which an edit changes three bits at most: the join passes on
-   only pairs that agree but for 3 * threshold bits, whatever the size of the groups that share a key.
+   Keys carry the line's length, a parity of hashed words, on which an edit changes three bits at most, and
+   counts of LETTERS, which an edit changes by two in all: the join passes on only pairs that these leave
+   possible, whatever the size of the groups that share a key.
 3. The texts of the surviving candidates are fetched by document and verified by a banded bit-parallel
    edit distance (the vectors of the band are bits of a long; the band moves down the diagonal).
 4. Lines to be removed are gathered per document and cut from its text.
 
 Only keys, hashes and candidates are shuffled, and the documents once; Spark splits skewed joins. Different
-lines that share a segment are compared pair by pair in the join, so a template whose lines all differ
-elsewhere costs the square of their number there, though none of it is stored.
+lines that share a segment meet pair by pair in the join, so a template whose lines all differ elsewhere
+costs the square of their number there, though next to none of it is passed on.
 
 Cases: null text stays null and has no lines; empty text has one empty line. Rows that agree in doc_id
 and text are one document and get the same result. A null doc_id comes before all others. Of equal
@@ -32,6 +33,7 @@ clashing ones; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from . import common
 THRESHOLD = 3
 #: A pair may have one edit for each so many characters of the shorter line, and threshold of them at most.
 CHARS_PER_EDIT = 10
+#: Frequent letters, twelve at most, by whose counts pairs are told apart early; lines without them lose nothing but time.
+LETTERS = "etaoinsrhldu"
 
 
 def _edits(length: Column, threshold: int, per_edit: int) -> Column:
@@ -102,6 +106,22 @@ def _parity(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
+def _letters(line: Column) -> Column:
+    """How often each of LETTERS occurs, modulo 32, five bits for each."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(31)) for c in LETTERS]
+    return reduce(Column.bitwiseOR, [F.shiftleft(n, 5 * k) for k, n in enumerate(counts)])
+
+
+def _letters_apart(a: Column, b: Column) -> Column:
+    """By how much the counts differ in all, at least."""
+
+    def one(k: int) -> Column:
+        x = F.pmod(F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k), F.lit(32))
+        return F.least(x, 32 - x)
+
+    return reduce(Column.__add__, [one(k) for k in range(len(LETTERS))])
+
+
 def edit_distance(a: Column, b: Column, most: int) -> Column:
     """Edits between two strings, or most + 1 if there are more: banded and bit-parallel.
 
@@ -154,20 +174,21 @@ def _lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int) -> DataFrame:
-    """Distinct lines: h1, h2, place (id, __k1, __k2, no) of the first, n, parity, keys."""
+    """Distinct lines: h1, h2, place (id, __k1, __k2, no) of the first, n, length, parity, letters, keys."""
     lines = _lines(keyed, doc_id, text)
     place = F.struct("id", "__k1", "__k2", "no")
-    return lines.select("h1", "h2", place.alias("place"), _parity(F.col("line")).alias("parity"), _keys(F.col("line"), threshold, per_edit).alias("keys")).groupBy("h1", "h2").agg(F.min(F.struct("place", "parity", "keys")).alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
+    return lines.select("h1", "h2", place.alias("place"), F.char_length("line").alias("length"), _parity(F.col("line")).alias("parity"), _letters(F.col("line")).alias("letters"), _keys(F.col("line"), threshold, per_edit).alias("keys")).groupBy("h1", "h2").agg(F.min(F.struct("place", "length", "parity", "letters", "keys")).alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
 
 
-def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of distinct lines (h1a, h1b: first hashes, h1a less) that share a key and nearly agree in their parities.
+def candidates(distinct: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """Pairs of distinct lines (h1a, h1b: first hashes, h1a less) that share a key and may be within the edits that their lengths allow.
 
     A first hash alone names a line here: should two lines share one, both are fetched and verified.
     """
-    keys = distinct.select("h1", "parity", F.explode("keys").alias("k")).select("k.key", "k.role", "h1", "parity")
-    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", "h1", "parity")]) for x in ("a", "b"))
-    agree = F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 3 * threshold
+    keys = distinct.select("h1", "length", "parity", "letters", F.explode("keys").alias("k")).select("k.key", "k.role", "h1", "length", "parity", "letters")
+    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", "h1", "length", "parity", "letters")]) for x in ("a", "b"))
+    edits = _edits(F.least("lengtha", "lengthb"), threshold, per_edit)
+    agree = (F.abs(F.col("lengtha") - F.col("lengthb")) <= edits) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
     # an index key meets an index key once, and a probe any index key
     once = (F.col("rolea") == 0) & ((F.col("roleb") == 1) | (F.col("h1a") < F.col("h1b")))
     pairs = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
@@ -176,7 +197,7 @@ def candidates(distinct: DataFrame, threshold: int) -> DataFrame:
 
 def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Verified pairs of different lines: hashes, places, and edits."""
-    pairs, _ = common.materialize(candidates(distinct, threshold), "line-candidates")
+    pairs, _ = common.materialize(candidates(distinct, threshold, per_edit), "line-candidates")
     wanted = pairs.select(F.explode(F.array("h1a", "h1b")).alias("h1")).distinct()
     places = distinct.join(wanted, "h1", "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
     texts = keyed.select(doc_id, text, "__k1", "__k2").join(places, (F.col("__k1") == F.col("p1")) & (F.col("__k2") == F.col("p2"))).select("h1", "h2", "place", F.get(F.split(text, "\n"), F.col("place.no")).alias("line")).dropDuplicates(["h1", "h2"])
