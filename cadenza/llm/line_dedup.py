@@ -181,30 +181,48 @@ def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, per_edit:
 
 
 def candidates(distinct: DataFrame, threshold: int, per_edit: int) -> DataFrame:
-    """Pairs of distinct lines (h1a, h1b: first hashes, h1a less) that share a key and may be within the edits that their lengths allow.
+    """Pairs of distinct lines (later, earlier: first hashes, id: of the earlier) that share a key and may be within the edits that their lengths allow.
 
-    A first hash alone names a line here: should two lines share one, both are fetched and verified.
+    Lines of equal ids are paired both ways. A first hash alone names a line here: should two lines share
+    one, both are fetched and verified.
     """
-    keys = distinct.select("h1", "length", "parity", "letters", F.explode("keys").alias("k")).select("k.key", "k.role", "h1", "length", "parity", "letters")
-    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", "h1", "length", "parity", "letters")]) for x in ("a", "b"))
+    carried = ("h1", "id", "length", "parity", "letters")
+    keys = distinct.withColumn("id", F.struct(F.col("place.id").alias("v"))).select(*carried, F.explode("keys").alias("k")).select("k.key", "k.role", *carried)
+    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", *carried)]) for x in ("a", "b"))
     edits = _edits(F.least("lengtha", "lengthb"), threshold, per_edit)
     agree = (F.abs(F.col("lengtha") - F.col("lengthb")) <= edits) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
     # an index key meets an index key once, and a probe any index key
     once = (F.col("rolea") == 0) & ((F.col("roleb") == 1) | (F.col("h1a") < F.col("h1b")))
-    pairs = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
-    return pairs.select(F.least("h1a", "h1b").alias("h1a"), F.greatest("h1a", "h1b").alias("h1b")).distinct()
+    met = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
+    way = lambda x, y: F.when(F.col(f"id{x}") <= F.col(f"id{y}"), F.struct(F.col(f"h1{y}").alias("later"), F.col(f"h1{x}").alias("earlier"), F.col(f"id{x}").alias("id")))
+    return met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.*").distinct()
 
 
-def similar_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """Verified pairs of different lines: hashes, places, and edits."""
+def absorbed_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(h1, h2) of distinct lines that an earlier line is within the allowed edits of.
+
+    Each line is verified against its first candidate, which settles most lines of a large family, and only
+    those that it leaves against all others.
+    """
     pairs, _ = common.materialize(candidates(distinct, threshold, per_edit), "line-candidates")
-    wanted = pairs.select(F.explode(F.array("h1a", "h1b")).alias("h1")).distinct()
+    wanted = pairs.select("later").union(pairs.select("earlier")).distinct().withColumnRenamed("later", "h1")
     places = distinct.join(wanted, "h1", "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
     texts = keyed.select(doc_id, text, "__k1", "__k2").join(places, (F.col("__k1") == F.col("p1")) & (F.col("__k2") == F.col("p2"))).select("h1", "h2", "place", F.get(F.split(text, "\n"), F.col("place.no")).alias("line")).dropDuplicates(["h1", "h2"])
     texts, _ = common.materialize(texts, "line-texts")
     a, b = (texts.select(*[F.col(c).alias(c + x) for c in texts.columns]) for x in ("a", "b"))
     allowed = _edits(F.least(F.char_length("linea"), F.char_length("lineb")), threshold, per_edit)
-    return pairs.join(a, "h1a").join(b, "h1b").withColumn("edits", edit_distance(F.col("linea"), F.col("lineb"), threshold)).where(F.col("edits") <= allowed)
+
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(a, F.col("earlier") == F.col("h1a")).join(b, F.col("later") == F.col("h1b")).where("placea < placeb")
+        return met.where(edit_distance(F.col("linea"), F.col("lineb"), threshold) <= allowed).select(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")).distinct()
+
+    first = pairs.groupBy("later").agg(F.min(F.struct("id", "earlier")).alias("x")).select("later", "x.earlier")
+    found, _ = common.materialize(verified(first), "line-absorbed")
+    # where two lines share a first hash, one may be settled and the other not: both are asked again
+    twice = distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    settled = found.select("h1").join(twice, "h1", "left_anti")
+    left = pairs.join(settled, F.col("later") == F.col("h1"), "left_anti").select("later", "earlier").join(first, ["later", "earlier"], "left_anti")
+    return found.unionByName(verified(left)).distinct()
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -213,9 +231,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     docs = common.without(docs, *added)
     keyed = _keyed(docs, doc_id, text)
     distinct, _ = common.materialize(classes(keyed, doc_id, text, threshold, per_edit), "line-classes")
-    pairs = similar_lines(keyed, distinct, doc_id, text, threshold, per_edit)
-    first = F.col("placea") < F.col("placeb")
-    later = pairs.select(F.when(first, F.col("h1b")).otherwise(F.col("h1a")).alias("h1"), F.when(first, F.col("h2b")).otherwise(F.col("h2a")).alias("h2")).distinct().withColumn("absorbed", F.lit(True))
+    later = absorbed_lines(keyed, distinct, doc_id, text, threshold, per_edit).withColumn("absorbed", F.lit(True))
     marked, _ = common.materialize(distinct.select("h1", "h2", "n", "place").join(later, ["h1", "h2"], "left").where("n > 1 or absorbed").select("h1", "h2", F.when(F.col("absorbed").isNull(), F.col("place")).alias("keep")), "line-marks")
     lines = _lines(keyed, doc_id, text).select("h1", "h2", F.struct("id", "__k1", "__k2", "no").alias("place"))
     gone = lines.join(marked, ["h1", "h2"]).where(F.col("keep").isNull() | (F.col("keep") != F.col("place"))).select(F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"), F.col("place.no").alias("no"))
