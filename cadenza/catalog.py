@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import fuzzy, hashing, text
 from .functions.text import fold, fold_sql
-from .operators import browse, edit, order
+from .operators import browse, edit, order, rawtags
 from .plans.search import parse, search, search_scored
 from .plans.tracks import SQL, tracks
 from .sources import scan, store
@@ -30,6 +30,19 @@ def _f(c: str) -> str:
     return fold_sql(c)
 
 
+def _le(n: str) -> list[str]:
+    """Bytes of a number, the least significant first."""
+    return [f"(({n} >> {8 * k}) & 255)" for k in range(8)]
+
+
+def _fnv(x: str, more: list[str] = ()) -> str:
+    """64-bit FNV-1a of an ASCII text, and of further bytes."""
+    codes = f"list_transform(range(1, length({x}) + 1), lambda i: CAST(ord(substr({x}, i, 1)) AS UHUGEINT))"
+    codes = f"list_concat({codes}, [{', '.join(f'CAST({b} AS UHUGEINT)' for b in more)}])" if more else codes
+    start, step = "CAST(14695981039346656037 AS UHUGEINT)", "(xor(h, x) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT)"
+    return f"lower(to_hex(CAST(list_reduce(list_prepend({start}, {codes}), lambda h, x: {step}) AS UBIGINT)))"
+
+
 _COLS = ["path", "title", "artist", "album", "year", "track_no"]
 _LIST = ", ".join(_COLS)
 _BARE = ["title", "artist", "album_artist", "album", "genre", "composer", "comment"]
@@ -42,7 +55,7 @@ def _any(value: str) -> str:
 #: name: (query in the search language, its condition in SQL)
 SEARCHES = {
     "search_all": ("", "TRUE"),
-    "search_contains": ("green", _any("green")),
+    "search_contains": ("ring", _any("ring")),
     "search_bare": ("supplier#00000000 machinery", f"{_any('supplier#00000000')} AND {_any('machinery')}"),
     "search_field": ('artist:"supplier#00000001"', f"contains({_f('artist')}, 'supplier#00000001')"),
     "search_prefix": ("album:^brand#1", f"starts_with({_f('album')}, 'brand#1')"),
@@ -59,7 +72,7 @@ SEARCHES = {
     "search_numeric_none": ("year:", "year = 0"),
     "search_numeric_never": ("year:abc", "FALSE"),
     "search_compilation": ("compilation:1", "compilation"),
-    "search_and": ('artist:^supplier year:>1995 -composer:machinery genre:""', f"starts_with({_f('artist')}, 'supplier') AND year > 1995 AND NOT contains({_f('composer')}, 'machinery') AND genre = ''"),
+    "search_and": ('artist:^supplier year:>1995 -composer:machinery genre:small', f"starts_with({_f('artist')}, 'supplier') AND year > 1995 AND NOT contains({_f('composer')}, 'machinery') AND contains({_f('genre')}, 'small')"),
     "search_anchored_bare": ("^brand#2", "(" + " OR ".join(f"starts_with({_f(c)}, 'brand#2')" for c in _BARE) + ")"),
 }
 for _name, (_query, _where) in SEARCHES.items():
@@ -71,7 +84,7 @@ _add("page_offset", lambda s, d: order.page(tracks(s, d), order.track_keys(None)
 _add("sort_duration", lambda s, d: order.page(tracks(s, d), order.track_keys("-duration,size"), 40).items.select("path", "duration_ms", "size"), f"{_WITH}SELECT path, duration_ms, size FROM tracks ORDER BY duration_ms DESC, size, path LIMIT 40")
 
 _CREDIT = "CASE WHEN album_artist <> '' THEN album_artist WHEN compilation THEN 'Various Artists' ELSE artist END"
-_VOTE = """count(*) FILTER (album_artist = '' AND compilation) AS by_flag, count(*) FILTER (album_artist <> '') AS by_aa, count(*) FILTER (album_artist = '' AND NOT compilation) AS by_artist"""
+_VOTE = f"""count(*) FILTER (album_artist = '' AND compilation) AS by_flag, count(*) FILTER (album_artist <> '') AS by_aa, count(*) FILTER ({fold_sql('artist')} = {fold_sql('who')}) AS by_artist"""
 _FIELD = "CASE WHEN by_flag > 0 AND by_flag >= by_aa AND by_flag >= by_artist THEN 'compilation' WHEN by_aa >= by_artist THEN 'albumartist' ELSE 'artist' END"
 _ALBUMS = f"""{_WITH}, c AS (SELECT *, {_CREDIT} AS who FROM tracks),
 g AS (SELECT {_f('who')} AS a, {_f('album')} AS b, arg_min(album, path) AS album, arg_min(who, path) AS artist, CAST(coalesce(min(year) FILTER (year > 0), 0) AS INTEGER) AS year,
@@ -81,7 +94,8 @@ albums AS (SELECT album, artist, year, tracks, duration_ms, with_art,
 _ALBUM_COLS = ["album", "artist", "year", "tracks", "duration_ms", "with_art", "query"]
 _add("albums", lambda s, d: browse.albums(tracks(s, d)).select(*_ALBUM_COLS), f"{_ALBUMS} SELECT * FROM albums")
 _add("albums_sorted", lambda s, d: order.page(browse.albums(tracks(s, d)), order.album_keys("-tracks,album,artist"), 30).items.select(*_ALBUM_COLS), f"{_ALBUMS} SELECT * FROM albums ORDER BY tracks DESC, {_f('album')}, {_f('artist')} LIMIT 30")
-_add("album_ids", lambda s, d: browse.albums(tracks(s, d), "album:^brand#1").select("id", "sample_track_id", "album", "artist"))
+_add("album_ids", lambda s, d: browse.albums(tracks(s, d)).select("id", "sample_track_id", "album", "artist"),
+     f"{_ALBUMS}, i AS (SELECT {_f('who')} AS a, {_f('album')} AS b, arg_min(album, path) AS album, arg_min(who, path) AS artist, min(path) FILTER (has_art) AS sample FROM c GROUP BY 1, 2) SELECT {_fnv('a || chr(0) || b')} AS id, CASE WHEN sample IS NULL THEN '' ELSE {_fnv('sample')} END AS sample_track_id, album, artist FROM i")
 _add("artists", lambda s, d: browse.artists(tracks(s, d)).select("name", "albums", "tracks", "duration_ms", "with_art", "query"), f"""{_WITH}, c AS (SELECT *, {_CREDIT} AS who FROM tracks),
 g AS (SELECT {_f('who')} AS a, arg_min(who, path) AS name, count(DISTINCT {_f('album')}) FILTER (album <> '') AS albums, count(*) AS tracks, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, count(*) FILTER (has_art) AS with_art, {_VOTE} FROM c GROUP BY 1)
 SELECT name, albums, tracks, duration_ms, with_art, CASE WHEN {_FIELD} = 'compilation' THEN 'compilation:1' WHEN name = '' THEN 'artist: albumartist:' ELSE {_FIELD} || ':"^' || name || '$"' END AS query FROM g""")
@@ -143,7 +157,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
 
 _add("batch_set_plan", lambda s, d: _batch(s, d).select("path", "status", F.coalesce(F.element_at("changes", F.lit("albumartist")), F.lit("-")).alias("to_artist"), F.coalesce(F.element_at("before", F.lit("albumartist")), F.lit("-")).alias("was_artist"), F.coalesce(F.element_at("changes", F.lit("track")), F.lit("-")).alias("to_track")),
      f"{_WITH}SELECT path, 'changed' AS status, 'Various' AS to_artist, CASE WHEN album_artist = '' THEN '-' ELSE album_artist END AS was_artist, CASE WHEN track_no = 3 THEN '-' ELSE '3' END AS to_track FROM tracks WHERE year > 1996")
-_add("batch_set_report", lambda s, d: edit.report(_batch(s, d)).select("matched", "changed", "same"), f"{_WITH}SELECT count(*) AS matched, count(*) AS changed, CAST(0 AS BIGINT) AS same FROM tracks WHERE year > 1996")
+_add("batch_set_report", lambda s, d: edit.report(edit.plan_set(search(tracks(s, d), "year:>1996"), {"track": "3", "comment": None})).select("matched", "changed", "same"), f"{_WITH}SELECT count(*) AS matched, count(*) FILTER (track_no <> 3) AS changed, count(*) FILTER (track_no = 3) AS same FROM tracks WHERE year > 1996")
 _add("batch_set_apply", lambda s, d: (lambda t: edit.apply(t, edit.plan_set(search(t, "year:>1996"), {"albumartist": "Various"})))(tracks(s, d)).groupBy("album_artist").agg(F.count(F.lit(1)).alias("n")), f"{_WITH}SELECT CASE WHEN year > 1996 THEN 'Various' ELSE album_artist END AS album_artist, count(*) AS n FROM tracks GROUP BY 1")
 
 
@@ -158,7 +172,7 @@ _add("split_titles", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_
      "SELECT p_partkey, nullif(regexp_extract(trim(p_name), '^(.+?) (.+)$', 1), '') AS artist, nullif(regexp_extract(trim(p_name), '^(.+?) (.+)$', 2), '') AS title FROM part")
 _NAME = """CASE WHEN album_artist = '' THEN artist ELSE album_artist END || '/' || album || '/' || lpad(CAST(track_no AS VARCHAR), 2, '0') || ' ' || title"""
 _RENAME = f"""{_WITH}, r AS (SELECT path, album <> '' AS complete, '/music/' || {_NAME} || '.' || format AS dest FROM tracks),
-s AS (SELECT *, CASE WHEN complete AND dest <> path THEN row_number() OVER (PARTITION BY dest ORDER BY path) END AS claim FROM r),
+s AS (SELECT *, CASE WHEN complete AND dest <> path THEN row_number() OVER (PARTITION BY dest, complete AND dest <> path ORDER BY path) END AS claim FROM r),
 p AS (SELECT path, CASE WHEN NOT complete THEN 'incomplete' WHEN dest = path THEN 'same' WHEN claim > 1 THEN 'collision' ELSE 'changed' END AS status, dest FROM s)"""
 
 
@@ -190,16 +204,16 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 _EVENTS = "WITH e AS (SELECT event_id, CAST(user_id % 5 AS VARCHAR) AS epoch, epoch_us(ts) AS tick, event_type AS type FROM events), q AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY tick, event_id) AS seq FROM e)"
 _add("event_seq", lambda s, d: ev.numbered(_events(s, d)).select("event_id", "epoch", F.col("seq").cast("long").alias("seq")), f"{_EVENTS} SELECT event_id, epoch, seq FROM q")
-_KEPT = f"{_EVENTS}, h AS (SELECT * FROM q WHERE epoch = '2' AND seq > (SELECT max(seq) FROM q WHERE epoch = '2') - 256)"
+_KEPT = f"{_EVENTS}, h AS (SELECT * FROM q WHERE seq > (SELECT max(seq) FROM q AS z WHERE z.epoch = q.epoch) - 256)"
 
 
 def _kept(s: SparkSession, d: str) -> DataFrame:
-    return ev.history(ev.numbered(_events(s, d).where("epoch = '2'")))
+    return ev.history(ev.numbered(_events(s, d)))
 
 
 _add("event_history", lambda s, d: _kept(s, d).select("event_id"), f"{_KEPT} SELECT event_id FROM h")
-_add("event_replay", lambda s, d: (lambda k: ev.replay(k, "2", 10**9))(_kept(s, d)).unionByName(ev.replay(_kept(s, d), "1", 5)).select("type", "missed"), "SELECT 'gap' AS type, CAST(-1 AS BIGINT) AS missed")
-_add("event_gap", lambda s, d: ev.replay(_kept(s, d), "2", 3).select("type", F.col("missed").cast("long").alias("missed")), f"{_KEPT} SELECT 'gap' AS type, CAST(min(seq) - 4 AS BIGINT) AS missed FROM h HAVING min(seq) > 4 UNION ALL SELECT type, NULL FROM h WHERE seq > 3 AND (SELECT min(seq) FROM h) <= 4")
+_add("event_replay", lambda s, d: (lambda k: ev.replay(k, "2", 10**9).unionByName(ev.replay(k, "9", 5)).unionByName(ev.replay(k, "1", 5, current="3")))(_kept(s, d)).select("type", "missed"), "SELECT 'gap' AS type, CAST(-1 AS BIGINT) AS missed UNION ALL SELECT 'gap', -1")
+_add("event_gap", lambda s, d: ev.replay(_kept(s, d), "2", 3).select("type", F.col("missed").cast("long").alias("missed")), f"{_KEPT}, e2 AS (SELECT * FROM h WHERE epoch = '2') SELECT 'gap' AS type, CAST(min(seq) - 4 AS BIGINT) AS missed FROM e2 HAVING min(seq) > 4 UNION ALL SELECT type, NULL FROM e2 WHERE seq > 3 AND (SELECT min(seq) FROM e2) <= 4")
 _add("rate_window", lambda s, d: ev.in_window(_events(s, d).withColumn("at", F.col("at") / 1e6), "epoch", seconds=3600).select("event_id", "used"), "WITH e AS (SELECT event_id, user_id % 5 AS epoch, epoch_us(ts) AS tick FROM events) SELECT event_id, count(*) OVER (PARTITION BY epoch ORDER BY tick RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS used FROM e")
 _add("rate_spaced", lambda s, d: ev.spaced(_events(s, d).withColumn("at", F.col("at") / 1e6), "epoch", gap=30.0).select("epoch", F.round(F.col("slot"), 3).alias("slot")),
      "WITH e AS (SELECT CAST(user_id % 5 AS VARCHAR) AS epoch, epoch_us(ts) / 1e6 AS tick FROM events), n AS (SELECT epoch, tick, row_number() OVER (PARTITION BY epoch ORDER BY tick) AS k FROM e) SELECT epoch, round(max(tick - k * 30.0) OVER (PARTITION BY epoch ORDER BY k) + k * 30.0, 3) AS slot FROM n")
@@ -207,24 +221,47 @@ _add("latest_job", lambda s, d: ev.latest_of_kind(_events(s, d).select(F.col("ty
 _add("ttl_cache", lambda s, d: (lambda e: ev.alive(e.join(e.agg(F.max("at").alias("now")), F.lit(True)).withColumn("at", F.col("at") / 1e6).withColumn("now", F.col("now") / 1e6), F.col("now"), 86400).select("event_id"))(_events(s, d)), "SELECT event_id FROM events WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - 86400000000")
 
 _add("fold_text", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded")), f"SELECT doc_id, sha256({_f('text')}) AS folded FROM documents")
-_add("parse_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.parse_year(F.concat_ws(" ", "url", "html", F.lit("x1994y"))).alias("year")),
-     "WITH r AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(concat_ws(' ', url, html, 'x1994y'), '[0-9]+'), lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1000 AND 3000) AS ys FROM pages) SELECT page_id, coalesce(ys[1], 0) AS year FROM r")
+_add("parse_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.parse_year(F.concat_ws(" ", "url", F.concat(F.lit("p"), (F.col("page_id") % 4000).cast("string")), "html")).alias("year")),
+     "WITH r AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(concat_ws(' ', url, 'p' || (page_id % 4000), html), '[0-9]+'), lambda x: CASE WHEN length(x) = 4 THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1000 AND 3000) AS ys FROM pages) SELECT page_id, coalesce(ys[1], 0) AS year FROM r")
 _GENRES = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in text.GENRES) + "]"
-_add("normalise_genre", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.normalise_genre(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"), F.col("p_type")))).alias("genre")),
-     f"SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN p_type ELSE {_GENRES}[p_size + 1] END AS genre FROM part")
+_add("normalise_genre", lambda s, d: s.read.parquet(f"{d}/part.parquet").withColumn("no", (F.col("p_partkey") % 160).cast("string")).select("p_partkey", text.normalise_genre(F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("("), "no", F.lit(")"))).when(F.col("p_size") % 4 == 1, F.col("no")).when(F.col("p_size") % 4 == 2, F.concat(F.lit(" ("), F.col("p_brand"), F.lit(")"))).otherwise(F.concat(F.lit("("), "no", F.lit(")"), F.col("p_type")))).alias("genre")),
+     f"SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN p_type WHEN 2 THEN p_brand ELSE coalesce({_GENRES}[p_partkey % 160 + 1], CAST(p_partkey % 160 AS VARCHAR)) END AS genre FROM part")
+_RAW_KEYS = [k for f, kinds in rawtags.VOCABULARY.items() for k in (f, *[x for keys in kinds for x in keys])] + [*rawtags.V22, "Odd", "TXXX:Mood"]
+
+
+def _raw_sql() -> str:
+    """Every native key with the tag that the tables give it."""
+    native = {k.upper(): f for f, kinds in rawtags.VOCABULARY.items() for keys in kinds for k in keys}
+    field = lambda k: native.get(k.upper()) or next((f for f in rawtags.VOCABULARY if f.upper() == k.upper()), None) or native.get(rawtags.V22.get(k, ""), "")
+    return ", ".join(f"({n}, '{k}', '{field(k)}')" for n, k in enumerate(_RAW_KEYS))
+
+
+def _raw(s: SparkSession, d: str) -> DataFrame:
+    """One raw tag for each part, its key dealt out over all native keys."""
+    keys = F.array(*map(F.lit, _RAW_KEYS))
+    rows = s.read.parquet(f"{d}/part.parquet")
+    return rows.select(F.concat(F.lit("/"), "p_name", F.lit("/"), (F.col("p_partkey") / 3).cast("long").cast("string")).alias("path"), F.lower("p_type").alias("format"), F.element_at(keys, (F.col("p_partkey") % len(_RAW_KEYS) + 1).cast("int")).alias("key"), F.col("p_brand").alias("value"), F.col("p_size").cast("long").alias("bytes"), F.lit(0).alias("n"), "p_partkey")
+
+
+_KEPT_TAGS = ", ".join(f"'{k}'" for k in rawtags.KEEP)
+_RAW = f"WITH k(n, key, field) AS (VALUES {_raw_sql()}), r AS (SELECT part.*, k.key, k.field, '/' || p_name || '/' || CAST(p_partkey // 3 AS VARCHAR) AS path FROM part JOIN k ON k.n = p_partkey % {len(_RAW_KEYS)})"
+_add("raw_resolve", lambda s, d: rawtags.strip_plan(_raw(s, d)).select("p_partkey", "key", "field", "kept"), f"{_RAW} SELECT p_partkey, key, field, field IN ({_KEPT_TAGS}) AS kept FROM r")
+_add("strip_report", lambda s, d: rawtags.strip_report(rawtags.strip_plan(_raw(s, d))).select("format", "key", "field", "tracks", "bytes"),
+     f"{_RAW} SELECT lower(p_type) AS format, key, field, count(DISTINCT path) AS tracks, CAST(sum(p_size) AS BIGINT) AS bytes FROM r WHERE field NOT IN ({_KEPT_TAGS}) GROUP BY 1, 2, 3")
 _add("split_multi", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.join_multi(text.split_multi(F.concat_ws(";", "p_name", F.lit("  "), "p_brand"))).alias("v")), "SELECT p_partkey, trim(p_name) || '; ' || p_brand AS v FROM part")
 _MBID = "lpad(to_hex(p_partkey), 8, '0')"
 _add("normalise_mbid", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.join_mbids(F.concat(F.lpad(F.hex("p_partkey"), 8, "0"), F.lit("-0000-0000-0000-ABCDEF012345 / nonsense"))).alias("v")), f"SELECT p_partkey, lower({_MBID}) || '-0000-0000-0000-abcdef012345' AS v FROM part")
 _add("path_parts", lambda s, d: tracks(s, d).select("path", text.dirname(F.col("path")).alias("dir"), text.basename(F.col("path")).alias("name"), text.format_for(F.col("path")).alias("fmt"), text.format_millis(F.col("duration_ms")).alias("length")),
      f"{_WITH}SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name, format AS fmt, CAST(duration_ms // 60000 AS VARCHAR) || ':' || lpad(CAST(duration_ms // 1000 % 60 AS VARCHAR), 2, '0') AS length FROM tracks")
-_add("track_id", lambda s, d: tracks(s, d).select("path", hashing.track_id(F.col("path")).alias("id"), hashing.track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("version")))
+_add("track_id", lambda s, d: tracks(s, d).select("path", hashing.track_id(F.col("path")).alias("id"), hashing.track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("version")),
+     f"{_WITH}SELECT path, {_fnv('path')} AS id, {_fnv('path', _le('size') + _le('mod_time'))} AS version FROM tracks")
 
-_P, _N = "'green'", "5"
-_add("fuzzy_substring", lambda s, d: tracks(s, d).select("title").distinct().select("title", F.round(fuzzy.substring_score(fold(F.col("title")), "green"), 6).alias("score")),
+_P, _N = "'ring'", "4"
+_add("fuzzy_substring", lambda s, d: tracks(s, d).select("title").distinct().select("title", F.round(fuzzy.substring_score(fold(F.col("title")), "ring"), 6).alias("score")),
      f"""{_WITH}, t AS (SELECT DISTINCT title, {_f('title')} AS f FROM tracks) SELECT title, CASE WHEN contains(f, {_P}) THEN round(least(1.0, 0.75 + 0.15 * {_N} / strlen(f) + CASE WHEN instr(f, {_P}) = 1 THEN 0.10 WHEN regexp_matches(substr(f, instr(f, {_P}) - 1, 1), '[ \\t_/.,()&\\[\\]\\\\-]') THEN 0.05 ELSE 0.0 END), 6)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM t""")
 _add("fuzzy_subsequence", lambda s, d: search_scored(tracks(s, d), "title:~gen").groupBy("title", "score").agg(F.count(F.lit(1)).alias("n")))
 _add("fuzzy_typo", lambda s, d: search_scored(tracks(s, d), "artist:~suplier#000000012").groupBy("artist", "score").agg(F.count(F.lit(1)).alias("n")))
-_add("fuzzy_rank", lambda s, d: order.page(search_scored(tracks(s, d), '~"grene part" year:>1993'), order.track_keys(None, scored=True), 100).items.select("path", "score"))
+_add("fuzzy_rank", lambda s, d: order.page(search_scored(tracks(s, d), '~"smal wigdet" year:>1993'), order.track_keys(None, scored=True), 100).items.select("path", "score"))
 _add("art_export", lambda s, d: store.art_export(tracks(s, d)), f"{_WITH}SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, min(path) AS path FROM tracks WHERE has_art GROUP BY 1")
 
 

@@ -89,18 +89,20 @@ def join_multi(values: Column) -> Column:
 #: Genres by number (ID3v1 and its common extension).
 GENRES = (
     "Blues|Classic Rock|Country|Dance|Disco|Funk|Grunge|Hip-Hop|Jazz|Metal|New Age|Oldies|Other|Pop|R&B|Rap|Reggae|Rock|Techno|Industrial|Alternative|Ska|Death Metal|Pranks|Soundtrack|Euro-Techno|Ambient|Trip-Hop|Vocal|Jazz+Funk|Fusion|Trance|Classical|Instrumental|Acid|House|Game|Sound Clip|Gospel|Noise|"
-    "Alternative Rock|Bass|Soul|Punk|Space|Meditative|Instrumental Pop|Instrumental Rock|Ethnic|Gothic|Darkwave|Techno-Industrial|Electronic|Pop-Folk|Eurodance|Dream|Southern Rock|Comedy|Cult|Gangsta|Top 40|Christian Rap|Pop/Funk|Jungle|Native American|Cabaret|New Wave|Psychedelic|Rave|Showtunes|Trailer|Lo-Fi|Tribal|Acid Punk|Acid Jazz|Polka|Retro|Musical|Rock & Roll|Hard Rock"
+    "AlternRock|Bass|Soul|Punk|Space|Meditative|Instrumental Pop|Instrumental Rock|Ethnic|Gothic|Darkwave|Techno-Industrial|Electronic|Pop-Folk|Eurodance|Dream|Southern Rock|Comedy|Cult|Gangsta|Top 40|Christian Rap|Pop/Funk|Jungle|Native American|Cabaret|New Wave|Psychadelic|Rave|Showtunes|Trailer|Lo-Fi|Tribal|Acid Punk|Acid Jazz|Polka|Retro|Musical|Rock & Roll|Hard Rock|"
+    "Folk|Folk-Rock|National Folk|Swing|Fast Fusion|Bebob|Latin|Revival|Celtic|Bluegrass|Avantgarde|Gothic Rock|Progressive Rock|Psychedelic Rock|Symphonic Rock|Slow Rock|Big Band|Chorus|Easy Listening|Acoustic|Humour|Speech|Chanson|Opera|Chamber Music|Sonata|Symphony|Booty Bass|Primus|Porn Groove|Satire|Slow Jam|Club|Tango|Samba|Folklore|"
+    "Ballad|Power Ballad|Rhythmic Soul|Freestyle|Duet|Punk Rock|Drum Solo|A capella|Euro-House|Dance Hall|Goa|Drum & Bass|Club-House|Hardcore|Terror|Indie|BritPop|Negerpunk|Polsk Punk|Beat|Christian Gangsta|Heavy Metal|Black Metal|Crossover|Contemporary Christian|Christian Rock|Merengue|Salsa|Trash Metal|Anime|Jpop|Synthpop"
 ).split("|")
 
 
 def normalise_genre(c: Column) -> Column:
-    """'(17)', '17' -> the numbered genre; '(17)Hard Rock' -> the text; '(RX)', '(CR)' -> Remix, Cover."""
+    """'(17)', '17' -> the numbered genre; '(17)Hard Rock' -> the text; '(RX)', '(CR)' -> Remix, Cover; '(x)' -> x."""
     names = F.array(*map(F.lit, GENRES))
     t = trim(c)
     inner, rest = F.regexp_extract(t, r"^\(([^)]*)\)", 1), trim(F.regexp_replace(t, r"^\([^)]*\)", ""))
     numbered = lambda x: F.get(names, x.try_cast("int"))
     named = F.when(inner == "RX", "Remix").when(inner == "CR", "Cover").when(inner.rlike("^[0-9]+$"), numbered(inner))
-    return F.when(t.rlike(r"^\([^)]*\)"), F.when(rest != "", rest).otherwise(F.coalesce(named, t))).when(t.rlike("^[0-9]+$"), F.coalesce(numbered(t), t)).otherwise(t)
+    return F.when(t.rlike(r"^\([^)]+\)"), F.when(rest != "", rest).otherwise(F.coalesce(named, inner))).when(t.rlike("^[0-9]+$"), F.coalesce(numbered(t), t)).otherwise(t)
 
 
 _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"

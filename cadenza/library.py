@@ -1,7 +1,9 @@
 """One catalogue with the operations that its clients call, as methods.
 
-A library holds a DataFrame and never changes it in place: each committed edit makes the next version
-of the table, keeps a journal, and numbers an event. Dry runs return the same plans without committing.
+A library has a home folder. Each scan and each committed edit writes the next version of the table there,
+and what is asked afterwards reads that version, so nothing depends on the files or on earlier plans any
+more; the version before it stays for those who still read it. Edits keep a journal in the home folder, from
+which a later session can undo them, and number an event. Dry runs return the same plans without committing.
 """
 
 from __future__ import annotations
@@ -32,20 +34,48 @@ class Job:
     state: str = "done"
     finished: float | None = None
     result: dict = field(default_factory=dict)
-    journal: DataFrame | None = None
+    journal: bool = False
 
 
 class Library:
-    def __init__(self, tracks: DataFrame, roots: tuple[str, ...] = ()) -> None:
-        self.df, self.roots, self.jobs = schema.conform(tracks), tuple(roots), []
+    def __init__(self, tracks: DataFrame, roots: tuple[str, ...] = (), home: str | None = None) -> None:
+        self.spark, self.roots, self.jobs = tracks.sparkSession, tuple(roots), []
         self.epoch, self._events = uuid.uuid4().hex, []
+        self.home = home or f"{store.shared_dir(self.spark)}/library-{uuid.uuid4().hex}"
+        self._keep(tracks)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Library:
-        return cls(store.load(spark, path), tuple(store.roots_of(spark, path)))
+    def open(cls, spark: SparkSession, home: str) -> Library:
+        """The library of this folder as its last version left it."""
+        lib = cls.__new__(cls)
+        lib.spark, lib.home, lib.jobs, lib.epoch, lib._events = spark, home.rstrip("/"), [], uuid.uuid4().hex, []
+        lib._use(store.names_in(spark, f"{lib.home}/versions")[-1])
+        lib.roots = tuple(store.roots_of(spark, f"{lib.home}/versions/{lib.version}"))
+        return lib
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, home: str | None = None) -> Library:
+        return cls(store.load(spark, path), tuple(store.roots_of(spark, path)), home)
 
     def save(self, path: str) -> None:
-        store.save(self.df, path, list(self.roots))
+        store.save(self.tracks_table, path, list(self.roots))
+
+    def _keep(self, df: DataFrame) -> None:
+        """Make df the next version of the table."""
+        old = store.names_in(self.spark, f"{self.home}/versions")
+        name = f"{int(old[-1]) + 1 if old else 1:08d}"
+        store.save(df, f"{self.home}/versions/{name}", list(self.roots))
+        for gone in old[:-1]:
+            store.remove(self.spark, f"{self.home}/versions/{gone}")
+        self._use(name)
+
+    def _use(self, name: str) -> None:
+        self.version, self.df = name, store.load(self.spark, f"{self.home}/versions/{name}")
+
+    @property
+    def tracks_table(self) -> DataFrame:
+        """The columns of the model, without the folded copies that searches read."""
+        return schema.conform(self.df)
 
     # listings
 
@@ -89,7 +119,7 @@ class Library:
 
     def artwork_summary(self, art: DataFrame, selector: Selector | None = None) -> DataFrame:
         """art: path, art (binary) of the tracks that have a picture."""
-        rows = edit.resolve(self.df, selector or Selector(all=True)).select("path")
+        rows = edit.resolve(self.tracks_table, selector or Selector(all=True)).select("path")
         return browse.artwork_summary(rows.join(art, "path", "left"))
 
     @staticmethod
@@ -100,30 +130,32 @@ class Library:
 
     def _commit(self, kind: str, plan: DataFrame, after: DataFrame, backup: bool) -> Job:
         done = edit.report(plan).first().asDict()  # one row
-        job = Job(uuid.uuid4().hex, kind, time.time(), finished=time.time(), result=done, journal=edit.journal(plan) if backup else None)
-        self.df = after
+        job = Job(uuid.uuid4().hex, kind, time.time(), finished=time.time(), result=done, journal=backup)
+        if backup:
+            store.write_journal(edit.journal(plan), f"{self.home}/journals", job.id, kind, int(job.created))
+        self._keep(after)
         self.jobs.append(job)
         self._events.append((self.epoch, time.time(), len(self._events) + 1, f"{kind}.finished"))
         return job
 
     def batch_set(self, selector: Selector, changes: dict[str, str | None], dry_run: bool = False, backup: bool = True) -> DataFrame | Job:
-        plan = edit.plan_set(edit.resolve(self.df, selector), changes)
-        return plan if dry_run else self._commit("set", plan, edit.apply(self.df, plan), backup)
+        plan = edit.plan_set(edit.resolve(self.tracks_table, selector), changes)
+        return plan if dry_run else self._commit("set", plan, edit.apply(self.tracks_table, plan), backup)
 
     def patch(self, id: str, changes: dict[str, str | None], if_match: str | None = None, backup: bool = True) -> Job:
-        plan = edit.patch(self.df, id, changes, if_match)
-        return self._commit("set", plan, edit.apply(self.df, plan), backup)
+        plan = edit.patch(self.tracks_table, id, changes, if_match)
+        return self._commit("set", plan, edit.apply(self.tracks_table, plan), backup)
 
     def split(self, selector: Selector, template: str, dry_run: bool = False, backup: bool = True) -> DataFrame | Job:
-        plan = edit.plan_split(edit.resolve(self.df, selector), template)
-        return plan if dry_run else self._commit("split", plan, edit.apply(self.df, plan), backup)
+        plan = edit.plan_split(edit.resolve(self.tracks_table, selector), template)
+        return plan if dry_run else self._commit("split", plan, edit.apply(self.tracks_table, plan), backup)
 
     def rename(self, selector: Selector, template: str, dry_run: bool = False, backup: bool = True) -> DataFrame | Job:
-        plan = edit.plan_rename(edit.resolve(self.df, selector), template, self.roots, self.df)
-        return plan if dry_run else self._commit("rename", plan, edit.apply_rename(self.df, plan), backup)
+        plan = edit.plan_rename(edit.resolve(self.tracks_table, selector), template, self.roots, self.tracks_table)
+        return plan if dry_run else self._commit("rename", plan, edit.apply_rename(self.tracks_table, plan), backup)
 
     def delete(self, selector: Selector) -> None:
-        self.df = edit.delete(self.df, edit.resolve(self.df, selector))
+        self._keep(edit.delete(self.tracks_table, edit.resolve(self.tracks_table, selector)))
 
     def strip(self, raw: DataFrame, keep: list[str] | None = None, also: list[str] = (), dry_run: bool = True) -> DataFrame:
         """A report of what would go (the default), or the raw tags that stay."""
@@ -131,26 +163,30 @@ class Library:
         return rawtags.strip_report(plan) if dry_run else plan.where("kept").drop("kept")
 
     def undo(self, job_id: str) -> None:
+        """Take back what a job changed, also one of an earlier session."""
         job = next((j for j in self.jobs if j.id == job_id), None)
-        if job is None:
-            raise NotFound(job_id)
-        if job.journal is None:
+        if job is not None and not job.journal:
             raise Conflict("the job kept no journal")
-        self.df = edit.restore(self.df, job.journal)
+        if not job_id.isalnum() or not store.exists(self.spark, f"{self.home}/journals/entries/name={job_id}"):
+            raise NotFound(job_id)
+        self._keep(edit.restore(self.tracks_table, store.read_journal(self.spark, f"{self.home}/journals", job_id)))
 
-    def backups(self) -> list[Job]:
-        """Jobs that can be undone, newest first."""
-        return sorted((j for j in self.jobs if j.journal is not None), key=lambda j: -j.created)
+    def backups(self) -> DataFrame:
+        """Journals by which jobs can be undone, newest first: name, kind, at, entries."""
+        if not store.exists(self.spark, f"{self.home}/journals/sidecars"):
+            return self.spark.createDataFrame([], "name string, kind string, at long, entries long")
+        rows = self.spark.read.schema("kind string, at long, entries long, name string").json(f"{self.home}/journals/sidecars")
+        return rows.select("name", "kind", "at", "entries").orderBy(F.desc("at"), "name")
 
     # ingest and change stream
 
     def scan(self, roots: list[str] | None = None, exclude: list[str] = (), fresh: bool = False) -> None:
         self.roots = tuple(roots or self.roots)
-        self.df = scan.scan(self.df.sparkSession, list(self.roots), None if fresh else self.df, exclude)
+        self._keep(scan.scan(self.spark, list(self.roots), None if fresh else self.tracks_table, exclude))
         self._events.append((self.epoch, time.time(), len(self._events) + 1, "catalog.replaced"))
 
     def events(self, epoch: str | None = None, after: int | None = None) -> DataFrame:
         """What a subscriber gets: nothing of the past without a place to resume from."""
-        rows = self.df.sparkSession.createDataFrame(self._events or [(self.epoch, 0.0, 0, "none")], "epoch string, at double, seq long, type string").where("seq > 0")
+        rows = self.spark.createDataFrame(self._events or [(self.epoch, 0.0, 0, "none")], "epoch string, at double, seq long, type string").where("seq > 0")
         kept = ev.history(rows)
         return kept.select("type", "seq", F.lit(None).cast("long").alias("missed")).limit(0) if after is None else ev.replay(kept, epoch or self.epoch, after)

@@ -25,13 +25,18 @@ def credited() -> Column:
 
 
 def _voted(df: DataFrame) -> DataFrame:
-    """df with the votes for the field that selects a group again."""
+    """df with the artist that a track is filed under, and its votes for the fields that may select its group again.
+
+    Every track with an album artist votes for that, and every track whose own artist bears the group's name
+    for the artist, so a track may vote for both.
+    """
+    rows = df.withColumn("__who", credited())
     flag = (F.col("album_artist") == "") & F.col("compilation")
-    return df.withColumns({"__flag": flag.cast("int"), "__aa": (F.col("album_artist") != "").cast("int")})
+    return rows.withColumns({"__flag": flag.cast("int"), "__aa": (F.col("album_artist") != "").cast("int"), "__own": (fold(F.col("artist")) == fold(F.col("__who"))).cast("int")})
 
 
 def _field() -> Column:
-    by_flag, by_aa, by_artist = F.sum("__flag"), F.sum("__aa"), F.sum(1 - F.col("__flag") - F.col("__aa"))
+    by_flag, by_aa, by_artist = F.sum("__flag"), F.sum("__aa"), F.sum("__own")
     return F.when((by_flag > 0) & (by_flag >= by_aa) & (by_flag >= by_artist), "compilation").when(by_aa >= by_artist, "albumartist").otherwise("artist")
 
 
@@ -49,7 +54,7 @@ def _sample() -> Column:
 
 def albums(df: DataFrame, query: str = "") -> DataFrame:
     """id, album, artist, year (the least that is known), tracks, duration_ms, with_art, sample_track_id, query."""
-    rows = _voted(search(df, query)).withColumn("__who", credited())
+    rows = _voted(search(df, query))
     made = rows.groupBy(fold(F.col("__who")).alias("a"), fold(F.col("album")).alias("b")).agg(
         F.min_by("album", "path").alias("album"), F.min_by("__who", "path").alias("artist"), F.coalesce(F.min(F.when(F.col("year") > 0, F.col("year"))), F.lit(0)).alias("year"), *_measures(), _field().alias("__field")
     )
@@ -63,14 +68,12 @@ def artists(df: DataFrame, query: str = "") -> DataFrame:
 
     Albums are counted by grouping twice, which keeps the state of a task to sums.
     """
-    rows = _voted(search(df, query)).withColumn("__who", credited())
+    rows = _voted(search(df, query))
     parts = rows.groupBy(fold(F.col("__who")).alias("a"), fold(F.col("album")).alias("b")).agg(
-        F.min(F.struct("path", "__who")).alias("first"), *_measures(), F.sum("__flag").alias("__flag"), F.sum("__aa").alias("__aa"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("path", "__who")).alias("first"), *_measures(), *[F.sum(v).alias(v) for v in ("__flag", "__aa", "__own")]
     )
-    flag, aa, plain = F.sum("__flag"), F.sum("__aa"), F.sum(F.col("n") - F.col("__flag") - F.col("__aa"))
-    field = F.when((flag > 0) & (flag >= aa) & (flag >= plain), "compilation").when(aa >= plain, "albumartist").otherwise("artist")
     made = parts.groupBy("a").agg(
-        F.min("first").alias("first"), F.count_if(F.col("b") != "").alias("albums"), F.sum("tracks").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("with_art").alias("with_art"), F.min("__sample").alias("__sample"), field.alias("__field")
+        F.min("first").alias("first"), F.count_if(F.col("b") != "").alias("albums"), F.sum("tracks").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("with_art").alias("with_art"), F.min("__sample").alias("__sample"), _field().alias("__field")
     )
     name = F.col("first.__who")
     again = F.when(F.col("__field") == "compilation", "compilation:1").when(name == "", "artist: albumartist:").otherwise(F.concat("__field", F.lit(':"^'), _bare(name), F.lit('$"')))
@@ -100,10 +103,13 @@ def folders(df: DataFrame, path: str = "", query: str = "", roots: tuple[str, ..
     direct = F.col("__dir") == F.col("child")
     below = F.when(~direct, F.substring_index(F.expr("substring(__dir, char_length(child) + 2)"), "/", 1))
     who = F.when(F.col("album_artist") != "", F.col("album_artist")).otherwise(F.col("artist"))
-    distinct = lambda c: F.count_distinct(F.when(direct & (c != ""), fold(c)))
-    made = rows.groupBy("child").agg(
-        F.count_if(direct).alias("tracks"), F.count(F.lit(1)).alias("descendants"), F.sum("size").alias("bytes"), F.sum(F.col("duration_ms").cast("long")).alias("duration_ms"), F.count_if("has_art").alias("with_art"),
-        distinct(F.col("album")).alias("albums"), distinct(who).alias("artists"), F.count_distinct(below).alias("folders"), F.min("path").alias("__sample"),
+    # what is counted once is grouped by first: a direct track by album and artist, another by the folder below
+    keys = {"__album": F.when(direct, fold(F.col("album"))), "__who": F.when(direct, fold(who)), "__below": below}
+    parts = rows.withColumns(keys).groupBy("child", *keys).agg(
+        F.count_if(direct).alias("tracks"), F.count(F.lit(1)).alias("descendants"), F.sum("size").alias("bytes"), F.sum(F.col("duration_ms").cast("long")).alias("duration_ms"), F.count_if("has_art").alias("with_art"), F.min("path").alias("__sample"),
+    )
+    made = parts.groupBy("child").agg(
+        *[F.sum(c).alias(c) for c in ("tracks", "descendants", "bytes", "duration_ms", "with_art")], F.count_distinct(F.nullif("__album", F.lit(""))).alias("albums"), F.count_distinct(F.nullif("__who", F.lit(""))).alias("artists"), F.count("__below").alias("folders"), F.min("__sample").alias("__sample"),
     )
     return made.select(F.col("child").alias("path"), basename(F.col("child")).alias("name"), "tracks", "descendants", "bytes", "duration_ms", "with_art", "albums", "artists", "folders", _sample(), F.concat(F.lit('path:"^'), _bare(F.col("child")), F.lit('/"')).alias("query"))
 
@@ -133,7 +139,7 @@ def duplicates(df: DataFrame, by: str | None = None, query: str = "", bucket: in
     keys = [f"__k{k}" for k in range(len(names))]
     rows = search(df, query).withColumns({k: _key_part(n, bucket) for k, n in zip(keys, names, strict=True)}).dropna(subset=keys)
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tracks"), F.sum("size").alias("bytes"), (F.sum("size") - F.max("size")).alias("wasted"), F.min(F.struct("path", *[schema.rendered(n).alias(f"__v{k}") if n in schema.FIELDS else F.lit("").alias(f"__v{k}") for k, n in enumerate(names)])).alias("first")).where("tracks >= 2")
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= items)
+    ranked = rows.join(groups.select(*keys), keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= items)
     listed = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("path")), lambda p: p).alias("items"))
     again = [F.concat(F.lit(f'{n}:"^'), _bare(F.col(f"first.__v{k}")), F.lit('$"')) for k, n in enumerate(names) if n in schema.FIELDS]
     return groups.join(listed, keys).select(F.concat_ws(" — ", *keys).alias("key"), "tracks", "bytes", "wasted", "items", F.concat_ws(" ", *again).alias("query"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -231,18 +231,22 @@ def root_of(path: Column, roots: tuple[str, ...]) -> Column:
 
 
 def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing: DataFrame | None = None) -> DataFrame:
-    """A plan with dest: incomplete where a field is empty, collision where an earlier path claims it or another track is there."""
+    """A plan with dest: incomplete where a field is empty, same where nothing moves, collision where another track is there or claims it.
+
+    Of the complete tracks that would move to one place the first by path claims it (the selection is in path order).
+    """
     name, complete = render(template)
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     made = with_id(rows).withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")})
-    first = F.row_number().over(Window.partitionBy("dest").orderBy("path"))
-    made = made.withColumn("claim", F.when(F.col("complete") & (F.col("dest") != F.col("path")), first))
+    claims = F.col("complete") & (F.col("dest") != F.col("path"))
+    first = made.where(claims).groupBy(F.col("dest").alias("__dest")).agg(F.min("path").alias("__first"))
+    made = made.join(first, claims & (F.col("dest") == F.col("__dest")), "left")
     if existing is not None:
         taken = existing.select(F.col("path").alias("__taken"))
         made = made.join(taken, F.col("dest") == F.col("__taken"), "left")
     else:
         made = made.withColumn("__taken", F.lit(None).cast("string"))
-    status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("claim") > 1) | F.col("__taken").isNotNull(), "collision").otherwise("changed")
+    status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("__first") != F.col("path")) | F.col("__taken").isNotNull(), "collision").otherwise("changed")
     return made.select("id", "path", status.alias("status"), "dest", track_id(F.col("dest")).alias("new_id"))
 
 

@@ -7,37 +7,87 @@ from pyspark.sql import functions as F
 
 from ..functions.text import letters_key, trim
 
-#: Canonical tags with their ID3v2, Vorbis and MP4 keys.
+#: Canonical tags with their ID3v2 frames, Vorbis comments and MP4 atoms.
 VOCABULARY = {
-    "title": ("TIT2", "TITLE", "©nam"), "artist": ("TPE1", "ARTIST", "©ART"), "albumartist": ("TPE2", "ALBUMARTIST", "aART"), "album": ("TALB", "ALBUM", "©alb"), "genre": ("TCON", "GENRE", "©gen"),
-    "composer": ("TCOM", "COMPOSER", "©wrt"), "comment": ("COMM", "COMMENT", "©cmt"), "year": ("TDRC", "DATE", "©day"), "track": ("TRCK", "TRACKNUMBER", "trkn"), "disc": ("TPOS", "DISCNUMBER", "disk"),
-    "compilation": ("TCMP", "COMPILATION", "cpil"), "titlesort": ("TSOT", "TITLESORT", "sonm"), "artistsort": ("TSOP", "ARTISTSORT", "soar"), "albumsort": ("TSOA", "ALBUMSORT", "soal"), "albumartistsort": ("TSO2", "ALBUMARTISTSORT", "soaa"),
-    "composersort": ("TSOC", "COMPOSERSORT", "soco"), "picture": ("APIC", "METADATA_BLOCK_PICTURE", "covr"), "lyrics": ("USLT", "LYRICS", "©lyr"), "copyright": ("TCOP", "COPYRIGHT", "cprt"), "encoder": ("TSSE", "ENCODER", "©too"),
-    "bpm": ("TBPM", "BPM", "tmpo"), "isrc": ("TSRC", "ISRC", ""), "language": ("TLAN", "LANGUAGE", ""), "publisher": ("TPUB", "PUBLISHER", ""), "conductor": ("TPE3", "CONDUCTOR", ""), "remixer": ("TPE4", "REMIXER", ""), "lyricist": ("TEXT", "LYRICIST", ""),
-    "grouping": ("TIT1", "GROUPING", "©grp"), "subtitle": ("TIT3", "SUBTITLE", ""), "mood": ("TMOO", "MOOD", ""), "media": ("TMED", "MEDIA", ""), "mbartistid": ("TXXX:MusicBrainz Artist Id", "MUSICBRAINZ_ARTISTID", "----:MusicBrainz Artist Id"),
-    "mbalbumartistid": ("TXXX:MusicBrainz Album Artist Id", "MUSICBRAINZ_ALBUMARTISTID", "----:MusicBrainz Album Artist Id"),
+    "title": (["TIT2"], ["TITLE"], ["©nam"]),
+    "artist": (["TPE1"], ["ARTIST", "PERFORMER"], ["©ART"]),
+    "album": (["TALB"], ["ALBUM"], ["©alb"]),
+    "albumartist": (["TPE2"], ["ALBUMARTIST", "ALBUM ARTIST", "ENSEMBLE"], ["aART"]),
+    "track": (["TRCK"], ["TRACKNUMBER", "TRACKTOTAL", "TOTALTRACKS"], ["trkn"]),
+    "disc": (["TPOS"], ["DISCNUMBER", "DISCTOTAL", "TOTALDISCS"], ["disk"]),
+    "genre": (["TCON"], ["GENRE"], ["©gen", "gnre"]),
+    "date": (["TDRC", "TYER", "TDRL", "TDAT", "TRDA"], ["DATE", "YEAR", "RELEASEDATE"], ["©day"]),
+    "compilation": (["TCMP"], ["COMPILATION"], ["cpil"]),
+    "composer": (["TCOM"], ["COMPOSER"], ["©wrt"]),
+    "titlesort": (["TSOT"], ["TITLESORT"], ["sonm"]),
+    "artistsort": (["TSOP"], ["ARTISTSORT"], ["soar"]),
+    "albumsort": (["TSOA"], ["ALBUMSORT"], ["soal"]),
+    "albumartistsort": (["TSO2"], ["ALBUMARTISTSORT"], ["soaa"]),
+    "composersort": (["TSOC"], ["COMPOSERSORT"], ["soco"]),
+    "artwork": (["APIC"], ["METADATA_BLOCK_PICTURE", "COVERART", "COVERARTMIME"], ["covr"]),
+    "comment": (["COMM"], ["COMMENT", "DESCRIPTION"], ["©cmt"]),
+    "gapless": ([], [], ["pgap"]),
+    "soundcheck": ([], [], []),
+    "lyrics": (["USLT", "SYLT"], ["LYRICS", "UNSYNCEDLYRICS"], ["©lyr"]),
+    "publisher": (["TPUB"], ["PUBLISHER", "LABEL", "ORGANIZATION"], ["©pub"]),
+    "isrc": (["TSRC"], ["ISRC"], []),
+    "bpm": (["TBPM"], ["BPM"], ["tmpo"]),
+    "key": (["TKEY"], ["INITIALKEY", "KEY"], []),
+    "mood": (["TMOO"], ["MOOD"], []),
+    "language": (["TLAN"], ["LANGUAGE"], []),
+    "copyright": (["TCOP"], ["COPYRIGHT", "LICENSE"], ["cprt"]),
+    "encoder": (["TENC", "TSSE"], ["ENCODER", "ENCODEDBY", "ENCODED-BY", "ENCODER_OPTIONS"], ["©too", "©enc"]),
+    "grouping": (["GRP1", "TIT1"], ["GROUPING", "CONTENTGROUP"], ["©grp"]),
+    "movement": ([], ["MOVEMENTNAME", "MOVEMENT", "MOVEMENTTOTAL"], ["©mvn", "©mvi", "©mvc", "shwm"]),
+    "conductor": (["TPE3"], ["CONDUCTOR"], ["©con"]),
+    "lyricist": (["TEXT"], ["LYRICIST"], []),
+    "remixer": (["TPE4"], ["REMIXER", "MIXARTIST"], []),
+    "subtitle": (["TIT3"], ["SUBTITLE", "VERSION"], ["©st3"]),
+    "originaldate": (["TORY", "TDOR", "TOAL", "TOPE"], ["ORIGINALDATE", "ORIGINALYEAR"], []),
+    "mediatype": (["TMED"], ["MEDIA", "MEDIATYPE"], []),
+    "replaygain": (["RVA2", "RVAD"], [], []),
+    "musicbrainz": (["UFID"], [], []),
+    "acoustid": ([], [], []),
+    "rating": (["POPM", "PCNT"], ["RATING", "FMPS_RATING"], []),
+    "url": (["WXXX", "WOAR", "WOAF", "WOAS", "WCOM", "WCOP", "WPUB", "WORS", "WPAY"], ["WWW", "CONTACT"], ["©url", "purl", "egid"]),
+    "private": (["PRIV", "NCON", "GEOB", "MCDI"], [], []),
+    "chapters": (["CHAP", "CTOC"], [], ["chpl"]),
+    "itunes": ([], [], ["stik", "rtng", "purd", "apID", "ownr", "akID", "flvr", "xid ", "cnID", "atID", "plID", "geID", "sfID", "cmID", "rpdu", "rndu", "tvsh", "tven", "tvnn", "tvsn", "tves", "sosn", "hdvd"]),
+}
+#: Frames of ID3v2.2 by their names in version 2.3.
+V22 = {
+    "TT1": "TIT1", "TT2": "TIT2", "TT3": "TIT3", "TP1": "TPE1", "TP2": "TPE2", "TP3": "TPE3", "TP4": "TPE4", "TAL": "TALB", "TCO": "TCON", "TCM": "TCOM", "TXT": "TEXT",
+    "TYE": "TYER", "TDA": "TDAT", "TIM": "TIME", "TRD": "TRDA", "TRK": "TRCK", "TPA": "TPOS", "TBP": "TBPM", "TLE": "TLEN", "TKE": "TKEY", "TLA": "TLAN", "TMT": "TMED", "TOA": "TOPE",
+    "TOF": "TOFN", "TOL": "TOLY", "TOR": "TORY", "TOT": "TOAL", "TCR": "TCOP", "TPB": "TPUB", "TEN": "TENC", "TSS": "TSSE", "TRC": "TSRC", "TP0": "TPE1", "TST": "TSOT", "TSA": "TSOA",
+    "TSP": "TSOP", "TCP": "TCMP", "TS2": "TSO2", "TSC": "TSOC", "COM": "COMM", "ULT": "USLT", "SLT": "SYLT", "WAF": "WOAF", "WAR": "WOAR", "WAS": "WOAS", "WCM": "WCOM",
+    "WCP": "WCOP", "WPB": "WPUB", "WXX": "WXXX", "TXX": "TXXX", "UFI": "UFID", "IPL": "IPLS", "MCI": "MCDI", "PIC": "APIC", "GEO": "GEOB", "CNT": "PCNT", "POP": "POPM",
 }
-#: ID3v2.2 frames by their later names.
-V22 = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCO": "TCON", "TCM": "TCOM", "COM": "COMM", "TYE": "TYER", "TRK": "TRCK", "TPA": "TPOS", "TCP": "TCMP", "PIC": "APIC", "TST": "TSOT", "TSP": "TSOP", "TSA": "TSOA", "TS2": "TSO2", "TSC": "TSOC", "TXX": "TXXX", "ULT": "USLT", "TDA": "TDAT"}
 #: What a strip keeps unless told otherwise.
-KEEP = ("title", "artist", "albumartist", "album", "genre", "composer", "year", "track", "disc", "compilation", "picture", "titlesort", "artistsort", "albumsort", "albumartistsort", "composersort", "mbartistid", "mbalbumartistid")
+KEEP = ("title", "artist", "album", "albumartist", "track", "disc", "genre", "date", "compilation", "composer", "artwork", "titlesort", "artistsort", "albumsort", "albumartistsort", "gapless", "soundcheck", "itunes")
+
+
+def _names() -> dict[str, str]:
+    """Canonical tags by every native key and by their own names, in upper case."""
+    own = {f.upper(): f for f in VOCABULARY}
+    native = {k.upper(): f for f, kinds in VOCABULARY.items() for keys in kinds for k in keys}
+    return own | native | {old: native[new] for old, new in V22.items() if new in native}
 
 
 def vocabulary(spark) -> DataFrame:
     """(key, field) for every native key, in upper case: a dimension of a few hundred rows."""
-    rows = {(k.upper(), f) for f, keys in VOCABULARY.items() for k in (f, *keys) if k} | {(k, f) for k, v in V22.items() for f, keys in VOCABULARY.items() if keys[0] == v}
-    return spark.createDataFrame(sorted(rows), "vkey string, vfield string")
+    return spark.createDataFrame(sorted(_names().items()), "vkey string, vfield string")
 
 
 def resolve(raw: DataFrame) -> DataFrame:
     """raw (path, format, key, value, bytes, n) with field, the canonical name or ''."""
     dim = F.broadcast(vocabulary(raw.sparkSession))  # fixed size
-    return raw.join(dim, F.upper(trim(F.col("key"))) == F.col("vkey"), "left").withColumn("field", F.coalesce("vfield", F.lit(""))).drop("vkey", "vfield")
+    key = F.upper(F.col("key"))
+    return raw.join(dim, F.when(F.char_length(key) > 4, trim(key)).otherwise(key) == F.col("vkey"), "left").withColumn("field", F.coalesce("vfield", F.lit(""))).drop("vkey", "vfield")
 
 
 def parse_keep(names: list[str]) -> set[str]:
     """Canonical tags of names in any vocabulary; 'default' stands for KEEP."""
-    known = {k.upper(): f for f, keys in VOCABULARY.items() for k in (f, *keys) if k}
+    known = _names()
     out: set[str] = set()
     for n in names:
         if n.strip().lower() == "default":
@@ -64,13 +114,24 @@ def strip_report(plan: DataFrame, examples: int = 3) -> DataFrame:
     return groups.join(listed, ["format", "key", "field"])
 
 
-def edit_raw(raw: DataFrame, key: str, value: str | None) -> DataFrame:
-    """Set a native key: its first row gets the value, its others go; null removes it."""
-    n = F.row_number().over(Window.partitionBy("path", "key").orderBy("n"))
-    rows = raw.withColumn("__n", F.when(F.col("key") == key, n))
-    if value is None:
-        return rows.where(F.col("__n").isNull()).drop("__n")
-    return rows.where(F.col("__n").isNull() | (F.col("__n") == 1)).withColumn("value", F.when(F.col("__n") == 1, value).otherwise(F.col("value"))).drop("__n")
+def edit_raw(raw: DataFrame, key: str, value: str | None) -> tuple[DataFrame, DataFrame]:
+    """Set a native key: (rows after, errors by path).
+
+    The first row of the key gets the value and its others go; null or blank removes it. A file without the
+    key is an error, as is one whose first row is not text (column editable), unless it is removed; the rows
+    of such files stay as they are.
+    """
+    value = (value or "").strip() or None
+    own = F.col("key") == key
+    editable = F.col("editable") if "editable" in raw.columns else F.lit(True)
+    by = Window.partitionBy("path")
+    rows = raw.withColumns({"__n": F.when(own, F.row_number().over(Window.partitionBy("path", own).orderBy("n"))), "__has": F.max(own.cast("int")).over(by)})
+    rows = rows.withColumn("__bad", F.max(F.when((F.col("__n") == 1) & ~editable, 1).otherwise(0)).over(by) if value is not None else F.lit(0))
+    said = F.when(F.col("__has") == 0, f"the file has no {key}").when(F.col("__bad") == 1, f"{key} is not text, so it can only be removed")
+    errors = rows.select("path", said.alias("error")).where("error is not null").distinct()
+    gone = F.col("__n").isNotNull() & (F.col("__bad") == 0) & (F.lit(value is None) | (F.col("__n") > 1))
+    after = rows.where(~gone).withColumn("value", F.when((F.col("__n") == 1) & (F.col("__bad") == 0), F.lit(value)).otherwise(F.col("value")))
+    return after.select(*raw.columns), errors
 
 
 def non_canonical(raw: DataFrame) -> DataFrame:

@@ -1,22 +1,25 @@
 """Ingest: list a tree of files, keep what has not changed, decode the rest.
 
 The listing is Spark's own binaryFile listing without contents; what has the same path, size and whole
-second of change as a row of the catalogue before is taken from there, and only the others are read.
+second of change as a row of the catalogue before is taken from there, and only the others are opened.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fnmatch import translate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import EXTENSIONS, basename, extension, format_for
-from .tags import decoded
+from .files import opened
+from .tags import SCHEMA, TYPES, as_batch, decode
 
 #: Directories that are never looked into.
-SKIP = ("@eaDir", "#recycle", "$RECYCLE.BIN", "System Volume Information", "lost+found", "__MACOSX", ".Trash", ".Trashes", ".Spotlight-V100", ".fseventsd", ".AppleDouble", "@Recycle", ".stfolder")
+SKIP = ("@eaDir", "#recycle", "#snapshot", ".AppleDouble", ".AppleDB", ".Spotlight-V100", ".TemporaryItems", ".Trashes", "$RECYCLE.BIN", "System Volume Information", "lost+found", "node_modules", ".git")
 
 
 def _clean(path: Column) -> Column:
@@ -59,13 +62,36 @@ def changed(files: DataFrame, before: DataFrame) -> DataFrame:
     return files.join(before.select("path", "size", "mod_time"), ["path", "size", "mod_time"], "left_anti")
 
 
+def read_tags(files: DataFrame) -> DataFrame:
+    """files (path, size, mod_time, uri) with what their bytes say of them, in columns of the catalogue.
+
+    The rows that are dealt out are names; a task opens its files and reads their heads, and further pieces
+    where the tags say so. A file that is gone by then has no row.
+    """
+    schema_out = f"path string, size long, mod_time long, {SCHEMA}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = []
+            for row, data in zip(rows, opened([r["uri"] for r in rows]), strict=True):
+                if data is not None:
+                    found.append({k: row[k] for k in ("path", "size", "mod_time")} | decode(data, row["kind"]))
+            yield as_batch(found, [("path", pa.string(), ""), ("size", pa.int64(), 0), ("mod_time", pa.int64(), 0), *TYPES])
+
+    named = files.select("path", F.col("size").cast("long").alias("size"), F.col("mod_time").cast("long").alias("mod_time"), "uri", format_for(F.col("path")).alias("kind"))
+    return named.repartition("path").mapInArrow(run, schema_out)
+
+
 def scan(spark: SparkSession, roots: list[str], before: DataFrame | None = None, exclude: list[str] = (), include_hidden: bool = False) -> DataFrame:
-    """The catalogue of the files below the roots. A file whose tags cannot be read is a row with its format by ending."""
+    """The catalogue of the files below the roots. A file whose tags cannot be read is a row with its format by ending.
+
+    before is a stored catalogue, whose rows are taken over for files that are as they were; only others are
+    opened. Write the result as a table before it is asked: the plan reads files anew whenever it runs.
+    """
     files = listing(spark, roots, exclude, include_hidden)
     new = files if before is None else changed(files, before)
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select(F.col("path").alias("uri"), "content")
-    tags = contents.join(F.broadcast(new) if before is not None else new, "uri").withColumn("t", decoded(F.col("content"), format_for(F.col("path"))))
-    rows = schema.conform(tags.select("path", "size", "mod_time", "t.*"))
+    rows = schema.conform(read_tags(new))
     return rows if before is None else rows.unionByName(schema.conform(unchanged(files, before)))
 
 

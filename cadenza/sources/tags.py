@@ -1,6 +1,6 @@
-"""Binary tags of audio files, decoded in an Arrow UDF: ID3, FLAC, Ogg, MP4, RIFF, AIFF and ASF.
+"""Binary tags of audio files: ID3, FLAC, Ogg, MP4, RIFF, AIFF and ASF.
 
-Each reader takes the bytes of a file and returns a dictionary of what it found; whatever is broken ends
+Each reader takes the bytes of a file (or what reads them by pieces, as files.Bytes does) and returns a dictionary of what it found; whatever is broken ends
 it, and what it had found so far counts. Text is trimmed, and the first value that is not empty wins.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import GENRES
+from ..operators.rawtags import V22
 
 FIELDS = ["title", "artist", "album_artist", "album", "genre", "composer", "comment", "title_sort", "artist_sort", "album_sort", "album_artist_sort", "composer_sort", "mb_artist_id", "mb_album_artist_id"]
 NUMBERS = ["year", "track_no", "track_total", "disc", "disc_total", "duration_ms", "bitrate", "sample_rate", "channels"]
@@ -22,7 +23,6 @@ SCHEMA = ", ".join([f"{f} string" for f in FIELDS] + [f"{n} int" for n in NUMBER
 
 #: Where containers keep the fields (ID3v2 frames; Vorbis comments, in order; MP4 atoms; RIFF; ASF).
 ID3 = {"TIT2": "title", "TPE1": "artist", "TPE2": "album_artist", "TALB": "album", "TCON": "genre", "TCOM": "composer", "TSOT": "title_sort", "TSOP": "artist_sort", "TSOA": "album_sort", "TSO2": "album_artist_sort", "TSOC": "composer_sort", "TDRC": "year", "TDRL": "year", "TYER": "year", "TDAT": "year", "TRCK": "track", "TPOS": "disc", "TCMP": "compilation"}
-OLD_ID3 = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCO": "TCON", "TCM": "TCOM", "TST": "TSOT", "TSP": "TSOP", "TSA": "TSOA", "TS2": "TSO2", "TSC": "TSOC", "TYE": "TYER", "TRK": "TRCK", "TPA": "TPOS", "TCP": "TCMP", "COM": "COMM", "PIC": "APIC", "TXX": "TXXX"}
 VORBIS = {"title": ["TITLE"], "artist": ["ARTIST", "PERFORMER"], "album_artist": ["ALBUMARTIST", "ALBUM ARTIST", "ENSEMBLE"], "album": ["ALBUM"], "genre": ["GENRE"], "composer": ["COMPOSER"], "comment": ["COMMENT", "DESCRIPTION"], "title_sort": ["TITLESORT"], "artist_sort": ["ARTISTSORT"], "album_sort": ["ALBUMSORT"], "album_artist_sort": ["ALBUMARTISTSORT", "ALBUM ARTIST SORT"], "composer_sort": ["COMPOSERSORT"], "year": ["DATE", "YEAR", "RELEASEDATE", "ORIGINALDATE"], "track": ["TRACKNUMBER"], "track_total": ["TRACKTOTAL", "TOTALTRACKS"], "disc": ["DISCNUMBER", "DISC"], "disc_total": ["DISCTOTAL", "TOTALDISCS"], "compilation": ["COMPILATION"], "mb_artist_id": ["MUSICBRAINZ_ARTISTID"], "mb_album_artist_id": ["MUSICBRAINZ_ALBUMARTISTID"]}
 MP4 = {"©nam": "title", "©ART": "artist", "aART": "album_artist", "©alb": "album", "©gen": "genre", "©wrt": "composer", "©cmt": "comment", "sonm": "title_sort", "soar": "artist_sort", "soal": "album_sort", "soaa": "album_artist_sort", "soco": "composer_sort", "©day": "year"}
 RIFF = {"INAM": "title", "TITL": "title", "IART": "artist", "IPRD": "album", "IALB": "album", "IGNR": "genre", "IMUS": "composer", "IENG": "composer", "ICMT": "comment", "ICRD": "year", "IYER": "year", "ITRK": "track", "IPRT": "track"}
@@ -77,12 +77,12 @@ def genre(text: str) -> str:
     """A genre with its number resolved."""
     text = text.strip()
     m = re.match(r"\(([^)]*)\)\s*(.*)", text, re.S)
-    if m and m[2]:
+    if m and m[1] and m[2]:
         return m[2].strip()
-    code = m[1] if m else text
-    if code in ("RX", "CR"):
-        return {"RX": "Remix", "CR": "Cover"}[code]
-    return GENRES[int(code)] if code.isdigit() and int(code) < len(GENRES) else text
+    code = m[1] if m and m[1] else text
+    if code.isdigit() and int(code) < len(GENRES):
+        return GENRES[int(code)]
+    return {"RX": "Remix", "CR": "Cover"}.get(code, code) if code != text else text
 
 
 def id3_text(raw: bytes) -> str:
@@ -118,7 +118,7 @@ def id3_frames(data: bytes) -> Iterator[tuple[str, bytes]]:
         else:
             name, n = body[:4].decode("latin-1"), _syncsafe(body[4:8]) if version == 4 else int.from_bytes(body[4:8])
         content, body = body[head : head + n], body[head + n :]
-        yield OLD_ID3.get(name, name), content
+        yield V22.get(name, name) if version == 2 else name, content
 
 
 def read_id3(data: bytes, out: dict) -> None:
@@ -228,8 +228,7 @@ def _rate(data: bytes, out: dict) -> None:
 
 def read_ogg(data: bytes, out: dict) -> None:
     packets, held, at, granule = [], b"", 0, 0
-    while data[at : at + 4] == b"OggS" and at + 27 <= len(data):
-        granule = max(granule, int.from_bytes(data[at + 6 : at + 14], "little", signed=True))
+    while len(packets) < 2 and data[at : at + 4] == b"OggS" and at + 27 <= len(data):
         sizes = data[at + 27 : at + 27 + data[at + 26]]
         at += 27 + len(sizes)
         for n in sizes:
@@ -239,6 +238,9 @@ def read_ogg(data: bytes, out: dict) -> None:
                     packets.append(held)
                     held = b""
             at += n
+    tail = data[-65536:]
+    for m in re.finditer(b"OggS", tail):  # the length stands in the last page
+        granule = max(granule, int.from_bytes(tail[m.start() + 6 : m.start() + 14], "little", signed=True))
     head = packets[0] if packets else b""
     hertz = 0
     if head[:8] == b"OpusHead":
@@ -389,6 +391,14 @@ def read_wma(data: bytes, out: dict) -> None:
 READERS = {"mp3": read_mp3, "flac": read_flac, "ogg": read_ogg, "opus": read_ogg, "mp4": read_mp4, "wav": read_wav, "aiff": read_aiff, "wma": read_wma}
 
 
+#: What decode() gives, with types and what stands for nothing.
+TYPES = [(f, pa.string(), "") for f in FIELDS] + [(n, pa.int32(), 0) for n in NUMBERS] + [("format", pa.string(), "unknown"), ("has_art", pa.bool_(), False), ("compilation", pa.bool_(), False)]
+
+
+def as_batch(rows: list[dict], types: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n, empty) for r in rows], t) for n, t, empty in types], names=[n for n, _, _ in types])
+
+
 def decode(data: bytes, fallback: str) -> dict:
     """Everything that can be read from a file's bytes."""
     kind = sniff(data, fallback)
@@ -402,12 +412,10 @@ def decode(data: bytes, fallback: str) -> dict:
 
 def decoded(content: Column, fallback: Column) -> Column:
     """Struct of a file's tags."""
-    types = [(f, pa.string(), "") for f in FIELDS] + [(n, pa.int32(), 0) for n in NUMBERS] + [("format", pa.string(), "unknown"), ("has_art", pa.bool_(), False), ("compilation", pa.bool_(), False)]
-
     @F.arrow_udf(SCHEMA)
     def run(contents: pa.Array, fallbacks: pa.Array) -> pa.Array:
         rows = [decode(c or b"", f) for c, f in zip(contents.to_pylist(), fallbacks.to_pylist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array([r.get(n, empty) for r in rows], t) for n, t, empty in types], names=[n for n, _, _ in types])
+        return as_batch(rows, TYPES).to_struct_array()
 
     return run(content, fallback)
 

@@ -1,7 +1,7 @@
 """The change stream: numbered events, replay with gaps, and rate limits; as tables and as streams.
 
 As a table, events are numbered within an epoch in order of time. As a stream, sequenced() keeps the
-last number and the last HISTORY events of each epoch in state. A subscriber that resumes gets what it
+last number of each epoch in state. A subscriber that resumes gets what it
 missed, or one gap event where history no longer reaches back.
 """
 
@@ -36,12 +36,17 @@ def history(seq: DataFrame, keep: int = HISTORY, epoch: str = "epoch") -> DataFr
     return seq.join(last, epoch).where(F.col("seq") > F.col("__last") - keep).drop("__last")
 
 
-def replay(kept: DataFrame, epoch: str, after: int, of: str = "epoch") -> DataFrame:
+def replay(kept: DataFrame, epoch: str, after: int, of: str = "epoch", current: str | None = None) -> DataFrame:
     """What a subscriber that saw `after` of `epoch` gets: (type, seq, missed).
 
-    Of another epoch, one gap of -1; nothing if it is up to date; one gap of what is lost where history
-    starts later; else the events it has not seen.
+    current is the epoch that runs now: without it, any epoch that has a history will do. Of another epoch,
+    one gap of -1; nothing if it is up to date; one gap of what is lost where history starts later; else the
+    events it has not seen.
     """
+    if current is not None:
+        kept = kept.where(F.col(of) == current)
+    elif not kept.where(F.col(of) == epoch).isEmpty():
+        kept = kept.where(F.col(of) == epoch)
     ends = kept.agg(F.max(of).alias("now"), F.min("seq").alias("low"), F.max("seq").alias("high"))
     missed = F.when(F.col("now") != epoch, F.lit(-1)).when(F.col("low") > after + 1, F.col("low") - after - 1)
     gap = ends.withColumn("missed", missed.cast("long")).where("missed is not null").select(F.lit("gap").alias("type"), F.col("high").alias("seq"), "missed")

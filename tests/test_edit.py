@@ -86,8 +86,34 @@ def test_raw_tags(spark):
     report = {r.key: (r.tracks, r.bytes, r.examples) for r in rawtags.strip_report(rawtags.strip_plan(raw)).collect()}
     assert report == {"TSSE": (1, 9, ["LAME"]), "Odd": (1, 6, ["x", "y"])}
     assert rawtags.parse_keep(["TIT2", "lyrics", "default"]) >= {"title", "lyrics", "disc"}
-    assert [(r.key, r.value) for r in rawtags.edit_raw(raw, "Odd", "z").where("path = '/b'").orderBy("n").collect()] == [("title", "Two"), ("Odd", "z")]
-    assert rawtags.edit_raw(raw, "Odd", None).count() == 3
+    after, errors = rawtags.edit_raw(raw, "Odd", " z ")
+    assert [(r.key, r.value) for r in after.where("path = '/b'").orderBy("n").collect()] == [("title", "Two"), ("Odd", "z")]
+    assert [(r.path, r.error) for r in errors.collect()] == [("/a", "the file has no Odd")]
+    assert rawtags.edit_raw(raw, "Odd", None)[0].count() == 3
+    binary = raw.withColumn("editable", F.col("key") != "TSSE")
+    after, errors = rawtags.edit_raw(binary.where("path = '/a'"), "TSSE", "x")
+    assert after.count() == 2 and "only be removed" in errors.first().error
+    assert rawtags.edit_raw(binary, "TSSE", " ")[0].where("key = 'TSSE'").count() == 0
+
+
+def test_vocabulary(spark):
+    """Every native key resolves to its tag, in any case, and frames of ID3v2.2 by their successors."""
+    want = {k: f for f, kinds in rawtags.VOCABULARY.items() for keys in kinds for k in keys}
+    want |= {old: want.get(new, "") for old, new in rawtags.V22.items()} | {"title": "title", "Nonsense": ""}
+    raw = spark.createDataFrame([("/a", "mp3", k, "v", 1, 0) for k in want] + [("/a", "mp3", "tyer", "v", 1, 0)], "path string, format string, key string, value string, bytes int, n int")
+    got = {r.key: r.field for r in rawtags.resolve(raw).collect()}
+    assert got == want | {"tyer": "date"}
+    kept = {r.key for r in rawtags.strip_plan(raw).where("kept").collect()}
+    assert {"TYER", "TYE", "ALBUM ARTIST", "gnre", "pgap", "stik"} <= kept and not {"TSSE", "POPM", "MUSICBRAINZ"} & kept
+    assert len(rawtags.VOCABULARY) == 44 and len(rawtags.KEEP) == 18 and set(rawtags.KEEP) <= set(rawtags.VOCABULARY)
+
+
+def test_rename_claims(spark):
+    """What is incomplete or stays where it is claims no place."""
+    rows = [("/m/a.mp3", "", "T", 1), ("/m/b.mp3", "X", "T", 1), ("/m/c.mp3", "X", "T", 1), ("/m/X/01 T.mp3", "X", "T", 1)]
+    t = schema.conform(spark.createDataFrame(rows, "path string, artist string, title string, track_no int"))
+    got = {r.path: r.status for r in edit.plan_rename(t, "$artist/$track $title", ("/m",)).collect()}
+    assert got == {"/m/a.mp3": "incomplete", "/m/b.mp3": "changed", "/m/c.mp3": "collision", "/m/X/01 T.mp3": "same"}
 
 
 def test_artwork_and_refresh(spark, tracks):
