@@ -98,8 +98,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "warc")
     found = warc.read_back(warc.archive(pages, folder), folder)
     # what a response's payload says of itself counts; a revisit has only what its header says
-    page = F.when(F.col("page") != warc.NO_ID, F.col("page")).cast("long")
-    return found.select(page.alias("page_id"), F.coalesce("own_size", "size").alias("payload_bytes"), F.coalesce("own_digest", "digest").alias("payload_digest"), "record_type", F.when(F.col("refers") != warc.NO_ID, F.col("refers")).cast("long").alias("refers_to"))
+    return found.select(F.col("page").cast("long").alias("page_id"), F.coalesce("own_size", "size").alias("payload_bytes"), F.coalesce("own_digest", "digest").alias("payload_digest"), "record_type", F.col("refers").cast("long").alias("refers_to"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,25 +5,26 @@ crawlers leave them). normalise inflates such a file once, from start to end in
 rewrites every record as a gzip member of its own beside a sidecar index (JSON lines: record id, type,
 target, offset, length); afterwards one record can be read by a seek. read_archives reads normalised
 files by their indexes. Files live in a folder that all executors share, reached through the file
-systems of Arrow; each is written under an attempt's own name and then renamed, so a task that is run
-again or twice leaves one whole file.
+systems of Arrow. Every attempt of a task writes files of its own names, and only the names that Spark
+takes from the attempt that counts are read on: what another attempt has left is never looked at, so a task
+may be run again or twice, with its rows in any order.
 
 Payloads that occur more than once and have REVISIT_BYTES or more are stored once: the page with the
 largest id is the response, the others are revisit records that refer to it.
 
 Cases: null payload is empty; null ids are below all others; pages that agree in id and payload are all
-responses where that id is the largest. Payloads of any length pass in pieces. No pages, no files.
+responses where that id is the largest. A payload is one value of a row, so it has to fit in a task's memory
+once; it is compressed, inflated and hashed in pieces. Columns other than the three named are not used. No
+pages, no files.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from io import BytesIO
 
 import pyarrow as pa
@@ -36,36 +37,30 @@ from . import common
 
 REVISIT_BYTES, FILE_BYTES, PIECE = 1000, 32 << 20, 1 << 18
 DATE = "1970-01-01T00:00:00Z"
-NO_ID = "-"
 _SPACE = uuid.UUID("8d3f8b9e-6f0e-5c1c-9a53-0c5d5c1a7a11")
 
 
-def record_id(page: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, page)}>"
+def record_id(page: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, 'no id' if page is None else 'id ' + page)}>"
 
 
-def record(page: str, url: str | None, payload: bytes, digest: str, size: int, refers: str | None) -> bytes:
-    """A response record, or a revisit record if it refers to another page."""
+def record(page: str | None, url: str | None, payload: bytes, digest: str, size: int, refers: str | None) -> Iterator[bytes]:
+    """Pieces of a response record, or of a revisit record if it refers to another page."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = head if refers is not None else head + payload
+    own = b"" if refers is not None else payload
     fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page)), ("WARC-Date", DATE)]
     if url:
         fields.append(("WARC-Target-URI", " ".join(url.split())))
-    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page), ("X-Payload-Length", str(size))]
+    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
+    if page is not None:
+        fields.append(("X-Page-Id", page))
     if refers is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers)), ("X-Refers-To-Page", refers)]
-    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
-
-
-@dataclass
-class Record:
-    fields: dict[str, str]
-    block: bytes
-
-    @property
-    def payload(self) -> bytes:
-        return self.block.partition(b"\r\n\r\n")[2]
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(head) + len(own)))]
+    yield b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + head
+    for at in range(0, len(own), PIECE):
+        yield own[at : at + PIECE]
+    yield b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -135,10 +130,28 @@ def normalise(source: object, target: object) -> Iterator[dict]:
         at += size
 
 
-def read_member(raw: bytes) -> Record:
-    head, _, rest = zlib.decompress(raw, 31).partition(b"\r\n\r\n")
+def read_member(raw: bytes) -> tuple[dict[str, str], Iterator[bytes]]:
+    """Fields of a record that is a member of its own, and pieces of its payload."""
+    pieces, held = inflate(BytesIO(raw)), b""
+    while b"\r\n\r\n" not in held:
+        held += next(pieces)
+    head, _, rest = held.partition(b"\r\n\r\n")
     fields = parse_head(head)
-    return Record(fields, rest[: int(fields["content-length"])])
+
+    def payload() -> Iterator[bytes]:
+        left, block = int(fields["content-length"]), rest
+        while b"\r\n\r\n" not in block:
+            block += next(pieces)
+        http, _, body = block.partition(b"\r\n\r\n")
+        left -= len(http) + 4
+        while True:
+            yield body[:left]
+            left -= len(body[:left])
+            if not left:
+                return
+            body = next(pieces)
+
+    return fields, payload()
 
 
 def open_fs(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -146,18 +159,13 @@ def open_fs(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + (folder[5:] if folder.startswith("file:") else folder))
 
 
-def _finish(fs: pa.fs.FileSystem, made: str, name: str) -> None:
-    """Give a written file its name; a task that ran twice leaves the file that came last, of equal content."""
-    fs.move(made, name)
-
-
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """page (id as string), url, payload, digest (SHA-1), size, refers (page of the response, for revisits)."""
+    """page (id as string, or null), url, payload, digest (SHA-1), size, refers (page of the response, for revisits)."""
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     top = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "top")
     found = rows.join(top, rows["digest"] == top["d"], "left")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NO_ID))
+    name = lambda c: F.col(c).cast("string")
     return found.select(name("id").alias("page"), "url", "payload", "digest", F.col("size").cast("long").alias("size"), F.when(F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")), name("top")).alias("refers"))
 
 
@@ -171,23 +179,26 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
         out = packer = None
         written = count = 0
 
+        def named() -> str:
+            return f"{base}/part-{part:06d}-{attempt}-{len(files):04d}.mono.warc.gz"
+
         def close() -> None:
             nonlocal out
             out.write(packer.flush())
             out.close()
-            name = f"{base}/part-{part:06d}-{len(files):04d}.mono.warc.gz"
-            _finish(fs, f"{base}/.{attempt}-{len(files)}.tmp", name)
-            files.append((name, count))
+            files.append((named(), count))
             out = None
 
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    out = fs.open_output_stream(f"{base}/.{attempt}-{len(files)}.tmp", compression=None)
+                    out = fs.open_output_stream(named(), compression=None)
                     packer, written, count = zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
-                data = packer.compress(record(r["page"], r["url"], r["payload"], r["digest"], r["size"], r["refers"]))
-                out.write(data)
-                written, count = written + len(data), count + 1
+                for piece in record(r["page"], r["url"], r["payload"], r["digest"], r["size"], r["refers"]):
+                    data = packer.compress(piece)
+                    out.write(data)
+                    written += len(data)
+                count += 1
                 if written >= file_bytes:
                     close()
         if out is not None:
@@ -197,8 +208,8 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES
     return records.select("page", "url", "payload", "digest", "size", "refers").mapInArrow(run, "file string, records long")
 
 
-def normalise_archives(files: DataFrame, folder: str, keep: bool = True) -> DataFrame:
-    """Normalise each file (column file); rows (file, index, records). keep=False removes a source once its target is whole."""
+def normalise_archives(files: DataFrame, folder: str) -> DataFrame:
+    """Normalise each file (column file); rows (file, index, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(folder)
@@ -206,21 +217,12 @@ def normalise_archives(files: DataFrame, folder: str, keep: bool = True) -> Data
         for batch in batches:
             rows = []
             for name in common.column(batch, "file").to_pylist():
-                target = name.removesuffix(".gz").removesuffix(".warc").removesuffix(".mono") + ".warc.gz"
-                index, made = target + ".idx", f"{os.path.dirname(name)}/.{attempt}-{os.path.basename(target)}.tmp"
-                if fs.get_file_info(name).type == pa.fs.FileType.NotFound and fs.get_file_info(index).type != pa.fs.FileType.NotFound:
-                    with fs.open_input_stream(index, compression=None) as f:  # an earlier attempt had finished
-                        rows.append((target, index, f.read().count(b"\n")))
-                    continue
-                n = 0
-                with fs.open_input_stream(name, compression=None) as source, fs.open_output_stream(made, compression=None) as out, fs.open_output_stream(made + "i", compression=None) as entries:
+                target = f"{name.removesuffix('.gz').removesuffix('.warc').removesuffix('.mono')}-{attempt}.warc.gz"
+                index, n = target + ".idx", 0
+                with fs.open_input_stream(name, compression=None) as source, fs.open_output_stream(target, compression=None) as out, fs.open_output_stream(index, compression=None) as entries:
                     for entry in normalise(source, out):
                         entries.write(json.dumps(entry).encode() + b"\n")
                         n += 1
-                _finish(fs, made, target)
-                _finish(fs, made + "i", index)
-                if not keep:
-                    fs.delete_file(name)
                 rows.append((target, index, n))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["file", "index", "records"])
 
@@ -244,10 +246,13 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                     for line in BytesIO(entries):
                         entry = json.loads(line)
                         data.seek(entry["offset"])
-                        r = read_member(data.read(entry["length"]))
-                        own = r.payload
-                        whole = r.fields["warc-type"] == "response"
-                        rows.append((r.fields["x-page-id"], r.fields["warc-type"], r.fields["warc-payload-digest"].removeprefix("sha1:"), int(r.fields["x-payload-length"]), r.fields.get("x-refers-to-page"), hashlib.sha1(own).hexdigest() if whole else None, len(own) if whole else None))
+                        fields, payload = read_member(data.read(entry["length"]))
+                        own, size = hashlib.sha1(), 0
+                        for piece in payload:
+                            own.update(piece)
+                            size += len(piece)
+                        whole = fields["warc-type"] == "response"
+                        rows.append((fields.get("x-page-id"), fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"]), fields.get("x-refers-to-page"), own.hexdigest() if whole else None, size if whole else None))
                         if len(rows) == 1000:
                             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
                             rows = []
@@ -261,8 +266,25 @@ def archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
     spark = pages.sparkSession
     common.bound_batches(spark)
     make_folder(spark, folder)
-    mono, _ = common.materialize(write_archives(with_revisits(pages, page_id, url, html), folder, file_bytes), "warc-files")
-    return common.materialize(normalise_archives(_spread(mono), folder, keep=False), "warc-index")[0]
+    mono, names = common.materialize(write_archives(with_revisits(pages, page_id, url, html), folder, file_bytes), "warc-files")
+    made = common.materialize(normalise_archives(_spread(mono), folder), "warc-index")[0]
+    _spread(mono).mapInArrow(_delete(folder), "file string").write.format("noop").mode("overwrite").save()
+    common.remove(spark, names)
+    return made
+
+
+def _delete(folder: str):
+    """Remove files that are no longer needed; those that are gone already are no error, as a task may run twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(folder)
+        for batch in batches:
+            for name in common.column(batch, "file").to_pylist():
+                if fs.get_file_info(name).type != pa.fs.FileType.NotFound:
+                    fs.delete_file(name)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["file"])
+
+    return run
 
 
 def _spread(files: DataFrame) -> DataFrame:
