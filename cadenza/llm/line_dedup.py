@@ -102,8 +102,8 @@ def _keys(line: Column, threshold: int, per_edit: int) -> Column:
 
 
 def _parity(line: Column) -> Column:
-    """Of 64 buckets of words, which hold an odd number."""
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    """Of 32 buckets of words, which hold an odd number."""
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(32)).cast("int"))))
 
 
 def _letters(line: Column) -> Column:
@@ -181,23 +181,36 @@ def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, per_edit:
 
 
 def candidates(distinct: DataFrame, threshold: int, per_edit: int) -> DataFrame:
-    """Pairs of distinct lines (later, earlier: first hashes, id: of the earlier) that share a key and may be within the edits that their lengths allow.
+    """Pairs of distinct lines (later, earlier: first hashes, order of the earlier) that share a key and may be within the edits that their lengths allow.
 
-    Lines of equal ids are paired both ways. A first hash alone names a line here: should two lines share
+    Lines of equal order are paired both ways. A first hash alone names a line here: should two lines share
     one, both are fetched and verified.
     """
-    carried = ("h1", "id", "length", "parity", "letters")
-    keys = distinct.withColumn("id", F.struct(F.col("place.id").alias("v"))).select(*carried, F.explode("keys").alias("k")).select("k.key", "k.role", *carried)
-    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("role", *carried)]) for x in ("a", "b"))
-    edits = _edits(F.least("lengtha", "lengthb"), threshold, per_edit)
-    agree = (F.abs(F.col("lengtha") - F.col("lengthb")) <= edits) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
+    # parity, length and role share a long; order rises with the id
+    order = _order(F.col("place.id"), distinct.schema["place"].dataType["id"].dataType.typeName())
+    packed = F.shiftleft(F.col("parity"), 32).bitwiseOR(F.shiftleft(F.col("length").cast("long"), 1))
+    carried = distinct.select("h1", order.alias("order"), packed.alias("told"), "letters", "keys")
+    keys = carried.select("h1", "order", "told", "letters", F.explode("keys").alias("k")).select("k.key", "h1", "order", F.col("told").bitwiseOR(F.col("k.role").cast("long")).alias("told"), "letters")
+    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("h1", "order", "told", "letters")]) for x in ("a", "b"))
+    role, length = lambda t: F.col(t).bitwiseAND(F.lit(1)), lambda t: F.shiftright(t, 1).bitwiseAND(F.lit((1 << 31) - 1))
+    edits = _edits(F.least(length("tolda"), length("toldb")), threshold, per_edit)
+    agree = (F.abs(length("tolda") - length("toldb")) <= edits) & (F.bit_count(F.shiftrightunsigned(F.col("tolda").bitwiseXOR(F.col("toldb")), 32)) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
     # an index key meets an index key once, and a probe any index key
-    once = (F.col("rolea") == 0) & ((F.col("roleb") == 1) | (F.col("h1a") < F.col("h1b")))
-    met = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
-    way = lambda x, y: F.when(F.col(f"id{x}") <= F.col(f"id{y}"), F.struct(F.col(f"h1{y}").alias("later"), F.col(f"h1{x}").alias("earlier"), F.col(f"id{x}").alias("id")))
+    once = (role("tolda") == 0) & ((role("toldb") == 1) | (F.col("h1a") < F.col("h1b")))
+    met = a.where(role("tolda") == 0).join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
+    way = lambda x, y: F.when(F.col(f"order{x}") <= F.col(f"order{y}"), F.struct(F.col(f"h1{y}").alias("later"), F.col(f"h1{x}").alias("earlier"), F.col(f"order{x}").alias("order")))
     return met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.*").distinct()
 
 
+def _order(id: Column, kind: str) -> Column:
+    """A long that never falls as ids rise, null ids first."""
+    if kind in ("string", "binary"):
+        low = F.conv(F.rpad(F.hex(F.substring(id.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    else:
+        low = id.try_cast("long")
+    return F.coalesce(low, F.lit(-(1 << 63)))
+
+
 def absorbed_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier line is within the allowed edits of.
 
@@ -216,7 +229,7 @@ def absorbed_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str
         met = some.join(a, F.col("earlier") == F.col("h1a")).join(b, F.col("later") == F.col("h1b")).where("placea < placeb")
         return met.where(edit_distance(F.col("linea"), F.col("lineb"), threshold) <= allowed).select(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")).distinct()
 
-    first = pairs.groupBy("later").agg(F.min(F.struct("id", "earlier")).alias("x")).select("later", "x.earlier")
+    first = pairs.groupBy("later").agg(F.min(F.struct("order", "earlier")).alias("x")).select("later", "x.earlier")
     found, _ = common.materialize(verified(first), "line-absorbed")
     # where two lines share a first hash, one may be settled and the other not: both are asked again
     twice = distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")

@@ -95,3 +95,10 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 1, "2", "one\ntwo"), 2: (3, 1, "0", "\nthree of them here"), 3: (1, 1, "0", ""), 4: (0, 0, "", None)}
+
+
+def test_string_ids_keep_their_order(spark):
+    line = "a line that stands in more than one text"
+    rows = [("b", line + "!"), ("a", line), ("aaaaaaaaaaaa2", "x\n" + line + "?"), ("aaaaaaaaaaaa1", "one more " + line[:20]), (None, "own")]
+    got = {r.doc_id: r.clean_text for r in ld.deduplicate(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": line, "b": "", "aaaaaaaaaaaa2": "x", "aaaaaaaaaaaa1": rows[3][1], None: "own"}
