@@ -154,7 +154,7 @@ class Index:
 
     def __init__(self, ids: list[np.ndarray], of: Corpus) -> None:
         self.size = len(ids)
-        lengths = np.array([len(x) for x in ids])
+        lengths = np.array([len(x) for x in ids], np.int64)
         width = len(of.idf)
         keys, tf = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64) * self.size + np.repeat(np.arange(self.size), lengths), return_counts=True)
         term, self.docs = np.divmod(keys, self.size)
@@ -269,7 +269,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     held, tokens = ([], []), 0
                     yield rows()
         if id_type is not None:
-            packer.shard(*held)
+            if held[0]:
+                packer.shard(*held)
             packer.finish()
             yield rows()
 

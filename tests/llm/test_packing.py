@@ -69,3 +69,28 @@ def test_neighbours_come_first():
     packer.shard(list("abcd"), docs)
     packer.finish()
     assert [(r[0], r[5]) for r in packer.rows] == [("a", 0), ("d", 0), ("b", 1), ("c", 1)]
+
+
+def test_shards_that_come_out_even(spark, monkeypatch):
+    """A task whose documents fill its last shard to the last one, and a table of empty texts."""
+    rows = [(k, "river stone" if k % 2 else None) for k in range(packing.SHARD_DOCS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, PATH).collect()
+    assert sorted(r.doc_id for r in got if r.start == 0) == list(range(packing.SHARD_DOCS))
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
+def test_query(spark, tmp_path):
+    """The query's checksums, against the tokenizer."""
+    import zlib
+
+    from cadenza.llm import queries
+
+    rows = [(k, " ".join(["river", "stone", "Cloud", "12,5"][j % (k % 4 + 1)] for j in range(k * 37))) for k in range(40)] + [(99, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole, seen = Tokenizer.from_file(PATH), {}
+    ids = {k: np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for k, t in rows}
+    for r in queries.op2_pack(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+    assert seen == {k: len(x) for k, x in ids.items()}
