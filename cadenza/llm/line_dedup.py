@@ -196,8 +196,10 @@ def candidates(distinct: DataFrame, threshold: int, per_edit: int) -> DataFrame:
     edits = _edits(F.least(length("tolda"), length("toldb")), threshold, per_edit)
     agree = (F.abs(length("tolda") - length("toldb")) <= edits) & (F.bit_count(F.shiftrightunsigned(F.col("tolda").bitwiseXOR(F.col("toldb")), 32)) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
     # an index key meets an index key once, and a probe any index key
-    once = (role("tolda") == 0) & ((role("toldb") == 1) | (F.col("h1a") < F.col("h1b")))
-    met = a.where(role("tolda") == 0).join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
+    # (said of both sides at once, so that neither is filtered before it is shuffled and one shuffle serves both)
+    roles = role("toldb") * 2 + role("tolda")
+    once = (roles == 2) | ((roles == 0) & (F.col("h1a") < F.col("h1b")))
+    met = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
     way = lambda x, y: F.when(F.col(f"order{x}") <= F.col(f"order{y}"), F.struct(F.col(f"h1{y}").alias("later"), F.col(f"h1{x}").alias("earlier"), F.col(f"order{x}").alias("order")))
     return met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.*").distinct()
 
