@@ -30,14 +30,17 @@ ROWS, KNOTS, MAX_RANGES = 1000, 64, 1 << 17
 _LANES = (1 << 32) + 1
 
 
-def fingerprinted(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+def fingerprinted(df: DataFrame, text: str, keys: list[str], row: Column | None = None) -> DataFrame:
     """For each row of df its keys and fp, the signed 64-bit SimHash of the text.
 
+    row tells rows of equal keys apart, and must be the same when a task runs again. Without it rows are
+    numbered as they come, which only the rows of a stored table do in the same order each time.
+
     Terms are exploded and voted on row by row in generated code; they are added up where they arise,
     so one row of counters for each text and task is shuffled, however long the text is.
     """
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "")
-    rows = df.select(*keys, F.monotonically_increasing_id().alias("__row"), words.alias("__w"))
+    rows = df.select(*keys, (F.monotonically_increasing_id() if row is None else row).alias("__row"), words.alias("__w"))
     size = F.greatest(F.size("__w") - 1, F.lit(1))
     pairs = F.arrays_zip(F.slice("__w", F.lit(1), size).alias("a"), F.slice("__w", F.lit(2), size).alias("b"))
     terms = rows.select(*keys, "__row", F.explode_outer(pairs).alias("__t"))
@@ -98,7 +101,10 @@ def _ranges(docs: DataFrame, doc_id: str) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """docs with `next`, a struct of these columns of the next document in descending doc_id (after the last: the first).
+    """docs with `next`, a struct of these columns of the next document in descending doc_id (after the last: the first), and `copy`.
+
+    copy numbers the rows that agree in doc_id and in these columns, from 0. Which of them gets which number
+    is all the same, so a task that runs again gives the same rows.
 
     Documents are ordered within ranges of ids. The first document of each range, which the range
     before it ends with, is fetched by the broadcast of one key for each range (MAX_RANGES at most).
@@ -110,9 +116,9 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id") -> Da
     heads = heads.select(F.col("__r").alias("from"), F.coalesce("to", F.col("top.__r")).alias("to"), F.coalesce("o", F.col("top.o")).alias("o"))
     found = keyed.join(F.broadcast(heads), (keyed["__r"] == heads["to"]) & keyed["__o"].eqNullSafe(heads["o"])).select("from", F.struct(*columns).alias("head")).dropDuplicates(["from"])
     order = Window.partitionBy("__r").orderBy(F.desc("__o"))
-    led = keyed.withColumns({"__n": F.lead(F.struct(*columns)).over(order)})
+    led = keyed.withColumns({"__n": F.lead(F.struct(*columns)).over(order), "__copy": F.row_number().over(order) - F.rank().over(order)})
     joined = led.join(found, (led["__r"] == found["from"]) & led["__n"].isNull(), "left")
-    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce("__n", "head").alias("next"))
+    return joined.select(*[f"`{c}`" for c in docs.columns], F.coalesce("__n", "head").alias("next"), F.col("__copy").alias("copy"))
 
 
 def _text_key(text: str) -> list[Column]:
@@ -123,7 +129,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp: each text, and with its last half taken from the next one's start.
 
     Texts are shuffled once, to meet the next document's; their fingerprints are a small table by hashes
-    of the text, so copies of a text are one row of it.
+    of the text, so copies of a text are one row of it. docs is a stored table: its rows come in the same
+    order when a task runs again.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     k1, k2 = _text_key("text")
@@ -133,10 +140,10 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     led = with_next(own, ["text"])
     n1, n2 = _text_key("next.text")
     made = led.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), k1.alias("k1"), k2.alias("k2"), n1.alias("n1"), n2.alias("n2"),
+        "doc_id", "copy", F.char_length("text").cast("long").alias("n_chars"), k1.alias("k1"), k2.alias("k2"), n1.alias("n1"), n2.alias("n2"),
         F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited_text"),
     ).withColumn("edited_sha256", F.sha2("edited_text", 256))
-    made = fingerprinted(made, "edited_text", ["doc_id", "n_chars", "k1", "k2", "n1", "n2", "edited_sha256"]).withColumnRenamed("fp", "edited_fp")
+    made = fingerprinted(made, "edited_text", ["doc_id", "n_chars", "k1", "k2", "n1", "n2", "edited_sha256"], F.col("copy")).withColumnRenamed("fp", "edited_fp")
     after = prints.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("fp").alias("next_fp"))
     return made.join(prints, ["k1", "k2"]).join(after, ["n1", "n2"]).select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
 

@@ -50,6 +50,15 @@ def test_edited_and_next(spark, monkeypatch):
     assert {r.doc_id: (r.n_chars, r.edited_sha256, *(x % (1 << 64) for x in (r.fp, r.edited_fp, r.next_fp))) for r in got} == want
 
 
+def test_repeated_rows_stay_and_do_not_depend_on_their_order(spark):
+    rows = [(1, "a b c")] * 5 + [(2, "a b c")] * 3 + [(None, "x")] * 2 + [(3, None)]
+    kind = "doc_id long, text string"
+    once, again = (sorted(map(str, fp.edited(spark.createDataFrame(r, kind)).collect())) for r in (rows, rows[::-1]))
+    assert once == again and len(once) == len(rows)
+    led = fp.with_next(spark.createDataFrame(rows, kind), ["text"]).where("doc_id = 1").collect()
+    assert sorted(r.copy for r in led) == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize(("radius", "blocks"), [(3, 6), (2, 4), (0, 2)])
 def test_block_tables_find_all(spark, radius, blocks):
     rnd = random.Random(radius)
