@@ -8,6 +8,7 @@ which a later session can undo them, and number an event. Dry runs return the sa
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ class Job:
 
 class Library:
     def __init__(self, tracks: DataFrame, roots: tuple[str, ...] = (), home: str | None = None) -> None:
-        self.spark, self.roots, self.jobs = tracks.sparkSession, tuple(roots), []
+        self.spark, self.roots, self.jobs, self._scanning = tracks.sparkSession, tuple(roots), [], threading.Lock()
         self.epoch, self._events = uuid.uuid4().hex, []
         self.home = home or f"{store.shared_dir(self.spark)}/library-{uuid.uuid4().hex}"
         self._keep(tracks)
@@ -49,6 +50,7 @@ class Library:
         """The library of this folder as its last version left it."""
         lib = cls.__new__(cls)
         lib.spark, lib.home, lib.jobs, lib.epoch, lib._events = spark, home.rstrip("/"), [], uuid.uuid4().hex, []
+        lib._scanning = threading.Lock()
         lib._use(store.names_in(spark, f"{lib.home}/versions")[-1])
         lib.roots = tuple(store.roots_of(spark, f"{lib.home}/versions/{lib.version}"))
         return lib
@@ -154,6 +156,15 @@ class Library:
         plan = edit.plan_rename(edit.resolve(self.tracks_table, selector), template, self.roots, self.tracks_table)
         return plan if dry_run else self._commit("rename", plan, edit.apply_rename(self.tracks_table, plan), backup)
 
+    def move(self, id: str, dest: str, if_match: str | None = None, backup: bool = True) -> Job:
+        """Rename one track, to a path below a root or a name in its own directory."""
+        plan = edit.plan_move(self.tracks_table, id, dest, self.roots, if_match)
+        return self._commit("rename", plan, edit.apply_rename(self.tracks_table, plan), backup)
+
+    def dirty_count(self, path: str) -> int:
+        """How many tracks are not in the snapshot of this path as they are now."""
+        return edit.dirty(self.tracks_table, schema.conform(store.load(self.spark, path))).count()
+
     def delete(self, selector: Selector) -> None:
         self._keep(edit.delete(self.tracks_table, edit.resolve(self.tracks_table, selector)))
 
@@ -181,8 +192,14 @@ class Library:
     # ingest and change stream
 
     def scan(self, roots: list[str] | None = None, exclude: list[str] = (), fresh: bool = False) -> None:
-        self.roots = tuple(roots or self.roots)
-        self._keep(scan.scan(self.spark, list(self.roots), None if fresh else self.tracks_table, exclude))
+        """Read what has changed below the roots; one scan at a time, another is refused."""
+        if not self._scanning.acquire(blocking=False):
+            raise Conflict("a scan is running")
+        try:
+            self.roots = tuple(roots or self.roots)
+            self._keep(scan.scan(self.spark, list(self.roots), None if fresh else self.tracks_table, exclude))
+        finally:
+            self._scanning.release()
         self._events.append((self.epoch, time.time(), len(self._events) + 1, "catalog.replaced"))
 
     def events(self, epoch: str | None = None, after: int | None = None) -> DataFrame:

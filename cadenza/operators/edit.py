@@ -8,20 +8,25 @@ needed to undo it.
 
 from __future__ import annotations
 
+import posixpath
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.hashing import track_id
+from ..functions.hashing import track_id, track_version
 from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim
 from ..plans.search import search
 
 MAX_ERRORS = 25
 
 
+#: Extensions of pictures beside the tracks.
+COVER_ENDINGS = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp")
+
+
 class BadRequest(ValueError):
     """The caller described something that cannot be done."""
 
@@ -30,6 +35,10 @@ class BadTemplate(BadRequest):
     pass
 
 
+class BadPath(BadRequest):
+    """A path that nothing may be written to."""
+
+
 class NotFound(LookupError):
     pass
 
@@ -250,6 +259,47 @@ def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing
     return made.select("id", "path", status.alias("status"), "dest", track_id(F.col("dest")).alias("new_id"))
 
 
+def resolve_dest(current: str, dest: str, roots: tuple[str, ...]) -> str:
+    """Where one track is to be moved: a file with the same extension below a root, or below its own directory if there are no roots."""
+    dest, own = dest.strip(), posixpath.dirname(current)
+    if not dest or dest.endswith("/"):
+        raise BadPath("a destination is the name of a file")
+    target = "/" + posixpath.normpath(posixpath.join(own, dest)).lstrip("/")
+    if posixpath.splitext(target)[1].lower() != posixpath.splitext(current)[1].lower():
+        raise BadPath(f"{target!r} has another extension than {current!r}")
+    if not any(r not in ("", ".") and target.startswith(posixpath.normpath(r).rstrip("/") + "/") for r in roots or (own,)):
+        raise BadPath(f"{target!r} is outside the library")
+    return target
+
+
+def cover_name(name: str) -> str:
+    """A name that a picture may be written under in a directory of tracks."""
+    ending = posixpath.splitext(name)[1].lower()
+    if not name or name.startswith(".") or "/" in name or "\\" in name or (ending and ending not in COVER_ENDINGS):
+        raise BadPath(f"{name!r} is not the name of a picture")
+    return name
+
+
+def plan_move(df: DataFrame, id: str, dest: str, roots: tuple[str, ...], if_match: str | None = None) -> DataFrame:
+    """A plan with dest for one track; refused if the place is outside the library or taken, or the track not at if_match."""
+    found = _one(df, id, if_match)
+    target = resolve_dest(found.path, dest, roots)
+    if target != found.path and not df.where(F.col("path") == target).isEmpty():
+        raise Conflict(f"{target!r} is there already")
+    row = with_id(df).where(F.col("path") == found.path)
+    return row.select("id", "path", F.when(F.col("path") == target, "same").otherwise("changed").alias("status"), F.lit(target).alias("dest"), track_id(F.lit(target)).alias("new_id"))
+
+
+def dirty(df: DataFrame, saved: DataFrame) -> DataFrame:
+    """Rows that are not in the saved table as they are now: edited, moved or new since."""
+    known = saved.select(*[F.col(c).alias(f"__s_{c}") for c in df.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in df.columns if c != "path"]
+    met = F.col("path") == F.col("__s_path")
+    for s in same:
+        met = met & s
+    return df.join(known, met, "left_anti")
+
+
 def report(plan: DataFrame) -> DataFrame:
     """One row: matched and how many of each status."""
     return plan.agg(F.count(F.lit(1)).alias("matched"), *[F.count_if(F.col("status") == s).alias(s) for s in ("changed", "same", "skipped", "incomplete", "collision")])
@@ -281,17 +331,21 @@ def delete(df: DataFrame, paths: DataFrame) -> DataFrame:
     return df.join(paths.select("path"), "path", "left_anti").select(*df.columns)
 
 
-def patch(df: DataFrame, id: str, changes: dict[str, str | None], if_match: str | None = None) -> DataFrame:
-    """A plan for one track; refused if it is not there, or its version is not if_match."""
-    from ..functions.hashing import track_version
-
+def _one(df: DataFrame, id: str, if_match: str | None) -> Row:
+    """Path and version of one track; refused if it is not there, or its version is not if_match."""
     row = with_id(df).where(F.col("id") == id)
-    found = row.select(track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("v")).head(1)
+    found = row.select("path", track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("v")).head(1)
     if not found:
         raise NotFound(id)
     if if_match is not None and found[0].v != if_match:
         raise Conflict("the track has changed")
-    return plan_set(row, changes)
+    return found[0]
+
+
+def patch(df: DataFrame, id: str, changes: dict[str, str | None], if_match: str | None = None) -> DataFrame:
+    """A plan for one track; refused if it is not there, or its version is not if_match."""
+    _one(df, id, if_match)
+    return plan_set(with_id(df).where(F.col("id") == id), changes)
 
 
 def journal(plan: DataFrame) -> DataFrame:

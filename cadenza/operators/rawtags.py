@@ -62,6 +62,23 @@ V22 = {
     "TSP": "TSOP", "TCP": "TCMP", "TS2": "TSO2", "TSC": "TSOC", "COM": "COMM", "ULT": "USLT", "SLT": "SYLT", "WAF": "WOAF", "WAR": "WOAR", "WAS": "WOAS", "WCM": "WCOM",
     "WCP": "WCOP", "WPB": "WPUB", "WXX": "WXXX", "TXX": "TXXX", "UFI": "UFID", "IPL": "IPLS", "MCI": "MCDI", "PIC": "APIC", "GEO": "GEOB", "CNT": "PCNT", "POP": "POPM",
 }
+#: What ID3v2 frames hold.
+MEANINGS = {
+    "AENC": "audio encryption", "APIC": "attached picture (cover art)", "ASPI": "audio seek point index", "CHAP": "chapter", "COMM": "comment", "COMR": "commercial", "CTOC": "table of contents",
+    "ENCR": "encryption", "EQU2": "equalisation", "ETCO": "event timing", "GEOB": "general encapsulated object", "GRID": "group identification", "GRP1": "grouping (iTunes)",
+    "IPLS": "involved people (v2.3)", "LINK": "linked information", "MCDI": "music CD identifier", "MLLT": "MPEG location lookup", "MVIN": "movement number (iTunes)", "MVNM": "movement name (iTunes)",
+    "NCON": "MusicMatch binary blob", "OWNE": "ownership", "PCNT": "play counter", "POPM": "popularimeter (rating / play count)", "POSS": "position synchronisation", "PRIV": "private data",
+    "RGAD": "replay gain (non-standard)", "RVA2": "relative volume adjustment", "RVAD": "relative volume adjustment (v2.3)", "SEEK": "seek frame", "SYLT": "synchronised lyrics", "SYTC": "synchronised tempo",
+    "TALB": "album", "TBPM": "beats per minute", "TCMP": "part of a compilation (iTunes)", "TCOM": "composer", "TCON": "genre", "TCOP": "copyright", "TDAT": "date DDMM (v2.3)", "TDEN": "encoding time",
+    "TDLY": "playlist delay", "TDOR": "original release date", "TDRC": "recording date (v2.4)", "TDRL": "release date", "TDTG": "tagging time", "TENC": "encoded by", "TEXT": "lyricist", "TFLT": "file type",
+    "TIME": "time (v2.3)", "TIPL": "involved people (v2.4)", "TIT1": "content group", "TIT2": "title", "TIT3": "subtitle", "TKEY": "initial key", "TLAN": "language", "TLEN": "length in ms",
+    "TMCL": "musician credits", "TMED": "media type", "TMOO": "mood", "TOAL": "original album", "TOFN": "original filename", "TOLY": "original lyricist", "TOPE": "original artist", "TORY": "original release year",
+    "TOWM": "owner", "TOWN": "owner", "TPE1": "artist", "TPE2": "album artist / band", "TPE3": "conductor", "TPE4": "remixer", "TPOS": "disc number", "TPRO": "produced notice", "TPUB": "publisher / label",
+    "TRCK": "track number", "TRDA": "recording dates (v2.3)", "TSO2": "album artist sort (iTunes)", "TSOA": "album sort order", "TSOC": "composer sort (iTunes)", "TSOP": "artist sort order", "TSOT": "title sort order",
+    "TSRC": "ISRC", "TSSE": "encoder settings", "TSST": "set subtitle", "TXXX": "user-defined text", "TYER": "year (v2.3)", "UFID": "unique file id (MusicBrainz)", "USER": "terms of use", "USLT": "unsynchronised lyrics",
+    "WCOM": "commercial info URL", "WCOP": "copyright URL", "WOAF": "file web page", "WOAR": "artist web page", "WOAS": "source web page", "WORS": "radio station URL", "WPAY": "payment URL", "WPUB": "publisher URL",
+    "WXXX": "user-defined URL",
+}
 #: What a strip keeps unless told otherwise.
 KEEP = ("title", "artist", "album", "albumartist", "track", "disc", "genre", "date", "compilation", "composer", "artwork", "titlesort", "artistsort", "albumsort", "albumartistsort", "gapless", "soundcheck", "itunes")
 
@@ -85,6 +102,13 @@ def resolve(raw: DataFrame) -> DataFrame:
     return raw.join(dim, F.when(F.char_length(key) > 4, trim(key)).otherwise(key) == F.col("vkey"), "left").withColumn("field", F.coalesce("vfield", F.lit(""))).drop("vkey", "vfield")
 
 
+def meaning(frame: Column) -> Column:
+    """What an ID3v2 frame holds, in words; frames of v2.2 are named after their later ones."""
+    words = F.create_map(*[F.lit(x) for pair in MEANINGS.items() for x in pair])
+    later = F.create_map(*[F.lit(x) for pair in V22.items() for x in pair])
+    return F.coalesce(words[frame], F.concat(words[later[frame]], F.lit(" (v2.2)")), F.lit("unknown"))
+
+
 def parse_keep(names: list[str]) -> set[str]:
     """Canonical tags of names in any vocabulary; 'default' stands for KEEP."""
     known = _names()

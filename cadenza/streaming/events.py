@@ -1,8 +1,8 @@
 """The change stream: numbered events, replay with gaps, and rate limits; as tables and as streams.
 
 As a table, events are numbered within an epoch in order of time. As a stream, sequenced() keeps the
-last number of each epoch in state. A subscriber that resumes gets what it
-missed, or one gap event where history no longer reaches back.
+last number of each epoch in state, and published() its last HISTORY events too, from which it answers
+subscribers that resume: with what they missed, or one gap event where history no longer reaches back.
 """
 
 from __future__ import annotations
@@ -113,6 +113,46 @@ def sequenced(stream: DataFrame, epoch: str = "epoch") -> DataFrame:
     return stream.groupBy(epoch).applyInPandasWithState(number, "epoch string, id long, type string, seq long", "n long", "append", "NoTimeout")
 
 
+def published(stream: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """A stream of events and subscriptions, numbered and answered.
+
+    In: epoch, id, type; a subscription has its subscriber's id and `after`, the last number it knows, of the
+    epoch `known` (without one it has nothing to make up for). Out: epoch, subscriber (null: for all), seq, id, type, missed. A batch's events come first,
+    then its subscriptions are answered up to there; who subscribes follows the events of later batches.
+    State per epoch is its last number and its last `keep` events.
+    """
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, ids, types = state.get if state.exists else (0, (), ())
+        rows = pd.concat(list(pdfs))
+        asked = rows["after"].notna()
+        events = rows[~asked].sort_values(["id", "type"])
+        out = [(key[0], None, n + k, i, t, None) for k, (i, t) in enumerate(zip(events["id"], events["type"], strict=True), 1)]
+        n += len(events)
+        ids, types = [*ids, *events["id"].tolist()][-keep:], [*types, *events["type"].tolist()][-keep:]
+        first = n - len(ids) + 1
+        for who, after, known in rows[asked & rows["known"].fillna("").ne("")].sort_values(["id", "after"])[["id", "after", "known"]].itertuples(index=False):
+            missed = -1 if known != key[0] else first - int(after) - 1
+            if known != key[0] or after < first - 1:
+                out.append((key[0], who, n, None, "gap", missed))
+            else:
+                out += [(key[0], who, s, ids[s - first], types[s - first], None) for s in range(max(first, int(after) + 1), n + 1)]
+        state.update((n, ids, types))
+        yield pd.DataFrame(out, columns=["epoch", "subscriber", "seq", "id", "type", "missed"]).astype({"subscriber": "Int64", "id": "Int64", "missed": "Int64"})
+
+    kind = "epoch string, subscriber long, seq long, id long, type string, missed long"
+    return stream.groupBy("epoch").applyInPandasWithState(run, kind, "n long, ids array<long>, types array<string>", "append", "NoTimeout")
+
+
+def delivered(stream: DataFrame, folder: str, checkpoint: str, every: str = "1 second"):
+    """Write published events as JSON lines, event_id being epoch:seq; a batch that is run again replaces its own folder."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("event_id", F.concat_ws(":", "epoch", "seq")).write.mode("overwrite").json(f"{folder}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def rescans(stream: DataFrame, work, every: str = "1 minute", checkpoint: str | None = None):
     """Run work(batch, id) on what arrived, at most once per interval and never twice at a time."""
     writer = stream.writeStream.foreachBatch(work).trigger(processingTime=every)

@@ -33,6 +33,27 @@ def test_jobs(spark):
     assert [r.id for r in ev.job_page(jobs, limit=-1).collect()] == ["3", "2", "1"]
 
 
+def test_published_stream_answers_from_its_ring(spark, tmp_path):
+    import json
+
+    src, kind = f"{tmp_path}/in", "epoch string, id long, type string, after long, known string"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+
+    arrive([("e", k, f"t{k}", None, None) for k in range(6)] + [("e", 90, "sub", 3, "e")])
+    arrive([("e", k, f"t{k}", None, None) for k in range(6, 9)] + [("e", 91, "sub", 2, "e"), ("e", 92, "sub", 9, "e"), ("e", 93, "sub", 1, "old"), ("e", 94, "sub", 0, None), ("e", 95, "sub", 5, "e"), ("f", 7, "t", None, None)])
+    stream = ev.published(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src), keep=4)
+    q = ev.delivered(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    q.processAllAvailable()
+    q.stop()
+    rows = [json.loads(x) for f in (tmp_path / "out").glob("batch=*/*.json") for x in f.read_text().splitlines()]
+    to_all = sorted((r["event_id"], r["type"]) for r in rows if "subscriber" not in r)
+    assert to_all == sorted([(f"e:{k + 1}", f"t{k}") for k in range(9)] + [("f:1", "t")])
+    told = sorted((r["subscriber"], r["type"], r["seq"], r.get("missed")) for r in rows if "subscriber" in r)
+    assert told == [(90, "t3", 4, None), (90, "t4", 5, None), (90, "t5", 6, None), (91, "gap", 9, 3), (93, "gap", 9, -1), (95, "t5", 6, None), (95, "t6", 7, None), (95, "t7", 8, None), (95, "t8", 9, None)]
+
+
 def test_stream_numbers_on(spark, tmp_path):
     src, kind = f"{tmp_path}/in", "epoch string, id long, type string"
     spark.createDataFrame([("e", k, "t") for k in range(4)] + [("f", 9, "t")], kind).coalesce(1).write.parquet(src)

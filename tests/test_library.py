@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza import schema
 from cadenza.functions import hashing, sql
 from cadenza.library import Library
-from cadenza.operators.edit import NotFound, Selector
+from cadenza.operators.edit import BadPath, Conflict, NotFound, Selector, cover_name, resolve_dest
 from cadenza.sources import store
 
 
@@ -68,6 +69,46 @@ def test_rescans_survive_changes(spark, tmp_path):
     assert later.count("genre:jazz") == 0 and later.count() == 3
 
 
+def test_moves_and_unsaved_tracks(spark, tmp_path):
+    lib = Library(store.generate(spark, 12), ("/music",), f"{tmp_path}/home")
+    lib.save(f"{tmp_path}/saved")
+    assert lib.dirty_count(f"{tmp_path}/saved") == 0
+    first, second = lib.tracks(limit=2).items.collect()
+    ending = first.path[first.path.rindex("."):]
+    job = lib.move(first.id, f" new name{ending.upper()} ", first.version)
+    moved = first.path[: first.path.rindex("/")] + "/new name" + ending.upper()
+    assert job.result["changed"] == 1 and lib.df.where(F.col("path") == moved).count() == 1 and lib.dirty_count(f"{tmp_path}/saved") == 1
+    lib.undo(job.id)
+    assert lib.dirty_count(f"{tmp_path}/saved") == 0
+    with pytest.raises(Conflict):
+        lib.move(first.id, second.path)
+    with pytest.raises(Conflict):
+        lib.move(first.id, "x" + ending, "stale")
+    lib._scanning.acquire()
+    with pytest.raises(Conflict):
+        lib.scan()
+
+
+@pytest.mark.parametrize(("dest", "want"), [
+    ("b.mp3", "/music/a/b.mp3"), ("../b.MP3", "/music/b.MP3"), (" /music/x/./y.mp3", "/music/x/y.mp3"), ("/music-old/b.mp3", None), ("../../b.mp3", None),
+    ("", None), ("b/", None), ("b.flac", None), ("..", None), ("/", None), ("b", None),
+])
+def test_destinations(dest, want):
+    if want is None:
+        with pytest.raises(BadPath):
+            resolve_dest("/music/a/t.mp3", dest, ("/music",))
+    else:
+        assert resolve_dest("/music/a/t.mp3", dest, ("/music",)) == want
+    assert resolve_dest("/else/t.mp3", "u.mp3", ()) == "/else/u.mp3"
+
+
+def test_cover_names():
+    assert [cover_name(n) for n in ("cover.jpg", "Front.PNG", "art")] == ["cover.jpg", "Front.PNG", "art"]
+    for bad in ("a/b.jpg", "a\\b.jpg", ".", "..", ".x.jpg", "a.txt", ""):
+        with pytest.raises(BadPath):
+            cover_name(bad)
+
+
 def test_only_heads_are_read(tmp_path):
     from cadenza.sources import files, tags
 
