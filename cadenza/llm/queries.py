@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, fingerprints, langid, licenses, line_dedup, packing, simhash_dedup, substring_dedup, warc
+from . import chat, common, decontaminate, fingerprints, langid, licenses, line_dedup, packing, periodic_runs, simhash_dedup, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one text in ten, told by its id, repeats a stretch of its words to its end."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    told = docs.select("doc_id", "text", F.when((crc % 10 == 0) & F.col("text").isNotNull(), words).alias("w"), F.floor(crc / 10).alias("g"))
+    n = F.size("w").cast("long")
+    begin = F.col("g") % n
+    period = 1 + F.floor((n - begin) / (3 + F.col("g") % 8))
+    placed = told.withColumn("a", F.when(n > 0, begin)).withColumn("p", F.when(n > 0, period))
+    repeated = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(with_periods(_read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -123,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Letters outside ASCII in the test texts; DuckDB's levenshtein counts bytes, so each becomes one byte first.
