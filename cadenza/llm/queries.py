@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, fingerprints, langid, licenses, line_dedup, packing, periodic_runs, simhash_dedup, substring_dedup, warc
+from . import chat, common, decontaminate, fingerprints, impact_index, langid, licenses, line_dedup, packing, periodic_runs, simhash_dedup, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), "clean_text")
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.rank(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where one text in ten, told by its id, repeats a stretch of its words to its end."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -153,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
+    "op11_impact_search": op11_impact_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -214,5 +219,17 @@ SELECT documents.doc_id, CAST(count(no) AS INTEGER) AS n_lines, CAST(count(no) F
   coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (out), '') AS removed,
   CASE WHEN count(no) FILTER (out) = 0 THEN any_value(text) ELSE coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT out), '') END AS clean_text
 FROM documents LEFT JOIN marked ON marked.doc_id = documents.doc_id GROUP BY documents.doc_id
+""",
+    "op11_impact_search": r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+e AS (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM e GROUP BY row, term),
+s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, row)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10
 """,
 }
