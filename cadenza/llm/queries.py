@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, fingerprints, impact_index, langid, licenses, line_dedup, packing, periodic_runs, simhash_dedup, substring_dedup, warc
+from . import chat, common, decontaminate, fingerprints, impact_index, jaccard_join, langid, licenses, line_dedup, packing, periodic_runs, simhash_dedup, substring_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +116,10 @@ def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_index.rank(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where one text in ten, told by its id, repeats a stretch of its words to its end."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -158,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
     "op11_impact_search": op11_impact_search,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -231,5 +236,18 @@ p AS (SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((100000000
   FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, row)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10
+""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3]))) END AS g FROM t),
+n AS MATERIALIZED (SELECT md5(array_to_string(g, chr(10))) AS node, min(doc_id) AS least, any_value(g) AS g, any_value(len(g)) AS n FROM s WHERE len(g) > 0 GROUP BY node),
+e AS MATERIALIZED (SELECT node, n, unnest(g) AS x FROM n),
+c AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT node, node AS other FROM n UNION SELECT reach.node, c.b FROM reach JOIN c ON c.a = reach.other),
+named AS (SELECT reach.node, min(n.least) AS component_id FROM reach JOIN n ON n.node = reach.other GROUP BY reach.node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) > 0 THEN named.component_id ELSE s.doc_id END AS component_id
+FROM s LEFT JOIN named ON named.node = md5(array_to_string(s.g, chr(10)))
 """,
 }
