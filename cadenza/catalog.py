@@ -226,28 +226,29 @@ _add("parse_year", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("pag
 _GENRES = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in text.GENRES) + "]"
 _add("normalise_genre", lambda s, d: s.read.parquet(f"{d}/part.parquet").withColumn("no", (F.col("p_partkey") % 160).cast("string")).select("p_partkey", text.normalise_genre(F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("("), "no", F.lit(")"))).when(F.col("p_size") % 4 == 1, F.col("no")).when(F.col("p_size") % 4 == 2, F.concat(F.lit(" ("), F.col("p_brand"), F.lit(")"))).otherwise(F.concat(F.lit("("), "no", F.lit(")"), F.col("p_type")))).alias("genre")),
      f"SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN p_type WHEN 2 THEN p_brand ELSE coalesce({_GENRES}[p_partkey % 160 + 1], CAST(p_partkey % 160 AS VARCHAR)) END AS genre FROM part")
-_RAW_KEYS = [k for f, kinds in rawtags.VOCABULARY.items() for k in (f, *[x for keys in kinds for x in keys])] + [*rawtags.V22, "Odd", "TXXX:Mood"]
-
-
-def _raw_sql() -> str:
-    """Every native key with the tag that the tables give it."""
-    native = {k.upper(): f for f, kinds in rawtags.VOCABULARY.items() for keys in kinds for k in keys}
-    field = lambda k: native.get(k.upper()) or next((f for f in rawtags.VOCABULARY if f.upper() == k.upper()), None) or native.get(rawtags.V22.get(k, ""), "")
-    return ", ".join(f"({n}, '{k}', '{field(k)}')" for n, k in enumerate(_RAW_KEYS))
+#: What raw tags mean, written out apart from the operator's tables: format, then key=tag.
+_RAW_TAGS = {
+    "mp3": "TIT2=title TPE1=artist TPE2=albumartist TALB=album TRCK=track TPOS=disc TCON=genre TYER=date TDRC=date TDRL=date TDAT=date TRDA=date TCMP=compilation TCOM=composer TSO2=albumartistsort TSOP=artistsort APIC=artwork COMM=comment USLT=lyrics TPUB=publisher TSSE=encoder TENC=encoder GRP1=grouping TPE4=remixer TOPE=originaldate RVA2=replaygain UFID=musicbrainz POPM=rating WXXX=url PRIV=private GEOB=private CHAP=chapters TFLT= ZZZZ= TT2=title TP1=artist TCP=compilation COM=comment PIC=artwork TXT=lyricist tit2= TITLE="
+    " COMM:iTunSMPB=gapless COMM:iTunPGAP=gapless COMM:iTunNORM=soundcheck COMM:iTunes_CDDB_IDs=itunes COMM:my_own=comment COMM:ID3v1_Comment=comment COMM:=comment TXXX:iTunMOVI=itunes TXXX:REPLAYGAIN_TRACK_GAIN=replaygain TXXX:replaygain_album_peak=replaygain TXXX:MusicBrainz_Album_Id=musicbrainz TXXX:MusicIP_PUID=musicbrainz TXXX:Acoustid_Id=acoustid TXXX:Mood=mood TXXX:TCMP=compilation TXXX:comment=comment TXXX:ALBUMARTIST=albumartist TXXX:soundcheck=soundcheck TXXX:WORK= TXXX:= TXXX=",
+    "flac": "TITLE=title title=title Artist=artist PERFORMER=artist ENSEMBLE=albumartist TRACKTOTAL=track TOTALDISCS=disc DATE=date YEAR=date RELEASEDATE=date METADATA_BLOCK_PICTURE=artwork PICTURE=artwork DESCRIPTION=comment ORGANIZATION=publisher ENCODED-BY=encoder CONTENTGROUP=grouping MIXARTIST=remixer VERSION=subtitle ORIGINALYEAR=originaldate FMPS_RATING=rating WWW=url LICENSE=copyright REPLAYGAIN_TRACK_PEAK=replaygain MUSICBRAINZ_TRACKID=musicbrainz ACOUSTID_FINGERPRINT=acoustid iTunNORM=soundcheck ITUNSMPB=gapless ITUNES_CDDB=itunes TCMP=compilation gapless=gapless DISCID=",
+    "mp4": "©nam=title ©ART=artist aART=albumartist ©alb=album trkn=track disk=disc gnre=genre ©gen=genre ©day=date cpil=compilation soco=composersort covr=artwork ©cmt=comment pgap=gapless ©lyr=lyrics tmpo=bpm cprt=copyright ©too=encoder shwm=movement ©st3=subtitle purl=url chpl=chapters stik=itunes apID=itunes xid_=itunes hdvd=itunes ©NAM= wxyz= ----:iTunSMPB=gapless ----:iTunNORM=soundcheck ----:com.apple.iTunes:iTunPGAP=gapless ----:com.apple.iTunes:tool=itunes ----:com.apple.iTunes:Encoding_Params=itunes ----:com.apple.iTunes:MusicBrainz_Artist_Id=musicbrainz ----:com.apple.iTunes:LABEL=publisher ----:org.example.app:LABEL=publisher ----:org.example.app:own= ----:own= ----=",
+    "wav": "TIT2= INAM=",
+}
+_RAW_ROWS = [(f, *x.replace("_", " ").rsplit("=", 1)) if ":" in x or x.startswith("xid_") else (f, *x.rsplit("=", 1)) for f, tags in _RAW_TAGS.items() for x in tags.split()]
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    """One raw tag for each part, its key dealt out over all native keys."""
-    keys = F.array(*map(F.lit, _RAW_KEYS))
-    rows = s.read.parquet(f"{d}/part.parquet")
-    return rows.select(F.concat(F.lit("/"), "p_name", F.lit("/"), (F.col("p_partkey") / 3).cast("long").cast("string")).alias("path"), F.lower("p_type").alias("format"), F.element_at(keys, (F.col("p_partkey") % len(_RAW_KEYS) + 1).cast("int")).alias("key"), F.col("p_brand").alias("value"), F.col("p_size").cast("long").alias("bytes"), F.lit(0).alias("n"), "p_partkey")
+    """One raw tag for each part, its format and key dealt out over the list."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("format"), F.lit(k).alias("key")) for f, k, _ in _RAW_ROWS])
+    rows = s.read.parquet(f"{d}/part.parquet").withColumn("k", F.element_at(pairs, (F.col("p_partkey") % len(_RAW_ROWS) + 1).cast("int")))
+    return rows.select(F.concat(F.lit("/"), "p_name", F.lit("/"), (F.col("p_partkey") / 3).cast("long").cast("string")).alias("path"), "k.format", "k.key", F.col("p_brand").alias("value"), F.col("p_size").cast("long").alias("bytes"), F.lit(0).alias("n"), "p_partkey")
 
 
-_KEPT_TAGS = ", ".join(f"'{k}'" for k in rawtags.KEEP)
-_RAW = f"WITH k(n, key, field) AS (VALUES {_raw_sql()}), r AS (SELECT part.*, k.key, k.field, '/' || p_name || '/' || CAST(p_partkey // 3 AS VARCHAR) AS path FROM part JOIN k ON k.n = p_partkey % {len(_RAW_KEYS)})"
-_add("raw_resolve", lambda s, d: rawtags.strip_plan(_raw(s, d)).select("p_partkey", "key", "field", "kept"), f"{_RAW} SELECT p_partkey, key, field, field IN ({_KEPT_TAGS}) AS kept FROM r")
+_KEPT_TAGS = "'title', 'artist', 'album', 'albumartist', 'track', 'disc', 'genre', 'date', 'compilation', 'composer', 'artwork', 'titlesort', 'artistsort', 'albumsort', 'albumartistsort', 'gapless', 'soundcheck', 'itunes'"
+_RAW = f"WITH k(n, format, key, field) AS (VALUES {', '.join(f"({n}, '{f}', '{k}', '{t}')" for n, (f, k, t) in enumerate(_RAW_ROWS))}), r AS (SELECT part.*, k.format, k.key, k.field, '/' || p_name || '/' || CAST(p_partkey // 3 AS VARCHAR) AS path FROM part JOIN k ON k.n = p_partkey % {len(_RAW_ROWS)})"
+_add("raw_resolve", lambda s, d: rawtags.strip_plan(_raw(s, d)).select("p_partkey", "format", "key", "field", "kept"), f"{_RAW} SELECT p_partkey, format, key, field, field IN ({_KEPT_TAGS}) AS kept FROM r")
 _add("strip_report", lambda s, d: rawtags.strip_report(rawtags.strip_plan(_raw(s, d))).select("format", "key", "field", "tracks", "bytes"),
-     f"{_RAW} SELECT lower(p_type) AS format, key, field, count(DISTINCT path) AS tracks, CAST(sum(p_size) AS BIGINT) AS bytes FROM r WHERE field NOT IN ({_KEPT_TAGS}) GROUP BY 1, 2, 3")
+     f"{_RAW} SELECT format, key, field, count(DISTINCT path) AS tracks, CAST(sum(p_size) AS BIGINT) AS bytes FROM r WHERE field NOT IN ({_KEPT_TAGS}) GROUP BY 1, 2, 3")
 _MEANT = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.MEANINGS.items())
 _OLDER = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.V22.items())
 _add("frame_meaning", lambda s, d: _raw(s, d).select("p_partkey", "key", rawtags.meaning(F.col("key")).alias("meaning")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_key, trim
+from ..functions.text import normalise_genre, parse_year, trim
 
 #: Canonical tags with their ID3v2 frames, Vorbis comments and MP4 atoms.
 VOCABULARY = {
@@ -83,23 +83,69 @@ MEANINGS = {
 KEEP = ("title", "artist", "album", "albumartist", "track", "disc", "genre", "date", "compilation", "composer", "artwork", "titlesort", "artistsort", "albumsort", "albumartistsort", "gapless", "soundcheck", "itunes")
 
 
-def _names() -> dict[str, str]:
-    """Canonical tags by every native key and by their own names, in upper case."""
-    own = {f.upper(): f for f in VOCABULARY}
-    native = {k.upper(): f for f, kinds in VOCABULARY.items() for keys in kinds for k in keys}
-    return own | native | {old: native[new] for old, new in V22.items() if new in native}
+#: What tags hold, in words.
+SAYS = {
+    "title": "song title", "artist": "track artist", "album": "album name", "albumartist": "album artist; keeps compilations together", "track": "track number", "disc": "disc number", "genre": "genre",
+    "date": "release year or date", "compilation": "compilation flag; stops Various Artists albums splitting", "composer": "composer", "titlesort": "title sort order", "artistsort": "artist sort order",
+    "albumsort": "album sort order", "albumartistsort": "album artist sort order", "composersort": "composer sort order", "artwork": "embedded cover art", "comment": "free-text comment",
+    "gapless": "gapless playback data (iTunSMPB); losing it breaks gapless", "soundcheck": "iTunes volume normalisation (iTunNORM)", "lyrics": "lyrics", "publisher": "label or publisher", "isrc": "ISRC recording identifier",
+    "bpm": "beats per minute", "key": "musical key", "mood": "mood", "language": "language", "copyright": "copyright notice", "encoder": "encoder name and settings", "grouping": "work or grouping",
+    "movement": "movement name and number", "conductor": "conductor", "lyricist": "lyricist", "remixer": "remixer", "subtitle": "subtitle or version", "originaldate": "original release date", "mediatype": "source media",
+    "replaygain": "loudness normalisation", "musicbrainz": "MusicBrainz identifiers", "acoustid": "AcoustID fingerprint", "rating": "rating and play count", "url": "web links", "private": "application private data",
+    "chapters": "chapter markers", "itunes": "iTunes store, purchase and player fields",
+}
+#: Descriptions of extensible fields, whole or by how they begin (in this order), in upper case.
+DESCRIBED = {"ITUNSMPB": "gapless", "ITUNPGAP": "gapless", "ITUNNORM": "soundcheck"}
+DESCRIBED_PREFIX = {"ITUN": "itunes", "REPLAYGAIN": "replaygain", "MUSICBRAINZ": "musicbrainz", "MUSICIP": "musicbrainz", "ACOUSTID": "acoustid"}
+#: Vorbis comments that are read and would be written under another name.
+ALIASES = ("PERFORMER", "ALBUM ARTIST", "ENSEMBLE", "YEAR", "DESCRIPTION", "ENCODED-BY", "ORGANIZATION", "UNSYNCEDLYRICS", "MIXARTIST", "CONTENTGROUP")
+APPLE = "com.apple.iTunes"
+FORMATS = {"mp3": "id3", "flac": "vorbis", "ogg": "vorbis", "opus": "vorbis", "mp4": "mp4"}
+
+
+def _native(kind: int) -> dict[str, str]:
+    return {k: f for f, kinds in VOCABULARY.items() for k in kinds[kind]}
+
+
+def _described() -> dict[str, str]:
+    """Tags by a description, in upper case: by the names of Vorbis comments, else of ID3 frames, else of the tags themselves."""
+    return {f.upper(): f for f in VOCABULARY} | _native(0) | _native(1)
 
 
 def vocabulary(spark) -> DataFrame:
-    """(key, field) for every native key, in upper case: a dimension of a few hundred rows."""
-    return spark.createDataFrame(sorted(_names().items()), "vkey string, vfield string")
+    """(vkey, vfield, exact) of native keys and descriptions, each key led by its kind: a dimension of a few hundred rows.
+
+    exact: a tag's own name, which counts as a description only without blanks around it.
+    """
+    id3, own = _native(0), _native(0).keys() | _native(1).keys()
+    rows = [(f"id3 {k}", f, False) for k, f in id3.items()] + [(f"id3 {old}", id3[new], False) for old, new in V22.items() if new in id3]
+    rows += [(f"mp4 {k}", f, False) for k, f in _native(2).items()] + [("vorbis PICTURE", "artwork", False)]
+    return spark.createDataFrame(rows + [(f"described {k}", f, k not in own) for k, f in _described().items()], "vkey string, vfield string, exact boolean")
 
 
 def resolve(raw: DataFrame) -> DataFrame:
-    """raw (path, format, key, value, bytes, n) with field, the canonical name or ''."""
-    dim = F.broadcast(vocabulary(raw.sparkSession))  # fixed size
-    key = F.upper(F.col("key"))
-    return raw.join(dim, F.when(F.char_length(key) > 4, trim(key)).otherwise(key) == F.col("vkey"), "left").withColumn("field", F.coalesce("vfield", F.lit(""))).drop("vkey", "vfield")
+    """raw (path, format, key, value, bytes, n) with field, the canonical name or ''.
+
+    What a key means depends on the format. Keys of extensible fields bear their description after a colon
+    (TXXX:, COMM:, ----:), which decides: by whole name, then by how it begins, then by any vocabulary. A comment
+    that no description tells otherwise is a comment. A freeform atom's namespace (column mean, or between two colons) counts last.
+    Other formats than MP3, FLAC, Ogg, Opus and MP4 have no raw tags that are known here.
+    """
+    spark, key, kind = raw.sparkSession, F.col("key"), F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])[F.lower("format")]
+    tail = F.regexp_extract("key", r"(?s)^[^:]*:(.*)$", 1)
+    spaced = F.regexp_extract(tail, r"(?s)^([\w-]+(?:\.[\w-]+)+):(.*)$", 1)
+    mean = F.coalesce(F.nullif("mean", F.lit("")), spaced) if "mean" in raw.columns else spaced
+    frame = F.substring_index("key", ":", 1)
+    freeform, user, comment = (kind == "mp4") & (frame == "----"), (kind == "id3") & frame.isin("TXXX", "TXX"), (kind == "id3") & frame.isin("COMM", "COM")
+    about = F.when(kind == "vorbis", key).when(freeform, F.when(spaced != "", F.substr(tail, F.char_length(spaced) + 2)).otherwise(tail)).when(user | comment, tail)
+    told = trim(F.upper(about))
+    by_rule = F.coalesce(*[F.when(told == k, F.lit(f)) for k, f in DESCRIBED.items()], *[F.when(told.startswith(k), F.lit(f)) for k, f in DESCRIBED_PREFIX.items()])
+    looked = F.when((kind == "vorbis") & (key == "PICTURE"), F.lit("vorbis PICTURE")).when(about.isNotNull(), F.concat(F.lit("described "), told)).otherwise(F.concat(kind, F.lit(" "), key))
+    rows = raw.withColumns({"__rule": by_rule, "__key": looked, "__about": about, "__else": F.when(comment, "comment").when(freeform & (mean == APPLE), "itunes").otherwise("")})
+    dim = F.broadcast(vocabulary(spark))  # fixed size
+    found = F.when(~F.col("exact") | (F.col("__about") == trim(F.col("__about"))), F.col("vfield"))
+    joined = rows.join(dim, F.col("__key") == F.col("vkey"), "left").withColumn("field", F.coalesce("__rule", found, "__else"))
+    return joined.drop("vkey", "vfield", "exact", "__rule", "__key", "__about", "__else")
 
 
 def meaning(frame: Column) -> Column:
@@ -109,16 +155,21 @@ def meaning(frame: Column) -> Column:
     return F.coalesce(words[frame], F.concat(words[later[frame]], F.lit(" (v2.2)")), F.lit("unknown"))
 
 
+def tag_meaning(field: Column, frame: Column, format: Column) -> Column:
+    """What a raw tag holds: what its canonical tag does, else for an ID3v2 frame what such frames do."""
+    words = F.create_map(*[F.lit(x) for pair in SAYS.items() for x in pair])
+    return F.coalesce(words[field], F.when(format == "mp3", meaning(frame)), F.lit(""))
+
+
 def parse_keep(names: list[str]) -> set[str]:
-    """Canonical tags of names in any vocabulary; 'default' stands for KEEP."""
-    known = _names()
-    out: set[str] = set()
-    for n in names:
-        if n.strip().lower() == "default":
+    """Canonical tags of names in any vocabulary (MP4 atoms in their own case); 'default' stands for KEEP."""
+    atoms, out = _native(2), set()
+    for n in map(str.strip, names):
+        if n.lower() == "default":
             out |= set(KEEP)
-        elif n.strip().upper() in known:
-            out.add(known[n.strip().upper()])
-        elif n.strip():
+        elif found := n.lower() if n.lower() in VOCABULARY else _native(0).get(n.upper()) or _native(1).get(n.upper()) or atoms.get(n):
+            out.add(found)
+        elif n:
             raise ValueError(f"{n!r} is not a tag")
     return out
 
@@ -158,9 +209,24 @@ def edit_raw(raw: DataFrame, key: str, value: str | None) -> tuple[DataFrame, Da
     return after.select(*raw.columns), errors
 
 
-def non_canonical(raw: DataFrame) -> DataFrame:
-    """Rows whose description says a canonical tag under another key."""
-    return resolve(raw).where((F.col("field") == "") & letters_key(F.col("key")).isin(*[k.upper() for k in VOCABULARY]))
+def non_canonical(plan: DataFrame) -> DataFrame:
+    """(path, fields): kept tags that files hold otherwise than they would be written, of a strip's plan.
+
+    These are: any of an ID3v2.2 tag (column v22), a user-defined frame for what has one of its own, a genre as a number, a date
+    of more than a year, a Vorbis comment under a name that is only read, and a year without a release date beside it.
+    """
+    of = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])[F.lower("format")]
+    text, frame, field = F.coalesce(F.col("text") if "text" in plan.columns else F.lit(None), "value"), F.substring_index("key", ":", 1), F.col("field")
+    framed = field.isin(*_native(0).values())
+    by_key = F.when(of == "id3", (F.col("v22") if "v22" in plan.columns else F.lit(False)) | ((frame == "TXXX") & framed)).when(of == "vorbis", F.upper("key").isin(*ALIASES)).when(of == "mp4", F.col("key") == "gnre")
+    genre = (of == "id3") & (field == "genre") & (normalise_genre(text) != text)
+    dated = (field == "date") & date_beyond_year(text, parse_year(text)) & ((of != "mp4") | (F.col("key") == "©day"))
+    rows = plan.withColumn("__odd", F.coalesce(by_key, F.lit(False)) | genre | dated)
+    year = ((of == "id3") & frame.isin("TYER", "TDRC")) | ((of == "vorbis") & F.upper("key").isin("DATE", "YEAR") & (trim(text) != ""))
+    release = ((of == "id3") & (frame == "TDRL")) | ((of == "vorbis") & (F.upper("key") == "RELEASEDATE") & (trim(text) != ""))
+    kept = rows.where("kept").groupBy("path").agg(F.collect_set(F.when(F.col("__odd"), field)).alias("odd"), F.max(year).alias("y"), F.max(release).alias("r"))  # as many as there are tags
+    fields = F.array_sort(F.array_union("odd", F.when(F.col("y") & ~F.col("r"), F.array(F.lit("date"))).otherwise(F.array().cast("array<string>"))))
+    return kept.select("path", fields.alias("fields")).where(F.size("fields") > 0)
 
 
 def date_beyond_year(date: Column, year: Column) -> Column:

@@ -97,15 +97,54 @@ def test_raw_tags(spark):
 
 
 def test_vocabulary(spark):
-    """Every native key resolves to its tag, in any case, and frames of ID3v2.2 by their successors."""
-    want = {k: f for f, kinds in rawtags.VOCABULARY.items() for keys in kinds for k in keys}
-    want |= {old: want.get(new, "") for old, new in rawtags.V22.items()} | {"title": "title", "Nonsense": ""}
-    raw = spark.createDataFrame([("/a", "mp3", k, "v", 1, 0) for k in want] + [("/a", "mp3", "tyer", "v", 1, 0)], "path string, format string, key string, value string, bytes int, n int")
-    got = {r.key: r.field for r in rawtags.resolve(raw).collect()}
-    assert got == want | {"tyer": "date"}
+    """Every native key of a format resolves to its tag, and frames of ID3v2.2 by their successors; Vorbis comments in any case."""
+    of = {f: {k: name for name, kinds in rawtags.VOCABULARY.items() for k in kinds[n]} for n, f in enumerate(("mp3", "flac", "mp4"))}
+    of["mp3"] |= {old: of["mp3"].get(new, "") for old, new in rawtags.V22.items()} | {"COM": "comment", "tyer": "", "Nonsense": "", "DATE": ""}
+    of["opus"] = {k.lower(): v for k, v in of["flac"].items()} | {"PICTURE": "artwork", "TIT2": "title", "soundcheck": "soundcheck"}
+    of["wav"] = {"TIT2": ""}
+    raw = spark.createDataFrame([("/a", f, k, "v", 1, 0) for f, keys in of.items() for k in keys], "path string, format string, key string, value string, bytes int, n int")
+    got = {f: {} for f in of}
+    for r in rawtags.resolve(raw).collect():
+        got[r.format][r.key] = r.field
+    assert got == of
     kept = {r.key for r in rawtags.strip_plan(raw).where("kept").collect()}
     assert {"TYER", "TYE", "ALBUM ARTIST", "gnre", "pgap", "stik"} <= kept and not {"TSSE", "POPM", "MUSICBRAINZ"} & kept
-    assert len(rawtags.VOCABULARY) == 44 and len(rawtags.KEEP) == 18 and set(rawtags.KEEP) <= set(rawtags.VOCABULARY)
+    assert len(rawtags.VOCABULARY) == 44 and len(rawtags.KEEP) == 18 and set(rawtags.KEEP) <= set(rawtags.VOCABULARY) == set(rawtags.SAYS)
+
+
+#: (format, key, tag, whether a default strip keeps it), by the rules for descriptions.
+DESCRIBED = [
+    ("mp3", "COMM:iTunSMPB", "gapless", True), ("mp3", "TXXX:iTunPGAP", "gapless", True), ("mp3", "TXXX: itunnorm ", "soundcheck", True), ("mp3", "COMM:iTunes_CDDB_1", "itunes", True), ("mp3", "COMM", "comment", False),
+    ("mp3", "COMM:anything", "comment", False), ("mp3", "COMM:ID3v1 Comment", "comment", False), ("mp3", "TXXX:TCMP", "compilation", True), ("mp3", "TXXX:comment", "comment", False), ("mp3", "TXXX:Mood", "mood", False),
+    ("mp3", "TXXX:replaygain_track_gain", "replaygain", False), ("mp3", "TXXX:MusicBrainz Artist Id", "musicbrainz", False), ("mp3", "TXXX:MusicIP PUID", "musicbrainz", False), ("mp3", "TXXX:Acoustid Id", "acoustid", False),
+    ("mp3", "TXXX:Gapless", "gapless", True), ("mp3", "TXXX:gapless ", "", False), ("mp3", "TXXX:anything", "", False), ("mp3", "TXXX", "", False), ("mp3", "TXX:mood", "mood", False), ("mp3", "COM:iTunNORM", "soundcheck", True),
+    ("flac", "iTunSMPB", "gapless", True), ("flac", "ITUNNORM", "soundcheck", True), ("flac", "REPLAYGAIN_ALBUM_PEAK", "replaygain", False), ("ogg", "musicbrainz_trackid", "musicbrainz", False), ("opus", "ACOUSTID_ID", "acoustid", False),
+    ("flac", "TCMP", "compilation", True), ("mp4", "----:iTunSMPB", "gapless", True), ("mp4", "----:com.apple.iTunes:iTunNORM", "soundcheck", True), ("mp4", "----:com.apple.iTunes:tool", "itunes", True),
+    ("mp4", "----:com.apple.iTunes:MusicBrainz Album Id", "musicbrainz", False), ("mp4", "----:org.example.app:thing", "", False), ("mp4", "----:thing", "", False), ("mp4", "----", "", False), ("mp4", "----:a: b", "", False),
+]
+
+
+def test_descriptions_decide(spark):
+    rows = [("/a", f, k, "v", 1, n) for n, (f, k, *_) in enumerate(DESCRIBED)]
+    raw = spark.createDataFrame(rows, "path string, format string, key string, value string, bytes int, n int")
+    got = {r.n: (r.field, r.kept) for r in rawtags.strip_plan(raw).collect()}
+    assert [got[n] for n in range(len(rows))] == [x[2:] for x in DESCRIBED]
+    told = raw.where("key in ('----:thing', '----:iTunSMPB')").withColumn("mean", F.lit("com.apple.iTunes"))
+    assert {r.key: r.field for r in rawtags.resolve(told).collect()} == {"----:thing": "itunes", "----:iTunSMPB": "gapless"}
+    says = rawtags.resolve(raw).select("key", rawtags.tag_meaning(F.col("field"), F.substring_index("key", ":", 1), F.col("format")).alias("m"))
+    assert {r.key: r.m for r in says.collect()}["TXXX:anything"] == "user-defined text"
+
+
+def test_kept_tags_in_other_forms(spark):
+    rows = [
+        ("/a", "mp3", "TXXX:TCMP", "1", False), ("/a", "mp3", "TCON", "(19)", False), ("/a", "mp3", "TIT2", "x", False), ("/b", "mp3", "TDRC", "2011-08-29", False), ("/c", "mp3", "TYER", "1999", False),
+        ("/d", "mp3", "TYER", "1999", False), ("/d", "mp3", "TDRL", "1999", False), ("/e", "mp3", "TPE1", "x", True), ("/f", "flac", "PERFORMER", "x", False), ("/g", "flac", "DATE", "1999", False), ("/h", "mp4", "gnre", "9", False),
+        ("/i", "mp4", "©day", "2011-08-29T07:00:00Z", False), ("/j", "mp4", "©day", "2011", False), ("/k", "flac", "DATE", "1999", False), ("/k", "flac", "releasedate", "1999", False), ("/l", "mp3", "TXXX:iTunNORM", "x", False),
+        ("/m", "mp3", "TXXX:Mood", "x", False),
+    ]
+    raw = spark.createDataFrame([(p, f, k, v, 1, n, old) for n, (p, f, k, v, old) in enumerate(rows)], "path string, format string, key string, value string, bytes int, n int, v22 boolean")
+    got = {r.path: r.fields for r in rawtags.non_canonical(rawtags.strip_plan(raw)).collect()}
+    assert got == {"/a": ["compilation", "genre"], "/b": ["date"], "/c": ["date"], "/e": ["artist"], "/f": ["artist"], "/g": ["date"], "/h": ["genre"], "/i": ["date"]}
 
 
 def test_rename_claims(spark):
