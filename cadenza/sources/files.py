@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.fs
@@ -65,12 +67,32 @@ class Bytes:
         return bytes(self).split(mark)
 
 
-def opened(uris: list[str]) -> Iterator[Bytes | None]:
-    """Each file in turn; None where it cannot be opened, as it may be gone since it was listed."""
-    for uri in uris:
+#: The file system of paths without a scheme and of file: ones.
+LOCAL = pa.fs.LocalFileSystem()
+
+
+@cache
+def _remote(base: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(base)
+
+
+def place(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """A file system and a path in it. Only scheme and host are read as parts of a URI: names stand as they are, whatever they hold."""
+    m = re.match(r"(?s)([A-Za-z][A-Za-z0-9+.-]+):(?://([^/]*))?(/.*|)$", path)
+    if not m or m[1] == "file":
+        return LOCAL, m[3] if m else path
+    fs, root = _remote(f"{m[1]}://{m[2] or ''}/")
+    return fs, root.rstrip("/") + m[3]
+
+
+def opened(paths: list[str]) -> Iterator[Bytes | OSError | ValueError]:
+    """Each file in turn, or why it cannot be opened."""
+    for path in paths:
         try:
-            fs, path = pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-            with fs.open_input_file(path) as f:
-                yield Bytes(f, 0, f.size(), {})
-        except OSError:
-            yield None
+            fs, where = place(path)
+            file = fs.open_input_file(where)
+        except (OSError, ValueError) as error:
+            yield error
+            continue
+        with file:
+            yield Bytes(file, 0, file.size(), {})

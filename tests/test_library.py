@@ -115,7 +115,7 @@ def test_only_heads_are_read(tmp_path):
     path = tmp_path / "a.mp3"
     path.write_bytes(mp3("Head") + b"\0" * (30 << 20))
     for data in files.opened([f"file://{path}", f"file://{tmp_path}/none.mp3"]):
-        if data is None:
+        if isinstance(data, OSError):
             continue
         whole = tags.decode(path.read_bytes(), "mp3")
         assert tags.decode(data, "mp3") == whole and whole["title"] == "Head" and len(data.blocks) <= 4

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import schema
-from cadenza.sources import scan, store, tags
+from cadenza.sources import files, scan, store, tags, walk
 
 
 def id3(frames, version=3):
@@ -81,6 +81,89 @@ def test_scan_tree_and_rescan(spark, tmp_path):
     assert (c.found, c.reused, c.parsed, c.removed) == (3, 2, 1, 0)
 
 
+#: Names that are paths, not URIs, globs or shell words.
+ODD = ["with space.mp3", "umläut.mp3", "br[1].mp3", "hash#1.mp3", "pct%20x.mp3", "pct%.mp3", "q?x.mp3", "st*r.mp3", "a:b.mp3", "back\\slash.mp3", "quote'\".mp3", "new\nline.mp3", "漢字 ☃.mp3", "{a,b}.MP3", "~.mp3", "+&=.mp3", "file:x.mp3", "..mp3", " .mp3"]
+
+
+def test_any_file_name_is_scanned(spark, tmp_path):
+    for n, name in enumerate(ODD):
+        for folder in ("plain", name.removesuffix(".mp3") + " d"):
+            if not folder.startswith("."):
+                (tmp_path / "music" / folder).mkdir(parents=True, exist_ok=True)
+                (tmp_path / "music" / folder / name).write_bytes(id3([("TIT2", b"\x03Number %d" % n)]) + FRAME)
+    (tmp_path / os.fsdecode(b"music/plain/bad\xff.mp3")).write_bytes(FRAME)
+    for root in (f"{tmp_path}/music", f"file://{tmp_path}/music/"):
+        done = scan.run(spark, [root])
+        got = {r.path: (r.title, r.format) for r in done.tracks.collect()}
+        want = {os.path.join(at, x): (f"Number {ODD.index(x)}", "mp3") for at, _, found in os.walk(tmp_path / "music") for x in found if "\udcff" not in x and not x.startswith(".")}
+        assert got == want and len(got) > 30
+        assert [(r.path.rpartition("/")[2], r.error) for r in done.errors.collect()] == [("bad\\xff.mp3", "the name is not UTF-8")]
+        c = done.counters().first()
+        assert (c.found, c.parsed, c.reused, c.errors, c.removed, c.bytes) == (len(want), len(want), 0, 1, 0, sum(os.path.getsize(p) for p in want))
+        before = spark.createDataFrame(done.tracks.collect(), done.tracks.schema)
+        done.close()
+    again = scan.run(spark, [f"{tmp_path}/music"], before)
+    assert again.read.count() == 0 and again.counters().first().reused == len(want) and again.tracks.count() == len(want)
+
+
+def test_links(spark, tmp_path):
+    """A loop, a diamond and a link to a file; loops end, and what two paths reach is read under one."""
+    for d in ("a/b", "c", "away/deep"):
+        (tmp_path / d).mkdir(parents=True)
+    for f in ("a/1.mp3", "a/b/2.mp3", "away/deep/3.mp3"):
+        (tmp_path / f).write_bytes(id3([("TIT2", b"\x03" + f.encode())]) + FRAME)
+    for link, to in (("a/b/up", "../.."), ("c/x", "../away/deep"), ("c/y", "../away"), ("a/self", "."), ("c/4.mp3", "../a/1.mp3"), ("c/broken.mp3", "nowhere")):
+        os.symlink(to, tmp_path / link)
+    roots = [f"{tmp_path}/a", f"{tmp_path}/c"]
+    plain = {os.path.relpath(r.path, tmp_path): r.title for r in scan.scan(spark, roots).collect()}
+    assert plain == {"a/1.mp3": "a/1.mp3", "a/b/2.mp3": "a/b/2.mp3", "c/4.mp3": "a/1.mp3", "c/broken.mp3": ""}
+    done = scan.run(spark, roots, follow=True)
+    got = {os.path.relpath(r.path, tmp_path) for r in done.tracks.collect()}
+    assert got == {"a/1.mp3", "a/b/2.mp3", "c/4.mp3", "c/broken.mp3", "c/x/3.mp3"}
+    real = [os.path.realpath(r.path) for r in done.tree.directories.collect()]
+    assert len(real) == len(set(real)) == 6  # a, a/b, the folder of all, c, away, away/deep
+    assert [os.path.relpath(r.path, tmp_path) for r in done.errors.collect()] == ["c/broken.mp3"]
+
+
+def test_deep_and_overlapping_roots(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"x{k % 3}" / f"y{k % 5}" / f"z{k}").mkdir(parents=True)
+        (tmp_path / f"x{k % 3}" / f"y{k % 5}" / f"z{k}" / "t.ogg").write_bytes(b"OggS")
+    (tmp_path / ".root").mkdir()
+    (tmp_path / ".root" / "t.mp3").write_bytes(FRAME)
+    roots = [str(tmp_path), f"{tmp_path}/x1", f"{tmp_path}/x1/y1/", f"{tmp_path}/none"]
+    for limit in (1, 4, 4096):  # the smaller, the more rounds
+        tree = walk.walk(spark, roots, limit=limit)
+        assert tree.files.count() == 30 and tree.directories.count() == 1 + 3 + 15 + 30 and [os.path.basename(r.path) for r in tree.errors.collect()] == ["none"]
+        tree.close()
+    assert walk.walk(spark, [f"{tmp_path}/.root"]).files.count() == 1  # a root's own name is not judged
+    assert walk.walk(spark, [str(tmp_path)], include_hidden=True).files.count() == 31
+
+
+def test_what_cannot_be_read_keeps_its_row(tmp_path, monkeypatch):
+    """No permission and a fault while reading have a row and an error, a file that is gone an error alone."""
+    path = tmp_path / "a.mp3"
+    path.write_bytes(id3([("TIT2", b"\x03One")]) + FRAME)
+    (data,) = files.opened([str(path)])
+    assert scan.read_file(str(path), "mp3", PermissionError(13, "Permission denied")) == ({"format": "mp3"}, "[Errno 13] Permission denied")
+    monkeypatch.setattr(files.Bytes, "_read", lambda *a: (_ for _ in ()).throw(OSError(5, "Input/output error")))
+    assert scan.read_file(str(path), "mp3", data) == ({"format": "mp3"}, "[Errno 5] Input/output error")
+    monkeypatch.undo()
+    (gone,) = files.opened([f"{tmp_path}/gone.mp3"])
+    assert scan.read_file(f"{tmp_path}/gone.mp3", "mp3", gone)[0] is None and isinstance(gone, FileNotFoundError)
+
+
+@pytest.mark.parametrize(("pattern", "yes", "no"), [
+    ("*.mp3", ["/a/b.mp3"], ["/a/b.ogg"]), ("/a/*", ["/a/b"], ["/x/a"]), ("b?.[mn]p[^4-9]", ["/a/bx.mp3"], ["/a/bx.mp4", "/a/b.mp3"]), ("[", ["/a/["], ["/a/b"]), ("\\*x", ["/a/*x"], ["/a/yx"]),
+    ("/skip/", ["/a/skip/b"], ["/a/skipped"]), ("[]a]", ["/a/[]a]"], ["/a/a"]), ("ü[ä-ö]", ["/a/üö"], ["/a/üa"]),
+])
+def test_exclusions(spark, pattern, yes, no):
+    rules = walk.Rules([pattern])
+    assert [rules.excluded(p.rpartition("/")[2], p) for p in yes + no] == [True] * len(yes) + [False] * len(no)
+    df = spark.createDataFrame([(p,) for p in yes + no], "path string")
+    assert {r.path for r in df.where(walk.excluded(F.col("path"), [pattern])).collect()} == set(yes)
+
+
 def test_snapshot(spark, tmp_path):
     df = store.generate(spark, 24)
     for _ in range(2):
