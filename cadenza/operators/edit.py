@@ -349,11 +349,12 @@ def patch(df: DataFrame, id: str, changes: dict[str, str | None], if_match: str
 
 
 def journal(plan: DataFrame) -> DataFrame:
-    """What undo needs: path (after the change), fields (old values; null clears), source (old path of a rename)."""
+    """What undo needs: path (after the change), fields (old values; null clears), source (old path of a rename), art (hash of the old picture)."""
+    none = F.lit(None).cast("string")
     done = plan.where("status = 'changed'")
     if "dest" in plan.columns:
-        return done.select(F.col("dest").alias("path"), F.lit(None).cast("map<string,string>").alias("fields"), F.col("path").alias("source"))
-    return done.select("path", F.col("before").alias("fields"), F.lit(None).cast("string").alias("source"))
+        return done.select(F.col("dest").alias("path"), F.lit(None).cast("map<string,string>").alias("fields"), F.col("path").alias("source"), none.alias("art"))
+    return done.select("path", F.col("before").alias("fields"), none.alias("source"), none.alias("art"))
 
 
 def restore(df: DataFrame, entries: DataFrame) -> DataFrame:
@@ -364,13 +365,13 @@ def restore(df: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.join(back, F.col("path") == F.col("__p"), "left").withColumn("path", F.coalesce("source", "path")).select(*df.columns)
 
 
-def plan_artwork(rows: DataFrame, pictures: DataFrame, image: bytes | None) -> DataFrame:
+def plan_artwork(rows: DataFrame, pictures: DataFrame, image: bytes | str | None) -> DataFrame:
     """A plan to give every row one picture (None removes it); pictures: path, art of the tracks that have one.
 
-    Tracks whose picture has the same bytes stay as they are.
+    image and art are both bytes, or both hashes of them. Tracks whose picture has the same bytes stay as they are.
     """
     met = with_id(rows).join(pictures.select(F.col("path").alias("__p"), "art"), F.col("path") == F.col("__p"), "left")
-    new = F.lit(image) if image is not None else F.lit(None).cast("binary")
+    new = F.lit(image) if image is not None else F.lit(None).cast(pictures.schema["art"].dataType)
     return met.select("id", "path", F.when(F.col("art").eqNullSafe(new), "same").otherwise("changed").alias("status"), F.col("art").alias("before"), new.alias("art"))
 
 

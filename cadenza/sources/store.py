@@ -1,12 +1,22 @@
-"""Catalogue snapshots, journals and exports."""
+"""Catalogue snapshots, journals and exports.
+
+A home folder has data folders, which are written once under names of their own and never changed, and a log of small
+numbered files. Putting the next number into the log is the only step that commits anything: readers take the highest
+number, whoever stops before that has changed nothing, and of two who try the same number one is refused. Small edits write
+the rows they change as a delta over the base.
+"""
 
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import shutil
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,40 +38,155 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def save(df: DataFrame, path: str, roots: list[str]) -> None:
-    """Write a snapshot beside the one that is there, then put it in its place.
+ART, PICTURE = "path string, hash string, n int", "hash string, mime string, data binary"
+#: What a commit says. rows: tracks of the base; deltas lie over it, the last on top. seq counts the commits that have an event.
+COMMIT = "number long, version int, epoch string, kind string, event string, seq long, at double, job string, journal boolean, roots array<string>, rows long, base string, deltas array<string>, art array<string>, pictures array<string>"
+#: A table is written anew when so many deltas lie over it, or when one would hold more than this share of its rows.
+MAX_DELTAS, DELTA_SHARE = 8, 0.1
+#: Commits whose data stays for those who still read them.
+KEEP_COMMITS = 2
+
+
+class Raced(RuntimeError):
+    """Another commit came first; nothing was changed."""
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file under its name at once, unless the name is taken."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, _, name = path.rpartition("/")
+    fs, part = _fs(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(text.encode())
+    out.close()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    never = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # without OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), conf).rename(part, where, never)
+        return True
+    except Py4JJavaError as error:
+        fs.delete(part, False)
+        if "FileAlreadyExistsException" in str(error.java_exception.getClass()):
+            return False
+        raise
+
+
+def log_of(spark: SparkSession, home: str) -> DataFrame:
+    """All commits of a home folder; half-written ones have other names and are not seen."""
+    return spark.read.schema(COMMIT).option("pathGlobFilter", "[0-9]*.json").json(f"{home}/log")
+
+
+def read_commit(spark: SparkSession, home: str, number: int) -> dict:
+    fs, where = _fs(spark, f"{home}/log/{number:010d}.json")
+    stream = fs.open(where)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def last_commit(spark: SparkSession, home: str) -> dict | None:
+    """The commit with the highest number: what readers see."""
+    names = [n for n in names_in(spark, f"{home}/log") if re.fullmatch(r"[0-9]{10}\.json", n)]
+    return read_commit(spark, home, int(names[-1][:10])) if names else None
+
 
-    Tracks are sorted by path within ranges, with folded columns, so searches can skip row groups.
+def commit(spark: SparkSession, home: str, before: dict | None, **changes) -> dict:
+    """Add the commit after `before`: the only step by which anything counts. Raised if another was made since."""
+    empty = {"epoch": uuid.uuid4().hex, "version": schema.SCHEMA_VERSION, "number": 0, "seq": 0, "roots": [], "rows": 0, "base": None, "deltas": [], "art": [], "pictures": []}
+    made = (before or empty) | {"event": None, "job": None, "journal": False, "at": time.time()} | changes
+    made["number"] += 1
+    made["seq"] += made["event"] is not None
+    if not put_if_absent(spark, f"{home}/log/{made['number']:010d}.json", json.dumps(made)):
+        raise Raced(f"commit {made['number']} is there already")
+    return made
+
+
+def write_base(df: DataFrame, home: str, ready: bool = False) -> dict:
+    """Write the whole table, sorted by path within ranges and with folded columns, so searches can skip row groups.
+
+    ready: df is a written table, or cheap. Else its rows are written once as they come and sorted from there, as
+    sampling their ranges would run the whole plan twice.
     """
+    spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"
+    rows = schema.conform(df)
+    if not ready:
+        rows.write.parquet(f"{home}/{folder}/rows")
+        rows = spark.read.schema(schema.TRACK).parquet(f"{home}/{folder}/rows")
+    fold_columns(rows.repartitionByRange("path").sortWithinPartitions("path")).write.parquet(f"{home}/{folder}/tracks")
+    if not ready:
+        remove(spark, f"{home}/{folder}/rows")
+    return {"base": folder, "deltas": [], "rows": spark.read.parquet(f"{home}/{folder}/tracks").count()}
+
+
+def write_delta(home: str, gone: DataFrame, rows: DataFrame) -> str:
+    """Write paths that go and rows that come in their place; returns the folder."""
+    folder = f"data/{uuid.uuid4().hex}"
+    fold_columns(schema.conform(rows)).write.parquet(f"{home}/{folder}/tracks")
+    gone.select("path").write.parquet(f"{home}/{folder}/gone")
+    return folder
+
+
+def table_of(spark: SparkSession, home: str, found: dict) -> DataFrame:
+    """The table of a commit. The paths that a delta holds are at most DELTA_SHARE of all, so these joins shuffle the base at worst once each."""
+    out = spark.read.parquet(f"{home}/{found['base']}/tracks")
+    for d in found["deltas"]:
+        out = out.join(spark.read.schema("path string").parquet(f"{home}/{d}/gone"), "path", "left_anti").select(*out.columns).unionByName(spark.read.schema(out.schema).parquet(f"{home}/{d}/tracks"))
+    return out
+
+
+def _folders(found: dict) -> set[str]:
+    return {x for x in [found["base"], *found["deltas"], *found["art"], *found["pictures"]] if x}
+
+
+def tidy(spark: SparkSession, home: str, hours: float | None = None) -> list[str]:
+    """Remove data that the last KEEP_COMMITS commits no longer name; with hours, all that they do not name and is older, as stopped writers leave it too."""
+    last = last_commit(spark, home)["number"]
+    of = lambda n: _folders(read_commit(spark, home, n)) if n > 0 else set()
+    kept, gone = set().union(*(of(n) for n in range(last, last - KEEP_COMMITS, -1))), of(last - KEEP_COMMITS)
+    if hours is not None:
+        fs, where = _fs(spark, f"{home}/data")
+        gone |= {f"data/{x.getPath().getName()}" for x in fs.listStatus(where) if x.getModificationTime() / 1000 < time.time() - hours * 3600}
+    for folder in gone - kept:
+        remove(spark, f"{home}/{folder}")
+    return sorted(gone - kept)
+
+
+def save(df: DataFrame, path: str, roots: list[str], ready: bool = False) -> None:
+    """Write a snapshot and commit it; until then, and if this stops anywhere, readers see the one before."""
     spark = df.sparkSession
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    # rows are written once as they come and sorted from there: sampling their ranges would run the whole plan twice
-    schema.conform(df).write.parquet(f"{new}/rows")
-    rows = spark.read.schema(schema.TRACK).parquet(f"{new}/rows")
-    fold_columns(rows.repartitionByRange("path").sortWithinPartitions("path")).write.parquet(f"{new}/tracks")
-    _fs(spark, new)[0].delete(_fs(spark, f"{new}/rows")[1], True)
-    spark.createDataFrame([(schema.SCHEMA_VERSION, list(roots))], "version int, roots array<string>").coalesce(1).write.json(f"{new}/meta")
-    fs, target = _fs(spark, path)
-    _, made = _fs(spark, new)
-    _, old = _fs(spark, f"{new}-old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(made, target)
-    fs.delete(old, True)
+    before = last_commit(spark, path)
+    commit(spark, path, before, kind="save", roots=list(roots), **write_base(df, path, ready))
+    for old in ("meta", "tracks"):  # the layout of earlier releases
+        remove(spark, f"{path}/{old}")
+    tidy(spark, path)
+
+
+def _meta(spark: SparkSession, path: str) -> tuple[int, list[str], dict | None]:
+    """(version, roots, commit) of a snapshot; one of an earlier release has no commit."""
+    found = last_commit(spark, path)
+    if exists(spark, f"{path}/meta"):
+        old = spark.read.schema("version int, roots array<string>").json(f"{path}/meta").first()
+        if found is None or old.version != schema.SCHEMA_VERSION:
+            return old.version, old.roots, None
+    if found is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return found["version"], found["roots"], found
 
 
 def roots_of(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.schema("version int, roots array<string>").json(f"{path}/meta").first().roots
+    return _meta(spark, path)[1]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.schema("version int, roots array<string>").json(f"{path}/meta").first().version
+    version, roots, found = _meta(spark, path)
     if version != schema.SCHEMA_VERSION:
-        raise OldSnapshot(f"version {version}; rescan {roots_of(spark, path)}")
-    return spark.read.parquet(f"{path}/tracks")
+        raise OldSnapshot(f"version {version}; rescan {roots}")
+    return table_of(spark, path, found) if found else spark.read.parquet(f"{path}/tracks")
 
 
 JOURNAL = "path string, fields map<string,string>, source string"
+JOURNAL_ART = f"{JOURNAL}, art string"
 
 
 def write_journal(entries: DataFrame, folder: str, name: str, kind: str | None, at: int) -> None:
@@ -101,7 +226,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def read_journal(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(JOURNAL).json(f"{folder}/entries/name={name}")
+    return spark.read.schema(JOURNAL_ART).json(f"{folder}/entries/name={name}")
 
 
 def backups(names: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -147,6 +272,28 @@ def art_export(tracks: DataFrame) -> DataFrame:
     return tracks.where("has_art").groupBy(dirname(F.col("path")).alias("dir")).agg(F.min("path").alias("path"))
 
 
+def add_pictures(home: str, found: dict, pictures: DataFrame) -> list[str]:
+    """Write pictures (hash, mime, data) that are not there yet; returns the folders of all."""
+    spark, folder = pictures.sparkSession, f"data/{uuid.uuid4().hex}"
+    known = pictures_of(spark, home, found).select("hash")
+    pictures.dropDuplicates(["hash"]).join(known, "hash", "left_anti").select("hash", "mime", "data").write.parquet(f"{home}/{folder}")
+    return [*found["pictures"], folder]
+
+
+def pictures_of(spark: SparkSession, home: str, found: dict) -> DataFrame:
+    """hash, mime, data: each picture once, however many tracks have it."""
+    rows = spark.createDataFrame([], PICTURE)
+    return spark.read.schema(PICTURE).parquet(*[f"{home}/{p}" for p in found["pictures"]]) if found["pictures"] else rows
+
+
+def art_of(spark: SparkSession, home: str, found: dict) -> DataFrame:
+    """(path, hash) of tracks whose picture was set in the library; '' stands for none. The last one of a path counts."""
+    rows = spark.createDataFrame([], ART)
+    for n, folder in enumerate(found["art"]):
+        rows = rows.unionByName(spark.read.schema(ART).parquet(f"{home}/{folder}").withColumn("n", F.lit(n)))
+    return rows.groupBy("path").agg(F.max_by("hash", "n").alias("hash"))
+
+
 def best_candidate(candidates: DataFrame, by: str) -> DataFrame:
     """Of offline lookup candidates (by, ord, complete, ...) the first complete one, else the first."""
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("complete"), "ord"))

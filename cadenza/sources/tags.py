@@ -441,6 +441,17 @@ def pictures(data: bytes) -> list[tuple[int, str, bytes]]:
     return out
 
 
+#: How pictures begin.
+IMAGES = {b"\xff\xd8\xff": "image/jpeg", b"\x89PNG\r\n\x1a\n": "image/png", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"BM": "image/bmp"}
+
+
+def image_kind(data: bytes) -> str:
+    """The MIME type of a picture by its first bytes, else ''."""
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "image/webp"
+    return next((kind for head, kind in IMAGES.items() if data[: len(head)] == head), "")
+
+
 def cover(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes] | None:
     """The front cover, else the first picture."""
     return next((p for p in found if p[0] == 3), found[0] if found else None)

@@ -132,3 +132,97 @@ def test_group_queries_select_their_groups(spark):
     assert got["A"] == ('artist:"X" album:"A"', 3) and got["B"] == ('albumartist:"X" album:"B"', 1)
     assert all(search(t, q).count() == n for q, n in got.values())
     assert {r.name: r.query for r in browse.artists(t).collect()} == {"X": 'albumartist:"^X$"', "Z": 'artist:"^Z$"'}
+
+
+def test_a_stop_after_any_step_leaves_a_library(spark, tmp_path, monkeypatch):
+    """Edits and scans that stop after any of their steps change nothing: what follows opens, saves and undoes."""
+    home = f"{tmp_path}/home"
+    lib = Library(store.generate(spark, 40), ("/music",), home)
+    first = lib.batch_set(Selector(query="artist:nord"), {"genre": "Pop"})
+    assert lib.at["deltas"] == [] and lib.count("genre:pop") == 5  # an eighth of all rows: the table was written anew
+
+    class Stop(Exception):
+        pass
+
+    for step, edit_all in (("write_journal", False), ("write_delta", False), ("write_base", True), ("put_if_absent", False), ("tidy", False)):
+        real, seen = getattr(store, step), []
+
+        def stops(*a, real=real, seen=seen, **k):
+            seen.append(1)
+            if step != "put_if_absent":
+                real(*a, **k)
+            raise Stop
+
+        monkeypatch.setattr(store, step, stops)
+        before = Library.open(spark, home).at["number"]
+        with pytest.raises(Stop):
+            Library.open(spark, home).batch_set(Selector(all=True) if edit_all else Selector(query="title:^piece title:7$ year:<1990"), {"comment": f"by {step}"})
+        monkeypatch.undo()
+        lib = Library.open(spark, home)
+        assert seen and lib.at["number"] == before + (step == "tidy")  # the one step after the commit
+        assert lib.count() == 40 and (lib.count(f'comment:"by {step}"') > 0) == (step == "tidy")
+    names = {r.name for r in lib.backups().collect()}
+    assert first.id in names and len(store.names_in(spark, f"{home}/journals/entries")) > len(names)  # journals without a commit are not offered
+    for gone in set(n.removeprefix("name=") for n in store.names_in(spark, f"{home}/journals/entries")) - names:
+        with pytest.raises(NotFound):
+            lib.undo(gone)
+    lib.undo(first.id)
+    assert lib.count("genre:pop") == 0 and lib.count() == 40
+    used = set(lib.at["deltas"]) | {lib.at["base"]}
+    assert set(store.tidy(spark, home, hours=0)) and used <= {f"data/{n}" for n in store.names_in(spark, f"{home}/data")}
+    assert Library.open(spark, home).count() == 40
+
+
+def test_of_two_commits_one_is_refused(spark, tmp_path):
+    home = f"{tmp_path}/home"
+    one = Library(store.generate(spark, 24), ("/music",), home)
+    two = Library.open(spark, home)
+    one.batch_set(Selector(query="title:^piece title:1$"), {"genre": "Pop"})
+    with pytest.raises(store.Raced):
+        two.delete(Selector(all=True))
+    two.refresh()
+    assert two.count() == 24 and two.count("genre:pop") == one.count("genre:pop") > 0
+    assert [(r.type, r.seq) for r in two.events(after=0).collect()] == [("set.finished", 1)]  # events outlive sessions
+
+
+def test_small_edits_are_deltas(spark, tmp_path):
+    lib = Library(store.generate(spark, 200), ("/music",), f"{tmp_path}/home")
+    base, jobs = lib.at["base"], []
+    ids = [r.id for r in lib.tracks(limit=12).items.collect()]
+    for n, id in enumerate(ids[:10]):
+        jobs.append(lib.patch(id, {"title": f"Edited {n}"}))
+    assert lib.at["base"] != base and 0 < len(lib.at["deltas"]) < store.MAX_DELTAS  # written anew once
+    assert lib.count("title:^edited") == 10 and lib.count() == 200
+    moved = lib.move(ids[10], "elsewhere.mp3")
+    lib.patch(ids[0], {"title": "Twice"})
+    lib.undo(moved.id)
+    lib.undo(jobs[4].id)
+    assert lib.count("title:^edited") == 8 and lib.count("title:twice") == 1 and lib.df.where("path like '%elsewhere%'").count() == 0
+    lib.delete(Selector(ids=(ids[11],)))
+    assert Library.open(spark, lib.home).count() == 199
+
+
+def test_pictures_are_set_and_undone(spark, tmp_path):
+    home, png, jpeg = f"{tmp_path}/home", b"\x89PNG\r\n\x1a\nred", b"\xff\xd8\xffblue"
+    lib = Library(schema.conform(spark.createDataFrame([(f"/m/{k}.mp3", k < 2) for k in range(6)], "path string, has_art boolean")), ("/m",), home)
+    embedded = spark.createDataFrame([("/m/0.mp3", "image/png", bytearray(png)), ("/m/1.mp3", "image/gif", bytearray(b"GIF89agreen"))], "path string, mime string, data binary")
+    plan = lib.set_artwork(Selector(all=True), png, embedded, dry_run=True)
+    assert {r.path: r.status for r in plan.collect()} == {f"/m/{k}.mp3": "same" if k == 0 else "changed" for k in range(6)}
+    one = lib.set_artwork(Selector(all=True), png, embedded)
+    assert one.result["changed"] == 5 and lib.count() == lib.df.where("has_art").count() == 6
+    two = lib.set_artwork(Selector(query="path:5"), jpeg)
+    three = lib.set_artwork(Selector(query="path:5"), None)
+    stored = {r.hash: (r.mime, bytes(r.data)) for r in lib.pictures().collect()}
+    assert sorted(stored.values()) == [("image/gif", b"GIF89agreen"), ("image/jpeg", jpeg), ("image/png", png)] and lib.pictures().count() == 3
+    later = Library.open(spark, home)
+    shown = lambda: {r.path[-5]: stored[r.hash][1] for r in later.artwork(embedded.select("path", F.sha2("data", 256).alias("hash"))).collect()}
+    assert shown() == dict.fromkeys("01234", png) and later.df.where("has_art").count() == 5
+    later.undo(three.id)
+    assert shown()["5"] == jpeg
+    later.undo(two.id)
+    later.undo(one.id)
+    assert shown() == {"0": png, "1": b"GIF89agreen"} and later.df.where("has_art").count() == 2
+    assert later.drop_pictures() == 0  # journals still refer to them all
+    for job in (two, three):
+        store.remove(spark, f"{home}/journals/entries/name={job.id}")
+    assert later.drop_pictures() == 2 and [r.mime for r in later.pictures().collect()] == ["image/gif"]  # the other picture of a file is there alone
