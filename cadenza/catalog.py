@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions.text import fold, fold_sql
 from .operators import browse, edit, order, rawtags
 from .plans.search import parse, search, search_scored
 from .plans.tracks import SQL, tracks
-from .sources import scan, store
+from .sources import contents, samples, scan, store
 from .streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,6 +264,37 @@ _add("path_parts", lambda s, d: tracks(s, d).select("path", text.dirname(F.col("
 _add("track_id", lambda s, d: tracks(s, d).select("path", hashing.track_id(F.col("path")).alias("id"), hashing.track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("version")),
      f"{_WITH}SELECT path, {_fnv('path')} AS id, {_fnv('path', _le('size') + _le('mod_time'))} AS version FROM tracks")
 
+
+def _on_files(s: SparkSession, d: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An audio file for each part, under names of all kinds, written and scanned; what ask says of the scanned tracks, as a table."""
+    folder = f"{store.shared_dir(s)}/files-{uuid.uuid4().hex}"
+    k = F.col("p_partkey")
+    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    path = F.concat(F.lit(f"{folder}/music/"), "p_brand", F.lit(" "), of(_ODD), F.lit("/"), k.cast("string"), F.lit(" "), of(_ODD), F.lit("."), of(_ENDINGS))
+    art = F.when(k % 3 == 0, F.concat(F.lit(bytearray(b"\x89PNG\r\n\x1a\n")), F.col("p_brand").cast("binary")))
+    rows = s.read.parquet(f"{d}/part.parquet").select(path.alias("path"), of(["mp3", "flac", "mp4", "opus"]).alias("format"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("genre"), (1900 + F.col("p_size")).cast("int").alias("year"), (k % 20 + 1).cast("int").alias("track"), F.concat(F.lit("mood "), k.cast("string")).alias("mood"), F.lpad(k.cast("string"), 8, "0").alias("gapless"), art.alias("art"))
+    samples.write_files(rows)
+    done = scan.run(s, [f"{folder}/music"])
+    asked = ask(done.tracks).withColumn("p_partkey", F.regexp_extract("path", "([0-9]+) [^/]*$", 1).cast("long")).drop("path")
+    asked.write.parquet(f"{folder}/asked")
+    done.close()
+    store.remove(s, f"{folder}/music")
+    return s.read.schema(asked.schema).parquet(f"{folder}/asked")
+
+
+_ODD, _ENDINGS = ["plain", "a b", "ümläut", "#1", "%20", "[x]", "q?", "st*r", "a:b", "quote\'s"], ["mp3", "flac", "m4a", "opus"]
+_K4 = "CASE p_partkey % 4 WHEN 0 THEN 'mp3' WHEN 1 THEN 'flac' WHEN 2 THEN 'mp4' ELSE 'opus' END"
+_add("scan_files", lambda s, d: _on_files(s, d, lambda t: t.select("path", "title", "artist", "genre", "year", "track_no", "format", "has_art", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"))),
+     f"SELECT p_partkey, p_name AS title, p_brand AS artist, p_type AS genre, CAST(1900 + p_size AS INTEGER) AS year, CAST(p_partkey % 20 + 1 AS INTEGER) AS track_no, {_K4} AS format, p_partkey % 3 = 0 AS has_art, p_brand || ' ' || ({str(_ODD[:9])[:-1]}, 'quote''s'])[p_partkey % 10 + 1] AS folder FROM part")
+_NATIVE = """WITH t(n, title, artist, genre, date, track, mood, gapless, art) AS (VALUES (0, 'TIT2', 'TPE1', 'TCON', 'TYER', 'TRCK', 'TXXX:Mood', 'COMM:iTunSMPB', 'APIC'), (1, 'TITLE', 'ARTIST', 'GENRE', 'DATE', 'TRACKNUMBER', 'MOOD', 'ITUNSMPB', 'PICTURE'),
+  (2, '©nam', '©ART', '©gen', '©day', 'trkn', NULL, '----:iTunSMPB', 'covr'), (3, 'TITLE', 'ARTIST', 'GENRE', 'DATE', 'TRACKNUMBER', 'MOOD', 'ITUNSMPB', 'METADATA_BLOCK_PICTURE')),
+p AS (SELECT *, p_partkey % 4 AS k, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS pad, 'mood ' || p_partkey AS moody FROM part JOIN t ON t.n = p_partkey % 4),
+r AS (SELECT p_partkey, k, title AS key, 'title' AS field, p_name AS text FROM p UNION ALL SELECT p_partkey, k, artist, 'artist', p_brand FROM p UNION ALL SELECT p_partkey, k, genre, 'genre', p_type FROM p UNION ALL SELECT p_partkey, k, date, 'date', CAST(1900 + p_size AS VARCHAR) FROM p
+  UNION ALL SELECT p_partkey, k, track, 'track', CASE k WHEN 2 THEN '' ELSE CAST(p_partkey % 20 + 1 AS VARCHAR) END FROM p UNION ALL SELECT p_partkey, k, mood, 'mood', moody FROM p WHERE mood IS NOT NULL UNION ALL SELECT p_partkey, k, gapless, 'gapless', pad FROM p UNION ALL SELECT p_partkey, k, art, 'artwork', CASE k WHEN 3 THEN NULL ELSE '' END FROM p WHERE p_partkey % 3 = 0)"""
+_add("raw_files", lambda s, d: _on_files(s, d, lambda t: rawtags.strip_plan(contents.raw(t)).select("path", "key", "field", F.when(F.col("key") != "METADATA_BLOCK_PICTURE", F.col("text")).alias("text"), "kept")), f"{_NATIVE} SELECT p_partkey, key, field, text, field <> 'mood' AS kept FROM r")
+_add("picture_files", lambda s, d: _on_files(s, d, lambda t: contents.covers(contents.pictures(t)).select("path", "kind", "mime", F.sha2("data", 256).alias("hash"), "bytes")),
+     "SELECT p_partkey, CAST(3 AS INTEGER) AS kind, 'image/png' AS mime, sha256('\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB || encode(p_brand)) AS hash, CAST(8 + octet_length(encode(p_brand)) AS INTEGER) AS bytes FROM part WHERE p_partkey % 3 = 0")
+
 _P, _N = "'ring'", "4"
 _add("fuzzy_substring", lambda s, d: tracks(s, d).select("title").distinct().select("title", F.round(fuzzy.substring_score(fold(F.col("title")), "ring"), 6).alias("score")),
      f"""{_WITH}, t AS (SELECT DISTINCT title, {_f('title')} AS f FROM tracks) SELECT title, CASE WHEN contains(f, {_P}) THEN round(least(1.0, 0.75 + 0.15 * {_N} / strlen(f) + CASE WHEN instr(f, {_P}) = 1 THEN 0.10 WHEN regexp_matches(substr(f, instr(f, {_P}) - 1, 1), '[ \\t_/.,()&\\[\\]\\\\-]') THEN 0.05 ELSE 0.0 END), 6)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM t""")

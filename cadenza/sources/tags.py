@@ -6,6 +6,7 @@ it, and what it had found so far counts. Text is trimmed, and the first value th
 
 from __future__ import annotations
 
+import base64
 import re
 import struct
 from collections.abc import Iterator
@@ -420,27 +421,6 @@ def decoded(content: Column, fallback: Column) -> Column:
     return run(content, fallback)
 
 
-def pictures(data: bytes) -> list[tuple[int, str, bytes]]:
-    """(kind, MIME, bytes) of the pictures of an ID3 tag or a FLAC file."""
-    out = []
-    for name, c in id3_frames(data):
-        if name == "APIC" and data[3] > 2:
-            mime, _, rest = c[1:].partition(b"\0")
-            about = b"\0\0" if c[0] in (1, 2) else b"\0"
-            out.append((rest[0], mime.decode("latin-1"), rest[1:].partition(about)[2]))
-    if data[:4] == b"fLaC":
-        at, last = 4, False
-        while not last and at + 4 <= len(data):
-            last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4])
-            b = data[at + 4 : at + 4 + size]
-            at += 4 + size
-            if kind == 6:
-                n = int.from_bytes(b[4:8])
-                d = int.from_bytes(b[8 + n : 12 + n])
-                out.append((int.from_bytes(b[:4]), b[8 : 8 + n].decode("latin-1"), b[12 + n + d + 20 :]))
-    return out
-
-
 #: How pictures begin.
 IMAGES = {b"\xff\xd8\xff": "image/jpeg", b"\x89PNG\r\n\x1a\n": "image/png", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"BM": "image/bmp"}
 
@@ -452,6 +432,195 @@ def image_kind(data: bytes) -> str:
     return next((kind for head, kind in IMAGES.items() if data[: len(head)] == head), "")
 
 
+def _terminated(b: bytes, code: int) -> tuple[bytes, bytes] | None:
+    """What stands before and after the end mark of a text in this encoding; None without one."""
+    if code not in (1, 2):
+        head, mark, rest = b.partition(b"\0")
+        return (head, rest) if mark else None
+    for k in range(0, len(b) - 1, 2):
+        if b[k : k + 2] == b"\0\0":
+            return b[:k], b[k + 2 :]
+    return None
+
+
+def _as_text(code: int, raw: bytes) -> str:
+    return id3_text(bytes([code]) + raw)
+
+
+def _described(content: bytes, skip: int) -> tuple[str, str]:
+    """(description, text) of a frame that has both, after its encoding and `skip` bytes more; both empty if it is broken."""
+    parts = _terminated(bytes(content[1 + skip :]), content[0]) if len(content) > 1 + skip else None
+    return (_as_text(content[0], parts[0]), _as_text(content[0], parts[1])) if parts else ("", "")
+
+
+def id3_picture(c: bytes) -> tuple[int, str, bytes] | None:
+    """(kind, MIME, bytes) of an APIC frame."""
+    mime, mark, rest = bytes(c[1:]).partition(b"\0")
+    parts = _terminated(rest[1:], c[0]) if mark and len(rest) > 1 else None
+    if not parts:
+        return None
+    kind = mime.decode("latin-1").strip()
+    return rest[0], kind if "/" in kind else image_kind(parts[1]) or kind, parts[1]
+
+
+def flac_picture(b: bytes) -> tuple[int, str, bytes] | None:
+    """(kind, MIME, bytes) of a FLAC picture block, also where a Vorbis comment holds one."""
+    b = bytes(b)
+    n = int.from_bytes(b[4:8])
+    at = 12 + n + int.from_bytes(b[8 + n : 12 + n]) + 20
+    size = int.from_bytes(b[at - 4 : at])
+    if len(b) < at or size > len(b) - at:
+        return None
+    return int.from_bytes(b[:4]), b[8 : 8 + n].decode("latin-1"), b[at : at + size]
+
+
+def mp4_picture(item: bytes) -> tuple[int, str, bytes] | None:
+    """(kind, MIME, bytes) of a covr atom's first picture."""
+    for name, b in atoms(item):
+        if name == "data" and len(b) >= 8:
+            image = bytes(b[8:])
+            return 3, {13: "image/jpeg", 14: "image/png", 27: "image/bmp"}.get(int.from_bytes(b[1:4])) or image_kind(image), image
+    return None
+
+
+def _vorbis_fields(data: bytes) -> Iterator[tuple[str, str, int]]:
+    """(key, value, bytes on disk) of a comment block."""
+    n = int.from_bytes(data[:4], "little")
+    at, count = 8 + n, int.from_bytes(data[4 + n : 8 + n], "little")
+    for _ in range(count):
+        if at + 4 > len(data):
+            return
+        size = int.from_bytes(data[at : at + 4], "little")
+        key, eq, value = bytes(data[at + 4 : at + 4 + size]).decode("utf-8", "replace").partition("=")
+        at += 4 + size
+        if eq:
+            yield key, value, 4 + size
+
+
+def flac_blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
+    at, last = 4, False
+    while not last and at + 4 <= len(data):
+        last, kind, size = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4])
+        yield kind, data[at + 4 : at + 4 + size]
+        at += 4 + size
+
+
+def _items(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Metadata atoms of an MP4 file."""
+    for ilst in (i for udta in _inside(data, "moov", "udta") for meta in _inside(udta, "meta") for i in _inside(meta[4:], "ilst")):
+        yield from atoms(ilst)
+
+
+def _clip(text: str) -> str:
+    text = text.replace("\n", " ").strip()
+    return text if len(text) <= 32 else text[:32] + "…"
+
+
+def _shown(text: str, size: int) -> str:
+    return _clip(text) or f"{size} bytes"
+
+
+def _id3_raw(data: bytes) -> Iterator[dict]:
+    old = data[3] < 3
+    for name, content in id3_frames(data):
+        content = _as_apic(bytes(content)) if old and name == "APIC" else bytes(content)
+        row = {"key": name, "bytes": len(content) + 10, "v22": old, "text": "", "editable": False}
+        about, told = _described(content, {"TXXX": 0, "COMM": 3}[name]) if name in ("TXXX", "COMM") else ("", "")
+        if name == "TXXX":
+            row |= {"text": told, "editable": True, "value": _clip(f"{about}={told}" if about else told)}
+        elif name == "COMM":
+            row |= {"text": told, "editable": len(content) >= 4, "value": _clip(f"{about}: {told}" if about else told)}
+        elif name in ("PRIV", "UFID"):
+            row["value"] = _shown(content.partition(b"\0")[0].decode("utf-8", "replace") if b"\0" in content else "", len(content))
+        elif name[0] == "T":
+            text = id3_text(content)
+            row |= {"text": text, "editable": True, "value": _clip(text)}
+        elif name[0] == "W":
+            text = content.rstrip(b"\0").decode("utf-8", "replace")
+            row |= {"text": "" if name == "WXXX" else text, "editable": name != "WXXX", "value": _clip(text)}
+        else:
+            row["value"] = f"{len(content)} bytes"
+        if about:
+            row["key"] = f"{name}:{about}"
+        if name == "APIC":
+            row["picture"] = id3_picture(content)
+        yield row
+
+
+def _as_apic(c: bytes) -> bytes:
+    """A PIC frame of version 2.2, whose three letters name the kind of picture, as an APIC frame."""
+    kind = c[1:4].upper()
+    mime = {b"JPG": b"image/jpeg", b"JPE": b"image/jpeg", b"-->": b"-->"}.get(kind, b"image/" + kind.lower())
+    return c[:1] + mime + b"\0" + c[4:]
+
+
+def _vorbis_raw(block: bytes) -> Iterator[dict]:
+    for key, value, size in _vorbis_fields(block):
+        row = {"key": key, "bytes": size, "value": _clip(value), "text": value, "editable": key.upper() != "METADATA_BLOCK_PICTURE"}
+        if key == "METADATA_BLOCK_PICTURE":
+            try:
+                row["picture"] = flac_picture(base64.b64decode(value, validate=True))
+            except ValueError:
+                pass
+        yield row
+
+
+def _ogg_comments(data: bytes) -> bytes:
+    packets, held, at = [], [], 0
+    while len(packets) < 2 and data[at : at + 4] == b"OggS" and at + 27 <= len(data):
+        sizes = data[at + 27 : at + 27 + data[at + 26]]
+        at += 27 + len(sizes)
+        for n in sizes:
+            if len(packets) < 2:
+                held.append(bytes(data[at : at + n]))
+                if n < 255:
+                    packets.append(b"".join(held))
+                    held = []
+            at += n
+    second = packets[1] if len(packets) > 1 else b""
+    return second[8:] if second[:8] == b"OpusTags" else second[7:] if second[1:7] == b"vorbis" else b""
+
+
+def raw_tags(data: bytes, fallback: str) -> tuple[str, list[dict]]:
+    """(format, rows) of everything that a file holds as metadata, in its own keys: key, mean, bytes, value, text, editable, v22, picture.
+
+    value is for reading and clipped, text whole; mean is the namespace of a freeform atom. Of WAV and AIFF files only the pictures
+    of an ID3 chunk are looked for; WMA has none. A broken file has what stands before the fault.
+    """
+    kind, out = sniff(data, fallback), []
+    try:
+        if kind == "mp3":
+            out += _id3_raw(data) if data[:3] == b"ID3" else ()
+        elif kind in ("wav", "aiff"):
+            for name, body in chunks(data, "little" if kind == "wav" else "big"):
+                if name.lower() == b"id3 ":
+                    out += (r for r in _id3_raw(body) if r.get("picture"))
+        elif kind == "flac":
+            for number, block in flac_blocks(data):
+                if number == 4:
+                    out += _vorbis_raw(block)
+                elif number == 6:
+                    out.append({"key": "PICTURE", "bytes": len(block) + 4, "value": f"{len(block)} bytes", "text": "", "editable": False, "picture": flac_picture(block)})
+        elif kind in ("ogg", "opus"):
+            out += _vorbis_raw(_ogg_comments(data))
+        elif kind == "mp4":
+            for key, item in _items(data):
+                parts = [(n, bytes(b)) for n, b in atoms(item)]
+                name, mean = (next((b[4:].rstrip(b"\0").decode("utf-8", "replace") for n, b in parts if n == want and len(b) >= 4), "") if key == "----" else "" for want in ("name", "mean"))
+                first = next((b for n, b in parts if n == "data" and len(b) >= 8), b"")
+                is_text = int.from_bytes(first[1:4]) == 1 and len(first) >= 8
+                text = first[8:].decode("utf-8", "replace").strip("\0").strip() if is_text else ""
+                out.append({"key": f"----:{name}" if name else key, "mean": mean, "bytes": len(item) + 8, "value": _shown(text, len(first[8:]) or len(item)), "text": text, "editable": is_text, "picture": mp4_picture(item) if key == "covr" else None})
+    except (IndexError, struct.error, ValueError):
+        pass
+    return kind, out
+
+
+def pictures(data: bytes, fallback: str = "unknown") -> list[tuple[int, str, bytes]]:
+    """(kind, MIME, bytes) of the pictures of a file of any format."""
+    return [r["picture"] for r in raw_tags(data, fallback)[1] if r.get("picture")]
+
+
 def cover(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes] | None:
     """The front cover, else the first picture."""
     return next((p for p in found if p[0] == 3), found[0] if found else None)
