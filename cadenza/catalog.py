@@ -213,7 +213,23 @@ def _kept(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("event_history", lambda s, d: _kept(s, d).select("event_id"), f"{_KEPT} SELECT event_id FROM h")
-_add("event_replay", lambda s, d: (lambda k: ev.replay(k, "2", 10**9).unionByName(ev.replay(k, "9", 5)).unionByName(ev.replay(k, "1", 5, current="3")))(_kept(s, d)).select("type", "missed"), "SELECT 'gap' AS type, CAST(-1 AS BIGINT) AS missed UNION ALL SELECT 'gap', -1")
+
+
+def _replays(s: SparkSession, d: str) -> DataFrame:
+    """Epoch by epoch what a subscriber gets that saw all but the last few events, one that is up to date, one of a lost epoch and one of another run."""
+    path = f"{store.shared_dir(s)}/kept-{uuid.uuid4().hex}"
+    _kept(s, d).write.parquet(path)
+    kept = s.read.parquet(path)
+    ends = kept.groupBy("epoch").agg(F.max("seq").alias("n")).orderBy("epoch").collect()  # five epochs
+    asked = [ev.replay(kept, r.epoch, r.n - 5 - k) for k, r in enumerate(ends)] + [ev.replay(kept, r.epoch, r.n) for r in ends]
+    asked += [ev.replay(kept, "2", 10**9), ev.replay(kept, "9", 5), ev.replay(kept, "1", 5, current="3")]
+    out = asked[0]
+    for more in asked[1:]:
+        out = out.unionByName(more)
+    return out.select("type", F.when(F.col("type") != "gap", F.col("seq").cast("long")).alias("seq"), F.col("missed").cast("long").alias("missed"))
+
+
+_add("event_replay", _replays, f"{_KEPT}, n AS (SELECT epoch, max(seq) AS n, row_number() OVER (ORDER BY epoch) - 1 AS k FROM q GROUP BY epoch) SELECT type, seq, CAST(NULL AS BIGINT) AS missed FROM q JOIN n USING (epoch) WHERE seq > n - 5 - k UNION ALL SELECT 'gap', NULL, -1 UNION ALL SELECT 'gap', NULL, -1")
 _add("event_gap", lambda s, d: ev.replay(_kept(s, d), "2", 3).select("type", F.col("missed").cast("long").alias("missed")), f"{_KEPT}, e2 AS (SELECT * FROM h WHERE epoch = '2') SELECT 'gap' AS type, CAST(min(seq) - 4 AS BIGINT) AS missed FROM e2 HAVING min(seq) > 4 UNION ALL SELECT type, NULL FROM e2 WHERE seq > 3 AND (SELECT min(seq) FROM e2) <= 4")
 _add("rate_window", lambda s, d: ev.in_window(_events(s, d).withColumn("at", F.col("at") / 1e6), "epoch", seconds=3600).select("event_id", "used"), "WITH e AS (SELECT event_id, user_id % 5 AS epoch, epoch_us(ts) AS tick FROM events) SELECT event_id, count(*) OVER (PARTITION BY epoch ORDER BY tick RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS used FROM e")
 _add("rate_spaced", lambda s, d: ev.spaced(_events(s, d).withColumn("at", F.col("at") / 1e6), "epoch", gap=30.0).select("epoch", F.round(F.col("slot"), 3).alias("slot")),

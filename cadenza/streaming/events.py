@@ -7,27 +7,33 @@ subscribers that resume: with what they missed, or one gap event where history n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 HISTORY = 256
 
 
 def numbered(events: DataFrame, epoch: str = "epoch", at: str = "at", id: str = "id") -> DataFrame:
     """events with seq, from 1 within an epoch.
 
-    Counted within blocks of time order and then over blocks: an epoch of any size is dealt out over
-    range partitions, and only the blocks' sizes come together.
+    Counted within blocks of time order and then over blocks: an epoch of any size is dealt out over range partitions,
+    which are written once, and only the blocks' sizes come together.
     """
-    rows = events.repartitionByRange(epoch, at, id).withColumn("__b", F.spark_partition_id())
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__b", epoch).orderBy(at, id)))
-    sizes = rows.groupBy("__b", epoch).agg(F.max("__n").alias("__size"))
+    spark, path = events.sparkSession, f"{shared_dir(events.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    dealt = events.repartitionByRange(epoch, at, id).withColumn("__b", F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumn("__n", F.row_number().over(Window.partitionBy("__b", epoch).orderBy(at, id)))
+    sizes = spark.read.schema(dealt.schema).parquet(path).groupBy("__b", epoch).agg(F.count(F.lit(1)).alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.partitionBy(epoch).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__b", epoch, before.alias("__before"))
-    return rows.join(sizes, ["__b", epoch]).withColumn("seq", F.col("__n") + F.col("__before")).drop("__b", "__n", "__before")
+    sizes = sizes.select("__b", F.col(epoch).alias("__e"), before.alias("__before"))
+    met = rows.join(sizes.withColumnRenamed("__b", "__c"), (F.col("__b") == F.col("__c")) & F.col(epoch).eqNullSafe(F.col("__e")))
+    return met.withColumn("seq", F.col("__n") + F.col("__before")).select(*events.columns, "seq")
 
 
 def history(seq: DataFrame, keep: int = HISTORY, epoch: str = "epoch") -> DataFrame:
@@ -57,11 +63,19 @@ def replay(kept: DataFrame, epoch: str, after: int, of: str = "epoch", current:
 def in_window(events: DataFrame, by: str, at: str = "at", seconds: int = 60) -> DataFrame:
     """events with used: how many of the same key fall in the window that ends with each, itself included.
 
-    at is a number of seconds; what is exactly `seconds` old is out.
+    at is a number of seconds; what is exactly `seconds` old is out, and without a time used is null. A key's time is cut into blocks as long
+    as the window, each summed by itself: what comes in it, less what came in the block before as that runs out, over that block's
+    total. So one key, however busy, is dealt out over as many tasks as it has blocks, and equal times are one row.
     """
-    micros = F.round(F.col(at) * 1_000_000).cast("long")
-    span = Window.partitionBy(by).orderBy(micros).rangeBetween(1 - seconds * 1_000_000, 0)
-    return events.withColumn("used", F.count(F.lit(1)).over(span))
+    width = seconds * 1_000_000
+    t, start = F.round(F.col(at) * 1_000_000).cast("long"), F.col("__t") - F.pmod("__t", F.lit(width))
+    counts = events.select(F.col(by).alias("__k"), t.alias("__t")).where("__t is not null").groupBy("__k", "__t").agg(F.count(F.lit(1)).alias("__d")).withColumn("__s", start)
+    leave = counts.select("__k", F.col("__t") + width, -F.col("__d"), F.col("__s") + width)
+    carried = counts.groupBy("__k", "__s").agg(F.sum("__d").alias("__d")).select("__k", F.col("__s") + width - 1, "__d", F.col("__s") + width)
+    deltas = counts.union(leave).union(carried).groupBy("__k", "__s", "__t").agg(F.sum("__d").alias("__d"), F.max("__d").alias("__most"))
+    running = F.sum("__d").over(Window.partitionBy("__k", "__s").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0))
+    used = deltas.withColumn("used", running).where("__most > 0").select("__k", "__t", "used", "__s").where(F.col("__t") >= F.col("__s")).drop("__s")
+    return events.withColumn("__at", t).join(used, F.col(by).eqNullSafe(F.col("__k")) & (F.col("__at") == F.col("__t")), "left").select(*events.columns, "used")
 
 
 def remaining(used: Column, limit: int, server: Column | None = None, spent: Column | None = None) -> Column:
@@ -70,16 +84,28 @@ def remaining(used: Column, limit: int, server: Column | None = None, spent: Col
     return own if server is None else F.least(own, F.greatest(server - F.coalesce(spent, F.lit(0)), F.lit(0)))
 
 
-def spaced(events: DataFrame, by: str, at: str = "at", gap: float = 1.1) -> DataFrame:
+def spaced(events: DataFrame, by: str, at: str = "at", gap: float = 1.1, block: float = 3600.0) -> DataFrame:
     """events with slot: the time at which each may go, `gap` seconds after the one before at least.
 
-    slot_n = max(t_n, slot_(n-1) + gap) is n * gap + the running maximum of t_k - k * gap.
+    slot_n = max(t_n, slot_(n-1) + gap) is n * gap + the running maximum of t_k - k * gap. Counts and maxima are taken within blocks of
+    time and then over blocks, so one key is dealt out over many tasks. Without a time there is no slot.
     """
-    order = Window.partitionBy(by).orderBy(at)
-    n = F.row_number().over(order)
-    rows = events.withColumn("__n", n.cast("double"))
-    top = F.max(F.col(at) - F.col("__n") * gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("slot", top + F.col("__n") * gap).drop("__n")
+    k, t = F.col(by).alias("__k"), F.col(at).cast("double").alias("__t")
+    counts = events.select(k, t).where("__t is not null").groupBy("__k", "__t").agg(F.count(F.lit(1)).alias("__m")).withColumn("__s", F.floor(F.col("__t") / block))
+    whole, within = Window.partitionBy("__k").orderBy("__s"), Window.partitionBy("__k", "__s").orderBy("__t")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy("__k", "__s").agg(F.sum("__m").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(earlier(whole)), F.lit(0)))
+    same = lambda a, b: a["__k"].eqNullSafe(b["__k2"]) & (a["__s"] == b["__s2"])
+    named = lambda df, *cols: df.select(F.col("__k").alias("__k2"), F.col("__s").alias("__s2"), *cols)
+    sized = named(sizes, "__before")
+    rows = counts.join(sized, same(counts, sized)).withColumn("__c", F.col("__before") + F.coalesce(F.sum("__m").over(earlier(within)), F.lit(0)))
+    rows = rows.withColumn("__v", F.col("__t") - (F.col("__c") + 1) * gap).select("__k", "__s", "__t", "__c", "__v")
+    tops = rows.groupBy("__k", "__s").agg(F.max("__v").alias("__top")).withColumn("__over", F.max("__top").over(earlier(whole)))
+    topped = named(tops, "__over")
+    slots = rows.join(topped, same(rows, topped)).withColumn("__max", F.greatest("__over", F.max("__v").over(within.rowsBetween(Window.unboundedPreceding, 0)))).select("__k", "__t", "__c", "__max")
+    numbered_ = events.withColumns({"__at": F.col(at).cast("double"), "__j": F.row_number().over(Window.partitionBy(by, at).orderBy(F.lit(1)))})
+    met = numbered_.join(slots, F.col(by).eqNullSafe(F.col("__k")) & (F.col("__at") == F.col("__t")), "left")
+    return met.withColumn("slot", F.col("__max") + (F.col("__c") + F.col("__j")) * gap).select(*events.columns, "slot")
 
 
 def alive(rows: DataFrame, now: Column, ttl: int, at: str = "at") -> DataFrame:

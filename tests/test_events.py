@@ -26,6 +26,31 @@ def test_limits(spark):
     assert tuple(r) == (10, 2, 0)
 
 
+def test_one_hot_key_is_dealt_out(spark):
+    """A key with a million requests, bursts among them: as many window groups as it has minutes, and what a plain window gives."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("hot").alias("k"), "id", (F.floor(F.col("id") / 7) * 0.137 + F.when(F.col("id") % 50_000 < 3_000, 0).otherwise(F.col("id") % 3 * 0.01)).alias("at"))
+    used = ev.in_window(df, "k")
+    from pyspark.sql import Window
+
+    micros = F.round(F.col("at") * 1_000_000).cast("long")
+    plain = df.withColumn("used", F.count(F.lit(1)).over(Window.partitionBy("k").orderBy(micros).rangeBetween(1 - 60_000_000, 0)))
+    mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum("used"), F.bit_xor(F.xxhash64("id", "used"))).first())
+    assert mark(used) == mark(plain)
+    few = df.where("id < 50000")
+    order = Window.partitionBy("k").orderBy("at")
+    rows = few.withColumn("n", F.row_number().over(order).cast("double"))
+    slots = rows.withColumn("slot", F.max(F.col("at") - F.col("n") * 0.1).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n") * 0.1)
+    total = lambda x: x.agg(F.count(F.lit(1)), F.round(F.sum("slot"), 3), F.round(F.max("slot"), 3)).first()
+    assert total(ev.spaced(few, "k", gap=0.1, block=60.0)) == total(slots)
+
+
+def test_limits_without_key_or_time(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("a", -30.0), ("a", 29.999999), ("a", 30.0)], "k string, at double")
+    assert sorted(((r.k, r.at, r.used) for r in ev.in_window(df, "k").collect()), key=str) == sorted([(None, 1.0, 1), (None, 2.0, 2), ("a", None, None), ("a", -30.0, 1), ("a", 29.999999, 2), ("a", 30.0, 2)], key=str)
+    assert {(r.k, r.at): r.slot for r in ev.spaced(df, "k", gap=1.5).collect()} == {(None, 1.0): 1.0, (None, 2.0): 2.5, ("a", None): None, ("a", -30.0): -30.0, ("a", 29.999999): 29.999999, ("a", 30.0): 31.499999}
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([("1", "scan", "done", 1, 5), ("2", "scan", "done", 2, 4), ("3", "set", "running", 3, None)], "id string, kind string, state string, created long, finished long")
     assert [(r.kind, r.id) for r in ev.latest_of_kind(jobs).collect()] == [("scan", "1")]
