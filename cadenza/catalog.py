@@ -314,9 +314,37 @@ _add("picture_files", lambda s, d: _on_files(s, d, lambda t: contents.covers(con
 _P, _N = "'ring'", "4"
 _add("fuzzy_substring", lambda s, d: tracks(s, d).select("title").distinct().select("title", F.round(fuzzy.substring_score(fold(F.col("title")), "ring"), 6).alias("score")),
      f"""{_WITH}, t AS (SELECT DISTINCT title, {_f('title')} AS f FROM tracks) SELECT title, CASE WHEN contains(f, {_P}) THEN round(least(1.0, 0.75 + 0.15 * {_N} / strlen(f) + CASE WHEN instr(f, {_P}) = 1 THEN 0.10 WHEN regexp_matches(substr(f, instr(f, {_P}) - 1, 1), '[ \\t_/.,()&\\[\\]\\\\-]') THEN 0.05 ELSE 0.0 END), 6)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM t""")
-_add("fuzzy_subsequence", lambda s, d: search_scored(tracks(s, d), "title:~gen").groupBy("title", "score").agg(F.count(F.lit(1)).alias("n")))
-_add("fuzzy_typo", lambda s, d: search_scored(tracks(s, d), "artist:~suplier#000000012").groupBy("artist", "score").agg(F.count(F.lit(1)).alias("n")))
-_add("fuzzy_rank", lambda s, d: order.page(search_scored(tracks(s, d), '~"smal wigdet" year:>1993'), order.track_keys(None, scored=True), 100).items.select("path", "score"))
+
+
+def _fuzzy_sql(pattern: str, columns: list[str]) -> str:
+    """CTEs after tracks: sc(f, s), scores of the distinct folded values of the columns for an ASCII pattern: word by word literal, else its letters in order, else the nearest of the text and its words."""
+    edge, places, parts, scores = "[ \\t_/.,()&\\[\\]\\\\-]", [], [], []
+    for n, word in enumerate(pattern.split()):
+        m, q, top = len(word), f"'{word}'", f"p{n}[len(p{n})]"
+        most = (1 + (m >= 7) + (m >= 10)) if 4 <= m <= 64 else -1
+        codes = ", ".join(f"[{ord(c)}]" for c in word)
+        step = "CASE WHEN a[len(a)] < 0 OR instr(substr(f, a[len(a)] + 1), chr(x[1])) = 0 THEN -1 ELSE a[len(a)] + instr(substr(f, a[len(a)] + 1), chr(x[1])) END"
+        places.append(f"list_reduce([[0], {codes}], lambda a, x: list_append(a, {step}))[2:] AS p{n}")
+        starts = f"list_filter(range(1, {m} + 1), lambda k: k = 1 OR p{n}[k] <> p{n}[k - 1] + 1)"
+        parts.append(f"list_transform({starts}, lambda k: p{n}[k]) AS h{n}, {top} AS e{n}")
+        parts.append(f"list_min(list_transform(list_prepend(f, list_filter(regexp_split_to_array(f, '{edge}+'), lambda x: x <> '')), lambda x: damerau_levenshtein(x, {q}))) AS d{n}")
+        parts.append(f"CASE WHEN contains(f, {q}) THEN least(1.0, 0.75 + 0.15 * {m} / strlen(f) + CASE WHEN instr(f, {q}) = 1 THEN 0.10 WHEN regexp_matches(substr(f, instr(f, {q}) - 1, 1), '{edge}') THEN 0.05 ELSE 0.0 END)::DOUBLE ELSE 0.0::DOUBLE END AS l{n}")
+        at_words = f"len(list_filter(h{n}, lambda x: x = 1 OR regexp_matches(substr(f, x - 1, 1), '{edge}')))::DOUBLE"
+        spread = f"CASE WHEN e{n} > 0 THEN 0.35::DOUBLE + 0.25::DOUBLE * {f'({m} - len(h{n}))::DOUBLE / {m - 1}' if m > 1 else '1'} + 0.10::DOUBLE * {at_words} / len(h{n}) + 0.05::DOUBLE * {m} / strlen(f) ELSE 0.0 END"
+        typo = f"CASE WHEN d{n} <= {most} THEN 0.20::DOUBLE + 0.50::DOUBLE * (1 - d{n}::DOUBLE / {m}) ELSE 0.0 END"
+        scores.append(f"{spread} AS r{n}, {typo} AS t{n}, l{n}")
+    count = len(scores)
+    best = [f"(CASE WHEN f = '' THEN 0.0 WHEN l{n} > 0 THEN l{n} WHEN r{n} >= 0.45 THEN least(r{n}, 0.74) WHEN t{n} >= 0.45 THEN least(t{n}, 0.74) ELSE 0.0 END)" for n in range(count)]
+    mean = best[0] if count == 1 else f"CASE WHEN {' AND '.join(f'{w} > 0' for w in best)} THEN least(({' + '.join(best)}) / {count}, 0.74) ELSE 0.0 END"
+    values = " UNION ".join(f"SELECT DISTINCT {_f(c)} AS f FROM tracks" for c in columns)
+    return f"vs AS MATERIALIZED ({values}), ps AS MATERIALIZED (SELECT f, {', '.join(places)} FROM vs), ws AS MATERIALIZED (SELECT f, {', '.join(parts)} FROM ps), rs AS MATERIALIZED (SELECT f, {', '.join(scores)} FROM ws), sc AS MATERIALIZED (SELECT f, {mean} AS s FROM rs)"
+
+
+_RANKED = " UNION ALL ".join(f"SELECT path, {_f(c)} AS f FROM tracks WHERE year > 1993" for c in _BARE)
+_add("fuzzy_subsequence", lambda s, d: search_scored(tracks(s, d), "title:~gen").groupBy("title", "score").agg(F.count(F.lit(1)).alias("n")), f"{_WITH}, {_fuzzy_sql('gen', ['title'])} SELECT title, round(s, 3)::DOUBLE AS score, count(*) AS n FROM tracks JOIN sc ON sc.f = {_f('title')} WHERE s > 0 GROUP BY 1, 2")
+_add("fuzzy_typo", lambda s, d: search_scored(tracks(s, d), "artist:~suplier#000000012").groupBy("artist", "score").agg(F.count(F.lit(1)).alias("n")), f"{_WITH}, {_fuzzy_sql('suplier#000000012', ['artist'])} SELECT artist, round(s, 3)::DOUBLE AS score, count(*) AS n FROM tracks JOIN sc ON sc.f = {_f('artist')} WHERE s > 0 GROUP BY 1, 2")
+_add("fuzzy_rank", lambda s, d: order.page(search_scored(tracks(s, d), '~"smal wigdet" year:>1993'), order.track_keys(None, scored=True), 100).items.select("path", "score"),
+     f"{_WITH}, {_fuzzy_sql('smal wigdet', _BARE)}, fs AS ({_RANKED}) SELECT path, round(max(s), 3)::DOUBLE AS score FROM fs JOIN sc USING (f) GROUP BY path HAVING max(s) > 0 ORDER BY score DESC, path LIMIT 100")
 _add("art_export", lambda s, d: store.art_export(tracks(s, d)), f"{_WITH}SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, min(path) AS path FROM tracks WHERE has_art GROUP BY 1")
 
 

@@ -129,6 +129,33 @@ def fuzzy_score(text: Column, pattern: str, start: bool = False, end: bool = Fal
     return F.coalesce(further(F.when(literal == 0, text)), literal)
 
 
+def possible(text: Column, pattern: str) -> Column:
+    """Whether a text may score at all: it needs every letter of every word of the pattern, but for as many as a misspelling may change.
+
+    This runs in the JVM and loses nothing: bytes in order are all there, and an edit takes away one of them at most.
+    """
+    out = F.lit(True)
+    for word in pattern.split():
+        if word.isascii():
+            m = len(word)
+            most = 1 + (m >= 7) + (m >= 10) if LEAST_TYPO <= m <= MOST_TYPO else 0
+            letters = sorted(set(word))
+            if len(letters) > most:
+                out = out & (sum((F.contains(text, F.lit(c)).cast("int") for c in letters), F.lit(0)) >= len(letters) - most)
+    return out
+
+
+def further_score(text: Column, pattern: str, start: bool = False, end: bool = False) -> Column:
+    """Score of a text that has no literal hit, for a column of distinct values; 0 where it has one."""
+    raw = pattern.encode()
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else score(t.encode(), raw, start, end) for t in texts.to_pylist()], pa.float64())
+
+    return F.coalesce(run(F.when(substring_score(text, pattern, start, end) == 0, text)), F.lit(0.0))
+
+
 def register(spark) -> None:
     """SQL functions: fuzzy_score(folded text, folded pattern), osa_distance(a, b)."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.fuzzy import fuzzy_score
+from ..functions.fuzzy import further_score, fuzzy_score, possible, substring_score
 from ..functions.text import fold, fold_text
 
 MAX_INT = (1 << 31) - 1
@@ -140,10 +140,20 @@ def search(df: DataFrame, query: str) -> DataFrame:
     return df.where(condition(df, terms)) if terms else df
 
 
+def _hits(df: DataFrame, t: Term, fields: list[str]) -> DataFrame:
+    """(v, s): distinct folded values of the fields that a fuzzy term finds without a literal hit, and their scores.
+
+    Each value is scored once, whatever the number of tracks and fields that have it, and only if it has the letters for it.
+    """
+    values = df.select(F.explode(F.array(*[F.col(f"__f_{f}") for f in fields])).alias("v")).distinct().where(possible(F.col("v"), t.value))
+    return values.withColumn("s", further_score(F.col("v"), t.value, t.start, t.end)).where("s > 0")
+
+
 def search_scored(df: DataFrame, query: str) -> DataFrame:
     """Rows that match, with score: the mean over the fuzzy terms that are not negated, else 1, to three places.
 
-    Exact terms filter first; the scores are computed once, on what is left.
+    Exact terms filter first. A fuzzy term is then asked of the distinct values of its fields, and what it finds is joined back: by
+    a broadcast if Spark finds it small enough, else by value, where Spark splits values that many tracks have. Literal hits need no join.
     """
     terms = parse(query)
     fuzzy = [t for t in terms if t.fuzzy and not t.negate]
@@ -151,10 +161,23 @@ def search_scored(df: DataFrame, query: str) -> DataFrame:
     out = df.where(condition(df, rest)) if rest else df
     if not fuzzy:
         return out.withColumn("score", F.lit(1.0))
-    names = [f"__s{k}" for k in range(len(fuzzy))]
-    out = out.withColumns({n: score_of(out, t) for n, t in zip(names, fuzzy, strict=True)}).where(reduce(Column.__and__, [F.col(n) > 0 for n in names]))
-    mean = reduce(Column.__add__, [F.col(n) for n in names]) / len(names)
-    return out.withColumn("score", F.round(mean, 3)).drop(*names)
+    used = sorted({f for t in fuzzy for f in ([t.field] if t.field else schema.DISPLAY)})
+    out = out.withColumns({f"__f_{f}": _folded(out, f) for f in used})
+    scores = []
+    for k, t in enumerate(fuzzy):
+        fields, name = [t.field] if t.field else list(schema.DISPLAY), f"__s{k}"
+        if not t.value:
+            own = [(F.col(f"__f_{f}") == "").cast("double") for f in fields]
+        else:
+            hits, own = _hits(out, t, fields), []
+            for f in fields:
+                found = hits.select(F.col("v").alias(f"__v_{f}"), F.col("s").alias(f"{name}_{f}"))
+                out = out.join(found, F.col(f"__f_{f}") == F.col(f"__v_{f}"), "left").drop(f"__v_{f}")
+                own.append(F.coalesce(f"{name}_{f}", substring_score(F.col(f"__f_{f}"), t.value, t.start, t.end)))
+        out = out.withColumn(name, own[0] if len(own) == 1 else F.greatest(*own)).where(F.col(name) > 0)
+        scores.append(F.col(name))
+    mean = reduce(Column.__add__, scores) / len(scores)
+    return out.withColumn("score", F.round(mean, 3)).select(*df.columns, "score")
 
 
 def is_scored(query: str) -> bool:
