@@ -24,15 +24,18 @@ def credited() -> Column:
     return F.when(F.col("album_artist") != "", F.col("album_artist")).when(F.col("compilation"), VARIOUS).otherwise(F.col("artist"))
 
 
-def _voted(df: DataFrame) -> DataFrame:
-    """df with the artist that a track is filed under, and its votes for the fields that may select its group again.
+def _parts(df: DataFrame) -> DataFrame:
+    """Tracks grouped by their raw names, with folded ones (a: of who they are filed under, b: of the album), measures and votes.
 
-    Every track with an album artist votes for that, and every track whose own artist bears the group's name
+    Names are folded once for each group, not for each track. The votes are for the fields that may select a group again:
+    every track with an album artist votes for that, and every track whose own artist bears the group's name
     for the artist, so a track may vote for both.
     """
-    rows = df.withColumn("__who", credited())
+    raw = df.groupBy("album_artist", "compilation", "artist", "album").agg(F.min("path").alias("__first"), F.min(F.when(F.col("year") > 0, F.col("year"))).alias("year"), *_measures())
+    rows = raw.withColumn("__who", credited()).withColumns({"a": fold(F.col("__who")), "b": fold(F.col("album"))})
+    n = F.col("tracks")
     flag = (F.col("album_artist") == "") & F.col("compilation")
-    return rows.withColumns({"__flag": flag.cast("int"), "__aa": (F.col("album_artist") != "").cast("int"), "__own": (fold(F.col("artist")) == fold(F.col("__who"))).cast("int")})
+    return rows.withColumns({"__flag": F.when(flag, n).otherwise(0), "__aa": F.when(F.col("album_artist") != "", n).otherwise(0), "__own": F.when(fold(F.col("artist")) == F.col("a"), n).otherwise(0)})
 
 
 def _field() -> Column:
@@ -48,15 +51,18 @@ def _measures() -> list[Column]:
     return [F.count(F.lit(1)).alias("tracks"), F.sum(F.col("duration_ms").cast("long")).alias("duration_ms"), F.count_if("has_art").alias("with_art"), F.min(F.when(F.col("has_art"), F.col("path"))).alias("__sample")]
 
 
+def _summed() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ("tracks", "duration_ms", "with_art")], F.min("__sample").alias("__sample")]
+
+
 def _sample() -> Column:
     return F.coalesce(track_id(F.col("__sample")), F.lit("")).alias("sample_track_id")
 
 
 def albums(df: DataFrame, query: str = "") -> DataFrame:
     """id, album, artist, year (the least that is known), tracks, duration_ms, with_art, sample_track_id, query."""
-    rows = _voted(search(df, query))
-    made = rows.groupBy(fold(F.col("__who")).alias("a"), fold(F.col("album")).alias("b")).agg(
-        F.min_by("album", "path").alias("album"), F.min_by("__who", "path").alias("artist"), F.coalesce(F.min(F.when(F.col("year") > 0, F.col("year"))), F.lit(0)).alias("year"), *_measures(), _field().alias("__field")
+    made = _parts(search(df, query)).groupBy("a", "b").agg(
+        F.min_by("album", "__first").alias("album"), F.min_by("__who", "__first").alias("artist"), F.coalesce(F.min("year"), F.lit(0)).alias("year"), *_summed(), _field().alias("__field")
     )
     own = F.concat(F.lit('album:"'), _bare(F.col("album")), F.lit('"'))
     who = F.when(F.col("__field") == "compilation", "compilation:1 ").when(F.col("artist") == "", "").otherwise(F.concat("__field", F.lit(':"'), _bare(F.col("artist")), F.lit('" ')))
@@ -68,13 +74,8 @@ def artists(df: DataFrame, query: str = "") -> DataFrame:
 
     Albums are counted by grouping twice, which keeps the state of a task to sums.
     """
-    rows = _voted(search(df, query))
-    parts = rows.groupBy(fold(F.col("__who")).alias("a"), fold(F.col("album")).alias("b")).agg(
-        F.min(F.struct("path", "__who")).alias("first"), *_measures(), *[F.sum(v).alias(v) for v in ("__flag", "__aa", "__own")]
-    )
-    made = parts.groupBy("a").agg(
-        F.min("first").alias("first"), F.count_if(F.col("b") != "").alias("albums"), F.sum("tracks").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("with_art").alias("with_art"), F.min("__sample").alias("__sample"), _field().alias("__field")
-    )
+    parts = _parts(search(df, query)).groupBy("a", "b").agg(F.min(F.struct("__first", "__who")).alias("first"), *_summed(), *[F.sum(v).alias(v) for v in ("__flag", "__aa", "__own")])
+    made = parts.groupBy("a").agg(F.min("first").alias("first"), F.count_if(F.col("b") != "").alias("albums"), *_summed(), _field().alias("__field"))
     name = F.col("first.__who")
     again = F.when(F.col("__field") == "compilation", "compilation:1").when(name == "", "artist: albumartist:").otherwise(F.concat("__field", F.lit(':"^'), _bare(name), F.lit('$"')))
     return made.select(fnv(F.col("a")).alias("id"), name.alias("name"), "albums", "tracks", "duration_ms", "with_art", _sample(), again.alias("query"))

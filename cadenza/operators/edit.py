@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -19,6 +20,7 @@ from .. import schema
 from ..functions.hashing import track_id, track_version
 from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim
 from ..plans.search import search
+from ..sources.store import shared_dir
 
 MAX_ERRORS = 25
 
@@ -246,15 +248,16 @@ def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing
     """
     name, complete = render(template)
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    made = with_id(rows).withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")})
+    named = with_id(rows).withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")}).select("id", "path", "dest", "complete")
+    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/rename-{uuid.uuid4().hex}"
+    named.write.parquet(folder)  # names are made once, for the claims and for the plan, however often it is asked
+    made = spark.read.schema(named.schema).parquet(folder)
     claims = F.col("complete") & (F.col("dest") != F.col("path"))
-    first = made.where(claims).groupBy(F.col("dest").alias("__dest")).agg(F.min("path").alias("__first"))
-    made = made.join(first, claims & (F.col("dest") == F.col("__dest")), "left")
+    asked = made.where(claims).select(F.col("dest").alias("__dest"), F.col("path").alias("__first"), F.lit(False).alias("__there"))
     if existing is not None:
-        taken = existing.select(F.col("path").alias("__taken"))
-        made = made.join(taken, F.col("dest") == F.col("__taken"), "left")
-    else:
-        made = made.withColumn("__taken", F.lit(None).cast("string"))
+        asked = asked.unionByName(existing.select(F.col("path").alias("__dest"), F.lit(None).cast("string").alias("__first"), F.lit(True).alias("__there")))
+    places = asked.groupBy("__dest").agg(F.min("__first").alias("__first"), F.max("__there").alias("__there")).where("__first is not null")
+    made = made.join(places, claims & (F.col("dest") == F.col("__dest")), "left").withColumn("__taken", F.when(F.col("__there"), F.col("dest")))
     status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("__first") != F.col("path")) | F.col("__taken").isNotNull(), "collision").otherwise("changed")
     return made.select("id", "path", status.alias("status"), "dest", track_id(F.col("dest")).alias("new_id"))
 
