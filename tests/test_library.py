@@ -37,6 +37,31 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) AS n FROM found").first().n == 2
 
 
+@pytest.mark.parametrize("query", ["", "nord", "artist:~nrod year:>1990", "-genre:jazz album:^harbour", '~"tin orchrd" -year:1999', "genre:", "year:1980-1985 ~cafe", "compilation:1", 'artist:"^oddvar$"', "year:abc", "album:1$"])
+def test_search_table_function(spark, query):
+    """The same rows and scores from SQL as from the compiled filter, over plain and stored columns."""
+    from cadenza.plans.search import fold_columns, search_scored
+
+    sql.register(spark)
+    t = store.generate(spark, 120)
+    want = sorted((r.path, r.score) for r in search_scored(t, query).collect())
+    for name, df in (("plain", t), ("stored", fold_columns(t))):
+        df.createOrReplaceTempView(name)
+        got = spark.sql(f"SELECT path, score FROM search_tracks(TABLE({name}), '{query}')").collect()
+        assert sorted((r.path, r.score) for r in got) == want
+
+
+def test_search_table_function_refuses(spark):
+    from pyspark.errors import AnalysisException
+
+    sql.register(spark)
+    store.generate(spark, 3).createOrReplaceTempView("few")
+    assert spark.sql("SELECT title, count(*) AS n FROM search_tracks(TABLE(SELECT title, year FROM few), 'title:piece year:>1900') WHERE score = 1 GROUP BY title").count() == 3
+    for bad in ("TABLE(SELECT title FROM few), 'year:>1'", "TABLE(few), path", "'x', 'y'"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM search_tracks({bad})").collect()
+
+
 def mp3(title, extra=b""):
     body = title.encode()
     frame = b"TIT2" + (len(body) + 1).to_bytes(4) + b"\0\0\3" + body
