@@ -28,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,14 +36,16 @@ from .simhash_dedup import components
 
 WORDS, PERCENT = 4, 85
 #: Of the frequencies, and in how many parts they are summed.
-COUNTERS, CHUNK = 1 << 22, 1 << 10
+COUNTERS, CHUNK = 1 << 22, 1 << 12
 #: Rows of a block of a large key; a cell holds two blocks at most.
 CELL = 2048
 CLASSES = 64
-#: Bits of the filter that tells which texts are read again; where it is full, all are.
+#: Bits of the filters that tell which keys are joined and which texts are read again; where one is full, all are.
 BITS = 1 << 26
 #: Bytes of text that are cut into shingles together; a longer text goes alone. Pairs that are compared together.
-PIECE, PAIRS = 4 << 20, 1 << 17
+PIECE, PAIRS = 4 << 20, 1 << 16
+#: Bytes of an Arrow batch, which a worker holds together with all of its shingles.
+BATCH = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,8 +101,8 @@ def tally(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, own_type = np.zeros(COUNTERS, np.uint32), None
-        names = ["id", "node", "n", "classes", "chunk", "counts"]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["id", "node", "n", "classes", "chunk", "at", "counts"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             own_type = batch.schema.field(0).type
             nodes, sizes, classes = [], [], []
@@ -109,16 +111,31 @@ def tally(docs: DataFrame, words: int) -> DataFrame:
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 classes.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip([nodes, sizes, classes, [None] * len(nodes), [None] * len(nodes)], types, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip([nodes, sizes, classes, *[[None] * len(nodes)] * 3], types, strict=True))], names=names)
         if own_type is not None:
-            for lo in range(0, COUNTERS // CHUNK, 256):
-                at = range(lo, min(lo + 256, COUNTERS // CHUNK))
-                parts = [counts[k * CHUNK : (k + 1) * CHUNK] for k in at]
-                packed = [p.astype(np.min_scalar_type(int(p.max()))).tobytes() for p in parts]
+            for lo in range(0, COUNTERS // CHUNK, 64):
+                numbers = range(lo, min(lo + 64, COUNTERS // CHUNK))
+                packed = [_packed(counts[k * CHUNK : (k + 1) * CHUNK]) for k in numbers]
                 none = [None] * len(packed)
-                yield pa.RecordBatch.from_arrays([pa.array(none, own_type), *(pa.array(c, t) for c, t in zip([none, none, none, list(at), packed], types, strict=True))], names=names)
+                cols = [none, none, none, list(numbers), [at for at, _ in packed], [own for _, own in packed]]
+                yield pa.RecordBatch.from_arrays([pa.array(none, own_type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, node long, n int, classes binary, chunk int, counts binary")
+    return docs.mapInArrow(run, f"id {kind}, node long, n int, classes binary, chunk int, at binary, counts binary")
+
+
+def _packed(counts: np.ndarray) -> tuple[bytes | None, bytes]:
+    """(places, counts) in as few bytes as they take; places are left out where most counters are used."""
+    at = np.flatnonzero(counts)
+    width = np.min_scalar_type(int(counts.max()))
+    if len(at) * (2 + width.itemsize) < len(counts) * width.itemsize:
+        return at.astype("<u2").tobytes(), counts[at].astype(width).tobytes()
+    return None, counts.astype(width).tobytes()
+
+
+def _unpacked(at: bytes | None, counts: bytes) -> tuple[np.ndarray | slice, np.ndarray]:
+    n = CHUNK if at is None else len(at) // 2
+    own = np.frombuffer(counts, {1: "u1", 2: "<u2", 4: "<u4"}[len(counts) // n] if n else "u1")
+    return slice(None) if at is None else np.frombuffer(at, "<u2"), own
 
 
 def levels(tallied: DataFrame) -> np.ndarray:
@@ -127,14 +144,14 @@ def levels(tallied: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // CHUNK])
-                sums[k] = sums[k] + own if k in sums else own.astype(np.uint64)
+            for k, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places, own = _unpacked(at, raw)
+                sums.setdefault(k, np.zeros(CHUNK, np.uint64))[places] += own
         found = [np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(found, pa.binary())], names=["chunk", "levels"])
 
     out = np.zeros(COUNTERS, np.uint8)
-    for r in tallied.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, levels binary").toLocalIterator():
+    for r in tallied.where("chunk is not null").select("chunk", "at", "counts").repartition("chunk").mapInArrow(run, "chunk int, levels binary").collect():  # bounded by its size
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
     return out
 
@@ -163,13 +180,43 @@ def prefixes(docs: DataFrame, order: object, words: int, percent: int) -> DataFr
     return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int")
 
 
-def cells(filed: DataFrame, nodes: DataFrame, cell: int = CELL) -> DataFrame:
-    """Prefixes' rows at keys that more than one has, with their classes, dealt to cells (key, i, j)."""
-    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+def bitmap(places: DataFrame) -> np.ndarray:
+    """BITS bits as bytes, set at the hashes of the one column of places: a filter of fixed size, which passes all where it is full."""
+    (name,) = places.columns
+    p = places.select(_place(name).alias("p"))
+    parts = p.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in parts.collect():  # bounded by its size
+        own = np.frombuffer(r.bits, np.uint8)
+        bits[(r.k - 1) * len(own) : r.k * len(own)] = own
+    return bits
+
+
+def _place(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BITS)) + 1
+
+
+def told(shared: object, name: str) -> Column:
+    """Whether a broadcast bitmap may hold a column's value."""
+
+    @F.arrow_udf("boolean")
+    def run(places: pa.Array) -> pa.Array:
+        return _held(shared.value, places)
+
+    return run(_place(name))
+
+
+def _held(bits: np.ndarray, places: pa.Array) -> pa.Array:
+    p = places.to_numpy(zero_copy_only=False) - 1
+    return pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
+
+def cells(filed: DataFrame, sizes: DataFrame, shared: object, cell: int = CELL) -> DataFrame:
+    """Prefixes' rows at keys that more than one has (sizes: key, rows), dealt to cells (key, i, j); shared is the bitmap of these keys."""
     blocks = F.ceil(F.col("rows") / cell).cast("int")
-    met = filed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(nodes.select("node", "classes"), "node")
+    met = filed.where(told(shared, "key")).join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos", "classes")
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "pos")
 
 
 class _Cell:
@@ -261,31 +308,20 @@ def candidates(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, set) of the wanted nodes (node, least id), read from their texts again."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
-    parts = wanted.select(place("least").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        own = np.frombuffer(r.bits, np.uint8)
-        bits[(r.k - 1) * len(own) : r.k * len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def told(places: pa.Array) -> pa.Array:
-        p = places.to_numpy(zero_copy_only=False) - 1
-        return pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             nodes, sets = [], []
-            for own in sets_of(common.as_bytes(batch.column(0)), words):
+            for own in sets_of(common.as_bytes(batch.column(1).filter(_held(shared.value, batch.column(0)))), words):
                 if len(own) and (node := node_of(own)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     sets.append(own.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "own"])
 
-    found = docs.where(told(place("id"))).select("text").mapInArrow(run, "node long, own binary")
+    found = docs.select(_place("id"), "text").mapInArrow(run, "node long, own binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -307,6 +343,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """Per document: doc_id, n_shingles, component_id. Links are pairs whose Jaccard similarity is percent hundredths or more."""
     spark = docs.sparkSession
     common.bound_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     before = set(common.made())
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     tallied, _ = common.materialize(tally(docs, words), "tally")
@@ -316,17 +353,24 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     order = spark.sparkContext.broadcast(levels(tallied))
     filed, _ = common.materialize(prefixes(docs, order, words, percent), "prefixes")
     order.destroy()
-    dealt, _ = common.materialize(cells(filed, nodes, cell), "cells")
+    sizes, _ = common.materialize(filed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
+    repeated = spark.sparkContext.broadcast(bitmap(sizes.select("key")))
+    dealt, _ = common.materialize(cells(filed, sizes, repeated, cell), "cells")
+    repeated.destroy()
     roots = sets = tried = links = None
     for step in range(3):  # the likeliest partner twice, then whatever is left between components
-        known = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else dealt.withColumn("root", F.col("node"))
+        known = dealt.join(nodes.select("node", "classes"), "node")
+        known = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else known.withColumn("root", F.col("node"))
         pairs = candidates(known, percent, step < 2)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = common.materialize(pairs, "pairs")
+        if roots is not None and pairs.isEmpty():
+            continue
         if sets is None:
             wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least")
             sets, _ = common.materialize(_sets(docs, wanted, words), "sets")
+            dealt, _ = common.materialize(dealt.join(wanted.select("node"), "node", "left_semi"), "cells")  # no other node has a partner
         found, _ = common.materialize(verified(pairs, sets, percent), "verified")
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         own = found.where("linked").select("a", "b")

@@ -55,7 +55,7 @@ def corpus(rnd):
     return [*enumerate(texts), (None, texts[0]), (None, "lonely null words here"), (3, texts[3]), (3, "other words under one id"), (700, None), (701, ""), (702, " \n"), (-5, texts[-6])]
 
 
-@pytest.mark.parametrize("cell,counters", [(2048, 1 << 22), (3, 1 << 10)])
+@pytest.mark.parametrize("cell,counters", [(2048, 1 << 22), (3, 1 << 12)])
 def test_query_matches_brute_force(spark, tmp_path, monkeypatch, cell, counters):
     monkeypatch.setattr(jj, "COUNTERS", counters)
     rows = corpus(random.Random(cell))
@@ -92,6 +92,16 @@ def test_large_group_of_near_copies(spark):
     assert sum(dealt.values()) < 400 * 6  # not all of their 79,800 pairs
 
 
+def test_counts_are_packed_whole():
+    rng = np.random.default_rng(4)
+    for most, share in ((1, 0.01), (1, 0.9), (300, 0.3), (70_000, 0.001), (255, 0.34), (0, 0)):
+        counts = np.where(rng.random(jj.CHUNK) < share, rng.integers(0, most + 1, jj.CHUNK), 0).astype(np.uint32)
+        back = np.zeros(jj.CHUNK, np.uint64)
+        places, own = jj._unpacked(*jj._packed(counts))
+        back[places] += own
+        assert (back == counts).all()
+
+
 def test_filters_lose_no_link():
     rng = np.random.default_rng(2)
     for _ in range(200):
