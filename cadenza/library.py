@@ -209,6 +209,16 @@ class Library:
         named = store.log_of(self.spark, self.home).where("journal").select(F.col("job").alias("name"))
         return rows.join(named, "name", "left_semi").select("name", "kind", "at", "entries").orderBy(F.desc("at"), "name")
 
+    def backup_page(self, limit: int | None = None, offset: int | None = None) -> Page:
+        """A page of backups, newest first."""
+        return order.page(self.backups(), [F.desc("at"), F.asc("name")], limit, offset)
+
+    def backup(self, job_id: str) -> DataFrame:
+        """One row of what a backup holds: entries, the fields they change, the first few paths."""
+        if self.backups().where(F.col("name") == job_id).isEmpty():
+            raise NotFound(job_id)
+        return store.backup_detail(store.read_journal(self.spark, f"{self.home}/journals", job_id))
+
     # pictures
 
     def _art(self, changed: DataFrame) -> list[str]:
@@ -269,7 +279,7 @@ class Library:
     # ingest and change stream
 
     def scan(self, roots: list[str] | None = None, exclude: list[str] = (), fresh: bool = False, follow: bool = False) -> dict:
-        """Read what has changed below the roots and return the counts; one scan at a time, another is refused."""
+        """Read what has changed below the roots; one scan at a time, another is refused. Returns the counts and the first errors."""
         if not self._scanning.acquire(blocking=False):
             raise Conflict("a scan is running")
         try:
@@ -277,7 +287,8 @@ class Library:
             done = scan.run(self.spark, roots, None if fresh else self.tracks_table, exclude, follow=follow)
             try:
                 self._commit_as(self.at, kind="scan", event="catalog.replaced", roots=roots, **store.write_base(done.tracks, self.home, ready=True))
-                return done.counters().first().asDict()
+                first = done.errors.orderBy("path").limit(edit.MAX_ERRORS)
+                return done.counters().first().asDict() | {"first_errors": [f"{r.path}: {r.error}" for r in first.collect()]}
             finally:
                 done.close()
         finally:
