@@ -55,7 +55,7 @@ def corpus(rnd):
     return [*enumerate(texts), (None, texts[0]), (None, "lonely null words here"), (3, texts[3]), (3, "other words under one id"), (700, None), (701, ""), (702, " \n"), (-5, texts[-6])]
 
 
-@pytest.mark.parametrize("cell,counters", [(2048, 1 << 22), (3, 1 << 12)])
+@pytest.mark.parametrize("cell,counters", [(3, 1 << 12)])
 def test_query_matches_brute_force(spark, tmp_path, monkeypatch, cell, counters):
     monkeypatch.setattr(jj, "COUNTERS", counters)
     rows = corpus(random.Random(cell))
