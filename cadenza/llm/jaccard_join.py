@@ -13,7 +13,8 @@
 5. Of what passes, every node brings its likeliest partner to be verified, by the exact sets; then, among nodes that are not
    connected yet, again; then all pairs that are still left between components. So every link between
    two components has been looked at, a group of near copies makes about two pairs a node, and a pair is verified once.
-6. Components on tables (see simhash_dedup), and every document gets the least doc_id of its component.
+6. Links are cut into blocks of bounded size, each of which becomes stars around its least nodes; then components on tables
+   (see simhash_dedup), and every document gets the least doc_id of its component.
 
 Cases: null text and texts without words are linked with nothing: their component is their own id. Null ids take part but name a component
 only if it has no other. Rows repeated in full share a component. Very long texts are read whole. An empty table gives
@@ -46,6 +47,8 @@ BITS = 1 << 26
 PIECE, PAIRS = 4 << 20, 1 << 16
 #: Bytes of an Arrow batch, which a worker holds together with all of its shingles.
 BATCH = 4 << 20
+#: Links that a task turns into stars together.
+LINKS = 1 << 18
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -339,6 +342,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", linked("x", "y").alias("linked"))
 
 
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Of links (a, b), every node but the least of what they connect, with that one."""
+    ends = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(2)]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    x, y = at[: len(ends[0])], at[len(ends[0]) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low, heads, tails = np.minimum(root[x], root[y]), root[x], root[y]
+        np.minimum.at(root, heads, low)
+        np.minimum.at(root, tails, low)
+        while (root[root] != root).any():
+            root = root[root]
+    own = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
+
+
+def contracted(links: DataFrame, block: int = LINKS) -> DataFrame:
+    """Links (a, b) that connect the same nodes in fewer steps: a block of links becomes stars, whose number is less than that of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= block:
+                yield _stars(held)
+                held = []
+        if held:
+            yield _stars(held)
+
+    return links.coalesce(max(-(-links.count() // block), 1)).mapInArrow(run, "a long, b long")
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. Links are pairs whose Jaccard similarity is percent hundredths or more."""
     spark = docs.sparkSession
@@ -357,7 +392,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     repeated = spark.sparkContext.broadcast(bitmap(sizes.select("key")))
     dealt, _ = common.materialize(cells(filed, sizes, repeated, cell), "cells")
     repeated.destroy()
-    roots = sets = tried = links = None
+    roots = sets = tried = None
     for step in range(3):  # the likeliest partner twice, then whatever is left between components
         known = dealt.join(nodes.select("node", "classes"), "node")
         known = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else known.withColumn("root", F.col("node"))
@@ -374,8 +409,8 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         found, _ = common.materialize(verified(pairs, sets, percent), "verified")
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         own = found.where("linked").select("a", "b")
-        links = own if links is None else links.unionByName(own)
-        roots, _ = components(links)
+        links = own if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(own)
+        roots, _ = components(contracted(links))
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "root").select("node", "component_id")

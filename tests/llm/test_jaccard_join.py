@@ -124,3 +124,24 @@ def test_edge_cases(spark):
     assert jj.classify(df.where("false")).columns == ["doc_id", "n_shingles", "component_id"]
     assert jj.classify(df.where("false")).count() == 0
     assert len(next(jj.sets_of([b"x y z " * 40_000]))) == 3
+
+
+@pytest.mark.parametrize("block", [1, 7, jj.LINKS])
+def test_contracted_links_connect_the_same(spark, block):
+    rnd = random.Random(5)
+    chain = [(k, k + 1) for k in range(-300, 0)]
+    links = chain + [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(300)] + [(5, 5), chain[0], (2**62, 2**62 + 1)]
+    got = [(r.a, r.b) for r in jj.contracted(spark.createDataFrame(links, "a long, b long").repartition(3), block).collect()]
+
+    def least(pairs):
+        root = {x: x for p in links for x in p}
+        for _ in root:
+            low = {x: r for x, r in root.items()}
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+            if low == root:
+                return root
+            root = low
+
+    assert least(got) == least(links) and all(b < a for a, b in got) and len(got) <= len(links)
+    assert jj.contracted(spark.createDataFrame([], "a long, b long"), block).isEmpty()
