@@ -266,6 +266,19 @@ _RAW = f"WITH k(n, format, key, field) AS (VALUES {', '.join(f"({n}, '{f}', '{k}
 _add("raw_resolve", lambda s, d: rawtags.strip_plan(_raw(s, d)).select("p_partkey", "format", "key", "field", "kept"), f"{_RAW} SELECT p_partkey, format, key, field, field IN ({_KEPT_TAGS}) AS kept FROM r")
 _add("strip_report", lambda s, d: rawtags.strip_report(rawtags.strip_plan(_raw(s, d))).select("format", "key", "field", "tracks", "bytes"),
      f"{_RAW} SELECT format, key, field, count(DISTINCT path) AS tracks, CAST(sum(p_size) AS BIGINT) AS bytes FROM r WHERE field NOT IN ({_KEPT_TAGS}) GROUP BY 1, 2, 3")
+_GONE = f"{_RAW}, gone AS (SELECT * FROM r WHERE field NOT IN ({_KEPT_TAGS})), g AS (SELECT path, count(*) AS n FROM gone GROUP BY path), top AS (SELECT * FROM g ORDER BY path LIMIT 5), f AS (SELECT format, count(*) AS n FROM gone GROUP BY format)"
+_add("backup_detail", lambda s, d: store.backup_detail(rawtags.journal(rawtags.strip_plan(_raw(s, d)))).select("entries", F.array_join("samples", "|").alias("samples"), F.array_join("notes", "|").alias("notes"), F.array_join(F.transform(F.map_entries("formats"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("formats")),
+     f"{_GONE} SELECT (SELECT count(*) FROM g) AS entries, (SELECT string_agg(path, '|' ORDER BY path) FROM top) AS samples, (SELECT string_agg(n || ' tags', '|' ORDER BY path) FROM top) AS notes, (SELECT string_agg(format || '=' || n, ',' ORDER BY format) FROM f) AS formats")
+_add("backup_groups", lambda s, d: store.backup_groups(rawtags.journal(rawtags.strip_plan(_raw(s, d)))), f"{_GONE} SELECT key, count(*) AS tracks FROM gone GROUP BY key")
+
+
+def _unstripped(s: SparkSession, d: str) -> DataFrame:
+    """Raw tags after a strip and its undoing, counted by key."""
+    plan = rawtags.strip_plan(_raw(s, d))
+    return rawtags.unstrip(plan.where("kept"), rawtags.journal(plan)).groupBy("format", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+_add("strip_undone", _unstripped, f"{_RAW} SELECT format, key, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS bytes FROM r GROUP BY 1, 2")
 _MEANT = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.MEANINGS.items())
 _OLDER = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.V22.items())
 _add("frame_meaning", lambda s, d: _raw(s, d).select("p_partkey", "key", rawtags.meaning(F.col("key")).alias("meaning")),
@@ -281,6 +294,17 @@ _add("track_id", lambda s, d: tracks(s, d).select("path", hashing.track_id(F.col
      f"{_WITH}SELECT path, {_fnv('path')} AS id, {_fnv('path', _le('size') + _le('mod_time'))} AS version FROM tracks")
 
 
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """Versions of all tracks after two edits of some of them."""
+    t = tracks(s, d)
+    plans = [edit.plan_set(search(t, "year:>1996"), {"track": "3"}), edit.plan_set(search(t, "disc:>=2"), {"comment": "seen"})]
+    first, second = (p.where("status = 'changed'").select("path") for p in plans)
+    return edit.with_version(t, first.unionByName(second).groupBy("path").agg(F.count(F.lit(1)).alias("n"))).select("path", "version")
+
+
+_add("live_version", _written, f"{_WITH}, v AS MATERIALIZED (SELECT path, {_fnv('path', _le('size') + _le('mod_time'))} AS base, CAST(year > 1996 AND track_no <> 3 AS BIGINT) + CAST(disc >= 2 AND comment <> 'seen' AS BIGINT) AS n FROM tracks) SELECT path, CASE WHEN n > 0 THEN {_fnv('base', _le('n'))} ELSE base END AS version FROM v")
+
+
 def _on_files(s: SparkSession, d: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """An audio file for each part, under names of all kinds, written and scanned; what ask says of the scanned tracks, as a table."""
     folder = f"{store.shared_dir(s)}/files-{uuid.uuid4().hex}"

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .functions.hashing import track_version
 from .functions.text import EXTENSIONS, MIME, WRITABLE, writable
 from .operators import browse, edit, order, rawtags
 from .operators.edit import Conflict, NotFound, Selector
@@ -92,9 +91,14 @@ class Library:
     def tracks(self, q: str = "", sort: str | None = None, limit: int | None = None, offset: int | None = None) -> Page:
         """A page of matching tracks with id, version, writable and score."""
         found = search_scored(self.df, q)
-        p = order.page(found, order.track_keys(sort, is_scored(q)), limit, offset)
-        shown = edit.with_id(p.items).withColumns({"version": track_version(F.col("path"), F.col("size"), F.col("mod_time")), "writable": writable(F.col("format"))})
-        return Page(shown, found, p.limit, p.offset)
+        keys, revs = order.track_keys(sort, is_scored(q)), self.revs()
+        p = order.page(found, keys, limit, offset)
+        shown = edit.with_version(edit.with_id(p.items), revs).withColumn("writable", writable(F.col("format")))
+        return Page(shown if revs is None else shown.orderBy(*keys), found, p.limit, p.offset)
+
+    def revs(self) -> DataFrame | None:
+        """(path, n) of the tracks that were written here, which their versions count."""
+        return store.revs_of(self.spark, self.home, self.at)
 
     def count(self, q: str = "") -> int:
         return search(self.df, q).count()
@@ -103,7 +107,7 @@ class Library:
         found = edit.with_id(self.df).where(F.col("id") == id)
         if found.isEmpty():
             raise NotFound(id)
-        return found
+        return edit.with_version(found, self.revs())
 
     def albums(self, q: str = "", sort: str | None = None, limit: int | None = None, offset: int | None = None) -> Page:
         return order.page(browse.albums(self.df, q), order.album_keys(sort), limit, offset)
@@ -146,6 +150,8 @@ class Library:
             store.write_journal(edit.journal(plan), f"{self.home}/journals", job.id, kind, int(job.created))
         gone = plan.where("status = 'changed'").select("path")
         now = self._table(gone, apply(self.tracks_table.join(gone, "path", "left_semi").select(*self.tracks_table.columns), plan), done["changed"]) if done["changed"] else {}
+        if done["changed"] and kind != "rename":
+            now["revs"] = store.add_revs(self.home, self.at, gone)
         self._commit_as(self.at, kind=kind, event=f"{kind}.finished", job=job.id, journal=backup, **now)
         self.jobs.append(job)
         return job
@@ -155,7 +161,7 @@ class Library:
         return plan if dry_run else self._commit("set", plan, edit.apply, backup)
 
     def patch(self, id: str, changes: dict[str, str | None], if_match: str | None = None, backup: bool = True) -> Job:
-        plan = edit.patch(self.tracks_table, id, changes, if_match)
+        plan = edit.patch(self.tracks_table, id, changes, if_match, self.revs())
         return self._commit("set", plan, edit.apply, backup)
 
     def split(self, selector: Selector, template: str, dry_run: bool = False, backup: bool = True) -> DataFrame | Job:
@@ -168,7 +174,7 @@ class Library:
 
     def move(self, id: str, dest: str, if_match: str | None = None, backup: bool = True) -> Job:
         """Rename one track, to a path below a root or a name in its own directory."""
-        plan = edit.plan_move(self.tracks_table, id, dest, self.roots, if_match)
+        plan = edit.plan_move(self.tracks_table, id, dest, self.roots, if_match, self.revs())
         return self._commit("rename", plan, edit.apply_rename, backup)
 
     def dirty_count(self, path: str) -> int:
@@ -199,6 +205,9 @@ class Library:
         if not art.isEmpty():
             rows = rows.join(art, "path", "left").withColumn("has_art", F.coalesce(F.col("hash") != "", F.col("has_art"))).select(*old.columns)
             now["art"] = self._art(art)
+        written = entries.where("fields is not null or art is not null").select("path")
+        if not written.isEmpty():
+            now["revs"] = store.add_revs(self.home, self.at, written)
         self._commit_as(self.at, kind="undo", **now, **self._table(gone, rows, entries.count()))
 
     def backups(self) -> DataFrame:
@@ -214,10 +223,10 @@ class Library:
         return order.page(self.backups(), [F.desc("at"), F.asc("name")], limit, offset)
 
     def backup(self, job_id: str) -> DataFrame:
-        """One row of what a backup holds: entries, the fields they change, the first few paths."""
+        """One row of what a backup holds: entries, the fields they change, the first few paths with a note on each."""
         if self.backups().where(F.col("name") == job_id).isEmpty():
             raise NotFound(job_id)
-        return store.backup_detail(store.read_journal(self.spark, f"{self.home}/journals", job_id))
+        return store.backup_detail(store.read_journal(self.spark, f"{self.home}/journals", job_id), pictures=self.pictures())
 
     # pictures
 
@@ -260,7 +269,7 @@ class Library:
         if done["changed"]:
             now["art"] = self._art(changed.select("path", F.coalesce("art", F.lit("")).alias("hash")))
             rows = self.tracks_table.join(changed.select("path"), "path", "left_semi").withColumn("has_art", F.lit(image is not None)).select(*self.tracks_table.columns)
-            now |= self._table(changed.select("path"), rows, done["changed"])
+            now |= self._table(changed.select("path"), rows, done["changed"]) | {"revs": store.add_revs(self.home, self.at, changed)}
         self._commit_as(self.at, kind="artwork", event="artwork.finished", job=job.id, journal=backup, **now)
         self.jobs.append(job)
         return job

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.hashing import track_id, track_version
+from ..functions.hashing import live_version, track_id, track_version
 from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim
 from ..plans.search import search
 from ..sources.store import shared_dir
@@ -283,9 +283,9 @@ def cover_name(name: str) -> str:
     return name
 
 
-def plan_move(df: DataFrame, id: str, dest: str, roots: tuple[str, ...], if_match: str | None = None) -> DataFrame:
+def plan_move(df: DataFrame, id: str, dest: str, roots: tuple[str, ...], if_match: str | None = None, revs: DataFrame | None = None) -> DataFrame:
     """A plan with dest for one track; refused if the place is outside the library or taken, or the track not at if_match."""
-    found = _one(df, id, if_match)
+    found = _one(df, id, if_match, revs)
     target = resolve_dest(found.path, dest, roots)
     if target != found.path and not df.where(F.col("path") == target).isEmpty():
         raise Conflict(f"{target!r} is there already")
@@ -334,10 +334,19 @@ def delete(df: DataFrame, paths: DataFrame) -> DataFrame:
     return df.join(paths.select("path"), "path", "left_anti").select(*df.columns)
 
 
-def _one(df: DataFrame, id: str, if_match: str | None) -> Row:
+def with_version(df: DataFrame, revs: DataFrame | None = None) -> DataFrame:
+    """df with version: of a file's path, size and time of change, and of how often it was written here (revs: path, n)."""
+    base = track_version(F.col("path"), F.col("size"), F.col("mod_time"))
+    if revs is None:
+        return df.withColumn("version", base)
+    met = df.join(revs.select(F.col("path").alias("__rp"), F.col("n").alias("__n")), F.col("path") == F.col("__rp"), "left")
+    return met.withColumn("version", live_version(base, F.coalesce("__n", F.lit(0)))).select(*df.columns, "version")
+
+
+def _one(df: DataFrame, id: str, if_match: str | None, revs: DataFrame | None = None) -> Row:
     """Path and version of one track; refused if it is not there, or its version is not if_match."""
-    row = with_id(df).where(F.col("id") == id)
-    found = row.select("path", track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("v")).head(1)
+    row = with_id(df).where(F.col("id") == id).select("path", "size", "mod_time")
+    found = with_version(row, revs).select("path", F.col("version").alias("v")).head(1)
     if not found:
         raise NotFound(id)
     if if_match is not None and found[0].v != if_match:
@@ -345,9 +354,9 @@ def _one(df: DataFrame, id: str, if_match: str | None) -> Row:
     return found[0]
 
 
-def patch(df: DataFrame, id: str, changes: dict[str, str | None], if_match: str | None = None) -> DataFrame:
+def patch(df: DataFrame, id: str, changes: dict[str, str | None], if_match: str | None = None, revs: DataFrame | None = None) -> DataFrame:
     """A plan for one track; refused if it is not there, or its version is not if_match."""
-    _one(df, id, if_match)
+    _one(df, id, if_match, revs)
     return plan_set(with_id(df).where(F.col("id") == id), changes)
 
 

@@ -189,6 +189,26 @@ def strip_report(plan: DataFrame, examples: int = 3) -> DataFrame:
     return groups.join(listed, ["format", "key", "field"])
 
 
+def journal(plan: DataFrame) -> DataFrame:
+    """What a strip takes, as a journal's entries: path and frames, the tags of a file in their order."""
+    none = F.lit(None).cast("string")
+    taken = F.transform(F.array_sort(F.collect_list(F.struct("n", "key", "value", "format", "bytes"))), lambda x: F.struct(x["format"].alias("format"), x["key"].alias("key"), x["value"].alias("value"), x["bytes"].cast("long").alias("bytes")))
+    gone = plan.where(~F.col("kept")).groupBy("path").agg(taken.alias("frames"))  # as many as a file has tags
+    return gone.select("path", F.lit(None).cast("map<string,string>").alias("fields"), none.alias("source"), none.alias("art"), "frames")
+
+
+def unstrip(stripped: DataFrame, entries: DataFrame) -> DataFrame:
+    """Raw tags (path, format, key, value, bytes, n) with those of a journal's entries back behind them; what a file still holds is not added again."""
+    back = entries.select("path", F.posexplode("frames").alias("__at", "x")).select("path", "x.format", "x.key", "x.value", "x.bytes", "__at")
+    there = stripped.select(F.col("path").alias("__p"), F.col("key").alias("__k"), F.col("value").alias("__v"))
+    back = back.join(there, (F.col("path") == F.col("__p")) & (F.col("key") == F.col("__k")) & F.col("value").eqNullSafe(F.col("__v")), "left_anti")
+    last = stripped.groupBy(F.col("path").alias("__p")).agg(F.max("n").alias("__n"))
+    rows = back.join(last, F.col("path") == F.col("__p"), "left").withColumn("n", F.coalesce(F.col("__n"), F.lit(-1)) + 1 + F.col("__at"))
+    kinds = dict(stripped.dtypes)
+    names = ("path", "format", "key", "value", "bytes", "n")
+    return stripped.select(*names).unionByName(rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in names]))
+
+
 def edit_raw(raw: DataFrame, key: str, value: str | None) -> tuple[DataFrame, DataFrame]:
     """Set a native key: (rows after, errors by path).
 

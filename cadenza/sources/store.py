@@ -38,9 +38,9 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-ART, PICTURE = "path string, hash string, n int", "hash string, mime string, data binary"
+ART, PICTURE, REV = "path string, hash string, n int", "hash string, mime string, data binary", "path string, n long"
 #: What a commit says. rows: tracks of the base; deltas lie over it, the last on top. seq counts the commits that have an event.
-COMMIT = "number long, version int, epoch string, kind string, event string, seq long, at double, job string, journal boolean, roots array<string>, rows long, base string, deltas array<string>, art array<string>, pictures array<string>"
+COMMIT = "number long, version int, epoch string, kind string, event string, seq long, at double, job string, journal boolean, roots array<string>, rows long, base string, deltas array<string>, art array<string>, pictures array<string>, revs array<string>"
 #: A table is written anew when so many deltas lie over it, or when one would hold more than this share of its rows.
 MAX_DELTAS, DELTA_SHARE = 8, 0.1
 #: Commits whose data stays for those who still read them.
@@ -93,8 +93,8 @@ def last_commit(spark: SparkSession, home: str) -> dict | None:
 
 def commit(spark: SparkSession, home: str, before: dict | None, **changes) -> dict:
     """Add the commit after `before`: the only step by which anything counts. Raised if another was made since."""
-    empty = {"epoch": uuid.uuid4().hex, "version": schema.SCHEMA_VERSION, "number": 0, "seq": 0, "roots": [], "rows": 0, "base": None, "deltas": [], "art": [], "pictures": []}
-    made = (before or empty) | {"event": None, "job": None, "journal": False, "at": time.time()} | changes
+    empty = {"epoch": uuid.uuid4().hex, "version": schema.SCHEMA_VERSION, "number": 0, "seq": 0, "roots": [], "rows": 0, "base": None, "deltas": [], "art": [], "pictures": [], "revs": []}
+    made = empty | (before or {}) | {"event": None, "job": None, "journal": False, "at": time.time()} | changes
     made["number"] += 1
     made["seq"] += made["event"] is not None
     if not put_if_absent(spark, f"{home}/log/{made['number']:010d}.json", json.dumps(made)):
@@ -136,7 +136,7 @@ def table_of(spark: SparkSession, home: str, found: dict) -> DataFrame:
 
 
 def _folders(found: dict) -> set[str]:
-    return {x for x in [found["base"], *found["deltas"], *found["art"], *found["pictures"]] if x}
+    return {x for x in [found["base"], *found["deltas"], *found["art"], *found["pictures"], *found.get("revs", [])] if x}
 
 
 def tidy(spark: SparkSession, home: str, hours: float | None = None) -> list[str]:
@@ -186,7 +186,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 JOURNAL = "path string, fields map<string,string>, source string"
-JOURNAL_ART = f"{JOURNAL}, art string"
+FRAMES = "array<struct<format:string,key:string,value:string,bytes:bigint>>"
+JOURNAL_ART = f"{JOURNAL}, art string, frames {FRAMES}"
 
 
 def write_journal(entries: DataFrame, folder: str, name: str, kind: str | None, at: int) -> None:
@@ -234,11 +235,48 @@ def backups(names: DataFrame, sidecars: DataFrame) -> DataFrame:
     return names.join(sidecars.select("name", "kind", "entries"), "name", "left").select("name", "at", F.coalesce("kind", F.lit("strip")).alias("kind"), F.coalesce("entries", F.lit(0)).alias("entries")).orderBy(F.desc("at"), "name")
 
 
-def backup_detail(entries: DataFrame, samples: int = 5) -> DataFrame:
-    """One row: entries, the fields they change, and the first few paths."""
-    keys = entries.select(F.explode(F.map_keys("fields")).alias("k")).agg(F.array_sort(F.collect_set("k")).alias("fields"))  # as many as there are fields
-    first = entries.orderBy("path").limit(samples).agg(F.array_sort(F.collect_list("path")).alias("samples"))
-    return entries.agg(F.count(F.lit(1)).alias("entries")).join(keys, F.lit(True)).join(first, F.lit(True))
+def _entries(entries: DataFrame) -> DataFrame:
+    """Entries with all columns of a journal, those of older ones too."""
+    missing = {"art": "string", "frames": FRAMES}
+    return entries.withColumns({c: F.lit(None).cast(kind) for c, kind in missing.items() if c not in entries.columns})
+
+
+def backup_detail(entries: DataFrame, samples: int = 5, pictures: DataFrame | None = None) -> DataFrame:
+    """One row: entries, the fields they change, the first few paths, notes of what is kept for these, and how many tags of each format.
+
+    pictures: hash, mime of the pictures that entries may refer to.
+    """
+    rows = _entries(entries)
+    keys = rows.select(F.explode(F.map_keys("fields")).alias("k")).agg(F.array_sort(F.collect_set("k")).alias("fields"))  # as many as there are fields
+    first = rows.orderBy("path").limit(samples)
+    first = first.withColumn("mime", F.lit("")) if pictures is None else first.join(pictures.select(F.col("hash").alias("art"), "mime"), "art", "left")
+    note = F.when(F.col("source") != "", F.concat(F.lit("moved from "), "source")).when(F.col("art") == "", "had no cover").when(F.col("art").isNotNull(), F.rtrim(F.concat(F.lit("cover "), F.coalesce("mime", F.lit("")))))
+    note = note.when(F.size("fields") > 0, F.array_join(F.array_sort(F.map_keys("fields")), ", ")).when(F.size("frames") > 0, F.concat(F.size("frames").cast("string"), F.lit(" tags"))).otherwise("")
+    first = first.agg(F.array_sort(F.collect_list(F.struct("path", note.alias("note")))).alias("s")).select(F.col("s.path").alias("samples"), F.col("s.note").alias("notes"))
+    formats = rows.select(F.explode("frames").alias("x")).groupBy("x.format").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("format", "n")))).alias("formats"))  # as many as there are formats
+    return rows.agg(F.count(F.lit(1)).alias("entries")).join(keys, F.lit(True)).join(first, F.lit(True)).join(formats, F.lit(True))
+
+
+def backup_groups(entries: DataFrame) -> DataFrame:
+    """(key, tracks): how often a backup of a strip holds each native key, the most frequent first."""
+    return _entries(entries).select(F.explode("frames").alias("x")).groupBy("x.key").agg(F.count(F.lit(1)).alias("tracks")).orderBy(F.desc("tracks"), "key")
+
+
+def add_revs(home: str, found: dict, paths: DataFrame) -> list[str]:
+    """Count a write to each of these paths; returns the folders of all counts, which become one when they are many."""
+    spark, folder, known = paths.sparkSession, f"data/{uuid.uuid4().hex}", found.get("revs", [])
+    counts = paths.select("path", F.lit(1).cast("long").alias("n"))
+    if len(known) >= MAX_DELTAS:
+        counts, known = revs_of(spark, home, found).unionByName(counts).groupBy("path").agg(F.sum("n").alias("n")), []
+    counts.write.parquet(f"{home}/{folder}")
+    return [*known, folder]
+
+
+def revs_of(spark: SparkSession, home: str, found: dict) -> DataFrame | None:
+    """(path, n): how often tracks were written in the library, if any were. No scan resets this, as a version must not come again."""
+    if not found.get("revs"):
+        return None
+    return spark.read.schema(REV).parquet(*[f"{home}/{r}" for r in found["revs"]]).groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def export(df: DataFrame, path: str, how: str) -> None:

@@ -163,3 +163,20 @@ def test_artwork_and_refresh(spark, tracks):
     new = tracks.where("path = '/m/a.mp3'").withColumn("title", F.lit("Read anew"))
     done = edit.refresh(tracks, new)
     assert done.count() == 4 and done.where("title = 'Read anew'").count() == 1
+
+
+def test_a_strip_is_kept_and_undone(spark):
+    from cadenza.operators import rawtags
+    from cadenza.sources import store
+
+    rows = [("/a.mp3", "mp3", "TIT2", "t", 1, 0), ("/a.mp3", "mp3", "TXXX:Mood", "calm", 4, 1), ("/a.mp3", "mp3", "COMM", "c", 1, 2), ("/b.flac", "flac", "MOOD", None, 0, 0), ("/c.mp3", "mp3", "TALB", "x", 1, 0)]
+    raw = spark.createDataFrame(rows, "path string, format string, key string, value string, bytes long, n int")
+    plan = rawtags.strip_plan(raw)
+    entries, kept = rawtags.journal(plan), plan.where("kept")
+    detail = store.backup_detail(entries).first()
+    assert (detail.entries, detail.samples, detail.notes, detail.formats) == (2, ["/a.mp3", "/b.flac"], ["2 tags", "1 tags"], {"mp3": 2, "flac": 1})
+    assert [(r.key, r.tracks) for r in store.backup_groups(entries).collect()] == [("COMM", 1), ("MOOD", 1), ("TXXX:Mood", 1)]
+    back = rawtags.unstrip(kept, entries)
+    assert sorted((r.path, r.key, r.value or "", r.bytes) for r in back.collect()) == sorted((p, k, v or "", b) for p, _, k, v, b, _ in rows)
+    assert rawtags.unstrip(back, entries).count() == len(rows)  # a second time adds nothing
+    assert rawtags.journal(rawtags.strip_plan(raw.limit(0))).isEmpty() and store.backup_detail(entries.limit(0)).first().entries == 0

@@ -258,3 +258,20 @@ def test_pictures_are_set_and_undone(spark, tmp_path):
     for job in (two, three):
         store.remove(spark, f"{home}/journals/entries/name={job.id}")
     assert later.drop_pictures() == 2 and [r.mime for r in later.pictures().collect()] == ["image/gif"]  # the other picture of a file is there alone
+
+
+def test_versions_count_writes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MAX_DELTAS", 2)
+    lib = Library(store.generate(spark, 60), ("/music",), f"{tmp_path}/home")
+    one, other = lib.tracks(limit=2).items.collect()
+    seen = [one.version]
+    for n in range(3):
+        lib.patch(one.id, {"title": f"Take {n}"}, seen[-1])
+        seen.append(lib.get(one.id).first().version)
+    assert len(set(seen)) == 4 and seen[1] == spark.range(1).select(hashing.live_version(F.lit(one.version), F.lit(1))).first()[0]
+    with pytest.raises(Conflict):
+        lib.patch(one.id, {"title": "Late"}, seen[2])
+    later = Library.open(spark, lib.home)
+    assert [(r.id, r.version) for r in later.tracks(limit=2).items.collect()] == [(one.id, seen[-1]), (other.id, other.version)]
+    assert len(later.at["revs"]) <= 2 and [(r.path, r.n) for r in later.revs().collect()] == [(one.path, 3)]
+    assert later.patch(one.id, {"title": "Take 2"}).result["changed"] == 0 and later.get(one.id).first().version == seen[-1]
