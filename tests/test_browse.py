@@ -97,3 +97,16 @@ def test_text_functions(spark):
     got = spark.range(1).select(*[x.alias(f"c{k}") for k, (x, _) in enumerate(cases)]).first()
     for k, (_, want) in enumerate(cases):
         assert got[k] == want, k
+
+
+def test_hashes_by_batches(spark, capsys):
+    texts = [None, "", "a", "musïc", "x" * 1000, *["/m/" + "é" * k for k in range(50)]]
+    df = spark.createDataFrame([(t, None if k == 2 else 3 * k - 9) for k, t in enumerate(texts)], "t string, n long")
+    found = df.select("t", "n", hashing.fnv(F.col("t")).alias("i"), hashing.fnv(F.col("t").cast("binary")).alias("b"), hashing.track_version(F.col("t"), F.col("n"), F.lit(-1)).alias("v"), hashing.live_version(F.col("t"), F.col("n")).alias("w"))
+    for r in found.collect():
+        raw, n = None if r.t is None else r.t.encode(), None if r.n is None else r.n.to_bytes(8, "little", signed=True)
+        assert r.i == r.b == (None if raw is None else hashing.fnv_text(raw))
+        assert r.v == (None if raw is None or n is None else hashing.fnv_text(raw + n + b"\xff" * 8))
+        assert r.w == (hashing.fnv_text(raw + n) if raw is not None and n and r.n > 0 else r.t)
+    found.explain()
+    assert "lambdafunction" not in capsys.readouterr().out.lower()  # no step that Spark interprets byte by byte
