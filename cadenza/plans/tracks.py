@@ -10,8 +10,18 @@ from .. import schema
 FORMATS = ("mp3", "flac", "mp4", "ogg", "opus")
 
 
+#: Bytecode of a method that the JVM still compiles; what is longer it interprets, row by row.
+METHOD = 8000
+
+
+def bound_methods(spark: SparkSession) -> None:
+    """Let Spark split generated code that the JVM would not compile: conditions on derived columns hold these in full, often several times."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order, part, supplier, place and customer as tracks. Dimensions are joined as Spark sees fit."""
+    bound_methods(spark)
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "part", "supplier", "nation", "region", "customer")}
     rows = (
         t["lineitem"]

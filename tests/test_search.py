@@ -97,3 +97,11 @@ def test_ranking_and_pages(spark):
     assert [r.path for r in p.items.collect()] == ["/m/2", "/m/3"] and p.total == 4
     assert order.page(df, order.track_keys(None), 5000, -3).limit == 1000 and order.clamp(0, -1) == (100, 0)
     assert order.page(df, order.track_keys(None), 10, 99).items.count() == 0
+
+
+def test_derived_tracks_run_compiled(spark):
+    from cadenza.plans import tracks as view
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    view.tracks(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # HotSpot interprets longer methods
