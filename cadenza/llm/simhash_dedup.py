@@ -15,13 +15,9 @@
    document gets the smallest doc_id that it can reach.
 
 deduplicate() finds texts that are alike in their word shingles (NEAR_WORDS words, Jaccard similarity LEAST or
-more), which is a matter of few changed words, by the same steps with other fingerprints: of distinct words,
-each with the root of its count as weight, within NEAR_RADIUS bits. Fingerprints of shingles would not do: a
-changed word changes NEAR_WORDS of them, and at similarity 0.8 they are 10 of 64 bits apart, where too few
-bits are left to probe by. Candidates are then compared by their exact sets of shingles. In a cell a
-text is paired with all that are near it or, in a crowded one, with the NEAREST and the most central
-one, by a fingerprint of shingles: so a large group of near copies hangs together by what its copies were made from, and by its
-closest pairs, and does not make all its pairs.
+more). Fingerprints cannot serve there: those of all pairs of 0.8 lie too far apart for any radius that can be probed.
+So it takes the exact join of jaccard_join with these words and this similarity: no pair is left out, and
+a large group of near copies makes about two pairs a text.
 
 Cases: null text and text without words have fingerprint zero, linked like any other. Texts of
 under three words are one shingle. Null doc_ids take part but never name a component, unless it has
@@ -32,10 +28,8 @@ columns of the input are replaced; others pass through.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -47,10 +41,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RADIUS, WORDS, SEED, WIDTH = 3, 3, 42, 64
-#: Of deduplicate(): words of a shingle, the similarity that makes a link, bits that candidates differ in at most.
-NEAR_WORDS, LEAST, NEAR_RADIUS = 5, 0.8, 7
-#: Partners that a text of a crowded cell gets.
-NEAREST = 8
+#: Of deduplicate(): words of a shingle, the similarity that makes a link.
+NEAR_WORDS, LEAST = 5, 0.8
 #: Fingerprints in a block of a large group; a cell holds two blocks at most.
 CELL = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -78,26 +70,13 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def word_fingerprint(text: bytes) -> int:
-    """A bit is 1 if the distinct words that set it have over half of the weight, a word's being the root of its count."""
-    counts = Counter(text.translate(_LOWER).split())
-    if not counts:
-        return 0
-    weights, votes = np.sqrt(np.fromiter(counts.values(), float, len(counts))), np.zeros(WIDTH)
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, counts)), np.uint8).reshape(-1, 8)
-    for at in range(0, len(hashes), 1 << 14):
-        votes += weights[at : at + (1 << 14)] @ np.unpackbits(hashes[at : at + (1 << 14)], axis=1)
-    return int.from_bytes(np.packbits(votes * 2 > weights.sum()).tobytes())
-
-
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint_bits", words: int | None = WORDS) -> DataFrame:
-    """docs with a signed 64-bit fingerprint of shingles, or of weighted words if words is None."""
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint_bits", words: int = WORDS) -> DataFrame:
+    """docs with a signed 64-bit fingerprint of shingles."""
     common.bound_batches(docs.sparkSession)
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        of = word_fingerprint if words is None else partial(fingerprint, words=words)
-        return pa.array(np.array([of(t) for t in common.as_bytes(texts)], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t, words) for t in common.as_bytes(texts)], np.uint64).view(np.int64))
 
     return common.without(docs, out).withColumn(out, simhash(F.coalesce(F.col(text), F.lit(""))))
 
@@ -220,41 +199,9 @@ def _links_of(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(heads), np.concatenate(tails)) if heads else (none, none)
 
 
-def _apart(x: np.ndarray, at: int) -> np.ndarray:
-    """Bits in which 256 fingerprints differ from all."""
-    return np.bitwise_count(x[at : at + 256, None] ^ x[None, :])
-
-
-def _pairs_of(x: np.ndarray, rank: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the radius: all of them or, where they are many, of each text the NEAREST and the most central one, by the bits of rank."""
-    heads, tails, total, central = [], [], 0, np.zeros(len(x))
-    for at in range(0, len(x), 256):
-        near = _apart(x, at) <= radius
-        central[at : at + 256] = (WIDTH - _apart(rank, at).astype(np.int64)).sum(axis=1, where=near)
-        if total <= NEAREST * len(x):
-            a, b = np.nonzero(near)
-            a += at
-            heads.append(a[a < b])
-            tails.append(b[a < b])
-            total += len(heads[-1])
-    if total <= NEAREST * len(x):
-        return np.concatenate(heads), np.concatenate(tails)
-    heads, tails = [], []
-    for at in range(0, len(x), 256):
-        near = _apart(x, at) <= radius
-        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        hub = np.where(near, central, -1).argmax(axis=1)
-        order = np.where(near, _apart(rank, at) - central / (WIDTH * len(x) + 1), WIDTH + 1)
-        b = np.concatenate([np.argpartition(order, NEAREST, axis=1)[:, :NEAREST], hub[:, None]], axis=1)
-        ok = np.take_along_axis(near, b, axis=1)
-        heads.append(np.repeat(np.arange(at, at + len(near)), ok.sum(axis=1)))
-        tails.append(b[ok])
-    return np.concatenate(heads), np.concatenate(tails)
-
-
-def _verify(radius: int, spanning: bool):
+def _verify(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(group: np.ndarray, x: np.ndarray, rank: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        def linked(group: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             sizes = np.diff(np.append(starts, len(x)))
             size = np.repeat(sizes, sizes)
@@ -262,19 +209,18 @@ def _verify(radius: int, spanning: bool):
             for gap in range(1, 8):  # groups of up to 8 go together
                 ok = (group[gap:] == group[:-gap]) & (size[gap:] <= 8)
                 ok[ok] = np.bitwise_count(x[gap:][ok] ^ x[:-gap][ok]) <= radius
-                heads.append(ids[:-gap][ok])
-                tails.append(ids[gap:][ok])
+                heads.append(x[:-gap][ok])
+                tails.append(x[gap:][ok])
             for k in np.flatnonzero(sizes > 8):
                 own = slice(starts[k], starts[k] + sizes[k])
-                a, b = _links_of(x[own], radius) if spanning else _pairs_of(x[own], rank[own], radius)
-                heads.append(ids[own][a])
-                tails.append(ids[own][b])
+                a, b = _links_of(x[own], radius)
+                heads.append(x[own][a])
+                tails.append(x[own][b])
             a, b = np.concatenate(heads).view(np.int64), np.concatenate(tails).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         def parts(rows: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-            x, rank, ids = (np.ascontiguousarray(rows[k]).view(np.uint64) for k in ((4, 5, 6) if len(rows) == 7 else (4, 4, 4)))
-            return linked(group, x, rank, ids)
+            return linked(group, np.ascontiguousarray(rows[4]).view(np.uint64))
 
         held: list[np.ndarray] = []  # the last group, which the next batch may continue
         for batch in batches:
@@ -298,21 +244,16 @@ def _verify(radius: int, spanning: bool):
     return run
 
 
-def links(prints: DataFrame, plan: list[Partition], radius: int = RADIUS, cell: int = CELL, spanning: bool = True) -> DataFrame:
-    """Links (a < b) within the radius among rows that have a fingerprint fp.
-
-    spanning: enough of them to connect whatever is connected, rows being named by fp. Otherwise rows have
-    rank and node too: all links between nodes or, in crowded cells, the best ones of each by rank.
-    """
+def links(prints: DataFrame, plan: list[Partition], radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """Links (a < b) between fingerprints fp within the radius, enough of them to connect whatever is connected."""
     found = masks(plan)
-    own_id = [] if spanning else ["rank", "node"]
-    filed = prints.select("fp", *own_id, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in found])).alias("mask", "key"))
+    filed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in found])).alias("mask", "key"))
     sizes = filed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / cell).cast("int")
-    own = F.pmod(F.xxhash64("fp", *own_id[1:]), blocks).cast("int")
-    met = filed.join(sizes, ["mask", "key"]).select("mask", "key", "fp", *own_id, "n", own.alias("own"))
-    cells = met.select("mask", "key", "fp", *own_id, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", *own_id)
-    return cells.repartition("mask", "key", "i", "j").sortWithinPartitions("mask", "key", "i", "j").mapInArrow(_verify(radius, spanning), "a long, b long").distinct()
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    met = filed.join(sizes, ["mask", "key"]).select("mask", "key", "fp", "n", own.alias("own"))
+    cells = met.select("mask", "key", "fp", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return cells.repartition("mask", "key", "i", "j").sortWithinPartitions("mask", "key", "i", "j").mapInArrow(_verify(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -374,51 +315,24 @@ def similarity(a: bytes, b: bytes, words: int = NEAR_WORDS) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(rows: node, id, a written table; of each distinct text: node, least doc_id, root, component_id), for texts linked by their shingles.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
+    """One document of each group of texts linked by their shingles, that of the smallest doc_id (of rows that repeat it, one).
 
-    node is a hash of the text, so copies are one node from here on.
+    Texts without words are one group. A null doc_id stays only where its group has no other. What goes is joined to the documents by
+    two short keys; where little goes, Spark broadcasts it and no text is shuffled.
     """
-    spark = docs.sparkSession
-    common.bound_batches(spark)
-
-    @F.arrow_udf("boolean")
-    def near(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similarity(a, b, words) >= least for a, b in zip(common.as_bytes(left), common.as_bytes(right), strict=True)], pa.bool_())
+    from . import jaccard_join  # which takes components() from here
 
     plain = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.xxhash64(plain).alias("node"), F.col(doc_id).alias("id"), plain.alias("t"))
-    printed = with_fingerprint(with_fingerprint(texts, "t", "fp", None), "t", "rank", words)
-    rows, _ = common.materialize(printed.select("node", "id", "fp", "rank"), "word-prints")
-    nodes, _ = common.materialize(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("rank").alias("rank")), "nodes")
-    n, both = bit_statistics(nodes)
-    if n < 2:
-        return rows, nodes.select("node", "least", F.col("node").alias("root"), F.col("least").alias("component_id"))
-    pairs, _ = common.materialize(links(nodes.select("fp", "rank", "node"), allocate(n, both, radius), radius, spanning=False), "near-pairs")
-    wanted = nodes.select("node", "least").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "w")
-    met = texts.join(wanted, (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "t").dropDuplicates(["node"])
-    met, _ = common.materialize(met, "near-texts")
-    a, b = met.select(F.col("node").alias("a"), F.col("t").alias("ta")), met.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    roots, _ = components(pairs.join(a, "a").join(b, "b").where(near("ta", "tb")).select("a", "b"))
-    placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, placed.join(named, "root").select("node", "least", "root", "component_id")
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
-    """One document of each group of texts linked by their shingles, that of the smallest doc_id (of rows that repeat it, one).
-
-    What goes is joined to the documents by two short keys; where little goes, Spark broadcasts it and no
-    text is shuffled.
-    """
-    rows, groups = alike(docs, doc_id, text, radius, words, least)
-    kept = groups.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("node").alias("kept"), F.min("least").alias("keep"))
-    counted = rows.groupBy("node", "id").agg(F.count(F.lit(1)).alias("n"))
-    told = counted.join(kept, (F.col("node") == F.col("kept")) & F.col("id").eqNullSafe(F.col("keep")), "left").where("kept is null or n > 1")
-    gone, _ = common.materialize(told.select(F.col("node").alias("__gone"), F.col("id").alias("__id"), F.col("kept").isNotNull().alias("__repeats")), "near-gone")
-    own = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    own = docs.withColumn("__node", F.xxhash64(plain))
+    named = own.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__node").alias("node")).alias("id"), plain.alias("text"))
+    found = jaccard_join.classify(named, "id", "text", words, round(100 * least))
+    wordless = found.where("n_shingles = 0").agg(F.min("doc_id").alias("__first"))  # one row
+    told = found.join(F.broadcast(wordless), F.lit(True)).withColumn("kept", F.col("doc_id") == F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__first")))
+    counted = told.groupBy(F.col("doc_id.node").alias("__gone"), F.col("doc_id.id").alias("__id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("__repeats")).where("n > 1 or not __repeats")
+    gone, _ = common.materialize(counted.select("__gone", "__id", "__repeats"), "near-gone")
     same = (F.col("__node") == F.col("__gone")) & F.col(doc_id).eqNullSafe(F.col("__id"))
-    found = own.join(gone, same, "left_anti")
+    out = own.join(gone, same, "left_anti")
     if not gone.where("__repeats").isEmpty():
-        found = found.unionByName(own.join(gone.where("__repeats"), same, "left_semi").dropDuplicates(["__node", doc_id]))
-    return found.select(*[f"`{c}`" for c in docs.columns])
+        out = out.unionByName(own.join(gone.where("__repeats"), same, "left_semi").dropDuplicates(["__node", doc_id]))
+    return out.select(*[f"`{c}`" for c in docs.columns])

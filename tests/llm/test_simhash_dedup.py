@@ -160,3 +160,20 @@ def test_query(spark, tmp_path):
     want = brute(prints)
     got = queries.op3_simhash_dedup(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(k, f"{x:016x}", want[k]) for k, x in prints}
+
+
+def test_deduplicate_keeps_every_link_of_crowded_groups(spark):
+    """Chains whose links are their texts' ninth likeliest partners and fingerprints that lie far apart: no link is missed."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(3):
+        base, n = [f"w{rnd.randrange(9000)}" for _ in range(220)], 14
+        for step in range(6):  # each step's texts are alike at 0.9 and more, and those of the next are alike to one of them alone at 0.8
+            texts += [" ".join(base[:-1] + [f"t{step}x{k}"]) for k in range(n)]
+            base = base[11:] + [f"v{rnd.randrange(9000)}" for _ in range(11)]
+        short = [f"s{rnd.randrange(9000)}" for _ in range(40)]
+        texts += [" ".join(short), " ".join(short + ["u1", "u2", "u3", "u4"])]  # 36 of 40 shingles
+    rnd.shuffle(texts)
+    want = linked(texts)
+    got = sorted(r.doc_id for r in sd.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == sorted(set(want))
