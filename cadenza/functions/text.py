@@ -17,11 +17,15 @@ _TO = "".join(k * len(v) for k, v in LETTERS.items())
 
 
 def fold(c: Column) -> Column:
-    """Lower case without the diacritics of Latin-1 and Latin Extended-A, and without combining marks."""
-    out = F.translate(F.lower(c), _FROM + "ς", _TO + "σ")
+    """Lower case without the diacritics of Latin-1 and Latin Extended-A, and without combining marks.
+
+    A text of as many bytes as characters is ASCII, and lower case is all that it needs.
+    """
+    lower = F.lower(c)
+    out = F.translate(lower, _FROM + "ς", _TO + "σ")
     for letter, two in PAIRS.items():
         out = F.replace(out, F.lit(letter), F.lit(two))
-    return F.regexp_replace(out, r"\p{Mn}", "")
+    return F.when(F.octet_length(c) == F.char_length(c), lower).otherwise(F.regexp_replace(out, r"\p{Mn}", ""))
 
 
 def fold_text(s: str) -> str:

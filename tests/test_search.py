@@ -105,3 +105,9 @@ def test_derived_tracks_run_compiled(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     view.tracks(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # HotSpot interprets longer methods
+
+
+def test_fold_of_ascii_and_other_texts(spark):
+    texts = ["", "Supplier#1 ABC\n", "BJÖRK Æß", "Łódź", "éA", "́", "日本 Tokyo", "\x00\x7fZ", "ς"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", fold(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in rows} == {t: fold_text(t) for t in texts} | {None: None}
