@@ -179,6 +179,7 @@ def _searcher(shared: Broadcast, window: int):
     def search(texts: pa.Array) -> pa.Array:
         what = shared.value
         found = hits(common.as_bytes(texts), what, window)
+        common.release()
         return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([[what.items[k] for k in b] for _, b in found], pa.list_(pa.string()))], names=["spans", "items"])
 
     return search
@@ -203,6 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             counts.append(len(words(t)))
             merged.append([x for p in merge(list(zip(s[::2], s[1::2], strict=True))) for x in p])
             clean.append(cut(t, merged[-1]).decode() if merged[-1] else None)
+        common.release()
         return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(merged, pa.list_(pa.int32())), pa.array(clean, pa.string())], names=["n_words", "spans", "clean"])
 
     out = out.withColumn("__g", finish(F.coalesce(F.col(text), F.lit("")), "spans"))

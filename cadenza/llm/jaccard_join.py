@@ -123,7 +123,7 @@ def tally(docs: DataFrame, words: int) -> DataFrame:
                 cols = [none, none, none, list(numbers), [at for at, _ in packed], [own for _, own in packed]]
                 yield pa.RecordBatch.from_arrays([pa.array(none, own_type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, node long, n int, classes binary, chunk int, at binary, counts binary")
+    return docs.mapInArrow(common.frugal(run), f"id {kind}, node long, n int, classes binary, chunk int, at binary, counts binary")
 
 
 def _packed(counts: np.ndarray) -> tuple[bytes | None, bytes]:
@@ -154,7 +154,7 @@ def levels(tallied: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(found, pa.binary())], names=["chunk", "levels"])
 
     out = np.zeros(COUNTERS, np.uint8)
-    for r in tallied.where("chunk is not null").select("chunk", "at", "counts").repartition("chunk").mapInArrow(run, "chunk int, levels binary").collect():  # bounded by its size
+    for r in tallied.where("chunk is not null").select("chunk", "at", "counts").repartition("chunk").mapInArrow(common.frugal(run), "chunk int, levels binary").collect():  # bounded by its size
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
     return out
 
@@ -180,7 +180,7 @@ def prefixes(docs: DataFrame, order: object, words: int, percent: int) -> DataFr
                 cols = [key, np.repeat(np.array([x for _, x, _ in found]), sizes), np.repeat(np.array([n for *_, n in found], np.int32), sizes), pos.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(common.frugal(run), "key long, node long, n int, pos int")
 
 
 def bitmap(places: DataFrame) -> np.ndarray:
@@ -302,7 +302,7 @@ def candidates(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
         if held:
             yield of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long, score double")
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(common.frugal(run), "a long, b long, score double")
     if best:
         chosen = found.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top"))
         found = chosen.select(F.least("a", "top.b").alias("a"), F.greatest("a", "top.b").alias("b"))
@@ -324,7 +324,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     sets.append(own.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "own"])
 
-    found = docs.select(_place("id"), "text").mapInArrow(run, "node long, own binary")
+    found = docs.select(_place("id"), "text").mapInArrow(common.frugal(run), "node long, own binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -371,7 +371,7 @@ def contracted(links: DataFrame, block: int = LINKS) -> DataFrame:
         if held:
             yield _stars(held)
 
-    return links.coalesce(max(-(-links.count() // block), 1)).mapInArrow(run, "a long, b long")
+    return links.coalesce(max(-(-links.count() // block), 1)).mapInArrow(common.frugal(run), "a long, b long")
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:

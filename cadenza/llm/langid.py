@@ -173,6 +173,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.arrow_udf("lang_pred string, score double")
     def scored(texts: pa.Array) -> pa.Array:
         langs, score = score_texts(shared.value, texts.to_pylist())
+        common.release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     out = common.without(docs, "lang_pred", "score")

@@ -118,7 +118,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
         encode.known.clear()  # the worker lives on, and other stages need its memory
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(common.frugal(run), f"doc_id {kind}, ids binary")
 
 
 def _width(size: int) -> str:
@@ -141,7 +141,7 @@ def corpus(tokens: DataFrame, size: int) -> Corpus:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(counts[at], [n, total]))], names=["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("ids").mapInArrow(common.frugal(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     n, total = (int(got.n[got.id == k].sum()) for k in (-1, -2))
     df = np.zeros(size)
     own = got[got.id >= 0]
@@ -274,4 +274,4 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             packer.finish()
             yield rows()
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(common.frugal(run), schema)
