@@ -7,8 +7,9 @@ documents, and one bitmap over these for each bit of their impacts. An impact is
 first, over all documents. One more row of the block has its ids.
 
 A search weighs its terms by the document frequencies that the index itself sums up: w = floor(1000 * ln((2 N + 2) / (2 df + 1))).
-In each block a term's bitmaps are multiplied by w by adding shifted copies of them, and added to the sums of
-all items that ask for the term, always bit by bit with carries: no document is scored by itself. The best k are found from the
+In each block terms' bitmaps, side by side, are multiplied by w by adding shifted copies of them, and added to the sums of
+all items that ask for the term, always bit by bit: carries are bitmaps too, kept beside the sums until all terms are in. No
+document is scored by itself. The best k are found from the
 most significant slice of the sums down: while more than k documents are left those without the bit go, and when
 fewer have it they are in and the search goes on among the others; ties are broken by place, that is by id. Blocks'
 best are ranked together. What a task holds is bounded by a block and ITEMS items; nothing is broadcast by hand.
@@ -38,8 +39,10 @@ ITEMS = 512
 TOP = 10
 #: Slices of an impact, which is under 10**6.
 BITS = 20
-#: A term, and what stands between terms: all of ASCII but digits and letters.
-_TERM, _OTHERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of slices that are multiplied together, about.
+TOGETHER = 1 << 18
+#: What stands between terms: all of ASCII but digits and letters.
+_OTHERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -50,9 +53,18 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 def statistics(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(documents with a term, all their terms)."""
-    n = F.regexp_count(F.col(text), F.lit(_TERM))
-    got = docs.select(n.cast("long").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return got[0], got[1]
+    common.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = total = 0
+        for batch in batches:
+            for t in common.as_bytes(batch.column(0)):
+                n = len(terms_of(t))
+                count, total = count + (n > 0), total + n
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([total], pa.int64())], names=["count", "total"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "count long, total long")
+    return tuple(counted.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first())
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, docs: int, total: int) -> np.ndarray:
@@ -126,11 +138,15 @@ def build(docs: DataFrame, stats: tuple[int, int], doc_id: str = "doc_id", text:
 
 def spread(at: bytes, slices: bytes, words: int) -> np.ndarray:
     """A term's bitmaps over all places of a block, as (slice, 64 places)."""
-    places = np.frombuffer(at, "<u2")
-    bits = np.unpackbits(np.frombuffer(slices, np.uint8).reshape(BITS, -1), axis=1, count=len(places), bitorder="little")
-    wide = np.zeros((BITS, words * 64), np.uint8)
-    wide[:, places] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+    return placed(np.frombuffer(at, "<u2"), np.frombuffer(slices, np.uint8).reshape(BITS, -1), np.zeros((BITS, words * 64), np.uint8))
+
+
+def placed(places: np.ndarray, slices: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Bitmaps over a term's documents as ones over all places of a block; room is zeros, (slice, place), and is left so."""
+    room[: len(slices), places] = np.unpackbits(slices, axis=1, count=len(places), bitorder="little")
+    out = np.packbits(room, axis=1, bitorder="little").view("<u8")
+    room[: len(slices), places] = 0
+    return out
 
 
 def add(sums: np.ndarray, items: np.ndarray, term: np.ndarray, shift: int = 0) -> None:
@@ -149,15 +165,51 @@ def add(sums: np.ndarray, items: np.ndarray, term: np.ndarray, shift: int = 0) -
         k += 1
 
 
-def times(term: np.ndarray, w: int) -> np.ndarray:
-    """A term's bitmaps of impacts times w."""
-    out, own = np.zeros((1, len(term) + w.bit_length(), term.shape[1]), term.dtype), np.zeros(1, np.int64)
-    for k in range(w.bit_length()):
-        if w >> k & 1:
-            add(out, own, term, k)
+def times(term: np.ndarray, w: int | np.ndarray) -> np.ndarray:
+    """A term's bitmaps of impacts times w; or those of several terms side by side, with a w for each 64 places."""
+    w = np.broadcast_to(np.asarray(w, np.uint64), term.shape[1:])
+    bits = int(w.max(initial=0)).bit_length()
+    out, own = np.zeros((1, len(term) + bits, term.shape[1]), term.dtype), np.zeros(1, np.int64)
+    for k in range(bits):
+        chosen = np.negative(w >> np.uint64(k) & np.uint64(1))  # all bits or none
+        if chosen.any():
+            add(out, own, term & chosen, k)
     return out[0]
 
 
+def products(slices: list[bytes], weights: list[int], together: int = TOGETHER) -> Iterator[np.ndarray]:
+    """Of each term the bitmaps, over its documents, of impacts times its weight."""
+    for lo, hi in common.slices(slices, together):
+        own = [np.frombuffer(x, np.uint8).reshape(BITS, -1) for x in slices[lo:hi]]
+        words = np.array([-(-x.shape[1] // 8) for x in own])
+        starts = (8 * np.append(0, np.cumsum(words))).tolist()
+        beside = np.zeros((BITS, starts[-1]), np.uint8)
+        for x, at in zip(own, starts, strict=False):
+            beside[:, at : at + x.shape[1]] = x
+        found = times(beside.view("<u8"), np.repeat(np.array(weights[lo:hi], np.uint64), words)).view(np.uint8)
+        for x, at, w in zip(own, starts, weights[lo:hi], strict=False):
+            yield found[: BITS + w.bit_length(), at : at + x.shape[1]]
+
+
+def gather(sums: np.ndarray, carries: np.ndarray, term: np.ndarray) -> None:
+    """Add bitmaps to an item's (slice, 64 places), all slices at once; what is carried stays in bitmaps of its own, to be added by settle."""
+    half = sums ^ carries
+    carried = (sums & carries) | (half & term)
+    np.bitwise_xor(half, term, out=sums)
+    carries[1:] = carried[:-1]
+    carries[0] = 0
+
+
+def settle(sums: np.ndarray, carries: np.ndarray) -> None:
+    """Add what was carried to the sums (item, slice, 64 places)."""
+    carry = np.zeros_like(sums[:, 0])
+    for k in range(sums.shape[1]):
+        a, b = sums[:, k].copy(), carries[:, k]
+        half = a ^ b
+        sums[:, k] = half ^ carry
+        carry = (a & b) | (carry & half)
+
+
 def _places(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
@@ -204,9 +256,14 @@ def search(index: DataFrame, items: DataFrame, stats: tuple[int, int], item_id:
         for own, w in zip(slots, weights, strict=True):
             for s in own:
                 bounds[s] += w
-        sums = np.zeros((len(bounds), (max(bounds) << BITS).bit_length(), words), "<u8")
-        for own, w, at, slices in zip(slots, weights, table["at"], table["slices"], strict=True):
-            add(sums, np.array(own), times(spread(at.as_py(), slices.as_py(), words), w))
+        depth = (max(bounds) << BITS).bit_length()
+        sums, carries = (np.zeros((len(bounds), depth, words), "<u8") for _ in range(2))
+        room = np.zeros((depth, words * 64), np.uint8)
+        for own, at, slices in zip(slots, table["at"], products(table["slices"].to_pylist(), weights), strict=True):
+            term = placed(np.frombuffer(at.as_py(), "<u2"), slices, room)
+            for s in own:
+                gather(sums[s], carries[s], term)
+        settle(sums, carries)
         found = []
         for slot, one in enumerate(sums):
             if bounds[slot]:

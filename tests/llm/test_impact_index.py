@@ -82,6 +82,32 @@ def test_slices_add_like_numbers():
             assert sorted(at.tolist()) == sorted(want) and (plain[k, at] == score).all()
 
 
+def test_terms_side_by_side_multiply_and_gather_like_numbers():
+    rng = np.random.default_rng(2)
+    terms = []
+    for n in (1, 63, 64, 65, 128, 5, 100):
+        at = np.sort(rng.choice(128, n, replace=False)).astype("<u2")
+        terms.append((at, rng.integers(0, 10**6, n), int(rng.integers(1, 9000))))
+    for together in (1, 500, 1 << 18):
+        sums, carries, room, plain = np.zeros((2, 40, 2), "<u8"), np.zeros((2, 40, 2), "<u8"), np.zeros((40, 128), np.uint8), np.zeros((2, 128), np.int64)
+        found = ii.products([ii.sliced(v) for _, v, _ in terms], [w for *_, w in terms], together)
+        for k, ((at, value, w), own) in enumerate(zip(terms, found, strict=True)):
+            x = ii.placed(at, own, room)
+            assert not room.any()
+            for s in range(2) if k % 2 else [0]:
+                ii.gather(sums[s], carries[s], x)
+                plain[s, at] += value * w
+        ii.settle(sums, carries)
+        for s in range(2):
+            at, score = ii.best(sums[s], 128)
+            assert sorted(at.tolist()) == np.flatnonzero(plain[s]).tolist() and (plain[s, at] == score).all()
+
+
+def test_terms_are_counted_outside_the_jvm(spark):
+    docs = spark.createDataFrame([("a-b É2\u00a0x  ",), ("",), (None,), ("--",), ("漢 字",)], "text string")
+    assert ii.statistics(docs) == (2, 5) and ii.statistics(docs.where("false")) == (0, 0)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, block int"), spark.createDataFrame([("x", "a", 1)], "item_id string, text string, rank int")
     assert [tuple(r)[:3] for r in ii.rank(docs, items).collect()] == [("x", 1, 1)]
