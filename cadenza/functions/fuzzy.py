@@ -153,7 +153,8 @@ def further_score(text: Column, pattern: str, start: bool = False, end: bool = F
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else score(t.encode(), raw, start, end) for t in texts.to_pylist()], pa.float64())
 
-    return F.coalesce(run(F.when(substring_score(text, pattern, start, end) == 0, text)), F.lit(0.0))
+    # said to be nondeterministic, as filters on the score are else moved below distinct, and every row is scored
+    return F.coalesce(run.asNondeterministic()(F.when(substring_score(text, pattern, start, end) == 0, text)), F.lit(0.0))
 
 
 def register(spark) -> None:

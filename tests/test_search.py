@@ -111,3 +111,11 @@ def test_fold_of_ascii_and_other_texts(spark):
     texts = ["", "Supplier#1 ABC\n", "BJÖRK Æß", "Łódź", "éA", "́", "日本 Tokyo", "\x00\x7fZ", "ς"]
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", fold(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in rows} == {t: fold_text(t) for t in texts} | {None: None}
+
+
+def test_distinct_values_are_scored_after_distinct(spark):
+    df = schema.conform(spark.createDataFrame([(f"/{k}", "Smal Wigdet") for k in range(50)], "path string, artist string"))
+    found = search_scored(df, "artist:~widget")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate")
+    assert found.count() == 50
