@@ -294,13 +294,23 @@ def plan_move(df: DataFrame, id: str, dest: str, roots: tuple[str, ...], if_matc
 
 
 def dirty(df: DataFrame, saved: DataFrame) -> DataFrame:
-    """Rows that are not in the saved table as they are now: edited, moved or new since."""
-    known = saved.select(*[F.col(c).alias(f"__s_{c}") for c in df.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in df.columns if c != "path"]
-    met = F.col("path") == F.col("__s_path")
-    for s in same:
-        met = met & s
-    return df.join(known, met, "left_anti")
+    """Rows that are not in the saved table as they are now: edited, moved or new since.
+
+    Rows of one path are compared by 128 bits of hashes of all other columns, so the saved table is shuffled as
+    paths and these. They are xored, as equal keys would have the rows dealt out anew, by path and hashes; the join is
+    an outer one, as Spark else moves it below the hashing and shuffles what is hashed.
+    """
+    others = sorted(c for c in df.columns if c != "path")
+
+    def marked(rows: DataFrame, *names: str) -> DataFrame:
+        told = [x for c in others for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]  # hashes pass over nulls
+        return rows.withColumns({names[0]: F.xxhash64(F.lit(0), *told), names[1]: F.xxhash64(F.lit(1), *told)})
+
+    kinds = dict(df.dtypes)
+    known = marked(saved.select("path", *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in others]), "__s1", "__s2").select(F.col("path").alias("__s"), "__s1", "__s2")
+    apart = F.col("__h1").bitwiseXOR(F.col("__s1")).bitwiseOR(F.col("__h2").bitwiseXOR(F.col("__s2")))
+    met = marked(df, "__h1", "__h2").join(known, (F.col("path") == F.col("__s")) & (apart == 0), "left")
+    return met.where("__s is null").select(*[f"`{c}`" for c in df.columns])
 
 
 def report(plan: DataFrame) -> DataFrame:
