@@ -11,6 +11,7 @@ from __future__ import annotations
 import posixpath
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -326,13 +327,18 @@ def apply(df: DataFrame, plan: DataFrame) -> DataFrame:
     """The table after a plan of field changes."""
     changed = plan.where("status = 'changed'").select(F.col("path").alias("__p"), "changes")
     rows = df.join(changed, F.col("path") == F.col("__p"), "left")
-    kinds = dict(df.dtypes)
+    return _written(rows, dict(df.dtypes), "changes", lambda field, value: (F.coalesce(value, F.lit("")), F.lit(True))).select(*df.columns)
+
+
+def _written(rows: DataFrame, kinds: dict[str, str], changes: str, wanted: Callable[[str, Column], tuple[Column, Column]]) -> DataFrame:
+    """rows with the fields that a map in them names as wanted says of field and value: the text, and whether it is to be written."""
+    out = {}
     for field, name in EDITABLE.items():
-        named = F.coalesce(F.map_contains_key("changes", F.lit(field)), F.lit(False))
-        text = F.coalesce(F.element_at("changes", F.lit(field)), F.lit(""))
+        named = F.coalesce(F.map_contains_key(changes, F.lit(field)), F.lit(False))
+        text, differs = wanted(field, F.element_at(changes, F.lit(field)))
         new = text if kinds[name] == "string" else is_true(text) if kinds[name] == "boolean" else int_prefix(text).cast(kinds[name])
-        rows = rows.withColumn(name, F.when(named, new).otherwise(F.col(name)))
-    return rows.select(*df.columns)
+        out[name] = F.when(named & differs, new).otherwise(F.col(name))
+    return rows.withColumns(out)
 
 
 def apply_rename(df: DataFrame, plan: DataFrame) -> DataFrame:
@@ -380,9 +386,14 @@ def journal(plan: DataFrame) -> DataFrame:
 
 
 def restore(df: DataFrame, entries: DataFrame) -> DataFrame:
-    """The table before the changes of a journal."""
-    fields = entries.where("fields is not null").select("path", "fields")
-    rows = apply(df, plan_map(df.join(fields.withColumnRenamed("path", "__jp"), F.col("path") == F.col("__jp")), F.col("fields")))
+    """The table before the changes of a journal: what plan_map() and apply() would make of its fields, in one join."""
+    fields = entries.where("fields is not null").select(F.col("path").alias("__jp"), F.col("fields").alias("__f"))
+
+    def wanted(field: str, value: Column) -> tuple[Column, Column]:
+        new = _wanted(field, value)
+        return new, new != _as_text(field)
+
+    rows = _written(df.join(fields, F.col("path") == F.col("__jp"), "left"), dict(df.dtypes), "__f", wanted).select(*df.columns)
     back = entries.where("source is not null").select(F.col("path").alias("__p"), "source")
     return rows.join(back, F.col("path") == F.col("__p"), "left").withColumn("path", F.coalesce("source", "path")).select(*df.columns)
 

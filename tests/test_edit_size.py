@@ -15,6 +15,14 @@ def table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return schema.conform(spark.createDataFrame([Row(**r) for r in rows]))
 
 
+def test_restore_meets_the_table_once(spark):
+    df = table(spark, [{"path": f"/m/{k}.mp3", "year": 1990 + k, "title": f"t{k}"} for k in range(4)])
+    entries = spark.createDataFrame([("/m/1.mp3", {"year": "1950", "comment": " old "}, None, None), ("/m/2.mp3", {"title": None, "year": "1992"}, None, None)], "path string, fields map<string,string>, source string, art string")
+    back = edit.restore(df, entries)
+    assert [(r.year, r.title, r.comment) for r in back.orderBy("path").collect()] == [(1990, "t0", ""), (1950, "t1", "old"), (1992, "", ""), (1993, "t3", "")]
+    assert len(re.findall(r"\bJoin ", back._jdf.queryExecution().optimizedPlan().toString())) == 2  # fields, and names
+
+
 def test_dirty_shuffles_paths_and_hashes(spark):
     rows = [{"path": f"/m/{k}.mp3", "title": f"t{k}", "comment": "x"} for k in range(5)]
     saved = table(spark, rows).withColumn("comment", F.when(F.col("path") == "/m/3.mp3", F.lit(None)).otherwise(F.col("comment")))
