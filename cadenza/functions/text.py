@@ -49,6 +49,16 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def _visible(c: Column) -> Column:
+    """Whether a text starts with a printing character of ASCII; texts are compared by bytes."""
+    return (c >= "!") & (c < "\x7f")
+
+
+def trim_column(c: Column) -> Column:
+    """trim() for a column as it stands: a text that starts and ends with printing characters of ASCII is not searched."""
+    return F.when(_visible(c) & _visible(F.right(c, F.lit(1))), c).otherwise(trim(c))
+
+
 def int_text(c: Column) -> Column:
     """A number in decimal, 0 as ''."""
     return F.when(c == 0, "").otherwise(c.cast("string"))
@@ -141,14 +151,17 @@ def letters_key(c: Column) -> Column:
 
 def sanitise_segment(c: Column) -> Column:
     """A value as one segment of a path: separators become dashes, what file names may not hold underscores."""
-    return trim(F.regexp_replace(F.translate(c, '/\\:*?"<>|', "--_______"), r"[\x00-\x1f\x7f]", ""))
+    seen = F.translate(c, '/\\:*?"<>|', "--_______")
+    return F.when(seen.rlike(r"(?U)[\x00-\x1f\x7f]|^\s|\s\z"), trim(F.regexp_replace(seen, r"[\x00-\x1f\x7f]", ""))).otherwise(seen)
 
 
 def tidy_path(c: Column) -> Column:
     """Segments without blanks, dashes and underscores at their ends and dots at the end; what is then empty goes."""
     edges = lambda s: trim(F.regexp_replace(trim(s), r"^[ \-_]+|[ \-_]+\z", ""))
     parts = F.transform(F.split(c, "/"), lambda s: F.regexp_replace(edges(s), r"[.]+\z", ""))
-    return F.array_join(F.filter(parts, lambda s: s != ""), "/")
+    # most paths have nothing of that: one search tells
+    untidy = c.rlike(r"(?U)(?:\A|/)(?:[\s\-_/]|\z)|[\s\-_.](?:/|\z)")
+    return F.when(untidy, F.array_join(F.filter(parts, lambda s: s != ""), "/")).otherwise(c)
 
 
 def dirname(c: Column) -> Column:

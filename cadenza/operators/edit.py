@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.hashing import live_version, track_id, track_version
-from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim
+from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim, trim_column
 from ..plans.search import search
 from ..sources.store import shared_dir
 
@@ -119,7 +119,7 @@ def _as_text(field: str) -> Column:
 
 def _wanted(field: str, value: Column) -> Column:
     """A new value as it will read once written."""
-    value = trim(F.coalesce(value, F.lit("")))
+    value = trim_column(F.coalesce(value, F.lit("")))
     if field == "compilation":
         return F.when(is_true(value), "1").otherwise("")
     if field in ("tracktotal", "disctotal", *schema.NUMERIC):
@@ -223,9 +223,9 @@ def render(template: str) -> tuple[Column, Column]:
             continue
         if x[0] == "path":
             raise BadTemplate("$path would move nothing")
-        v = trim(schema.rendered(x[0]))
+        v = trim_column(schema.rendered(x[0]))
         if x[0] == "albumartist":
-            v = F.when(v == "", trim(F.col("artist"))).otherwise(v)
+            v = F.when(v == "", trim_column(F.col("artist"))).otherwise(v)
         if x[0] in ("track", "disc"):
             n = schema.column(x[0])
             v = F.when(n > 0, F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))).otherwise("")
@@ -249,7 +249,8 @@ def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing
     """
     name, complete = render(template)
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    named = with_id(rows).withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")}).select("id", "path", "dest", "complete")
+    own = [c for c in ("id",) if c in rows.columns]  # else hashed at the end, where it is asked for
+    named = rows.withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")}).select(*own, "path", "dest", "complete")
     spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/rename-{uuid.uuid4().hex}"
     named.write.parquet(folder)  # names are made once, for the claims and for the plan, however often it is asked
     made = spark.read.schema(named.schema).parquet(folder)
@@ -260,7 +261,7 @@ def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing
     places = asked.groupBy("__dest").agg(F.min("__first").alias("__first"), F.max("__there").alias("__there")).where("__first is not null")
     made = made.join(places, claims & (F.col("dest") == F.col("__dest")), "left").withColumn("__taken", F.when(F.col("__there"), F.col("dest")))
     status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("__first") != F.col("path")) | F.col("__taken").isNotNull(), "collision").otherwise("changed")
-    return made.select("id", "path", status.alias("status"), "dest", track_id(F.col("dest")).alias("new_id"))
+    return with_id(made.withColumn("status", status)).select("id", "path", "status", "dest", track_id(F.col("dest")).alias("new_id"))
 
 
 def resolve_dest(current: str, dest: str, roots: tuple[str, ...]) -> str:

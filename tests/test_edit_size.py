@@ -40,3 +40,21 @@ def test_dirty_shuffles_paths_and_hashes(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     keys = re.findall(r"hashpartitioning\(([^()]*)\)", shown)
     assert len(keys) == 2 and all(k.count(",") == 1 for k in keys), shown  # one key and the number of partitions
+
+
+def test_rename_makes_no_ids_before_they_are_asked(spark):
+    df = table(spark, [{"path": "/m/1.mp3", "title": "One", "artist": "A"}, {"path": "/m/2.mp3", "title": " -Two. ", "artist": "B "}, {"path": "/m/3.mp3", "title": "AC/DC", "artist": " "}])
+    there = set(store.names_in(spark, store.shared_dir(spark)))
+    plan = edit.plan_rename(df, "$artist/$title", ("/m",))
+    made = [n for n in store.names_in(spark, store.shared_dir(spark)) if n not in there]
+    assert [spark.read.parquet(f"{store.shared_dir(spark)}/{n}").columns for n in made] == [["path", "dest", "complete"]]
+    assert [(r.status, r.dest) for r in plan.orderBy("path").collect()] == [("changed", "/m/A/One.mp3"), ("changed", "/m/B/Two.mp3"), ("incomplete", "/m/AC-DC.mp3")]
+    assert [r.id for r in plan.orderBy("path").collect()] == [r.i for r in df.select(hashing.track_id(F.col("path")).alias("i"), "path").orderBy("path").collect()]
+
+
+def test_texts_that_need_no_trimming_are_as_if_trimmed(spark):
+    odd = ["", "a", " a", "a\n", "a ", " a", "é", "é ", "\x1fa", "~", "a\x7f", "a b", "\t", "-a/b", "a/b_", "a/ b", "a/.b", "a./b", "a//b", "/a", "a/", "a - /b", "a. /b", "..", "a/b"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    slow = F.array_join(F.filter(F.transform(F.split("x", "/"), lambda s: F.regexp_replace(text.trim(F.regexp_replace(text.trim(s), r"^[ \-_]+|[ \-_]+\z", "")), r"[.]+\z", "")), lambda s: s != ""), "/")
+    wrong = df.where((text.trim_column(F.col("x")) != text.trim(F.col("x"))) | (text.tidy_path(F.col("x")) != slow)).collect()
+    assert not wrong
