@@ -318,6 +318,7 @@ def _on_files(s: SparkSession, d: str, ask: Callable[[DataFrame], DataFrame]) ->
     asked = ask(done.tracks).withColumn("p_partkey", F.regexp_extract("path", "([0-9]+) [^/]*$", 1).cast("long")).drop("path")
     asked.write.parquet(f"{folder}/asked")
     done.close()
+    samples.remove_files(rows)  # by tasks; what is left are empty folders
     store.remove(s, f"{folder}/music")
     return s.read.schema(asked.schema).parquet(f"{folder}/asked")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import format_for
-from .files import opened
+from .files import dealt, opened
 from .tags import raw_tags
 
 RAW = "path string, format string, n int, key string, mean string, value string, text string, editable boolean, bytes int, v22 boolean"
@@ -47,7 +47,7 @@ def _picture_rows(paths: list[str], kinds: list[str]) -> Iterator[pa.RecordBatch
 
 
 def _dealt(tracks: DataFrame) -> DataFrame:
-    return tracks.select("path", format_for(F.col("path")).alias("kind")).repartition("path")
+    return dealt(tracks.select("path", format_for(F.col("path")).alias("kind")))
 
 
 def raw(tracks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cache
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame
 
 #: What is fetched at once. A view of more than BLOCK bytes stays a view.
 BLOCK = 1 << 16
@@ -85,6 +86,15 @@ def place(path: str) -> tuple[pa.fs.FileSystem, str]:
     return fs, root.rstrip("/") + m[3]
 
 
+def dealt(rows: DataFrame, by: str = "path") -> DataFrame:
+    """rows for tasks that do something with a file for each: over all cores, several tasks for each.
+
+    A file costs far more than the bytes of its name, by which Spark would put many thousands into one task.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
 def opened(paths: list[str]) -> Iterator[Bytes | OSError | ValueError]:
     """Each file in turn, or why it cannot be opened."""
     for path in paths:

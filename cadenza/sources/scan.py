@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.text import format_for
 from . import store
-from .files import LOCAL, opened, place
+from .files import LOCAL, dealt, opened, place
 from .tags import SCHEMA, TYPES, as_batch, decode
 from .walk import SKIP, Tree, excluded, walk
 
@@ -75,7 +75,7 @@ def read_tags(files: DataFrame) -> DataFrame:
             yield as_batch(found, [("path", pa.string(), ""), ("size", pa.int64(), 0), ("mod_time", pa.int64(), 0), *TYPES, ("error", pa.string(), None), ("gone", pa.bool_(), False)])
 
     named = files.select("path", F.col("size").cast("long").alias("size"), F.col("mod_time").cast("long").alias("mod_time"), format_for(F.col("path")).alias("kind"))
-    return named.repartition("path").mapInArrow(run, schema_out)
+    return dealt(named).mapInArrow(run, schema_out)
 
 
 @dataclass
