@@ -13,16 +13,17 @@ per_edit characters are compared for equality alone. Empty lines stay. Steps:
    side had more edits than that, there would be more than e. So each pair within e edits shares a key. A
    line whose length is within the cell before's e of that cell is filed there as well. Three edits take
    nine keys a line or so.
-   Keys carry the line's length, a parity of hashed words, on which an edit changes three bits at most, and
-   counts of LETTERS, which an edit changes by two in all: the join passes on only pairs that these leave
-   possible, whatever the size of the groups that share a key.
-3. The texts of the surviving candidates are fetched by document and verified by a banded bit-parallel
-   edit distance (the vectors of the band are bits of a long; the band moves down the diagonal).
+   A semi join by key tells at which keys a line may have a partner, of a length near its own; few lines have one.
+3. The texts of these lines are fetched by document and filed at these keys. There a second semi join asks for an earlier
+   line within the allowed edits. Before the edit distance, which looks at a band along the diagonal alone, it asks for the
+   length, a parity of hashed words, on which an edit changes three bits at most, and counts of LETTERS, which
+   an edit changes by two in all.
 4. Lines to be removed are gathered per document and cut from its text.
 
-Only keys, hashes and candidates are shuffled, and the documents once; Spark splits skewed joins. Different
-lines that share a segment meet pair by pair in the join, so a template whose lines all differ elsewhere
-costs the square of their number there, though next to none of it is passed on.
+Only keys, hashes, texts of lines that may have a partner and (twice) the documents are shuffled; Spark splits skewed joins. No join makes
+pairs: its rows are lines at keys. Different lines that share a segment still meet in the second join until one is found
+near, so a template whose lines all differ elsewhere costs the square of their number in comparisons there, and
+the texts of such a group are read by one task (which Spark spills).
 
 Cases: null text stays null and has no lines; empty text has one empty line. Rows that agree in doc_id
 and text are one document and get the same result. A null doc_id comes before all others. Of equal
@@ -38,6 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tracks import bound_methods
 from . import common
 
 THRESHOLD = 3
@@ -65,40 +67,51 @@ def _cell(length: Column, threshold: int) -> tuple[Column, Column]:
     return start.cast("int"), F.greatest(start - F.when(start <= long, narrow).otherwise(wide), F.lit(0)).cast("int")
 
 
-def _places(edits: int) -> Column:
+def _places(edits: int) -> list[tuple[int, int]]:
     """The segments of lines with so many edits, with the moves by which each is probed; no move makes an index key."""
     parts = edits + 1
     out = []
     for k in range(parts):
         left = 2 * k < parts
         most = k if left else edits - k
-        out += [F.struct(F.lit(k if left else k - parts).alias("k"), F.lit(m).alias("move")) for m in range(-most, most + 1)]
-    return F.array(*out)
+        out += [(k if left else k - parts, m) for m in range(-most, most + 1)]
+    return out
 
 
-def _keys(line: Column, threshold: int, per_edit: int) -> Column:
-    """Keys of a line, an array of (key, role): role 0 are its index keys, 1 the further ones that it probes."""
-    length = F.char_length(line)
-    narrow, wide, long = _widths(threshold)
-    most = lambda cell: _edits(cell + F.when(cell < long, narrow).otherwise(wide) - 1, threshold, per_edit)
-    places = F.array(*[_places(e) for e in range(1, threshold + 1)])
-    none = F.array().cast("array<struct<key:bigint,role:tinyint>>")
+def _once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, where withColumns would copy them into each expression that uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
 
-    def of(g: Column, cell: str) -> Column:
-        """Keys in one cell; a segment counted from the end has a negative number."""
 
-        def key(h: Column, p: Column) -> Column:
-            at = F.when(p["k"] >= 0, 0).otherwise(g["length"]) + h["size"] * p["k"] + p["move"]
-            return F.when((at >= 0) & (at + h["size"] <= g["length"]), F.struct(F.xxhash64(g[cell], p["k"], F.substring(line, at + 1, h["size"])).alias("key"), F.when(p["move"] == 0, 0).otherwise(1).cast("byte").alias("role")))
+def _keys(lines: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """lines with length and keys, longs whose last bit is the role: 0 for an index key, 1 for a further one that the line probes; some are null.
 
-        edits = most(g[cell])
-        sized = F.struct(edits.alias("edits"), F.floor(g[cell] / (edits + 1)).cast("int").alias("size"))
-        return let(sized, lambda h: F.when(h["edits"] > 0, F.array_compact(F.transform(F.element_at(places, h["edits"]), lambda p: key(h, p)))).otherwise(none))
+    Every key is an expression of its own: code is generated for these, while a function over an array is interpreted.
+    """
+    narrow, wide, long = _widths(threshold)
+    most = lambda cell: _edits(cell + F.when(cell < long, narrow).otherwise(wide) - 1, threshold, per_edit)
+    length = F.col("length")
+
+    def key(n: int, cell: Column, edits: Column) -> Column:
+        """The n-th key in a cell; a segment counted from the end has a negative number."""
+        own = {e: places[n] for e in range(1, threshold + 1) if n < len(places := _places(e))}
+        size = F.floor(cell / (edits + 1)).cast("int")
+        pick = lambda of: F.coalesce(*[F.when(edits == e, of(k, move)) for e, (k, move) in own.items()])
+        at = pick(lambda k, move: (F.lit(0) if k >= 0 else length) + size * k + move)
+        hashed = F.xxhash64(cell, pick(lambda k, move: F.lit(k)), F.substring(F.col("line"), at + 1, size))
+        role = pick(lambda k, move: F.lit(int(move != 0))).cast("long")
+        return F.when((at >= 0) & (at + size <= length), hashed.bitwiseAND(F.lit(-2)).bitwiseOR(role))
 
     own, before = _cell(length, threshold)
-    given = F.struct(length.alias("length"), own.alias("own"), before.alias("before"))
-    near = lambda g: g["length"] - g["own"] < most(g["before"])
-    return let(given, lambda g: F.concat(of(g, "own"), F.when(near(g), of(g, "before")).otherwise(none)))
+    near = length - F.col("own") < most(F.col("before"))
+    rows = _once(lines, {"length": F.char_length("line")}).withColumns({"own": own, "before": before})
+    rows = _once(rows, {"edits": most(F.col("own")), "edits_before": F.when(near, most(F.col("before")))})
+
+    def filed(cell: str, edits: str) -> Column:
+        keys = F.array(*[key(n, F.col(cell), F.col(edits)) for n in range(len(_places(threshold)))])
+        return F.when(F.col(edits) > 0, keys).otherwise(F.array().cast("array<bigint>"))
+
+    return rows.withColumn("keys", F.concat(filed("own", "edits"), filed("before", "edits_before"))).drop("own", "before", "edits", "edits_before")
 
 
 def _parity(line: Column) -> Column:
@@ -123,39 +136,9 @@ def _letters_apart(a: Column, b: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
-    """Edits between two strings, or most + 1 if there are more: banded and bit-parallel.
-
-    Bit r of the vectors stands for row i + most - (2 * most + 1) + r of column i; the top bit moves down
-    the diagonal until the last row is reached, and along it from there.
-    """
-    width = 2 * most + 2
-    full, top = (1 << width) - 1, width - 1
-
-    def inverse(x: Column) -> Column:
-        return F.bitwise_not(x).bitwiseAND(F.lit(full))
-
-    def bit(x: Column, r: Column) -> Column:
-        return F.call_function("shiftright", x, r).bitwiseAND(F.lit(1))
-
-    def column(given: Column, s: Column, c: Column) -> Column:
-        match = F.lit(0)
-        for r in range(width):
-            match = match + F.when(F.get(given["rows"], s["i"] + (most - top + r)).eqNullSafe(c), 1 << r).otherwise(0)
-        d0 = (match.bitwiseAND(s["vp"]) + s["vp"]).bitwiseAND(F.lit(full)).bitwiseXOR(s["vp"]).bitwiseOR(match).bitwiseOR(s["vn"])
-        return let(F.struct(d0.alias("d0"), s.alias("s")), lambda t: moved(given, t["d0"], t["s"]))
-
-    def moved(given: Column, d0: Column, s: Column) -> Column:
-        hp, hn = s["vn"].bitwiseOR(inverse(d0.bitwiseOR(s["vp"]))), d0.bitwiseAND(s["vp"])
-        half, past = F.shiftright(d0, 1), s["i"] - given["m"] + most
-        along = top - 1 - past
-        more = F.when(past < 0, 1 - bit(d0, F.lit(top))).otherwise(bit(hp, along) - bit(hn, along))
-        return F.struct(hn.bitwiseOR(inverse(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), (s["d"] + more).alias("d"), (s["i"] + 1).alias("i"))
-
-    start = F.struct(F.lit(full & ~((1 << (top - most)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("d"), F.lit(0).alias("i"))
-    given = F.struct(F.split(a, "").alias("rows"), F.char_length(a).alias("m"))
-    found = let(given, lambda g: F.aggregate(F.split(b, ""), start, lambda s, c: column(g, s, c), lambda s: s["d"]))
-    short = F.least(F.char_length(a), F.char_length(b)) <= most
-    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > most, most + 1).when(short, F.least(F.levenshtein(a, b), F.lit(most + 1))).otherwise(F.least(found, F.lit(most + 1)))
+    """Edits between two strings, or most + 1 if there are more (only a band along the diagonal is looked at)."""
+    found = F.levenshtein(a, b, most)
+    return F.when(found < 0, most + 1).otherwise(found)
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -174,80 +157,62 @@ def _lines(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def classes(keyed: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int) -> DataFrame:
-    """Distinct lines: h1, h2, place (id, __k1, __k2, no) of the first, n, length, parity, letters, keys."""
-    lines = _lines(keyed, doc_id, text)
-    place = F.struct("id", "__k1", "__k2", "no")
-    return lines.select("h1", "h2", place.alias("place"), F.char_length("line").alias("length"), _parity(F.col("line")).alias("parity"), _letters(F.col("line")).alias("letters"), _keys(F.col("line"), threshold, per_edit).alias("keys")).groupBy("h1", "h2").agg(F.min(F.struct("place", "length", "parity", "letters", "keys")).alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
+    """Distinct lines: h1, h2, place (id, __k1, __k2, no) of the first, n, length, keys."""
+    lines = _keys(_lines(keyed, doc_id, text), threshold, per_edit)
+    found = lines.select("h1", "h2", F.struct(F.struct("id", "__k1", "__k2", "no").alias("place"), "length", "keys").alias("x"))
+    return found.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "x.*")
 
 
 def candidates(distinct: DataFrame, threshold: int, per_edit: int) -> DataFrame:
-    """Pairs of distinct lines (later, earlier: first hashes, order of the earlier) that share a key and may be within the edits that their lengths allow.
+    """Keys (key, h1, role) at which a line may have a partner: another that has the key, one of them as an index key, of a length near its own.
 
-    Lines of equal order are paired both ways. A first hash alone names a line here: should two lines share
-    one, both are fetched and verified.
+    A semi join stops at the first partner, so there are no more rows than keys, whatever the size of a group.
     """
-    # parity, length and role share a long; order rises with the id
-    order = _order(F.col("place.id"), distinct.schema["place"].dataType["id"].dataType.typeName())
-    packed = F.shiftleft(F.col("parity"), 32).bitwiseOR(F.shiftleft(F.col("length").cast("long"), 1))
-    carried = distinct.select("h1", order.alias("order"), packed.alias("told"), "letters", "keys")
-    keys = carried.select("h1", "order", "told", "letters", F.explode("keys").alias("k")).select("k.key", "h1", "order", F.col("told").bitwiseOR(F.col("k.role").cast("long")).alias("told"), "letters")
-    a, b = (keys.select("key", *[F.col(c).alias(c + x) for c in ("h1", "order", "told", "letters")]) for x in ("a", "b"))
-    role, length = lambda t: F.col(t).bitwiseAND(F.lit(1)), lambda t: F.shiftright(t, 1).bitwiseAND(F.lit((1 << 31) - 1))
-    edits = _edits(F.least(length("tolda"), length("toldb")), threshold, per_edit)
-    agree = (F.abs(length("tolda") - length("toldb")) <= edits) & (F.bit_count(F.shiftrightunsigned(F.col("tolda").bitwiseXOR(F.col("toldb")), 32)) <= 3 * edits) & (_letters_apart(F.col("lettersa"), F.col("lettersb")) <= 2 * edits)
-    # an index key meets an index key once, and a probe any index key
-    # (said of both sides at once, so that neither is filtered before it is shuffled and one shuffle serves both)
-    roles = role("toldb") * 2 + role("tolda")
-    once = (roles == 2) | ((roles == 0) & (F.col("h1a") < F.col("h1b")))
-    met = a.join(b, (a["key"] == b["key"]) & agree & once & (F.col("h1a") != F.col("h1b")))
-    way = lambda x, y: F.when(F.col(f"order{x}") <= F.col(f"order{y}"), F.struct(F.col(f"h1{y}").alias("later"), F.col(f"h1{x}").alias("earlier"), F.col(f"order{x}").alias("order")))
-    return met.select(F.explode(F.array_compact(F.array(way("a", "b"), way("b", "a")))).alias("p")).select("p.*").distinct()
-
-
-def _order(id: Column, kind: str) -> Column:
-    """A long that never falls as ids rise, null ids first."""
-    if kind in ("string", "binary"):
-        low = F.conv(F.rpad(F.hex(F.substring(id.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    else:
-        low = id.try_cast("long")
-    return F.coalesce(low, F.lit(-(1 << 63)))
+    # length and role share a long; the sides are alike, and what holds of one is said of both at once, so one shuffle serves them
+    each = distinct.select("h1", "length", F.explode("keys").alias("k")).where("k is not null")
+    keys = each.select(F.col("k").bitwiseAND(F.lit(-2)).alias("key"), "h1", F.shiftleft(F.col("length").cast("long"), 1).bitwiseOR(F.col("k").bitwiseAND(F.lit(1))).alias("told"))
+    role, length = lambda x: F.col(f"{x}.told").bitwiseAND(F.lit(1)), lambda x: F.shiftright(f"{x}.told", 1)
+    edits = _edits(F.least(length("a"), length("b")), threshold, per_edit)
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1")) & (role("a") + role("b") < 2) & (F.abs(length("a") - length("b")) <= edits)
+    return keys.alias("a").join(keys.alias("b"), met, "left_semi").select("key", "h1", F.col("told").bitwiseAND(F.lit(1)).cast("byte").alias("role"))
 
 
 def absorbed_lines(keyed: DataFrame, distinct: DataFrame, doc_id: str, text: str, threshold: int, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier line is within the allowed edits of.
 
-    Each line is verified against its first candidate, which settles most lines of a large family, and only
-    those that it leaves against all others.
+    Lines that may have a partner are few; their texts are fetched and go to their keys, where a semi join asks whether there
+    is an earlier line near enough. It makes no pairs: of its rows each is a line at one of its keys.
+    A first hash alone names a line until then: should two lines share one, both are fetched and asked.
     """
-    pairs, _ = common.materialize(candidates(distinct, threshold, per_edit), "line-candidates")
-    wanted = pairs.select("later").union(pairs.select("earlier")).distinct().withColumnRenamed("later", "h1")
-    places = distinct.join(wanted, "h1", "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
+    keys, _ = common.materialize(candidates(distinct, threshold, per_edit), "line-candidates")
+    places = distinct.join(keys.select("h1").distinct(), "h1", "left_semi").select("h1", "h2", "place", F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"))
     texts = keyed.select(doc_id, text, "__k1", "__k2").join(places, (F.col("__k1") == F.col("p1")) & (F.col("__k2") == F.col("p2"))).select("h1", "h2", "place", F.get(F.split(text, "\n"), F.col("place.no")).alias("line")).dropDuplicates(["h1", "h2"])
-    texts, _ = common.materialize(texts, "line-texts")
-    a, b = (texts.select(*[F.col(c).alias(c + x) for c in texts.columns]) for x in ("a", "b"))
-    allowed = _edits(F.least(F.char_length("linea"), F.char_length("lineb")), threshold, per_edit)
-
-    def verified(some: DataFrame) -> DataFrame:
-        met = some.join(a, F.col("earlier") == F.col("h1a")).join(b, F.col("later") == F.col("h1b")).where("placea < placeb")
-        return met.where(edit_distance(F.col("linea"), F.col("lineb"), threshold) <= allowed).select(F.col("h1b").alias("h1"), F.col("h2b").alias("h2")).distinct()
-
-    first = pairs.groupBy("later").agg(F.min(F.struct("order", "earlier")).alias("x")).select("later", "x.earlier")
-    found, _ = common.materialize(verified(first), "line-absorbed")
-    # where two lines share a first hash, one may be settled and the other not: both are asked again
-    twice = distinct.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    settled = found.select("h1").join(twice, "h1", "left_anti")
-    left = pairs.join(settled, F.col("later") == F.col("h1"), "left_anti").select("later", "earlier").join(first, ["later", "earlier"], "left_anti")
-    return found.unionByName(verified(left)).distinct()
+    length = F.char_length("line")
+    told = texts.withColumns({"length": length, "edits": _edits(length, threshold, per_edit), "parity": _parity(F.col("line")), "letters": _letters(F.col("line"))})
+    told, _ = common.materialize(told, "line-texts")
+    filed = keys.join(told, "h1")
+    both = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    (h1a, h1b), (h2a, h2b), (la, lb), (pa, pb), (qa, qb) = map(both, ("h1", "h2", "length", "parity", "letters"))
+    edits = F.least(*both("edits"))
+    # what is cheap comes first; places tell lines apart as well as hashes, but with both in use the sides are one shuffle
+    near = (F.abs(la - lb) <= edits) & (F.bit_count(pa.bitwiseXOR(pb)) <= 3 * edits) & (_letters_apart(qa, qb) <= 2 * edits)
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") + F.col("b.role") < 2) & ((h1a != h1b) | (h2a != h2b))
+    earlier = F.col("b.place") < F.col("a.place")
+    within = edit_distance(*both("line"), threshold) <= edits
+    return filed.alias("a").join(filed.alias("b"), met & near & earlier & within, "left_semi").select("h1", "h2").distinct()
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with n_lines, removed (numbers of lines, from 0) and clean_text."""
     added = ("n_lines", "removed", "clean_text")
     docs = common.without(docs, *added)
+    spark, before = docs.sparkSession, set(common.made())
+    bound_methods(spark)  # keys and the filters of pairs are long
     keyed = _keyed(docs, doc_id, text)
     distinct, _ = common.materialize(classes(keyed, doc_id, text, threshold, per_edit), "line-classes")
     later = absorbed_lines(keyed, distinct, doc_id, text, threshold, per_edit).withColumn("absorbed", F.lit(True))
-    marked, _ = common.materialize(distinct.select("h1", "h2", "n", "place").join(later, ["h1", "h2"], "left").where("n > 1 or absorbed").select("h1", "h2", F.when(F.col("absorbed").isNull(), F.col("place")).alias("keep")), "line-marks")
+    marked, kept = common.materialize(distinct.select("h1", "h2", "n", "place").join(later, ["h1", "h2"], "left").where("n > 1 or absorbed").select("h1", "h2", F.when(F.col("absorbed").isNull(), F.col("place")).alias("keep")), "line-marks")
+    common.remove(spark, *[p for p in common.made() if p not in before and p != kept])
     lines = _lines(keyed, doc_id, text).select("h1", "h2", F.struct("id", "__k1", "__k2", "no").alias("place"))
     gone = lines.join(marked, ["h1", "h2"]).where(F.col("keep").isNull() | (F.col("keep") != F.col("place"))).select(F.col("place.__k1").alias("p1"), F.col("place.__k2").alias("p2"), F.col("place.no").alias("no"))
     per_doc = gone.groupBy("p1", "p2").agg(F.collect_set("no").alias("removed"))

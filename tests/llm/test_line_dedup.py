@@ -102,3 +102,17 @@ def test_string_ids_keep_their_order(spark):
     rows = [("b", line + "!"), ("a", line), ("aaaaaaaaaaaa2", "x\n" + line + "?"), ("aaaaaaaaaaaa1", "one more " + line[:20]), (None, "own")]
     got = {r.doc_id: r.clean_text for r in ld.deduplicate(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"a": line, "b": "", "aaaaaaaaaaaa2": "x", "aaaaaaaaaaaa1": rows[3][1], None: "own"}
+
+
+def test_a_family_that_differs_in_a_word_makes_no_pairs(spark):
+    """Words of the same letters pass every filter and are further than three edits apart, mostly."""
+    rnd = random.Random(4)
+    words = {"".join(rnd.sample("etaoinsrhld", 11)) for _ in range(150)}
+    rows = [(k, f"a template of many words that all lines share but for {w} and so on to the very end of it") for k, w in enumerate(sorted(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = ld._keyed(docs, "doc_id", "text")
+    distinct = ld.classes(keyed, "doc_id", "text", 3, 10).localCheckpoint()
+    found = ld.absorbed_lines(keyed, distinct, "doc_id", "text", 3)
+    assert found.count() == sum(len(gone) for _, _, gone, _ in brute(rows))
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # no list of pairs from which those tried are taken
+    assert ld.candidates(distinct, 3, 10).count() <= 16 * len(rows)  # lines at keys; pairs would be 11,175
