@@ -386,12 +386,13 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     of_nodes = tallied.where("chunk is null and n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("classes").alias("classes"))
     nodes, _ = common.materialize(of_nodes, "nodes")
     order = spark.sparkContext.broadcast(levels(tallied))
-    filed, _ = common.materialize(prefixes(docs, order, words, percent), "prefixes")
+    filed, filed_path = common.materialize(prefixes(docs, order, words, percent), "prefixes")
     order.destroy()
-    sizes, _ = common.materialize(filed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
+    sizes, sizes_path = common.materialize(filed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "keys")
     repeated = spark.sparkContext.broadcast(bitmap(sizes.select("key")))
-    dealt, _ = common.materialize(cells(filed, sizes, repeated, cell), "cells")
+    dealt, dealt_path = common.materialize(cells(filed, sizes, repeated, cell), "cells")
     repeated.destroy()
+    common.remove(spark, filed_path, sizes_path)
     roots = sets = tried = None
     for step in range(3):  # the likeliest partner twice, then whatever is left between components
         known = dealt.join(nodes.select("node", "classes"), "node")
@@ -406,6 +407,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
             wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least")
             sets, _ = common.materialize(_sets(docs, wanted, words), "sets")
             dealt, _ = common.materialize(dealt.join(wanted.select("node"), "node", "left_semi"), "cells")  # no other node has a partner
+            common.remove(spark, dealt_path)
         found, _ = common.materialize(verified(pairs, sets, percent), "verified")
         tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
         own = found.where("linked").select("a", "b")
