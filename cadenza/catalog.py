@@ -283,7 +283,7 @@ _MEANT = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.MEANINGS.items())
 _OLDER = ", ".join(f"('{k}', '{v}')" for k, v in rawtags.V22.items())
 _add("frame_meaning", lambda s, d: _raw(s, d).select("p_partkey", "key", rawtags.meaning(F.col("key")).alias("meaning")),
      f"{_RAW}, m(id, says) AS (VALUES {_MEANT}), o(id, later) AS (VALUES {_OLDER}) SELECT p_partkey, key, coalesce(m.says, n.says || ' (v2.2)', 'unknown') AS meaning FROM r LEFT JOIN m ON m.id = key LEFT JOIN o ON o.id = key LEFT JOIN m AS n ON n.id = o.later")
-_add("dirty_tracks", lambda s, d: (lambda t: edit.dirty(edit.apply(t, edit.plan_set(search(t, "year:>1996"), {"track": "3"})), t).select("path", "track_no"))(tracks(s, d)),
+_add("dirty_tracks", lambda s, d: (lambda t: edit.dirty(edit.apply(t, edit.plan_set(search(t, "year:>1996"), {"track": "3"})), t).select("path", "track_no"))(tracks(s, d, once=True, dealt=True)),
      f"{_WITH}SELECT path, CAST(3 AS INTEGER) AS track_no FROM tracks WHERE year > 1996 AND track_no <> 3")
 _add("split_multi", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", text.join_multi(text.split_multi(F.concat_ws(";", "p_name", F.lit("  "), "p_brand"))).alias("v")), "SELECT p_partkey, trim(p_name) || '; ' || p_brand AS v FROM part")
 _MBID = "lpad(to_hex(p_partkey), 8, '0')"

@@ -63,6 +63,11 @@ def fnv(c: Column) -> Column:
     return _fnv(c)
 
 
+def half(path: Column | str, k: int) -> Column:
+    """Half k (0 or 1) of 128 bits that stand for a path where tables are joined by it; never null."""
+    return F.xxhash64(F.lit(k), path)
+
+
 def track_id(path: Column) -> Column:
     return fnv(path)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.hashing import live_version, track_id, track_version
+from ..functions.hashing import half, live_version, track_id, track_version
 from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim, trim_column
 from ..plans.search import search
 from ..sources.store import shared_dir
@@ -295,23 +295,37 @@ def plan_move(df: DataFrame, id: str, dest: str, roots: tuple[str, ...], if_matc
     return row.select("id", "path", F.when(F.col("path") == target, "same").otherwise("changed").alias("status"), F.lit(target).alias("dest"), track_id(F.lit(target)).alias("new_id"))
 
 
+def _by_path(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """(__p1, __p2, columns) of rows: the path as 16 bytes, which is what a table that only says something of paths is shuffled as."""
+    return rows.where(F.col("path").isNotNull()).select(half("path", 0).alias("__p1"), half("path", 1).alias("__p2"), *columns)
+
+
+def _same_path() -> Column:
+    """Whether a row of a table and one of _by_path() have one path.
+
+    The second halves are xored, as equal keys would have rows that were dealt out by the first half dealt out anew.
+    """
+    return (half("path", 0) == F.col("__p1")) & (half("path", 1).bitwiseXOR(F.col("__p2")) == 0)
+
+
 def dirty(df: DataFrame, saved: DataFrame) -> DataFrame:
     """Rows that are not in the saved table as they are now: edited, moved or new since.
 
-    Rows of one path are compared by 128 bits of hashes of all other columns, so the saved table is shuffled as
-    paths and these. They are xored, as equal keys would have the rows dealt out anew, by path and hashes; the join is
-    an outer one, as Spark else moves it below the hashing and shuffles what is hashed.
+    Rows are compared by 128 bits of hashes of all columns and meet by 64 bits of the path's, so the saved table is shuffled
+    as 24 bytes a row. Hashes of rows are xored (see _same_path); the join is an outer one, as Spark else moves it
+    below the hashing and shuffles what is hashed.
     """
     others = sorted(c for c in df.columns if c != "path")
 
     def marked(rows: DataFrame, *names: str) -> DataFrame:
-        told = [x for c in others for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]  # hashes pass over nulls
-        return rows.withColumns({names[0]: F.xxhash64(F.lit(0), *told), names[1]: F.xxhash64(F.lit(1), *told)})
+        told = [x for c in ("path", *others) for x in (F.isnull(f"`{c}`"), F.col(f"`{c}`"))]  # hashes pass over nulls
+        return rows.withColumns({names[0]: half("path", 0), names[1]: F.xxhash64(F.lit(0), *told), names[2]: F.xxhash64(F.lit(1), *told)})
 
     kinds = dict(df.dtypes)
-    known = marked(saved.select("path", *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in others]), "__s1", "__s2").select(F.col("path").alias("__s"), "__s1", "__s2")
+    known = saved.where(F.col("path").isNotNull()).select("path", *[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in others])
+    known = marked(known, "__s", "__s1", "__s2").select("__s", "__s1", "__s2")
     apart = F.col("__h1").bitwiseXOR(F.col("__s1")).bitwiseOR(F.col("__h2").bitwiseXOR(F.col("__s2")))
-    met = marked(df, "__h1", "__h2").join(known, (F.col("path") == F.col("__s")) & (apart == 0), "left")
+    met = marked(df, "__h", "__h1", "__h2").join(known, (F.col("__h") == F.col("__s")) & (apart == 0), "left")
     return met.where("__s is null").select(*[f"`{c}`" for c in df.columns])
 
 
@@ -326,8 +340,8 @@ def samples(plan: DataFrame, n: int) -> DataFrame:
 
 def apply(df: DataFrame, plan: DataFrame) -> DataFrame:
     """The table after a plan of field changes."""
-    changed = plan.where("status = 'changed'").select(F.col("path").alias("__p"), "changes")
-    rows = df.join(changed, F.col("path") == F.col("__p"), "left")
+    changed = _by_path(plan.where("status = 'changed'"), "changes")
+    rows = df.join(changed, _same_path(), "left")
     return _written(rows, dict(df.dtypes), "changes", lambda field, value: (F.coalesce(value, F.lit("")), F.lit(True))).select(*df.columns)
 
 
@@ -343,8 +357,8 @@ def _written(rows: DataFrame, kinds: dict[str, str], changes: str, wanted: Calla
 
 
 def apply_rename(df: DataFrame, plan: DataFrame) -> DataFrame:
-    moved = plan.where("status = 'changed'").select(F.col("path").alias("__p"), "dest")
-    return df.join(moved, F.col("path") == F.col("__p"), "left").withColumn("path", F.coalesce("dest", "path")).select(*df.columns)
+    moved = _by_path(plan.where("status = 'changed'"), "dest")
+    return df.join(moved, _same_path(), "left").withColumn("path", F.coalesce("dest", "path")).select(*df.columns)
 
 
 def delete(df: DataFrame, paths: DataFrame) -> DataFrame:

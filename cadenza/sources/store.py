@@ -226,6 +226,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back, for what would else be made anew each time it is asked."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_journal(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(JOURNAL_ART).json(f"{folder}/entries/name={name}")
 
