@@ -366,11 +366,12 @@ def delete(df: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def with_version(df: DataFrame, revs: DataFrame | None = None) -> DataFrame:
-    """df with version: of a file's path, size and time of change, and of how often it was written here (revs: path, n)."""
+    """df with version: of a file's path, size and time of change, and of how often it was written here (revs: path, n; those of one path are added up)."""
     base = track_version(F.col("path"), F.col("size"), F.col("mod_time"))
     if revs is None:
         return df.withColumn("version", base)
-    met = df.join(revs.select(F.col("path").alias("__rp"), F.col("n").alias("__n")), F.col("path") == F.col("__rp"), "left")
+    writes = _by_path(revs, "n").groupBy("__p1", "__p2").agg(F.sum("n").alias("__n"))
+    met = df.join(writes, (half("path", 0) == F.col("__p1")) & (half("path", 1) == F.col("__p2")), "left")
     return met.withColumn("version", live_version(base, F.coalesce("__n", F.lit(0)))).select(*df.columns, "version")
 
 
