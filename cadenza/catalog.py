@@ -125,7 +125,7 @@ SELECT concat_ws(' — ', {names}) AS key, count(*) AS tracks, CAST(sum(size) AS
 
 
 def _duplicates(s: SparkSession, d: str, by: str | None, bucket: int = 2) -> DataFrame:
-    return browse.duplicates(tracks(s, d), by, bucket=bucket).select("key", "tracks", "bytes", "wasted", F.array_join("items", "|").alias("items"))
+    return browse.duplicates(tracks(s, d, once=True), by, bucket=bucket).select("key", "tracks", "bytes", "wasted", F.array_join("items", "|").alias("items"))
 
 
 _SECONDS = "CASE WHEN duration_ms > 0 THEN CAST(CAST(duration_ms // 1000 AS BIGINT) // {} AS VARCHAR) END"

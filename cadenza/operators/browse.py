@@ -130,17 +130,27 @@ def _key_part(name: str, bucket: int) -> Column:
     return F.nullif(fold(schema.rendered(name)), F.lit(""))
 
 
+def _keyed(df: DataFrame, by: str | None, query: str, bucket: int) -> tuple[DataFrame, list[str], list[str]]:
+    """The tracks that have a whole key, the names of its parts, and the columns that hold them."""
+    names = duplicate_fields(by)
+    keys = [f"__k{k}" for k in range(len(names))]
+    return search(df, query).withColumns({k: _key_part(n, bucket) for k, n in zip(keys, names, strict=True)}).dropna(subset=keys), names, keys
+
+
+def _groups(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tracks"), F.sum("size").alias("bytes"), (F.sum("size") - F.max("size")).alias("wasted"), F.min(F.struct("path", *[schema.rendered(n).alias(f"__v{k}") if n in schema.FIELDS else F.lit("").alias(f"__v{k}") for k, n in enumerate(names)])).alias("first")).where("tracks >= 2")
+
+
 def duplicates(df: DataFrame, by: str | None = None, query: str = "", bucket: int = 2, items: int = MAX_ITEMS) -> DataFrame:
     """Groups of two and more tracks that agree in a key: key, tracks, bytes, wasted (beyond the largest), items (the first by path), query.
 
     The first few items of a group come from a ranking that Spark prunes in each task before the
-    shuffle, so no group is gathered whole.
+    shuffle, so no group is gathered whole. Tracks that are alone are ranked too and go when groups are joined, as to leave them
+    out before would shuffle all rows, unpruned.
     """
-    names = duplicate_fields(by)
-    keys = [f"__k{k}" for k in range(len(names))]
-    rows = search(df, query).withColumns({k: _key_part(n, bucket) for k, n in zip(keys, names, strict=True)}).dropna(subset=keys)
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tracks"), F.sum("size").alias("bytes"), (F.sum("size") - F.max("size")).alias("wasted"), F.min(F.struct("path", *[schema.rendered(n).alias(f"__v{k}") if n in schema.FIELDS else F.lit("").alias(f"__v{k}") for k, n in enumerate(names)])).alias("first")).where("tracks >= 2")
-    ranked = rows.join(groups.select(*keys), keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= items)
+    rows, names, keys = _keyed(df, by, query, bucket)
+    groups = _groups(rows, names, keys)
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("__n") <= items)
     listed = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("path")), lambda p: p).alias("items"))
     again = [F.concat(F.lit(f'{n}:"^'), _bare(F.col(f"first.__v{k}")), F.lit('$"')) for k, n in enumerate(names) if n in schema.FIELDS]
     return groups.join(listed, keys).select(F.concat_ws(" — ", *keys).alias("key"), "tracks", "bytes", "wasted", "items", F.concat_ws(" ", *again).alias("query"))

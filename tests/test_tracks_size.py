@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza import catalog, schema
 from cadenza.functions import hashing
-from cadenza.operators import edit
+from cadenza.operators import browse, edit
 from cadenza.plans.tracks import tracks
 
 WHERE = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_customers_meet_orders_before_lines(spark):
 
 
 def test_who_asks_the_view_often_joins_its_tables_once(spark):
-    for name in ("dirty_tracks", "live_version"):
+    for name in ("dirty_tracks", "live_version", "duplicates_default", "duplicates_duration"):
         assert "lineitem.parquet" not in plan_of(catalog.QUERIES[name](spark, WHERE)), name
     view, once, dealt = (tracks(spark, WHERE, **kw) for kw in ({}, {"once": True}, {"once": True, "dealt": True}))
     assert view.schema == once.schema == dealt.schema
@@ -87,3 +87,20 @@ def test_what_is_said_of_paths_is_shuffled_without_them(spark):
         base = {r.path: r.v for r in df.select("path", hashing.track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("v")).collect()}
         want = {p: hashing.fnv_text(v.encode() + {"/m/1.mp3": 3, "/m/2.mp3": 1}[p].to_bytes(8, "little")) if p in ("/m/1.mp3", "/m/2.mp3") else v for p, v in base.items()}
         assert {r.path: r.version for r in edit.with_version(df, revs).collect()} == want
+
+
+def test_duplicates_are_ranked_in_tasks_before_the_shuffle(spark):
+    rows = [{"path": f"/m/{k:02}.mp3", "title": "same" if k < 30 else f"t{k // 2}", "artist": "Ä" if k % 3 else "a", "size": k + 1} for k in range(37)]
+    df = table(spark, rows)
+    with nothing_broadcast(spark):
+        found = browse.duplicates(df)
+        shown = plan_of(found)
+        assert "LeftSemi" not in shown
+        limit = re.search(r"Exchange hashpartitioning\([^\n]*\n[^\n]*WindowGroupLimit [^\n]*Partial", shown)
+        assert limit, shown
+        got = {r.key: (r.tracks, r.bytes, r.wasted, list(r["items"])) for r in found.collect()}
+        groups = {}
+        for r in rows:
+            groups.setdefault(f"a — {r['title']}", []).append(r)
+        want = {k: (len(g), sum(r["size"] for r in g), sum(r["size"] for r in g) - max(r["size"] for r in g), [r["path"] for r in g][:20]) for k, g in groups.items() if len(g) > 1}
+        assert got == want and "a — t18" not in got
