@@ -403,15 +403,15 @@ def journal(plan: DataFrame) -> DataFrame:
 
 def restore(df: DataFrame, entries: DataFrame) -> DataFrame:
     """The table before the changes of a journal: what plan_map() and apply() would make of its fields, in one join."""
-    fields = entries.where("fields is not null").select(F.col("path").alias("__jp"), F.col("fields").alias("__f"))
+    fields = _by_path(entries.where("fields is not null"), F.col("fields").alias("__f"))
 
     def wanted(field: str, value: Column) -> tuple[Column, Column]:
         new = _wanted(field, value)
         return new, new != _as_text(field)
 
-    rows = _written(df.join(fields, F.col("path") == F.col("__jp"), "left"), dict(df.dtypes), "__f", wanted).select(*df.columns)
-    back = entries.where("source is not null").select(F.col("path").alias("__p"), "source")
-    return rows.join(back, F.col("path") == F.col("__p"), "left").withColumn("path", F.coalesce("source", "path")).select(*df.columns)
+    rows = _written(df.join(fields, _same_path(), "left"), dict(df.dtypes), "__f", wanted).select(*df.columns)
+    back = _by_path(entries.where("source is not null"), "source")
+    return rows.join(back, _same_path(), "left").withColumn("path", F.coalesce("source", "path")).select(*df.columns)
 
 
 def plan_artwork(rows: DataFrame, pictures: DataFrame, image: bytes | str | None) -> DataFrame:

@@ -59,7 +59,7 @@ def test_customers_meet_orders_before_lines(spark):
 
 
 def test_who_asks_the_view_often_joins_its_tables_once(spark):
-    for name in ("dirty_tracks", "live_version", "duplicates_default", "duplicates_duration"):
+    for name in ("dirty_tracks", "live_version", "journal_restore", "duplicates_default", "duplicates_duration"):
         assert "lineitem.parquet" not in plan_of(catalog.QUERIES[name](spark, WHERE)), name
     view, once, dealt = (tracks(spark, WHERE, **kw) for kw in ({}, {"once": True}, {"once": True, "dealt": True}))
     assert view.schema == once.schema == dealt.schema
@@ -81,9 +81,10 @@ def test_what_is_said_of_paths_is_shuffled_without_them(spark):
     revs = spark.createDataFrame([("/m/1.mp3", 1), ("/m/1.mp3", 2), ("/m/2.mp3", 1), (None, 5), ("/m/9.mp3", 1)], "path string, n long")
     with nothing_broadcast(spark):
         done = edit.apply(df, plan)
-        for made in (done, edit.with_version(df, revs)):
+        for made in (done, edit.restore(done, edit.journal(plan)), edit.with_version(df, revs)):
             assert re.findall(r"hashpartitioning\(__p1#", plan_of(made)) and not re.findall(r"hashpartitioning\((path|__p|__jp|__rp)#", plan_of(made))
         assert [(r.title, r.year) for r in done.orderBy("path").collect()] == [("t0", 1990), ("t1", 1991), ("new", 1992), ("new", 1993)]
+        assert edit.restore(done, edit.journal(plan)).exceptAll(df).isEmpty()
         base = {r.path: r.v for r in df.select("path", hashing.track_version(F.col("path"), F.col("size"), F.col("mod_time")).alias("v")).collect()}
         want = {p: hashing.fnv_text(v.encode() + {"/m/1.mp3": 3, "/m/2.mp3": 1}[p].to_bytes(8, "little")) if p in ("/m/1.mp3", "/m/2.mp3") else v for p, v in base.items()}
         assert {r.path: r.version for r in edit.with_version(df, revs).collect()} == want
