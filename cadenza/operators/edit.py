@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import posixpath
 import re
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from .. import schema
 from ..functions.hashing import half, live_version, track_id, track_version
 from ..functions.text import dirname, int_prefix, is_true, sanitise_segment, tidy_path, trim, trim_column
 from ..plans.search import search
-from ..sources.store import shared_dir
+from ..sources.store import written
 
 MAX_ERRORS = 25
 
@@ -251,16 +250,18 @@ def plan_rename(rows: DataFrame, template: str, roots: tuple[str, ...], existing
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     own = [c for c in ("id",) if c in rows.columns]  # else hashed at the end, where it is asked for
     named = rows.withColumns({"dest": F.concat(root_of(F.col("path"), roots), F.lit("/"), name, ext), "complete": complete & (name != "")}).select(*own, "path", "dest", "complete")
-    spark, folder = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/rename-{uuid.uuid4().hex}"
-    named.write.parquet(folder)  # names are made once, for the claims and for the plan, however often it is asked
-    made = spark.read.schema(named.schema).parquet(folder)
+    made = written(named, "rename")  # names are made once, for the claims and for the plan, however often it is asked
+    # rows are dealt out by their places once, for both; a place that is not known is "" on the way, as what is asked of nulls would be asked of one side alone
+    made = made.withColumn("dest", F.coalesce("dest", F.lit(""))).repartition("dest")
     claims = F.col("complete") & (F.col("dest") != F.col("path"))
-    asked = made.where(claims).select(F.col("dest").alias("__dest"), F.col("path").alias("__first"), F.lit(False).alias("__there"))
-    if existing is not None:
-        asked = asked.unionByName(existing.select(F.col("path").alias("__dest"), F.lit(None).cast("string").alias("__first"), F.lit(True).alias("__there")))
-    places = asked.groupBy("__dest").agg(F.min("__first").alias("__first"), F.max("__there").alias("__there")).where("__first is not null")
-    made = made.join(places, claims & (F.col("dest") == F.col("__dest")), "left").withColumn("__taken", F.when(F.col("__there"), F.col("dest")))
-    status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("__first") != F.col("path")) | F.col("__taken").isNotNull(), "collision").otherwise("changed")
+    places = made.groupBy(F.col("dest").alias("__dest")).agg(F.min(F.when(claims, F.col("path"))).alias("__first")).where("__first is not null")
+    made = made.join(places, claims & (F.col("dest") == F.col("__dest")), "left")
+    if existing is None:
+        made = made.withColumn("__there", F.lit(None).cast("string"))
+    else:
+        made = made.join(existing.select(F.col("path").alias("__there")).distinct(), claims & (F.col("dest") == F.col("__there")), "left")
+    made = made.withColumn("dest", F.nullif("dest", F.lit("")))
+    status = F.when(~F.col("complete"), "incomplete").when(F.col("dest") == F.col("path"), "same").when((F.col("__first") != F.col("path")) | F.col("__there").isNotNull(), "collision").otherwise("changed")
     return with_id(made.withColumn("status", status)).select("id", "path", "status", "dest", track_id(F.col("dest")).alias("new_id"))
 
 

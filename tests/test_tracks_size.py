@@ -90,6 +90,19 @@ def test_what_is_said_of_paths_is_shuffled_without_them(spark):
         assert {r.path: r.version for r in edit.with_version(df, revs).collect()} == want
 
 
+def test_names_are_dealt_out_once_for_claims_and_plan(spark):
+    rows = [{"path": f"/m/{n}.mp3", "title": t, "artist": "A"} for n, t in (("1", "One"), ("2", "One"), ("3", "Two"), ("4", ""), ("5", "Five"), ("A/Six", "Six"))]
+    df, there = table(spark, rows), spark.createDataFrame([("/m/A/Two.mp3",), ("/m/A/Two.mp3",), (None,), ("/m/A/Six.mp3",), ("/m/none.mp3",)], "path string")
+    with nothing_broadcast(spark):
+        plan = edit.plan_rename(df, "$artist/$title", ("/m",))
+        shown = final_plan(plan)
+        alone = {r.path: r.status for r in plan.collect()}
+        met = {r.path: r.status for r in edit.plan_rename(df, "$artist/$title", ("/m",), there).collect()}
+    want = {"/m/1.mp3": "changed", "/m/2.mp3": "collision", "/m/3.mp3": "changed", "/m/4.mp3": "incomplete", "/m/5.mp3": "changed", "/m/A/Six.mp3": "same"}
+    assert alone == want and met == want | {"/m/3.mp3": "collision"}
+    assert "ReusedExchange" in shown and shuffles(shown) == 1, shown
+
+
 def test_duplicates_are_ranked_in_tasks_before_the_shuffle(spark):
     rows = [{"path": f"/m/{k:02}.mp3", "title": "same" if k < 30 else f"t{k // 2}", "artist": "Ä" if k % 3 else "a", "size": k + 1} for k in range(37)]
     df = table(spark, rows)
