@@ -132,7 +132,7 @@ _SECONDS = "CASE WHEN duration_ms > 0 THEN CAST(CAST(duration_ms // 1000 AS BIGI
 _add("duplicates_default", lambda s, d: _duplicates(s, d, None), _duplicates_sql({"k1": _f("artist"), "k2": _f("title")}))
 _add("duplicates_size", lambda s, d: _duplicates(s, d, "title,size"), _duplicates_sql({"k1": _f("title"), "k2": "CAST(size AS VARCHAR)"}))
 _add("duplicates_duration", lambda s, d: _duplicates(s, d, "artist,duration,year", 60), _duplicates_sql({"k1": _f("artist"), "k2": _SECONDS.format(60), "k3": "CASE WHEN year = 0 THEN '' ELSE CAST(year AS VARCHAR) END"}))
-_add("duplicate_totals", lambda s, d: browse.duplicate_totals(browse.duplicates(tracks(s, d))), f"SELECT count(*) AS groups, CAST(sum(tracks) AS BIGINT) AS tracks, CAST(sum(wasted) AS BIGINT) AS wasted FROM ({_duplicates_sql({'k1': _f('artist'), 'k2': _f('title')})})")
+_add("duplicate_totals", lambda s, d: browse.duplicate_totals(browse.duplicate_groups(tracks(s, d))), f"SELECT count(*) AS groups, CAST(sum(tracks) AS BIGINT) AS tracks, CAST(sum(wasted) AS BIGINT) AS wasted FROM ({_duplicates_sql({'k1': _f('artist'), 'k2': _f('title')})})")
 _add("duplicates_text", lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy(fold(F.col("text")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1").select(F.sha2("k", 256).alias("key"), "n", "first"),
      f"SELECT sha256({_f('text')}) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 

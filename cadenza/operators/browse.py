@@ -141,6 +141,11 @@ def _groups(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tracks"), F.sum("size").alias("bytes"), (F.sum("size") - F.max("size")).alias("wasted"), F.min(F.struct("path", *[schema.rendered(n).alias(f"__v{k}") if n in schema.FIELDS else F.lit("").alias(f"__v{k}") for k, n in enumerate(names)])).alias("first")).where("tracks >= 2")
 
 
+def duplicate_groups(df: DataFrame, by: str | None = None, query: str = "", bucket: int = 2) -> DataFrame:
+    """tracks, bytes and wasted of the groups of duplicates(), for who does not ask which tracks these are: no path is shuffled."""
+    return _groups(*_keyed(df, by, query, bucket)).select("tracks", "bytes", "wasted")
+
+
 def duplicates(df: DataFrame, by: str | None = None, query: str = "", bucket: int = 2, items: int = MAX_ITEMS) -> DataFrame:
     """Groups of two and more tracks that agree in a key: key, tracks, bytes, wasted (beyond the largest), items (the first by path), query.
 

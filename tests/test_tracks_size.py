@@ -118,3 +118,6 @@ def test_duplicates_are_ranked_in_tasks_before_the_shuffle(spark):
             groups.setdefault(f"a — {r['title']}", []).append(r)
         want = {k: (len(g), sum(r["size"] for r in g), sum(r["size"] for r in g) - max(r["size"] for r in g), [r["path"] for r in g][:20]) for k, g in groups.items() if len(g) > 1}
         assert got == want and "a — t18" not in got
+        plain = browse.duplicate_groups(df)
+        assert sorted(map(tuple, plain.collect())) == sorted(x[:3] for x in want.values()) and "path" not in re.sub(r"Location: [^\n]*", "", plan_of(browse.duplicate_groups(tracks(spark, WHERE))))
+    assert browse.duplicate_totals(plain).collect() == browse.duplicate_totals(found).collect()
