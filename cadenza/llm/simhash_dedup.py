@@ -17,7 +17,7 @@
 deduplicate() finds texts that are alike in their word shingles (NEAR_WORDS words, Jaccard similarity LEAST or
 more). Fingerprints cannot serve there: those of all pairs of 0.8 lie too far apart for any radius that can be probed.
 So it takes the exact join of jaccard_join with these words and this similarity: no pair is left out, and
-a large group of near copies makes about two pairs a text.
+a large group of near copies makes about two pairs a text. copies_before() asks the same of texts as they were before parts of them were cut.
 
 Cases: null text and text without words have fingerprint zero, linked like any other. Texts of
 under three words are one shingle. Null doc_ids take part but never name a component, unless it has
@@ -336,3 +336,24 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     if not gone.where("__repeats").isEmpty():
         out = out.unionByName(own.join(gone.where("__repeats"), same, "left_semi").dropDuplicates(["__node", doc_id]))
     return out.select(*[f"`{c}`" for c in docs.columns])
+
+
+def copies_before(docs: DataFrame, whole: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
+    """doc_ids of docs whose texts, as whole has them, are linked to one of docs with a smaller id: near copies that can no longer be told once lines they share are cut.
+
+    Links are those among all texts of whole that have an id. Only documents with words left in docs count, so that of a group one with words stays, and
+    only ids that docs and whole have once, as of others it is not known which text is which. Texts are read in place; ids alone are shuffled.
+    """
+    from . import jaccard_join
+
+    plain = F.coalesce(F.col(text), F.lit(""))
+    docs, whole = (x.where(F.col(doc_id).isNotNull()) for x in (docs, whole))
+    named = whole.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(plain).alias("node")).alias("id"), plain.alias("text"))
+    found = jaccard_join.classify(named, "id", "text", words, round(100 * least)).where("n_shingles > 0").select(F.col("doc_id.id").alias("__id"), F.col("component_id").alias("__class"))
+    worded = F.coalesce(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    here = docs.select(F.col(doc_id).alias("__id"), F.lit(1).alias("here"), F.lit(0).alias("there"), worded.alias("worded"))
+    there = whole.select(F.col(doc_id).alias("__id"), F.lit(0).alias("here"), F.lit(1).alias("there"), F.lit(False).alias("worded"))
+    told = here.unionByName(there).groupBy("__id").agg(F.sum("here").alias("here"), F.sum("there").alias("there"), F.max("worded").alias("worded")).where("here = 1 and there = 1 and worded")
+    members, _ = common.materialize(found.join(told.select("__id"), "__id"), "near-whole")
+    first = members.groupBy("__class").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(first, "__class").where(F.col("__id") > F.col("__first")).select(F.col("__id").alias(doc_id))
